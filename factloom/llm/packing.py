@@ -76,10 +76,10 @@ class Windows:
         return self.next - 1, self.open.pop(k)[2]
 
 
-def _rows(sequence: int | None, items: list, left: bool) -> list[tuple]:
+def _rows(sequence: int, items: list, left: bool, keep_ids: bool = True) -> list[tuple]:
     at, out = 0, []
     for item in items:
-        out.append((*item, sequence, at, left))
+        out.append((*item[:-1], item[-1] if keep_ids else None, sequence, at, left))
         at += item[2]
     return out
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
     windows and a tail; tails and short documents are placed best-fit in ``open_windows`` windows per
     partition, the fullest of which is emitted when none fits. What is still open at the end of a
     partition is merged in a second, much smaller pass over all partitions' leftovers, dealt by
-    partition number so that no task gets them all. Null text: empty (one piece, the id 0). Null and
+    partition number so that no task gets them all; there pieces are cut to fill windows exactly. Null text: empty (one piece, the id 0). Null and
     repeated doc_ids are packed like others; an empty table gives no rows; other columns are ignored.
     ``ids`` holds little-endian unsigned 32-bit ids (null without ``keep_ids``).
     """
@@ -112,9 +112,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
                 for lo in range(0, len(ids), window):
                     cut = ids[lo : lo + window]
                     raw = cut.tobytes()
-                    item = (doc_id, lo, len(cut), zlib.crc32(raw), len(ids), raw if keep_ids else None)
+                    item = (doc_id, lo, len(cut), zlib.crc32(raw), len(ids), raw)
                     for sequence, items in space.put(len(cut), [item]) if len(cut) < window else [(space.next, [item])]:
-                        out += _rows(sequence, items, False)
+                        out += _rows(sequence, items, False, keep_ids)
                     space.next += len(cut) == window
             if len(out) > 20_000:
                 yield _batches(out)
@@ -126,31 +126,20 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        space, out, held, key = Windows(open_windows, window, (1 << 62) + (TaskContext.get().partitionId() << 40)), [], [], None
+        sequence, used, out = (1 << 62) + (TaskContext.get().partitionId() << 40), 0, []
         for batch in batches:
-            for *item, sequence, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key is not None and sequence != key:
-                    for s, items in space.put(sum(x[2] for x in held), held):
-                        out += _rows(s, items, False)
-                    held = []
-                key = sequence
-                held.append(tuple(item))
-        if held:
-            for s, items in space.put(sum(x[2] for x in held), held):
-                out += _rows(s, items, False)
-        while space.open:
-            out += _rows(*space.emit(0), False)
-        yield _batches(out)
+            for doc_id, start, _, _, total, ids, *_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                while ids:
+                    cut, ids = ids[: 4 * (window - used)], ids[4 * (window - used) :]
+                    out.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), total, cut if keep_ids else None, sequence, used, False))
+                    start, used = start + len(cut) // 4, used + len(cut) // 4
+                    if used == window:
+                        sequence, used = sequence + 1, 0
+            yield _batches(out)
+            out = []
 
     placed = durable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(first, PIECES))
-    # about 64 partitions' leftovers to a task; sorted by fill, so that large remainders are placed first
+    # about 64 partitions' leftovers to a task
     groups = placed.where("left").agg(F.max(F.shiftright("sequence_id", 40))).first()[0]
-    left = placed.where("left").withColumn("_used", F.sum("length").over(_by_sequence()))
-    left = left.repartition(max(1, ((groups or 0) + 1) // 64), F.shiftright("sequence_id", 40)).sortWithinPartitions(F.desc("_used"), "sequence_id", "offset").drop("_used")
+    left = placed.where("left").repartition(((groups or 0) + 64) // 64, F.shiftright("sequence_id", 40)).sortWithinPartitions("sequence_id", "offset")
     return placed.where("not left").union(durable(left.mapInArrow(second, PIECES))).drop("left")
-
-
-def _by_sequence():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("sequence_id")
