@@ -100,3 +100,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import embed
 
     return embed.links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import license
+
+    found = license.scan(table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["template"])
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.array_sort(names), ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
