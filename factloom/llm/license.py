@@ -56,8 +56,11 @@ def band_values(hashes: Column, window: int, stride: int, bands: int) -> Column:
 
     def of(h: Column) -> Column:
         starts = F.when(F.size(h) >= window, F.sequence(F.lit(1), F.size(h) - window + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        least = [_let(F.transform(h, lambda x, b=b: F.xxhash64(x, F.lit(b))), lambda hb: F.transform(starts, lambda j: F.array_min(F.slice(hb, j, window)))) for b in range(1, bands + 1)]
-        return F.concat(h, *least)
+
+        def band(b: int) -> Column:
+            return _let(F.transform(h, lambda x: F.xxhash64(x, F.lit(b))), lambda hb: F.transform(starts, lambda j: F.array_min(F.slice(hb, j, window))))
+
+        return F.concat(h, *map(band, range(1, bands + 1)))
 
     return _let(hashes, of)
 
