@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm.common import durable
 
@@ -125,23 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int =
     return Model({ast.literal_eval(g): float(scaled[i]) for g, i in index.items() if scaled[i]}, float(scaled[-1]), 2.0)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.3, with_text: bool = False) -> DataFrame:
     """Adds score and predicted to the columns ``keep`` (doc_id) of ``docs``; null text counts as empty.
 
-    Only the text is read for a score. An empty text gets the score of a text without words.
+    Only the text is read for a score. An empty text gets the score of a text without words. Columns
+    of ``keep`` named score or predicted are replaced.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "predicted", *(() if with_text else ("text",)))]
     share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of the sample
+    rows = docs.select(*keep) if with_text else docs.select(*keep, "text")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            got = [share.value.score(t.as_py() or "", known) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*keep, "score"])
+            got = [share.value.score(t.as_py() or "", known) for t in batch.column(at)]
+            kept = batch.columns if with_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(got, pa.float64())], [*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rows = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, score double")
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([*(f for f in rows.schema if with_text or f.name in keep), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out() -> Column:
