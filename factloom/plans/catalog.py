@@ -1,4 +1,4 @@
 """All queries of the library: importing this module registers them."""
 
-from factloom.plans import headline  # noqa: F401
+from factloom.plans import headline, relational  # noqa: F401
 from factloom.plans.registry import ORACLES, QUERIES  # noqa: F401
