@@ -23,11 +23,16 @@ def downgrade(found: DataFrame, baseline: DataFrame, signature: Sequence[str]) -
     return out.withColumn("severity", F.when(F.col("_known"), "warning").otherwise("error")).select(*found.columns, "severity")
 
 
+# Cadences and their periods in days; cadences that follow no schedule.
+PERIODS = {"hour": 1, "live": 1, "continuous": 1, "frequent": 1, "daily": 1, "periodic": 1, "weekly": 7, "month": 30}
+UNSCHEDULED = ("frozen", "event", "release", "on-demand", "on demand", "on-change", "maintained", "on request")
+
+
 def stale_days(cadence: Column) -> Column:
-    """Days until a source of this cadence is stale: three periods, at least 14."""
-    c = F.lower(F.coalesce(cadence, F.lit("")))
-    period = F.when(c.contains("hour"), 1).when(c.contains("dai") | c.contains("day"), 1).when(c.contains("week"), 7).when(c.contains("month"), 31).when(c.contains("quarter"), 92).otherwise(7)
-    return F.greatest(period * 3, F.lit(14))
+    """Days until a source of this cadence is stale: three periods, at least 14; null without schedule."""
+    c = F.lower(F.trim(F.coalesce(cadence, F.lit(""))))
+    period = F.coalesce(*[F.when(c.contains(k), F.lit(d)) for k, d in PERIODS.items()])
+    return F.when(~c.rlike("|".join(UNSCHEDULED)), F.greatest(period * 3, F.when(period.isNotNull(), F.lit(14))))
 
 
 def summary(all_issues: DataFrame) -> DataFrame:
