@@ -82,9 +82,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e,
-         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-         AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok FROM embeddings),
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
 l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.ok AND b.ok AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE CASE WHEN a.ok AND b.ok THEN list_cosine_similarity(a.e, b.e) END >= 0.95),
 r AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u)

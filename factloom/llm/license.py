@@ -66,7 +66,8 @@ def band_values(hashes: Column, window: int, stride: int, bands: int) -> Column:
 
 
 def _known(spark, templates: Sequence[tuple[str, str]], shingle: int, window: int, bands: int) -> list:
-    rows = spark.createDataFrame([(n, t) for n, t in templates], "name string, text string").withColumn("w", words(F.col("text")))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in templates])
+    rows = spark.range(1).select(F.inline(listed)).withColumn("w", words(F.col("text")))
     rows = rows.withColumn("h", shingle_hashes(F.col("w"), shingle))
     # a template shorter than a window is found by its single shingles, a longer one by its windows
     values = F.when(F.size("h") >= window, F.array_except(band_values(F.col("h"), window, 1, bands), F.col("h"))).otherwise(F.col("h"))
