@@ -1,0 +1,223 @@
+"""Payload parsers: a DataFrame with a text column ``body`` in, one row a record out.
+
+Payloads are JSON, HTML, simple YAML or Python registries; every parser is a plan of built-in
+functions. Columns of ``raw`` besides ``body`` (such as snapshot_id) are carried along.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from factloom.functions import text as X
+
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def parser(name: str):
+    def put(fn):
+        PARSERS[name] = fn
+        return fn
+
+    return put
+
+
+def _carry(raw: DataFrame) -> list[str]:
+    return [c for c in raw.columns if c != "body"]
+
+
+def finite(x: Column) -> Column:
+    """A number, or null for text that is none, NaN and infinities."""
+    v = x.try_cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+@parser("models_dev")
+def models_dev(raw: DataFrame) -> DataFrame:
+    """provider -> models -> model, with prices, limits and release dates."""
+    schema = "map<string,struct<models:map<string,struct<id:string,name:string,release_date:string,open_weights:string,cost:struct<input:string,output:string,cache_read:string,cache_write:string>,limit:struct<context:string,output:string>>>>>"
+    p = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)).alias("provider", "p"))
+    m = p.select(*_carry(raw), "provider", F.explode("p.models").alias("key", "m"))
+    return m.select(
+        *_carry(raw), F.concat("provider", F.lit("/"), F.coalesce("m.id", "key")).alias("source_model_id"), F.col("m.name").alias("name"), F.col("m.release_date").alias("release_date"), X.boolean_or_null(F.col("m.open_weights")).alias("open_weights"),
+        *[finite(F.col(f"m.cost.{c}")).alias(f"{c}_price") for c in ("input", "output", "cache_read", "cache_write")], F.col("m.limit.context").try_cast("bigint").alias("context"),
+    )
+
+
+@parser("openrouter")
+def openrouter(raw: DataFrame) -> DataFrame:
+    """data[] with prices a token, as prices a million tokens."""
+    schema = "struct<data:array<struct<id:string,name:string,context_length:string,pricing:struct<prompt:string,completion:string,request:string,image:string>>>>"
+    d = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)["data"]).alias("d"))
+    return d.select(*_carry(raw), F.col("d.id").alias("source_model_id"), F.col("d.name").alias("name"), (finite(F.col("d.pricing.prompt")) * 1e6).alias("input_price"), (finite(F.col("d.pricing.completion")) * 1e6).alias("output_price"), finite(F.col("d.pricing.request")).alias("request_price"), finite(F.col("d.pricing.image")).alias("image_price"))
+
+
+@parser("openrouter_endpoints")
+def openrouter_endpoints(raw: DataFrame) -> DataFrame:
+    """One row an endpoint; its tag is provider, then region parts."""
+    schema = "array<struct<model_id:string,status:int,endpoints:array<struct<tag:string,context_length:bigint,price:string>>>>"
+    m = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)).alias("m")).where("m.status = 200")
+    e = m.select(*_carry(raw), F.col("m.model_id").alias("source_model_id"), F.posexplode("m.endpoints").alias("pos", "e"))
+    parts = F.split("e.tag", "/")
+    region = F.nullif(F.array_join(F.slice(parts, 2, 100), "/"), F.lit(""))
+    return e.select(*_carry(raw), "source_model_id", "pos", F.get(parts, F.lit(0)).alias("provider"), region.alias("region"), F.col("e.context_length").alias("context"), finite(F.col("e.price")).alias("price"))
+
+
+@parser("artificialanalysis")
+def artificialanalysis(raw: DataFrame) -> DataFrame:
+    """Rows under the first of data, models, results and items; one row an evaluation."""
+    row = "array<struct<id:string,slug:string,evaluations:map<string,string>,pricing:map<string,string>>>"
+    both = F.from_json("body", f"struct<data:{row},models:{row},results:{row},items:{row}>")
+    r = raw.select(*_carry(raw), F.explode(F.coalesce(both["data"], both["models"], both["results"], both["items"])).alias("r"))
+    return r.select(*_carry(raw), F.coalesce("r.slug", "r.id").alias("source_model_id"), F.explode_outer("r.evaluations").alias("benchmark_id", "v")).select(*_carry(raw), "source_model_id", "benchmark_id", finite(F.col("v")).alias("score"))
+
+
+@parser("huggingface")
+def huggingface(raw: DataFrame) -> DataFrame:
+    """One row a file of a repository that could be read, with its format and quantisation."""
+    schema = "array<struct<repo_id:string,status:int,tags:array<string>,siblings:array<struct<rfilename:string,size:bigint>>>>"
+    r = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)).alias("r")).where("r.status = 200")
+    s = r.select(*_carry(raw), F.col("r.repo_id").alias("source_model_id"), F.array_join("r.tags", " ").alias("tags"), F.explode("r.siblings").alias("s"))
+    name = F.col("s.rfilename")
+    return s.select(*_carry(raw), "source_model_id", name.alias("file"), F.col("s.size").alias("size"), X.file_format(name, F.col("tags")).alias("format"), X.quantization(name).alias("quantization"))
+
+
+@parser("vllm")
+def vllm(raw: DataFrame) -> DataFrame:
+    """Entries "Architecture": ("module", "Class") of Python dict literals."""
+    entry = r'"([A-Za-z0-9_]+)":\s*\(\s*"([A-Za-z0-9_.]+)",\s*"([A-Za-z0-9_]+)"'
+    all_of = [F.regexp_extract_all("body", F.lit(entry), F.lit(i)) for i in (1, 2, 3)]
+    z = raw.select(*_carry(raw), F.explode(F.arrays_zip(*[a.alias(n) for a, n in zip(all_of, "amc", strict=True)])).alias("z"))
+    return z.select(*_carry(raw), F.col("z.a").alias("source_model_id"), F.col("z.m").alias("module"), F.col("z.c").alias("class"))
+
+
+@parser("swebench")
+def swebench(raw: DataFrame) -> DataFrame:
+    """leaderboards[].results[]; a resolve rate is a fraction, resolved is in percent already."""
+    schema = "struct<leaderboards:array<struct<name:string,results:array<struct<name:string,date:string,resolved:string,resolve_rate:string>>>>>"
+    b = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)["leaderboards"]).alias("b"))
+    r = b.select(*_carry(raw), X.slugify(F.col("b.name")).alias("benchmark_id"), F.explode("b.results").alias("r"))
+    return r.select(*_carry(raw), "benchmark_id", F.col("r.name").alias("source_model_id"), F.col("r.date").alias("measured_at"), F.coalesce(finite(F.col("r.resolved")), finite(F.col("r.resolve_rate")) * 100).alias("score")).where("score IS NOT NULL")
+
+
+@parser("aider")
+def aider(raw: DataFrame) -> DataFrame:
+    """A list of flat YAML records: ``- key: value`` begins one. Long form (record, key, value)."""
+    lines = raw.withColumn("_file", F.xxhash64(*raw.columns)).select(*_carry(raw), "_file", F.posexplode(F.split("body", "\n")).alias("_n", "line")).where("trim(line) <> ''")
+    w = Window.partitionBy(*_carry(raw), "_file").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    rec = lines.withColumn("record", F.sum(F.col("line").startswith("- ").cast("int")).over(w))
+    body = F.regexp_replace("line", r"^(- |\s+)", "")
+    return rec.select(*_carry(raw), "record", F.trim(F.split_part(body, F.lit(":"), F.lit(1))).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(body, "^[^:]*:", "")), "^['\"]|['\"]$", "").alias("value"))
+
+
+@parser("deepswe")
+def deepswe(raw: DataFrame) -> DataFrame:
+    """Rows of leaderboard, rows or results; fractions become percent, the interval its half width."""
+    row = "array<struct<model:string,score:string,ci:array<double>,mean_cost_usd:string>>"
+    j = F.from_json("body", f"struct<leaderboard:{row},rows:{row},results:{row}>")
+    r = raw.select(*_carry(raw), F.explode(F.coalesce(j["leaderboard"], j["rows"], j["results"])).alias("r"))
+    s = finite(F.col("r.score"))
+    out = r.select(*_carry(raw), F.col("r.model").alias("source_model_id"), F.when(F.abs(s) <= 1, s * 100).otherwise(s).alias("score"), ((F.get("r.ci", F.lit(1)) - F.get("r.ci", F.lit(0))) / 2).alias("ci"), finite(F.col("r.mean_cost_usd")).alias("cost"))
+    return out.where("source_model_id IS NOT NULL AND score IS NOT NULL")
+
+
+@parser("frontierswe")
+def frontierswe(raw: DataFrame) -> DataFrame:
+    """Titles of the form ``name: mean@5 x%, worst@5 y%, best@5 z%`` anywhere in the page."""
+    pattern = r'title="([^":]+): mean@5 ([0-9.]+)%, worst@5 ([0-9.]+)%, best@5 ([0-9.]+)%"'
+    parts = [F.regexp_extract_all("body", F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("name", "mean", "worst", "best"), 1)]
+    z = raw.select(*_carry(raw), F.explode(F.arrays_zip(*parts)).alias("z"))
+    return z.select(*_carry(raw), F.trim("z.name").alias("source_model_id"), *[finite(F.col(f"z.{c}")).alias(c) for c in ("mean", "worst", "best")])
+
+
+@parser("openvlm")
+def openvlm(raw: DataFrame) -> DataFrame:
+    """model -> benchmark -> value blocks."""
+    m = raw.select(*_carry(raw), F.explode(F.from_json("body", "struct<results:map<string,map<string,map<string,string>>>>")["results"]).alias("source_model_id", "b"))
+    b = m.select(*_carry(raw), "source_model_id", F.explode("b").alias("benchmark_id", "v")).where("benchmark_id <> 'META'")
+    return b.select(*_carry(raw), "source_model_id", "benchmark_id", finite(F.coalesce(F.try_element_at("v", F.lit("Overall")), F.try_element_at("v", F.lit("Final Score")))).alias("score")).where("score IS NOT NULL")
+
+
+@parser("bigcodebench")
+def bigcodebench(raw: DataFrame) -> DataFrame:
+    """Pages rows[].row; the model is the path of its link, one row a score column."""
+    schema = "struct<rows:array<struct<row:struct<link:string,complete:string,instruct:string>>>>"
+    r = raw.select(*_carry(raw), F.explode(F.from_json("body", schema)["rows"]).alias("r"))
+    path = F.regexp_replace(F.regexp_extract("r.row.link", r"^https?://[^/]+/(.*)$", 1), "/+$", "")
+    wide = r.select(*_carry(raw), path.alias("source_model_id"), finite(F.col("r.row.complete")).alias("complete"), finite(F.col("r.row.instruct")).alias("instruct"))
+    return wide.unpivot([*_carry(raw), "source_model_id"], ["complete", "instruct"], "benchmark_id", "score").where("score IS NOT NULL")
+
+
+def table_rows(raw: DataFrame) -> DataFrame:
+    """JSON arrays of flat objects or CSV text, told apart by the first character, as maps."""
+    text = F.trim("body")
+    is_json = text.rlike(r"^[\[{]")
+    j = raw.where(is_json).select(*_carry(raw), F.explode(F.from_json("body", "array<map<string,string>>")).alias("row"))
+    lines = F.split(text, r"\r?\n")
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda v: F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    c = raw.where(~is_json).select(*_carry(raw), cells(F.get(lines, F.lit(0))).alias("_h"), F.explode(F.slice(lines, 2, 1 << 30)).alias("_l"))
+    c = c.select(*_carry(raw), "_h", cells(F.col("_l")).alias("_v")).where(F.size("_h") == F.size("_v"))
+    return j.unionByName(c.select(*_carry(raw), F.map_from_arrays("_h", "_v").alias("row")))
+
+
+def wide_scores(rows: DataFrame, name_keys: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+    """Long form of maps: the first present name, and every other column that holds a number."""
+    rest = [c for c in rows.columns if c != "row"]
+    name = F.coalesce(*[F.nullif(F.trim(F.try_element_at("row", F.lit(k))), F.lit("")) for k in name_keys])
+    long = rows.select(*rest, name.alias("source_model_id"), F.explode("row").alias("benchmark_id", "v")).where(~F.col("benchmark_id").isin(*name_keys, *skip))
+    return long.select(*rest, "source_model_id", "benchmark_id", X.parse_float(F.col("v")).alias("score")).where("score IS NOT NULL AND source_model_id IS NOT NULL")
+
+
+@parser("open_llm_lb")
+def open_llm_lb(raw: DataFrame) -> DataFrame:
+    return wide_scores(table_rows(raw), ["fullname", "model", "Model"])
+
+
+@parser("mteb")
+def mteb(raw: DataFrame) -> DataFrame:
+    return wide_scores(table_rows(raw), ["model_name", "Model", "model"], ["rank"])
+
+
+@parser("omp_speedtest")
+def omp_speedtest(raw: DataFrame) -> DataFrame:
+    """Samples joined to their configuration by selector; only finished ones with a positive rate."""
+    schema = "struct<models:array<struct<key:string,canonicalSlug:string,ompSelector:string>>,records:array<struct<model:string,status:string,tps:string>>>"
+    j = raw.select(*_carry(raw), F.from_json("body", schema).alias("j"))
+    conf = F.map_from_entries(F.transform("j.models", lambda m: F.struct(m["ompSelector"], m["canonicalSlug"])))
+    r = j.select(*_carry(raw), conf.alias("_c"), F.explode("j.records").alias("r"))
+    return r.select(*_carry(raw), F.try_element_at("_c", F.col("r.model")).alias("source_model_id"), F.col("r.status").alias("status"), finite(F.col("r.tps")).alias("tps")).where("status = 'ok' AND tps > 0 AND source_model_id IS NOT NULL").drop("status")
+
+
+def lmarena(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """Leaderboard rows of known categories with a rating."""
+    return rows.where(F.col("category").isin(*categories) & F.col("rating").isNotNull() & ~F.isnan("rating"))
+
+
+# the epoch archive: a ZIP of CSV files
+
+
+def zip_csv(files: DataFrame) -> DataFrame:
+    """(path, member, body) of the CSV members of ZIP files read as binaryFile."""
+
+    def unzip(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    out += [{"path": path, "member": n, "body": z.read(n).decode("utf-8-sig")} for n in z.namelist() if n.endswith(".csv")]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("member", pa.string()), ("body", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(unzip, "path string, member string, body string")
+
+
+def epoch(files: DataFrame) -> DataFrame:
+    """Scores of all members: the model column by its header, the others where they hold numbers."""
+    return wide_scores(table_rows(zip_csv(files)), ["Model version", "Model", "model", "Name"], ["Release date", "id"])
