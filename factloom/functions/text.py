@@ -220,7 +220,8 @@ def duration_hours(s: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """Digits after the point, rounded by the exact binary value (format_string rounds its decimal form)."""
+    return F.translate(F.format_number(x, digits), ",", "")
 
 
 def format_elo(x: Column) -> Column:

@@ -141,9 +141,9 @@ def qg_07(spark, sf):
     return gates.issues(s, "stale_source", "warning", F.col("source_id"), F.col("age"))
 
 
-@query("o_qg_08", with_roles("SELECT 'count_regression' AS \"check\", 'error' AS severity, benchmark_id AS key, n || ' of ' || base AS detail FROM (SELECT benchmark_id, count(*) FILTER (WHERE measured_at < TIMESTAMP '1998-06-01') AS n, count(*) AS base FROM result GROUP BY 1) WHERE n * 2 < base", "result"))
+@query("o_qg_08", with_roles("SELECT 'count_regression' AS \"check\", 'error' AS severity, benchmark_id AS key, n || ' of ' || base AS detail FROM (SELECT benchmark_id, count(*) FILTER (WHERE measured_at < TIMESTAMP '1997-01-01') AS n, count(*) AS base FROM result GROUP BY 1) WHERE n * 2 < base", "result"))
 def qg_08(spark, sf):
-    c = R.result(spark, sf).groupBy("benchmark_id").agg(F.count_if(F.expr("measured_at < TIMESTAMP_NTZ'1998-06-01'")).alias("n"), F.count("*").alias("base")).where("n * 2 < base")
+    c = R.result(spark, sf).groupBy("benchmark_id").agg(F.count_if(F.expr("measured_at < TIMESTAMP_NTZ'1997-01-01'")).alias("n"), F.count("*").alias("base")).where("n * 2 < base")
     return gates.issues(c, "count_regression", "error", F.col("benchmark_id"), F.concat("n", F.lit(" of "), "base"))
 
 
