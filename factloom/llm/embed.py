@@ -150,7 +150,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, max_c
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, x = unit_groups(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(x, pa.binary())], ["vec_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(x, pa.binary())], ["vec_id", "x"])
 
     base = durable(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(normal, "vec_id long, x binary").withColumn("h", F.xxhash64("x")))
     distinct = durable(base.groupBy("x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("h").alias("h")))

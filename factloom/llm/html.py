@@ -5,7 +5,8 @@ have stays as it is, what some lack becomes optional, what repeats becomes a rep
 that differs becomes a slot. A page is then read through its host's wrapper; which of the wrapper's
 slots hold the article is decided once, on the wrapper.
 
-A wrapper is a nested list of items [label, optional, repeated, text, items]. Labels name a tag with
+A wrapper is [pages, items]: hashes of up to three different pages it was made from, and a nested
+list of items [label, optional, repeated, text, items]. Labels name a tag with
 its class and id; ``#`` is text, whose ``text`` is its hash while all pages agree and 0 for a slot;
 ``(a|b)`` is a group of items in a row.
 """
@@ -203,6 +204,11 @@ def merge(a: list, b: list) -> list:
     return out
 
 
+def both(a: list, b: list) -> list:
+    """The wrapper that covers the pages of both."""
+    return [sorted({*a[0], *b[0]})[:3], merge(a[1], b[1])]
+
+
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence."""
     lo = 0
@@ -254,15 +260,19 @@ def kind(label: str) -> tuple[str, bool, bool]:
 class Wrapper:
     """A host's wrapper, with what each of its text slots is."""
 
-    def __init__(self, items: list):
-        self.items = items
+    def __init__(self, wrapper: list):
+        self.several, self.items = len(wrapper[0]) >= 3, wrapper[1]
 
     def read(self, page: list) -> list:
-        """The page's texts [\"#\", block, raw] that belong to the article, in page order."""
+        """The page's texts ["#", block, raw] that belong to the article, in page order.
+
+        They are those in the highest-ranked elements. Where nothing marks the article, text that
+        three different pages or more all have is the host's and not the page's.
+        """
         found: list[tuple[int, bool, list]] = []
         self._walk(fold(page, []), self.items, 0, False, False, found)
         rank = max((r for r, _, _ in found), default=0)
-        return sorted((n for r, literal, leaves in found if r == rank and not (literal and not rank) for n in leaves), key=lambda n: n[1])
+        return sorted((n for r, literal, leaves in found if r == rank and not (literal and not rank and self.several) for n in leaves), key=lambda n: n[1])
 
     def _walk(self, items: list, known: list, rank: int, header: bool, heading: bool, found: list) -> None:
         """Matches a page's items with the wrapper's, left to right.
@@ -318,15 +328,16 @@ def infer(pages: DataFrame) -> DataFrame:
         made: dict[str, list] = {}
         for batch in batches:
             for name, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                items = fold(parse(cell.as_py()))
-                made[name] = merge(made[name], items) if name in made else items
+                page = cell.as_py()
+                one = [[zlib.crc32(page.encode())], fold(parse(page))]
+                made[name] = both(made[name], one) if name in made else one
         yield pa.RecordBatch.from_pydict({"host": list(made), "wrapper": [json.dumps(v) for v in made.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = None
+        made = None
         for text in sorted(set(pdf.wrapper)):
-            items = json.loads(text) if items is None else merge(items, json.loads(text))
-        return pd.DataFrame({"host": pdf.host.iloc[:1], "wrapper": [json.dumps(items)]})
+            made = json.loads(text) if made is None else both(made, json.loads(text))
+        return pd.DataFrame({"host": pdf.host.iloc[:1], "wrapper": [json.dumps(made)]})
 
     parts = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(local, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(join, "host string, wrapper string")

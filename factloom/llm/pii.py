@@ -208,7 +208,7 @@ def fit(docs: DataFrame, fit_docs: int = 5000, smoothing: float = 0.5) -> Field:
             node[r.of][int(r.what[1])] += r.n
         else:
             (chain if r.what[0] == "c" else skip)[int(r.what[1]), int(r.what[2])] += r.n
-    return Field({k: np.log(v / v.sum()).tolist() for k, v in node.items()}, _pull(chain) * 0.25, np.maximum(_pull(skip), _agree()))
+    return Field({k: np.log(v / v.sum()).tolist() for k, v in node.items()}, _pull(chain) * 0.25, np.where(np.eye(states) > 0, np.maximum(_pull(skip), _agree()), _agree()))
 
 
 def _pull(counts: np.ndarray) -> np.ndarray:
@@ -218,7 +218,11 @@ def _pull(counts: np.ndarray) -> np.ndarray:
 
 
 def _agree(weight: float = math.log(400.0)) -> np.ndarray:
-    """The least that equal labels of repeated mentions gain over different ones."""
+    """The least that equal labels of repeated mentions gain over different ones.
+
+    That a repeated mention has no base span is no evidence of its label, so what different labels
+    lose is not learned from such pairs.
+    """
     return np.where(np.eye(len(LABELS)) > 0, weight, -weight)
 
 
