@@ -160,7 +160,9 @@ def table_rows(raw: DataFrame) -> DataFrame:
     cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda v: F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"')))
     c = raw.where(~is_json).select(*_carry(raw), cells(F.get(lines, F.lit(0))).alias("_h"), F.explode(F.slice(lines, 2, 1 << 30)).alias("_l"))
     c = c.select(*_carry(raw), "_h", cells(F.col("_l")).alias("_v")).where(F.size("_h") == F.size("_v"))
-    return j.unionByName(c.select(*_carry(raw), F.map_from_arrays("_h", "_v").alias("row")))
+    # the condition stays in the expression: filters may be moved before the map is made
+    made = F.when(F.size("_h") == F.size("_v"), F.map_from_arrays("_h", "_v"))
+    return j.unionByName(c.select(*_carry(raw), made.alias("row")))
 
 
 def wide_scores(rows: DataFrame, name_keys: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
