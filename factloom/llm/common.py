@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``durable``, as compressed Parquet: for tables with large columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hinted(kept: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``kept`` (a durable table of a few numbers a row) to be broadcast if it has at most ``most_rows`` rows.
+
+    Beyond that it is joined by shuffling.
+    """
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

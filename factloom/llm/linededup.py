@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, durable
+from factloom.llm.common import WORD, durable, hinted
 
 FIELD = "<*>"
 
@@ -68,14 +68,15 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, variety:
     busy = durable(kinds(exploded("leaf", "leaves"), "leaf").where(enough).select("leaf"))
     # the lines of busy leaves, each once, with the number of documents that hold it
     found = docs.where("text is not null").select(F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_count(F.col("line")) >= short_tokens)
-    found = found.withColumn("leaf", _leaf(F.col("line"), depth)).join(busy, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    found = found.withColumn("leaf", _leaf(F.col("line"), depth)).join(hinted(busy), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
     found = durable(found.withColumn("key", _key(F.col("line"))))
     spread = found.select("leaf", "key", "n", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
     size = found.groupBy("leaf").agg(F.sum("n").alias("all"))
     common = spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have")).join(size, "leaf").where("2 * have > all").select("leaf", "pos", "token", F.lit(1).alias("fits"))
     fit = spread.join(common, ["leaf", "pos", "token"], "left").groupBy("leaf", "key").agg((F.count("fits") / F.count("*")).alias("share")).where(F.col("share") >= similarity).select("leaf", "key")
+    fit = durable(fit)
     # the template, too, must recur: its members are counted like the leaf
-    live = kinds(exploded("key", "keys").join(fit, "key"), "leaf").where(enough).select("leaf")
+    live = kinds(exploded("key", "keys").join(hinted(fit), "key"), "leaf").where(enough).select("leaf")
     return marked, durable(whole.union(fit.join(live, "leaf", "left_semi").select("key")).distinct())
 
 
@@ -87,7 +88,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     their doc_id; columns of ``docs`` named n_lines or n_dropped are replaced.
     """
     marked, drop = recurring(docs, **options)
-    hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(drop, "key", "left_semi")
+    hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(hinted(drop), "key", "left_semi")
     hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("pos").alias("_drop"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("_b", F.xxhash64("text"))
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_body")), "left")
