@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import durable
+from factloom.llm.common import durable, stored
 
 WINDOW = 1024
 #: The string that the tokenizer file holds as a special token (fixed value).
@@ -96,9 +96,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
     windows and a tail; tails and short documents are placed best-fit in ``open_windows`` windows per
     partition, the fullest of which is emitted when none fits. What is still open at the end of a
     partition is merged in a second, much smaller pass over all partitions' leftovers, dealt by
-    partition number so that no task gets them all; there pieces are cut to fill windows exactly. Null text: empty (one piece, the id 0). Null and
-    repeated doc_ids are packed like others; an empty table gives no rows; other columns are ignored.
-    ``ids`` holds little-endian unsigned 32-bit ids (null without ``keep_ids``).
+    partition number so that no task gets them all; there pieces are cut to fill windows exactly.
+    Null text: empty (one piece, the id 0). Null and repeated doc_ids are packed like others; an
+    empty table gives no rows; other columns are ignored. ``ids`` holds little-endian unsigned 32-bit ids (null without ``keep_ids``).
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, window:
             yield _batches(out)
             out = []
 
-    placed = durable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(first, PIECES))
+    placed = (stored if keep_ids else durable)(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(first, PIECES))
     # about 64 partitions' leftovers to a task
     groups = placed.where("left").agg(F.max(F.shiftright("sequence_id", 40))).first()[0]
     left = placed.where("left").repartition(((groups or 0) + 64) // 64, F.shiftright("sequence_id", 40)).sortWithinPartitions("sequence_id", "offset")
