@@ -31,7 +31,7 @@ def ngrams(text: str, known: dict[bytes, bytes]) -> set:
     """The distinct n-grams of a whole text: words, and one to three shapes in a row.
 
     A word that repeats one of the two words before it has the shape ``=``, and the share of distinct
-    words (in eighths) is one more indicator, so that repetitive text is seen at any length.
+    words (in eighths, alone and with the length) is one more indicator, so that repetitive text is seen at any length.
     """
     words = text.encode().split()
     kinds = []
@@ -45,22 +45,24 @@ def ngrams(text: str, known: dict[bytes, bytes]) -> set:
     kinds = [b"=" if w == a or w == b else s for w, a, b, s in zip(words, [b"", *words], [b"", b"", *words], kinds)]
     distinct = set(words)
     out: set = {*distinct, *((s,) for s in set(kinds)), *set(zip(kinds, kinds[1:])), *set(zip(kinds, kinds[1:], kinds[2:]))}
-    out.add((len(words).bit_length(), 8 * len(distinct) // max(1, len(words))))
+    share = 8 * len(distinct) // max(1, len(words))
+    out |= {(share,), (len(words).bit_length(), share)}
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights by n-gram, a bias, and the slope that turns margins into scores."""
+    """weights by n-gram and a bias give a margin; slope and shift turn it into a score."""
 
     weights: dict
     bias: float
     slope: float
+    shift: float = 0.0
 
     def score(self, text: str, known: dict[bytes, bytes]) -> float:
         get = self.weights.get
         m = self.bias + math.fsum(get(g, 0.0) for g in ngrams(text, known))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * m))))
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * m + self.shift))))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, cost: float, epochs: int, seed: int = 1) -> np.ndarray:
@@ -87,7 +89,27 @@ def dual_coordinate_descent(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int = 5, smoothing: float = 1.0, cost: float = 0.1, epochs: int = 30) -> Model:
+def calibrate(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve of best likelihood, by Newton steps.
+
+    Targets stay a little inside 0 and 1, so that separable classes give a finite slope.
+    """
+    good = y > 0
+    t = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
+        g, h = p - t, np.maximum(p * (1 - p), 1e-9)
+        m = np.array([[h @ margins**2 + 1e-6, h @ margins], [h @ margins, h.sum() + 1e-6]])
+        step = np.linalg.solve(m, [g @ margins, g.sum()])
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(max(a, 0.1)), float(b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int = 5, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 30) -> Model:
     """Learns from at most ``sample`` labelled rows (those of the least hashed doc_id), and only from
     rows whose crc32(doc_id as text) mod 5 is not 0.
 
@@ -123,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int =
     rows = [np.append(r, len(index)) for r in rows]
     w = dual_coordinate_descent(rows, x, y, cost, epochs)
     scaled = w * x
-    return Model({ast.literal_eval(g): float(scaled[i]) for g, i in index.items() if scaled[i]}, float(scaled[-1]), 2.0)
+    slope, shift = calibrate(np.array([w[r] @ x[r] for r in rows]), y)
+    return Model({ast.literal_eval(g): float(scaled[i]) for g, i in index.items() if scaled[i]}, float(scaled[-1]), slope, shift)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.3, with_text: bool = False) -> DataFrame:
