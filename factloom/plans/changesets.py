@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import text as X
-from factloom.operators import joins, merge, picks, resolve, stats
+from factloom.operators import joins, merge, picks, resolve, stats, validate
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
@@ -299,3 +299,39 @@ def sup_25(spark, sf):
 def sup_26(spark, sf):
     gap = joins.orphans(R.model(spark, sf).select("id"), R.result(spark, sf).where("benchmark_id = 'A' AND score > 90000"), {"id": "model_id"})
     return gap.withColumn("benchmark_id", F.lit("A"))
+
+
+@query("o_sup_06", "SELECT event_id AS id, json_extract_string(props, '$.k') AS v FROM events")
+def sup_06(spark, sf):
+    nested = F.concat(F.lit('{"a": {"b": '), "props", F.lit("}}"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.coalesce(F.get_json_object(nested, "$.a.c"), F.get_json_object(nested, "$.a.b.k")).alias("v"))
+
+
+@query("o_sup_07", "SELECT event_id AS id, [NULL, 'n', 'name', 'n,name,tags'][event_id % 4 + 1] AS problems FROM events")
+def sup_07(spark, sf):
+    bodies = ['{"n": 3, "name": "x", "tags": []}', '{"n": true, "name": "x", "tags": ["a"]}', '{"n": 0, "name": " ", "tags": []}', "[]"]
+    raw = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 4 + 1).cast("int"))
+    found = validate.problems(raw, {"n": "int", "name": "text", "tags": "list"})
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.nullif(F.array_join(found, ","), F.lit("")).alias("problems"))
+
+
+@query("o_sup_08", with_alias("SELECT id, CASE WHEN contains(s, ':') THEN 'route' WHEN regexp_matches(s, '[0-9]{4}-?[0-9]{2}-?[0-9]{2}') THEN 'dated' WHEN contains(s, '/') THEN 'path' ELSE 'plain' END AS kind FROM a"))
+def sup_08(spark, sf):
+    return aliases(spark, sf).select("id", validate.alias_kind(F.col("s")).alias("kind"))
+
+
+@query("o_sup_11", with_roles("SELECT id, CASE WHEN id % 3 = 0 THEN CAST(context AS BIGINT) WHEN id % 3 = 1 THEN id END AS size FROM model", "model"))
+def sup_11(spark, sf):
+    first = F.when(F.col("id") % 3 == 0, F.col("context").cast("string")).otherwise(F.lit("-1"))
+    second = F.when(F.col("id") % 3 == 1, F.nullif("id", F.lit(0)).cast("string")).otherwise(F.lit("n/a"))
+    return R.model(spark, sf).select("id", validate.size_bytes([first, second]).alias("size"))
+
+
+@query("o_sup_12", with_roles("SELECT id, 'https://api.example/models/' || replace(name, ' ', '+') || '/endpoints' AS url FROM model", "model"))
+def sup_12(spark, sf):
+    return R.model(spark, sf).select("id", F.concat(F.lit("https://api.example/models/"), F.url_encode("name"), F.lit("/endpoints")).alias("url"))
+
+
+@query("o_sup_19", with_roles("SELECT id, unnest([1, 2, 3]) AS run FROM model ORDER BY run, id", "model"))
+def sup_19(spark, sf):
+    return validate.run_order(3, R.model(spark, sf).select("id"), "id", True)
