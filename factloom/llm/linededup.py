@@ -27,15 +27,20 @@ def _count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
-def _leaf(line: Column, depth: int) -> Column:
+def _leaf(line: Column, tokens: Column, depth: int) -> Column:
     """The leaf as a hash: token count and ``depth`` leading tokens, those with a digit as fields."""
     lead = F.regexp_extract(line, rf"^[\x20\x09-\x0D]*((?:{WORD}[\x20\x09-\x0D]*){{0,{depth}}})", 1)
-    return F.xxhash64(_count(line), F.regexp_replace(F.rtrim(lead), r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
+    return F.xxhash64(tokens, F.regexp_replace(F.rtrim(lead), r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
 
 
-def _key(line: Column) -> Column:
+def _hash(line: Column) -> Column:
+    """A line's hash, its last three bits being 0."""
+    return F.xxhash64(line).bitwiseAND(F.lit(-8))
+
+
+def _key(line: Column, tokens: Column) -> Column:
     """A line's hash, its last three bits being its token count up to 7."""
-    return F.xxhash64(line).bitwiseAND(F.lit(-8)).bitwiseOR(F.least(_count(line), F.lit(7)).cast("long"))
+    return _hash(line).bitwiseOR(F.least(tokens, F.lit(7)).cast("long"))
 
 
 def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, variety: float = 0.25, similarity: float = 0.7, short_tokens: int = 5, short_share: float = 0.006) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +54,8 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, variety:
     tokens belong to it. Lines of fewer than ``short_tokens`` tokens also need ``short_share`` of all
     documents, and no fields.
     """
-    lines = F.transform(_lines(F.col("text")), lambda v: F.struct(_key(v).alias("key"), F.when(_count(v) > 0, _leaf(v, depth)).alias("leaf")))
+    counted = F.transform(_lines(F.col("text")), lambda v: F.struct(v.alias("line"), _count(v).alias("n")))
+    lines = F.transform(counted, lambda v: F.struct(_key(v["line"], v["n"]).alias("key"), F.when(v["n"] > 0, _leaf(v["line"], v["n"], depth)).alias("leaf")))
     marked = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), lines.alias("l"))
     marked = durable(marked.select("doc_id", "body", F.array_min("l.leaf").alias("low"), F.array_max("l.leaf").alias("high"), F.col("l.key").alias("keys"), F.col("l.leaf").alias("leaves")))
     everything = marked.count()
@@ -66,10 +72,14 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, variety:
     by_line = kinds(exploded("key", "keys"), "key").where(enough & (tokens > 0))
     whole = by_line.where((tokens >= short_tokens) | (F.col("n") >= F.lit(short_share * everything))).select("key")
     busy = durable(kinds(exploded("leaf", "leaves"), "leaf").where(enough).select("leaf"))
-    # the lines of busy leaves, each once, with the number of documents that hold it
-    found = docs.where("text is not null").select(F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_count(F.col("line")) >= short_tokens)
-    found = found.withColumn("leaf", _leaf(F.col("line"), depth)).join(hinted(busy), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    found = durable(found.withColumn("key", _key(F.col("line"))))
+    # the lines of busy leaves, each once: found by their keys first, so that only they are read as text
+    each = marked.select(F.explode(F.arrays_zip("keys", "leaves")).alias("z")).select(F.col("z.keys").alias("key"), F.col("z.leaves").alias("leaf"))
+    known = durable(each.where(F.col("key").bitwiseAND(F.lit(7)) >= min(short_tokens, 7)).join(hinted(busy), "leaf", "left_semi").distinct())
+    held = exploded("key", "keys").join(hinted(known), "key").groupBy("leaf", "key").agg(F.count("*").alias("n"))
+    texts = docs.where("text is not null").select(F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn("h", _hash(F.col("line")))
+    wanted = known.select(F.col("key").bitwiseAND(F.lit(-8)).alias("h")).distinct()
+    texts = texts.join(F.broadcast(wanted) if known.count() <= 200_000 else wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    found = durable(held.withColumn("h", F.col("key").bitwiseAND(F.lit(-8))).join(texts, "h").select("leaf", "key", "n", "line"))
     spread = found.select("leaf", "key", "n", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
     size = found.groupBy("leaf").agg(F.sum("n").alias("all"))
     common = spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have")).join(size, "leaf").where("2 * have > all").select("leaf", "pos", "token", F.lit(1).alias("fits"))
