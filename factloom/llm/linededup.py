@@ -27,10 +27,15 @@ def _count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
+def _lead(line: Column, depth: int) -> Column:
+    """The first ``depth`` tokens, those with a digit as fields."""
+    lead = F.regexp_extract(line, rf"^[\x20\x09-\x0D]*((?:{WORD}[\x20\x09-\x0D]*){{0,{depth}}})", 1)
+    return F.regexp_replace(F.rtrim(lead), r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
+
+
 def _leaf(line: Column, tokens: Column, depth: int) -> Column:
     """The leaf as a hash: token count and ``depth`` leading tokens, those with a digit as fields."""
-    lead = F.regexp_extract(line, rf"^[\x20\x09-\x0D]*((?:{WORD}[\x20\x09-\x0D]*){{0,{depth}}})", 1)
-    return F.xxhash64(tokens, F.regexp_replace(F.rtrim(lead), r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
+    return F.xxhash64(tokens, _lead(line, depth))
 
 
 def _hash(line: Column) -> Column:
@@ -43,34 +48,52 @@ def _key(line: Column, tokens: Column) -> Column:
     return _hash(line).bitwiseOR(F.least(tokens, F.lit(7)).cast("long"))
 
 
-def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, variety: float = 0.25, similarity: float = 0.7, short_tokens: int = 5, short_share: float = 0.006) -> tuple[DataFrame, DataFrame]:
+def _without_own(docs: DataFrame, depth: int) -> DataFrame:
+    """(_same): hashes of the texts that have no line of their own.
+
+    A line is a text's own if no different text has a line with its leading tokens, nor one with its
+    last tokens: a line that a near copy changed by a word still has one of them.
+    """
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("body"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_count(F.col("line")) > 0)
+    ends = durable(texts.select("body", F.xxhash64(_lead(F.col("line"), depth)).alias("lead"), F.xxhash64(_lead(F.reverse("line"), depth)).alias("tail")))
+    one = lambda name: ends.groupBy(name).agg(F.min("body").alias("body"), F.max("body").alias("_top")).where("body = _top").select(name, "body")
+    tails = one("tail").select(F.col("tail").alias("_tail"), F.col("body").alias("_body"))
+    own = one("lead").join(ends.withColumnsRenamed({"lead": "_lead", "body": "_of"}), (F.col("lead") == F.col("_lead")) & (F.col("body") == F.col("_of"))).join(tails, F.col("tail") == F.col("_tail"))
+    return durable(ends.select("body").distinct().join(own.select("body").distinct(), "body", "left_anti").withColumnRenamed("body", "_same"))
+
+
+def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, similarity: float = 0.7, short_tokens: int = 5, short_share: float = 0.006) -> tuple[DataFrame, DataFrame]:
     """(marked, dropped): arrays of line keys by document, and the keys of lines to drop.
 
-    Documents are told apart by the least and by the greatest leaf of their lines, which near copies
-    share (by two, since a template's own leaf may be one of them); a template recurs if it meets
-    ``min_documents`` kinds either way and they are at least ``variety`` of the documents that have it. So what is common to copies of one document is left, and what is common to different
+    A template recurs if ``min_documents`` different documents have it, however many copies they have. Equal texts are one document, and a text with a line of its
+    own differs from all others. Texts without one are near copies of others, or made of shared lines
+    only: they are told apart by the least and by the greatest leaf of their lines, whichever tells fewer
+    apart. So what is common to copies of one document is left, and what is common to different
     documents is not. A line that recurs as it stands is its own template. In a leaf that recurs, tokens
     of over half its documents are the template and lines that agree with it in ``similarity`` of their
-    tokens belong to it. Lines of fewer than ``short_tokens`` tokens also need ``short_share`` of all
+    tokens belong to it. Lines of fewer than ``short_tokens`` tokens need ``short_share`` of all
     documents, and no fields.
     """
     counted = F.transform(_lines(F.col("text")), lambda v: F.struct(v.alias("line"), _count(v).alias("n")))
     lines = F.transform(counted, lambda v: F.struct(_key(v["line"], v["n"]).alias("key"), F.when(v["n"] > 0, _leaf(v["line"], v["n"], depth)).alias("leaf")))
     marked = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), lines.alias("l"))
-    marked = durable(marked.select("doc_id", "body", F.array_min("l.leaf").alias("low"), F.array_max("l.leaf").alias("high"), F.col("l.key").alias("keys"), F.col("l.leaf").alias("leaves")))
+    marked = marked.join(hinted(_without_own(docs, depth)), F.col("body") == F.col("_same"), "left")
+    low, high = (F.when(F.col("_same").isNull() & e.isNotNull(), F.col("body")).otherwise(e) for e in (F.array_min("l.leaf"), F.array_max("l.leaf")))
+    marked = durable(marked.select("doc_id", "body", low.alias("low"), high.alias("high"), F.col("l.key").alias("keys"), F.col("l.leaf").alias("leaves")))
+
     everything = marked.count()
 
     def kinds(one: DataFrame, name: str) -> DataFrame:
-        each = one.groupBy(name, "low", "high").agg(F.count("*").alias("n"))
-        return each.groupBy(name).agg(F.count_distinct("low").alias("a"), F.count_distinct("high").alias("b"), F.sum("n").alias("n")).select(name, F.greatest("a", "b").alias("kinds"), "n")
+        each = one.select(name, "low", "high").distinct()
+        return each.groupBy(name).agg(F.count_distinct("low").alias("a"), F.count_distinct("high").alias("b")).select(name, F.least("a", "b").alias("kinds"))
 
     def exploded(name: str, column: str) -> DataFrame:
         return marked.where("low is not null").select("low", "high", F.explode(F.array_distinct(column)).alias(name)).where(f"{name} is not null")
 
-    enough = (F.col("kinds") >= min_documents) & (F.col("kinds") >= variety * F.col("n"))
+    enough = F.col("kinds") >= min_documents
     tokens = F.col("key").bitwiseAND(F.lit(7))
     by_line = kinds(exploded("key", "keys"), "key").where(enough & (tokens > 0))
-    whole = by_line.where((tokens >= short_tokens) | (F.col("n") >= F.lit(short_share * everything))).select("key")
+    whole = by_line.where((tokens >= short_tokens) | (F.col("kinds") >= F.lit(short_share * everything))).select("key")
     busy = durable(kinds(exploded("leaf", "leaves"), "leaf").where(enough).select("leaf"))
     # the lines of busy leaves, each once: found by their keys first, so that only they are read as text
     each = marked.select(F.explode(F.arrays_zip("keys", "leaves")).alias("z")).select(F.col("z.keys").alias("key"), F.col("z.leaves").alias("leaf"))

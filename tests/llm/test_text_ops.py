@@ -36,6 +36,17 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert by[None].text == unique(9999)
 
 
+def test_many_shared_lines_and_large_groups_of_copies_keep_no_recurring_line(spark):
+    shared = [f"Shared {unique(k)} line of this site" for k in range(500, 508)]
+    passage = f"This passage {unique(700, 12)} is in different texts"
+    rows = [(i, "\n".join([*shared[:4], unique(i + 1000), *shared[4:]])) for i in range(30)]
+    rows += [(100 + i, f"{passage}\n{unique(i + 2000)}") for i in range(6)] + [(200 + k, f"{passage}\n{unique(3000)}") for k in range(60)]
+    by = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert [by[i] for i in range(30)] == [unique(i + 1000) for i in range(30)]
+    assert [by[100 + i] for i in range(6)] == [unique(i + 2000) for i in range(6)]
+    assert {by[200 + k] for k in range(60)} == {unique(3000)}
+
+
 def test_line_dedup_of_tables_without_lines(spark):
     assert linededup.dedup_lines(frame(spark, [])).collect() == []
     assert [r.text for r in linededup.dedup_lines(frame(spark, [(1, None)])).collect()] == [None]
