@@ -62,16 +62,17 @@ def _without_own(docs: DataFrame, depth: int) -> DataFrame:
     return durable(ends.select("body").distinct().join(own.select("body").distinct(), "body", "left_anti").withColumnRenamed("body", "_same"))
 
 
-def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, similarity: float = 0.7, short_tokens: int = 5, short_share: float = 0.006) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarity: float = 0.7, short_tokens: int = 5, short_documents: int = 20) -> tuple[DataFrame, DataFrame]:
     """(marked, dropped): arrays of line keys by document, and the keys of lines to drop.
 
-    A template recurs if ``min_documents`` different documents have it, however many copies they have. Equal texts are one document, and a text with a line of its
+    A template recurs if ``min_documents`` different documents have it, whatever the size of the
+    table and however many copies they have. Equal texts are one document, and a text with a line of its
     own differs from all others. Texts without one are near copies of others, or made of shared lines
     only: they are told apart by the least and by the greatest leaf of their lines, whichever tells fewer
     apart. So what is common to copies of one document is left, and what is common to different
     documents is not. A line that recurs as it stands is its own template. In a leaf that recurs, tokens
     of over half its documents are the template and lines that agree with it in ``similarity`` of their
-    tokens belong to it. Lines of fewer than ``short_tokens`` tokens need ``short_share`` of all
+    tokens belong to it. Lines of fewer than ``short_tokens`` tokens need ``short_documents``
     documents, and no fields.
     """
     counted = F.transform(_lines(F.col("text")), lambda v: F.struct(v.alias("line"), _count(v).alias("n")))
@@ -81,8 +82,6 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, similarit
     low, high = (F.when(F.col("_same").isNull() & e.isNotNull(), F.col("body")).otherwise(e) for e in (F.array_min("l.leaf"), F.array_max("l.leaf")))
     marked = durable(marked.select("doc_id", "body", low.alias("low"), high.alias("high"), F.col("l.key").alias("keys"), F.col("l.leaf").alias("leaves")))
 
-    everything = marked.count()
-
     def kinds(one: DataFrame, name: str) -> DataFrame:
         each = one.select(name, "low", "high").distinct()
         return each.groupBy(name).agg(F.count_distinct("low").alias("a"), F.count_distinct("high").alias("b")).select(name, F.least("a", "b").alias("kinds"))
@@ -93,7 +92,7 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 5, similarit
     enough = F.col("kinds") >= min_documents
     tokens = F.col("key").bitwiseAND(F.lit(7))
     by_line = kinds(exploded("key", "keys"), "key").where(enough & (tokens > 0))
-    whole = by_line.where((tokens >= short_tokens) | (F.col("kinds") >= F.lit(short_share * everything))).select("key")
+    whole = by_line.where((tokens >= short_tokens) | (F.col("kinds") >= short_documents)).select("key")
     busy = durable(kinds(exploded("leaf", "leaves"), "leaf").where(enough).select("leaf"))
     # the lines of busy leaves, each once: found by their keys first, so that only they are read as text
     each = marked.select(F.explode(F.arrays_zip("keys", "leaves")).alias("z")).select(F.col("z.keys").alias("key"), F.col("z.leaves").alias("leaf"))

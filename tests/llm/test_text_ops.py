@@ -47,6 +47,18 @@ def test_many_shared_lines_and_large_groups_of_copies_keep_no_recurring_line(spa
     assert {by[200 + k] for k in range(60)} == {unique(3000)}
 
 
+def test_the_count_that_drops_a_line_is_fixed(spark):
+    passage = f"This passage {unique(700, 50)} is in three texts"
+    rows = [(i, f"{passage}\n{unique(i + 2000)}") for i in range(3)] + [(10 + i, f"read more here\n{unique(i + 4000)}") for i in range(20)]
+    rows += [(5000 + i, unique(i + 5000)) for i in range(4000)]
+    near = [unique(900 + k, 12) for k in range(6)]
+    rows += [(100 + k, "\n".join([*near[:k], near[k].replace(" ", " other ", 1), *near[k + 1 :]])) for k in range(6)]
+    by = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert [by[i] for i in range(3)] == [unique(i + 2000) for i in range(3)]
+    assert [by[10 + i] for i in range(20)] == [unique(i + 4000) for i in range(20)]
+    assert [by[100 + k] for k in range(6)] == [dict(rows)[100 + k] for k in range(6)]
+
+
 def test_line_dedup_of_tables_without_lines(spark):
     assert linededup.dedup_lines(frame(spark, [])).collect() == []
     assert [r.text for r in linededup.dedup_lines(frame(spark, [(1, None)])).collect()] == [None]
