@@ -7,7 +7,8 @@ slots hold the article is decided once, on the wrapper.
 
 A wrapper is [pages, items]: hashes of up to three different pages it was made from, and a nested
 list of items [label, optional, repeated, text, items]. Labels name a tag with
-its class and id; ``#`` is text, whose ``text`` is its hash while all pages agree and 0 for a slot;
+its class and id; ``#`` is text, whose ``text`` is, while all pages agree, its hash ``h`` and the hashes ``p`` of up to
+three different pages that had it, and 0 for a slot;
 ``(a|b)`` is a group of items in a row.
 """
 
@@ -139,17 +140,22 @@ def parse(text: str) -> list:
     return root[1]
 
 
-def fold(children: list, leaves: list | None = None) -> list:
+def _text_hash(raw: str) -> int:
+    return zlib.crc32(raw.strip().encode())
+
+
+def fold(children: list, leaves: list | None = None, page: int = 0) -> list:
     """Items of a page's elements, runs and rows of two to four labels that repeat made one item each.
 
     With ``leaves``, an item's text is the list of the page's texts below it instead of a hash.
+    ``page`` is the page's hash.
     """
     items: list = []
     for node in children:
         if node[0] == "#":
-            item = ["#", False, False, [node] if leaves is not None else zlib.crc32(node[2].strip().encode()) or 1, []]
+            item = ["#", False, False, [node] if leaves is not None else {"h": _text_hash(node[2]), "p": [page]}, []]
         else:
-            item = [node[0], False, False, 0, fold(node[1], leaves)]
+            item = [node[0], False, False, 0, fold(node[1], leaves, page)]
         if items and items[-1][0] == item[0]:
             items[-1] = merge_item(items[-1], item)
             items[-1][2] = True
@@ -173,8 +179,10 @@ def merge_item(a: list, b: list) -> list:
     """The item that covers both; they have the same label."""
     if isinstance(a[3], list):
         text = a[3] + b[3]
+    elif a[3] and b[3] and a[3]["h"] == b[3]["h"]:
+        text = {"h": a[3]["h"], "p": sorted({*a[3]["p"], *b[3]["p"]})[:3]}
     else:
-        text = a[3] if a[3] == b[3] else 0
+        text = 0
     return [a[0], a[1] or b[1], a[2] or b[2], text, merge(a[4], b[4])]
 
 
@@ -261,7 +269,7 @@ class Wrapper:
     """A host's wrapper, with what each of its text slots is."""
 
     def __init__(self, wrapper: list):
-        self.several, self.items = len(wrapper[0]) >= 3, wrapper[1]
+        self.items = wrapper[1]
 
     def read(self, page: list) -> list:
         """The page's texts ["#", block, raw] that belong to the article, in page order.
@@ -269,10 +277,10 @@ class Wrapper:
         They are those in the highest-ranked elements. Where nothing marks the article, text that
         three different pages or more all have is the host's and not the page's.
         """
-        found: list[tuple[int, bool, list]] = []
+        found: list[tuple[int, int | None, list]] = []
         self._walk(fold(page, []), self.items, 0, False, False, found)
         rank = max((r for r, _, _ in found), default=0)
-        return sorted((n for r, literal, leaves in found if r == rank and not (literal and not rank and self.several) for n in leaves), key=lambda n: n[1])
+        return sorted((n for r, shared, leaves in found if r == rank for n in leaves if rank or shared is None or shared != _text_hash(n[2])), key=lambda n: n[1])
 
     def _walk(self, items: list, known: list, rank: int, header: bool, heading: bool, found: list) -> None:
         """Matches a page's items with the wrapper's, left to right.
@@ -292,7 +300,7 @@ class Wrapper:
             label = item[0]
             if label == "#":
                 if not header or heading:
-                    found.append((rank, bool(slot[3]) and slot is not item, item[3]))
+                    found.append((rank, slot[3]["h"] if slot is not item and slot[3] and len(slot[3]["p"]) >= 3 else None, item[3]))
             elif label[0] == "(":
                 self._walk(item[4], slot[4], rank, header, heading, found)
             else:
@@ -329,7 +337,8 @@ def infer(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for name, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = cell.as_py()
-                one = [[zlib.crc32(page.encode())], fold(parse(page))]
+                seen = zlib.crc32(page.encode())
+                one = [[seen], fold(parse(page), page=seen)]
                 made[name] = both(made[name], one) if name in made else one
         yield pa.RecordBatch.from_pydict({"host": list(made), "wrapper": [json.dumps(v) for v in made.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 

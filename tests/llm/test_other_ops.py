@@ -46,6 +46,14 @@ def test_articles_are_found_whatever_repeats(spark):
     assert text[22] == "only <text> here" and text[None] == "deep"
 
 
+def test_text_of_one_page_is_not_the_hosts(spark):
+    rows = [(1, "http://a.example/1", "<h1>A</h1><p>a<blockquote>only here</blockquote><p>and here"), (2, "http://a.example/2", "<h1>B</h1><p>b"), (3, "http://a.example/3", "<h1>C</h1><p>c")]
+    rows += [(10 + i, f"http://b.example/{i}", f"<b>Site</b><hr><p>{i}</p>") for i in range(3)]
+    text = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert text[1] == "A\na\nonly here\nand here" and text[2] == "B\nb" and text[3] == "C\nc"
+    assert [text[10 + i] for i in range(3)] == ["0", "1", "2"]
+
+
 def test_joined_wrappers_give_the_same(spark):
     rows = [(i, "http://a.example/", PAGE.format(t="T", nav="", body=f"<p>{i}</p>")) for i in range(4)]
     assert {r.page_id: r.text for r in html.extract(pages(spark, rows), broadcast_bytes=0).collect()} == {i: f"T\n{i}" for i in range(4)}
