@@ -29,8 +29,11 @@ from factloom.llm.common import durable
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title|button"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|textarea|iframe|title"
+#: Elements whose content is no article text; one without an end tag is as if its tag were not there.
+SKIPPED = frozenset("select svg object canvas audio video button".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 DROPPED_TAGS = frozenset("nav footer aside form head dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class or id that mark what is not the article.
@@ -80,6 +83,7 @@ def parse(text: str) -> list:
     """
     root: list = ["", []]
     stack, tags, block, pos, gap = [root], [""], 0, 0, False
+    skips: list[int] = []  # the block number at each open element of SKIPPED
 
     def add(raw: str) -> None:
         nonlocal gap
@@ -89,7 +93,14 @@ def parse(text: str) -> list:
         stack[-1][1].append(["#", block, " " + raw if gap else raw])
         gap = False
 
-    def pop_to(k: int) -> None:
+    def pop_to(k: int, ended: bool = False) -> None:
+        nonlocal block
+        for i in range(len(tags) - 1, k - 1, -1):
+            if tags[i] in SKIPPED:
+                before = skips.pop()
+                whole = ended and i == k
+                block = before if whole else block
+                stack[i - 1][1][-1:] = [] if whole else stack[i][1]
         del stack[k:], tags[k:]
 
     for m in _TOKEN.finditer(text):
@@ -99,7 +110,7 @@ def parse(text: str) -> list:
         if m[3] is None:
             continue
         tag = m[3].lower()
-        inline = tag in INLINE
+        inline = tag in INLINE or tag in SKIPPED
         if not inline:
             block += tag != "br"
             gap = gap or tag == "br"
@@ -109,14 +120,23 @@ def parse(text: str) -> list:
             k = len(tags) - 1
             while k > 0 and tags[k] != tag:
                 k -= 1
-            if k > 0 and not (inline and any(t not in INLINE for t in tags[k:])):
-                pop_to(k)
+            if k > 0 and not (tag in INLINE and any(t not in INLINE for t in tags[k:])):
+                pop_to(k, True)
+            continue
+        if m[4].endswith("/") and (tag == "svg" or tag in MATH or "svg" in tags):
+            continue
+        if tag in SKIPPED:
+            node = [tag, []]
+            stack[-1][1].append(node)
+            stack.append(node)
+            tags.append(tag)
+            skips.append(block)
             continue
         label = _label(tag, m[4])
         if inline and label == tag:
             continue
         if not inline:
-            if "p" in tags and tag not in ("svg",):
+            if "p" in tags:
                 k = len(tags) - 1
                 while k > 0 and tags[k] in INLINE:
                     k -= 1
@@ -131,12 +151,13 @@ def parse(text: str) -> list:
                         pop_to(k)
                         break
         if len(stack) < MAX_DEPTH:
-            node: list = [label, []]
+            node = [label, []]
             stack[-1][1].append(node)
             stack.append(node)
             tags.append(tag)
     if pos < len(text):
         add(text[pos:])
+    pop_to(1)
     return root[1]
 
 

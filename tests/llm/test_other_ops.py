@@ -54,6 +54,18 @@ def test_text_of_one_page_is_not_the_hosts(spark):
     assert [text[10 + i] for i in range(3)] == ["0", "1", "2"]
 
 
+def test_elements_without_an_end_tag_cut_nothing_off():
+    def text(page):
+        return html.article(html.Wrapper([[0], html.fold(html.parse(page))]).read(html.parse(page)))
+
+    assert text('<article><p>a <svg class="i" viewBox="0 0 1 1"/> b<p>c <math/> d</article>') == "a b\nc d"
+    for tag in ("button", "object", "canvas", "video", "audio", "select", "svg"):
+        assert text(f"<article><p>a</p><{tag} class=x><p>b</p><p>c</p></article>") == "a\nb\nc", tag
+        assert text(f"<article><p>a <{tag} class=x><source><i>no</i></{tag}> b</p><p>c</p></article>") == "a b\nc", tag
+    assert text("<article><p>so <math display=block><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>") == "so x=2 holds"
+    assert text("<article><p>a</p><svg><title>no</title><path d='M0'/><text>no</text></svg><p>b</article>") == "a\nb"
+
+
 def test_joined_wrappers_give_the_same(spark):
     rows = [(i, "http://a.example/", PAGE.format(t="T", nav="", body=f"<p>{i}</p>")) for i in range(4)]
     assert {r.page_id: r.text for r in html.extract(pages(spark, rows), broadcast_bytes=0).collect()} == {i: f"T\n{i}" for i in range(4)}
