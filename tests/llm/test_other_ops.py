@@ -171,6 +171,21 @@ def test_quick_ranks_equal_the_tokenizer():
     assert slow("a<|endoftext|>b") == quick("a<|endoftext|>b")
 
 
+def test_long_runs_of_one_character_give_the_tokenizers_ids():
+    path, ranks = tokenizer_paths()
+    slow, quick = packing.tokenizer(path, None), packing.tokenizer(path, ranks)
+    kinds = [" ", "\n", "\t", "\xa0", "\u2028", "\x1c", "\x85", "\u200b", "a", "'", "s", "1", "!", "\xe9"]
+    for x in kinds:
+        for y in kinds:
+            for w in kinds[:7]:
+                t = x + y + w * 205 + y + x
+                assert slow(t) == quick(t), (x, y, w)
+    for c in (" ", "\n", "a", "'s", " \n"):
+        for tail in ("", "x"):
+            t = c * (10_000_000 // len(c)) + tail
+            assert slow(t) == quick(t), (c, tail)
+
+
 def test_windows_are_best_fit_and_bounded():
     w = packing.Windows(2, 10, 0)
     assert w.put(6, ["a"]) == [] and w.put(7, ["b"]) == []
