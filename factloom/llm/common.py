@@ -13,13 +13,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) one set here."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own; a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
+    own = {c.lower() for c in df.columns}
+    return [next(c for c in (f"{n}{'_' * k}" for k in range(len(own) + 1)) if c.lower() not in own) for n in names]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no lineage."""
     shared_dir(df.sparkSession)
@@ -46,35 +55,41 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _toward_min(pairs: DataFrame, keep: str) -> DataFrame:
+def _toward_min(pairs: DataFrame, keep: str, heavy: int) -> DataFrame:
     """For each u: link the neighbours named by ``keep`` (and u itself) to the least of u and its neighbours.
 
-    Least values are pre-aggregated, then joined back, so that a node of very high degree is never one group.
+    Least values are pre-aggregated, then joined back. Nodes of more than ``heavy`` neighbours are
+    few (at most pairs / heavy) and are broadcast, so that no node's neighbours are one group.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
-    joined = pairs.join(least, F.col("u") == F.col("mu"))
+    least = durable(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"), "n"))
+    many = F.broadcast(least.where(F.col("n") > heavy).select(F.col("mu").alias("hu"), F.col("m").alias("hm")))
+    known = pairs.join(many, F.col("u") == F.col("hu"), "left")
+    few = least.where(F.col("n") <= heavy).select("mu", "m", F.lit(0).alias("one"))
+    side = F.when(F.col("hm").isNull(), 0).otherwise(F.hash("v").bitwiseOR(F.lit(1)))  # never 0: a heavy node's rows meet none
+    joined = known.withColumn("side", side).join(few, (F.col("u") == F.col("mu")) & (F.col("side") == F.col("one")), "left").select("u", "v", F.coalesce("hm", "m").alias("m"))
     if keep == "larger":
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.where("mu != m").select(F.col("mu").alias("u"), F.col("m").alias("v"))
     return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, heavy: int = 100_000) -> DataFrame:
     """Connected components of undirected ``edges(u, v)``: rows (node, component), component = least node.
 
     Alternates large-star and small-star steps until nothing changes; every round is a few joins
     over the edges and is written to the shared folder. Nodes without an edge are not returned.
-    Null ends and loops are ignored. Raises if it has not settled after ``max_rounds`` rounds.
+    Null ends and loops are ignored. Nodes of more than ``heavy`` neighbours (or a 5,000th of all edges, so that these
+    nodes stay few) are dealt out by neighbour. Raises if it has not settled after ``max_rounds`` rounds.
     """
     star = durable(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, heavy = None, max(heavy, star.count() // 5_000)
     for _ in range(max_rounds):
         mark = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
-        large = _toward_min(_both_ways(star), "larger").where("u != v").distinct()
-        star = durable(_toward_min(large, "smaller").where("u > v").distinct())
+        large = _toward_min(_both_ways(star), "larger", heavy).where("u != v").distinct()
+        star = durable(_toward_min(large, "smaller", heavy).where("u > v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

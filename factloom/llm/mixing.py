@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import WORD, durable
+from factloom.llm.common import WORD, durable, fresh, hinted
 
 #: Weights of the sources in code point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
+#: ASCII white space.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def targets(totals: DataFrame, share: float, limit: float, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -71,75 +73,109 @@ def permuted(x: Column, n: Column, *seed: Column) -> Column:
     return F.when(once < n, once).otherwise(again)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words of each document; null text has none."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-
-
 def slots(sources: DataFrame, block: int, shard_blocks: int, limit: float, seed: int) -> DataFrame:
     """(sid, shard, pass, idx): the blocks that the mix takes.
 
-    A shard gets the whole part of its expected number of blocks of each source, and its remaining
-    places are drawn from the multinomial distribution of the remainders; so totals differ from what
-    is expected by a few blocks, not by the square root of their number. Blocks after ``limit``
+    The counts of each source in a shard of ``shard_blocks`` blocks are one draw from the multinomial
+    distribution of the targets' shares. A source's blocks are numbered through the shards; what the
+    draws have beyond its target is left out, and what they are short of is in closing shards after
+    the drawn ones, so that every source gives exactly its target in blocks. Blocks after ``limit``
     passes over a source are left out.
     """
-    want = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("want", F.round(F.col("target") * F.col("blocks") / F.col("source_size")))
-    one = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    want = want.withColumn("shards", F.greatest(F.lit(1), F.round(F.sum("want").over(one) / shard_blocks)).cast("long"))
-    want = want.withColumn("whole", F.floor(F.col("want") / F.col("shards"))).withColumn("rest", F.col("want") / F.col("shards") - F.col("whole"))
-    rest = F.sum("rest").over(one)
-    upto = F.sum("rest").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    want = want.withColumn("draws", F.round(rest).cast("long")).withColumn("hi", F.when(rest > 0, upto / rest).otherwise(0.0)).withColumn("lo", F.when(rest > 0, (upto - F.col("rest")) / rest).otherwise(0.0))
-    shard = want.select("sid", "blocks", "whole", "draws", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    point = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), k), F.lit(1 << 53)) / float(1 << 53)
-    drawn = F.size(F.filter(F.when(F.col("draws") > 0, F.sequence(F.lit(1).cast("long"), F.col("draws"))).otherwise(F.array().cast("array<bigint>")), lambda k: (point(k) >= F.col("lo")) & (point(k) < F.col("hi"))))
-    counts = shard.select("sid", "blocks", "shard", F.floor(F.col("shard") / 4096).alias("range"), (F.col("whole") + drawn).alias("n"))
-    first = running(counts, "sid", "range", ["shard"], "n", "first").where("n > 0")
-    every = first.select("sid", "blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k")).where(F.col("k") < F.col("blocks") * limit)
+    spark = sources.sparkSession
+    want = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    want = want.withColumn("want", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), (F.col("blocks") * limit).cast("long")))
+    upto = F.sum("want").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    want = durable(want.select("sid", "blocks", "want", upto.alias("hi"), (upto - F.col("want")).alias("lo")).where("want > 0"))
+    total = want.agg(F.max("hi")).first()[0] or 0
+    shards = -(-total // shard_blocks)
+    # a draw is a number below total; sources lie side by side there, and cells of equal width find them
+    cells = 4096
+    width = max(1, -(-total // cells))
+    lookup = want.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    shard = spark.range(0, shards, 1, max(1, -(-shards // 256))).withColumnRenamed("id", "shard")
+    last = F.least(F.lit(shard_blocks).cast("long"), F.lit(total) - F.col("shard") * shard_blocks)
+    draw = shard.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("k")).select("shard", F.pmod(F.xxhash64(F.lit(seed), "shard", "k"), F.lit(max(1, total))).alias("at"))
+    found = draw.withColumn("cell", F.floor(F.col("at") / width)).join(hinted(lookup), "cell").where("at >= lo and at < hi")
+    counts = durable(found.groupBy("sid", "shard").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("shard") / 4096)))
+    first = running(counts, "sid", "range", ["shard"], "n", "first").select("sid", "shard", "first", "n")
+    drawn = counts.groupBy(F.col("sid").alias("_sid")).agg(F.sum("n").alias("_drawn"))
+    short = want.join(drawn, F.col("sid") == F.col("_sid"), "left").select("sid", F.coalesce("_drawn", F.lit(0)).alias("first"), (F.col("want") - F.coalesce("_drawn", F.lit(0))).alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    closing = short.select("sid", "first", "n", before.alias("_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / shard_blocks))).alias("_part"))
+    start = F.col("_part") * shard_blocks
+    closing = closing.select("sid", (F.lit(shards) + F.floor((F.col("_at") + start) / shard_blocks)).alias("shard"), (F.col("first") + start).alias("first"), F.least(F.lit(shard_blocks), F.col("n") - start).alias("n"))
+    known = first.unionByName(closing).join(hinted(want.select(F.col("sid").alias("_sid"), "blocks", "want")), F.col("sid") == F.col("_sid"))
+    every = known.select("sid", "blocks", "want", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k")).where(F.col("k") < F.col("want"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     return every.select("sid", "shard", turn.alias("pass"), permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), turn).alias("idx"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, key): key is a hash of the whole row, so rows of one key are copies of one another."""
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), _key(docs).alias("key"))
+
+
+def _key(docs: DataFrame) -> Column:
+    """A hash of the row, nulls told apart from other values."""
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*plain, *(c.isNull() for c in plain))
+
+
 def mixture(docs: DataFrame, share: float = 1.5, limit: float = 2.0, block: int = 128, shard_blocks: int = 1024, seed: int = 42, bucket_rows: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: doc_id, source, size, source_size, target, sid, at (its first word's place in the
-    source's stream). pieces: what the mix is made of, (shard, pass, sid, idx, at, first, words): words
-    [first, first + words) of the document at ``at``. Both are written to the shared folder. Null
-    sources are one source, the last; null and repeated doc_ids and repeated rows each have their own
-    place; an empty table gives no rows; other columns are ignored.
+    documents: doc_id, source, size, source_size, target, sid, key, copies, at; a row for all copies of
+    one row (``copies`` of them), whose first word has place ``at`` in the source's stream, each
+    copy's words following the one before. pieces: what the mix is made of, (shard, pass, sid, idx,
+    at, copy, first, words): words [first, first + words) of that copy of the document at ``at``.
+    documents is written to the shared folder. Null sources are one source, the last; null and
+    repeated doc_ids and repeated rows each have their own place; an empty table gives no rows;
+    other columns only help to tell rows apart.
     """
-    rows = durable(sized(docs))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    rows = durable(_keyed(docs).groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies")))
+    totals = rows.groupBy("source").agg(F.sum("all").alias("source_size"), F.count("*").alias("_n"))
     sources = durable(targets(totals, share, limit))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / bucket_rows))
-    known = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
-    placed = running(known.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets)), "sid", "_bucket", ["doc_id", "size"], "size", "at")
-    placed = durable(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "at"))
-    spread = placed.where("size > 0").select("sid", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("idx"))
-    first, end = F.greatest(F.col("idx") * block - F.col("at"), F.lit(0)), F.least((F.col("idx") + 1) * block - F.col("at"), F.col("size"))
-    pieces = slots(sources, block, shard_blocks, limit, seed).join(spread.select("sid", "idx", "at", first.alias("first"), (end - first).alias("words")), ["sid", "idx"])
-    return placed, pieces.select("shard", "pass", "sid", "idx", "at", "first", "words")
+    known = rows.join(hinted(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
+    placed = running(known.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "key"), buckets)), "sid", "_bucket", ["doc_id", "key", "size"], "all", "at")
+    placed = durable(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "key", "copies", "at"))
+    one = placed.where("size > 0").select("sid", "at", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).withColumn("from", F.col("at") + F.col("copy") * F.col("size"))
+    spread = one.select("*", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))).alias("idx"))
+    first, end = F.greatest(F.col("idx") * block - F.col("from"), F.lit(0)), F.least((F.col("idx") + 1) * block - F.col("from"), F.col("size"))
+    taken = slots(sources, block, shard_blocks, limit, seed).hint("merge").join(spread.select("sid", "idx", "at", "copy", first.alias("first"), (end - first).alias("words")), ["sid", "idx"])
+    return placed, taken.select("shard", "pass", "sid", "idx", "at", "copy", "first", "words")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): the words the mix takes of each document, repeats counted."""
+    """(doc_id, source, size, source_size, target, taken): the words the mix takes of each row, repeats counted."""
     placed, pieces = mixture(docs, **options)
-    none = placed.select("sid", "at", "size", "doc_id", "source", "source_size", "target", F.lit(0).cast("long").alias("words"))
-    took = pieces.groupBy("sid", "at").agg(F.sum("words").alias("words"))
-    joined = none.drop("words").join(took.select(F.col("sid").alias("_s"), F.col("at").alias("_a"), "words"), (F.col("sid") == F.col("_s")) & (F.col("at") == F.col("_a")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """``docs`` in the mix: each as often as its share of words taken, rounded up or down by its hash.
-
-    A document of which the mix takes 1.3 times its words comes once or twice, twice with a chance of
-    0.3; one whose words are not taken does not come. Documents without words come once.
+    took = pieces.groupBy("sid", "at", "copy").agg(F.sum("words").alias("words")).select(F.col("sid").alias("_s"), F.col("at").alias("_a"), F.col("copy").alias("_c"), "words")
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    # rows without words would share a place with others, and none of theirs is taken
+    some = each.where("size > 0").join(took.hint("merge"), (F.col("sid") == F.col("_s")) & (F.col("at") == F.col("_a")) & (F.col("copy") == F.col("_c")), "left")
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    return some.select(*columns, F.coalesce("words", F.lit(0)).cast("long").alias("taken")).union(each.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mixture as rows like those of ``docs``: a row for each piece of a block, in order of shards.
+
+    text is the piece's words as they stand in the document, with the white space between them;
+    n_chars, if there, follows it; the other columns are the document's. So a document comes as often
+    as the mix takes its blocks, cut at the blocks' ends. Rows without words give none; null and
+    repeated doc_ids and equal rows give their own pieces; an empty table gives no rows; columns of
+    any other name are carried along.
     """
-    times = taken(docs, seed=seed, **options).where("doc_id is not null")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    times = times.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + chance))).cast("int").alias("_times"))
-    rows = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
-    return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    placed, pieces = mixture(docs, **options)
+    key, of, cut = fresh(docs, "_key", "_of", "_cut")
+    cuts = pieces.groupBy("sid", "at").agg(F.collect_list(F.struct("shard", "pass", "idx", "copy", "first", "words")).alias(cut)).select(F.col("sid").alias("_s"), F.col("at").alias("_a"), cut)
+    cuts = placed.where("size > 0").join(cuts, (F.col("sid") == F.col("_s")) & (F.col("at") == F.col("_a"))).select(F.col("key").alias(of), cut)
+    rows = docs.where("text is not null").withColumn(key, _key(docs)).dropDuplicates([key]).join(cuts.hint("merge"), F.col(key) == F.col(of))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
+    # the words are split once a document, then each piece is a slice of them
+    texts = F.transform(F.array(words), lambda w: F.transform(cut, lambda p: F.struct(p["shard"].alias("shard"), p["idx"].alias("idx"), p["first"].alias("first"), F.rtrim(F.array_join(F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int")), ""), F.lit(BLANKS)).alias("text"))))[0]
+    named = {"text": F.col(f"{cut}.text")} | ({"n_chars": F.length(F.col(f"{cut}.text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    out = rows.withColumn(cut, F.explode(texts))
+    order = [F.col(f"{cut}.shard"), F.col(f"{cut}.idx"), F.col(f"{cut}.first")]
+    return out.repartition(order[0]).sortWithinPartitions(*order).select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
