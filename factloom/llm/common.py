@@ -89,7 +89,8 @@ def components(edges: DataFrame, max_rounds: int = 60, heavy: int = 100_000) ->
             break
         seen = mark
         large = _toward_min(_both_ways(star), "larger", heavy).where("u != v").distinct()
-        star = durable(_toward_min(large, "smaller", heavy).where("u > v").distinct())
+        # as Parquet: a checkpoint hands its plan's constraints on, which would grow from round to round
+        star = stored(_toward_min(large, "smaller", heavy).where("u > v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
