@@ -1,27 +1,29 @@
 """HTML extraction by wrapper inference.
 
-Token streams of one host's pages are aligned into one union-free regular expression: what all pages
+The pages of a host are aligned into one union-free regular expression, its wrapper: what all pages
 have stays as it is, what some lack becomes optional, what repeats becomes a repeated group, and text
-that differs becomes a slot. A page is then read through its host's wrapper; which of the wrapper's
-slots hold the article is decided once, on the wrapper.
-
-A wrapper is [pages, items]: hashes of up to three different pages it was made from, and a nested
-list of items [label, optional, repeated, text, items]. Labels name a tag with
-its class and id; ``#`` is text, whose ``text`` is, while all pages agree, its hash ``h`` and the hashes ``p`` of up to
-three different pages that had it, and 0 for a slot;
-``(a|b)`` is a group of items in a row.
+becomes a slot. All pages are then read through their host's wrapper, and each slot gets what its
+texts are like: in how many pages it is, how long they are, how much of them are links, and which of
+them most pages share. These figures decide which part of a page is its article: from the root down,
+the element that holds most text that is neither link nor shared. Names of elements and classes only
+weigh in.
+
+A wrapper is a nested list of items [label, optional, repeated, texts, items, support]. Labels name a
+tag with its class and id; ``#`` is text; ``(a|b)`` is a group of items in a row.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-import zlib
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,18 @@ DROPPED_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments reply replies respond disqus pagination pager toolbar skip hidden masthead topbar form search".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
+#: Elements that a start tag ends, unless one of the second kind is open inside them.
 CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-MAX_DEPTH = 150
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+CLOSES = {k: (a.split(), b.split()) for k, (a, b) in CLOSES.items()}
+#: Elements that may hold the article with other things beside them.
+CONTAINERS = frozenset("html body div section article main center table tbody tr td span font".split())
+
+_RAW_NAMES = frozenset(RAW.split("|"))
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW_NAMES}
+#: A whole tag without a mark of its own kind in it; anything else is read step by step.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"<>]*+"(?=[\s/>]))*+)>""")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -74,198 +80,335 @@ def _label(tag: str, attributes: str) -> str:
     return "".join(parts + sorted(set(marks)))
 
 
+def _tag_end(text: str, at: int, lost: set[str]) -> int:
+    """Where the tag that is open at ``at`` has its ``>``; -1 if nowhere.
+
+    A quote counts only if it is closed and a blank, ``/`` or ``>`` follows; else the tag ends at the
+    next ``>``. ``lost`` holds the quotes that do not occur any more.
+    """
+    while True:
+        m = _MARK.search(text, at)
+        if m is None or m.group() == ">":
+            return m.start() if m else -1
+        q, at = m.group(), m.start() + 1
+        close = -1 if q in lost else text.find(q, at)
+        if close < 0:
+            lost.add(q)
+        if close < 0 or not (text[close + 1 : close + 2] in "/>" or text[close + 1].isspace()):
+            return text.find(">", at)
+        at = close + 1
+
+
 def parse(text: str) -> list:
-    """A page as nested elements [label, children]; text is ["#", block number, raw text].
+    """A page as nested elements [label, children]; text is ["#", block number, raw text, whether it is a link].
 
-    End tags that may be left out are implied, stray ones are ignored, and elements nested deeper
-    than 150 become part of their ancestor. Inline elements without a name of their own are
-    transparent. Texts of one block number belong to one block.
+    End tags that may be left out are implied, stray ones are ignored. Inline elements without a name of their own are
+    transparent. Texts of one block number belong to one block. Time is linear in the page: open
+    elements are found by their tag, and nothing is searched for again once it is known to be absent.
     """
     root: list = ["", []]
     stack, tags, block, pos, gap = [root], [""], 0, 0, False
+    where: dict[str, list[int]] = {}  # places of open elements by tag
+    blocks: list[int] = []  # places of open elements that are not inline
     skips: list[int] = []  # the block number at each open element of SKIPPED
+    link = 0  # how deep the open link lies, 0 without one
+    lost: set[str] = set()
 
     def add(raw: str) -> None:
         nonlocal gap
         if raw.isspace() or not raw:
             gap = gap or bool(raw)
             return
-        stack[-1][1].append(["#", block, " " + raw if gap else raw])
+        stack[-1][1].append(["#", block, " " + raw if gap else raw, link > 0])
         gap = False
 
+    def push(tag: str, label: str, inline: bool) -> None:
+        where.setdefault(tag, []).append(len(tags))
+        if not inline:
+            blocks.append(len(tags))
+        node = [label, []]
+        stack[-1][1].append(node)
+        stack.append(node)
+        tags.append(tag)
+
     def pop_to(k: int, ended: bool = False) -> None:
-        nonlocal block
+        nonlocal block, link
         for i in range(len(tags) - 1, k - 1, -1):
+            where[tags[i]].pop()
+            if blocks and blocks[-1] == i:
+                blocks.pop()
             if tags[i] in SKIPPED:
                 before = skips.pop()
-                whole = ended and i == k
-                block = before if whole else block
-                stack[i - 1][1][-1:] = [] if whole else stack[i][1]
+                if ended and i == k:
+                    block = before
+                    stack[i - 1][1].pop()
+                else:
+                    stack[i][0] = ""  # as if its tag were not there
         del stack[k:], tags[k:]
-
-    for m in _TOKEN.finditer(text):
-        if m.start() > pos:
-            add(text[pos : m.start()])
-        pos = m.end()
-        if m[3] is None:
+        link = link if link <= len(tags) else 0
+
+    def last(names: list[str]) -> int:
+        return max((where[t][-1] for t in names if where.get(t)), default=0)
+
+    n = len(text)
+    while pos < n:
+        at = text.find("<", pos)
+        if at < 0:
+            break
+        m = _PLAIN_TAG.match(text, at)
+        if m:
+            end, ending, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
+        elif text.startswith(("<!", "<?"), at):
+            add(text[pos:at])
+            if text.startswith("<!--", at):
+                end = at + 5 if text.startswith("<!-->", at) else text.find("-->", at + 4) + 3
+                pos = end if end > 2 else n
+                continue
+            end = text.find(">", at)
+            if end < 0:
+                pos = at
+                break
+            pos = end + 1
+            continue
+        else:
+            m = _TAG_NAME.match(text, at)
+            if m is None:
+                add(text[pos : at + 1])
+                pos = at + 1
+                continue
+            end = _tag_end(text, m.end(), lost)
+            if end < 0:
+                break
+            ending, tag, attributes = m[1], m[2].lower(), text[m.end() : end]
+            end += 1
+        if at > pos:
+            add(text[pos:at])
+        pos = end
+        if tag in _RAW_NAMES:
+            if not ending:
+                close = _RAW_END[tag].search(text, pos)
+                pos = close.end() if close else n
+                block += 1
             continue
-        tag = m[3].lower()
         inline = tag in INLINE or tag in SKIPPED
         if not inline:
             block += tag != "br"
             gap = gap or tag == "br"
         if tag in VOID:
             continue
-        if m[2]:
-            k = len(tags) - 1
-            while k > 0 and tags[k] != tag:
-                k -= 1
-            if k > 0 and not (tag in INLINE and any(t not in INLINE for t in tags[k:])):
+        if tag == "a":
+            link = 0 if ending else len(tags)
+        if ending:
+            k = where[tag][-1] if where.get(tag) else 0
+            if k and not (tag in INLINE and blocks and blocks[-1] > k):
                 pop_to(k, True)
             continue
-        if m[4].endswith("/") and (tag == "svg" or tag in MATH or "svg" in tags):
+        if attributes.endswith("/") and (tag == "svg" or tag in MATH or where.get("svg")):
             continue
         if tag in SKIPPED:
-            node = [tag, []]
-            stack[-1][1].append(node)
-            stack.append(node)
-            tags.append(tag)
+            push(tag, tag, True)
             skips.append(block)
             continue
-        label = _label(tag, m[4])
+        label = _label(tag, attributes)
         if inline and label == tag:
             continue
         if not inline:
-            if "p" in tags:
-                k = len(tags) - 1
-                while k > 0 and tags[k] in INLINE:
-                    k -= 1
-                if tags[k] == "p":
-                    pop_to(k)
+            if blocks and tags[blocks[-1]] == "p":
+                pop_to(blocks[-1])
             if tag in CLOSES:
                 closed, scope = CLOSES[tag]
-                for k in range(len(tags) - 1, 0, -1):
-                    if tags[k] in scope:
-                        break
-                    if tags[k] in closed:
-                        pop_to(k)
-                        break
-        if len(stack) < MAX_DEPTH:
-            node = [label, []]
-            stack[-1][1].append(node)
-            stack.append(node)
-            tags.append(tag)
-    if pos < len(text):
+                k = last(closed)
+                if k and k > last(scope):
+                    pop_to(k)
+        push(tag, label, inline)
+        if tag == "a":
+            link = len(tags)
+    if pos < n:
         add(text[pos:])
     pop_to(1)
     return root[1]
 
 
-def _text_hash(raw: str) -> int:
-    return zlib.crc32(raw.strip().encode())
+def _flat(children: list) -> list:
+    """``children``, those of elements whose tag counts as absent in their place."""
+    if all(c[0] for c in children):
+        return children
+    out, todo = [], list(reversed(children))
+    while todo:
+        node = todo.pop()
+        if node[0]:
+            out.append(node)
+        else:
+            todo += reversed(node[1])
+    return out
 
 
-def fold(children: list, leaves: list | None = None, page: int = 0) -> list:
-    """Items of a page's elements, runs and rows of two to four labels that repeat made one item each.
+def _deep() -> None:
+    """Elements may be nested by the thousand; frames of Python functions lie on the heap."""
+    if sys.getrecursionlimit() < 1_000_000:
+        sys.setrecursionlimit(1_000_000)
 
-    With ``leaves``, an item's text is the list of the page's texts below it instead of a hash.
-    ``page`` is the page's hash.
-    """
+
+def fold(children: list) -> list:
+    """Items of a page's elements, runs and rows of two to four labels that repeat made one item each."""
     items: list = []
-    for node in children:
-        if node[0] == "#":
-            item = ["#", False, False, [node] if leaves is not None else {"h": _text_hash(node[2]), "p": [page]}, []]
-        else:
-            item = [node[0], False, False, 0, fold(node[1], leaves, page)]
-        if items and items[-1][0] == item[0]:
-            items[-1] = merge_item(items[-1], item)
-            items[-1][2] = True
-        else:
-            items.append(item)
+    run: list = []
+    for node in _flat(children):
+        item = ["#", False, False, [node], [], 1] if node[0] == "#" else [node[0], False, False, [], fold(node[1]), 1]
+        if run and run[0][0] != item[0]:
+            items.append(_all(run))
+            run = []
+        run.append(item)
+    if run:
+        items.append(_all(run))
     for period in (2, 3, 4):
-        i = 0
-        while i + 2 * period <= len(items):
-            row = [x[0] for x in items[i : i + period]]
-            if row == [x[0] for x in items[i + period : i + 2 * period]] and "(" not in "".join(x[0][:1] for x in items[i : i + period]):
-                group, end = items[i : i + period], i + period
-                while [x[0] for x in items[end : end + period]] == row:
-                    group = [merge_item(a, b) for a, b in zip(group, items[end : end + period], strict=True)]
+        if len(items) < 2 * period:
+            break
+        names, out, i = [x[0] for x in items], [], 0
+        while i < len(items):
+            row = names[i : i + period]
+            end = i + period
+            if row == names[end : end + period] and not any(x[0] == "(" for x in row):
+                while names[end : end + period] == row:
                     end += period
-                items[i:end] = [[f"({'|'.join(row)})", False, True, 0, group]]
-            i += 1
+                group = [_all(items[i + k : end : period]) for k in range(period)]
+                for x in group:
+                    x[2] = x[2] and x[0] == "#"
+                out.append([f"({'|'.join(row)})", False, True, [], group, 1])
+                i = end
+            else:
+                out.append(items[i])
+                i += 1
+        items = out
     return items
 
 
+def _all(items: list) -> list:
+    """One item for a run of items of one label, merged two by two; its support is one page's."""
+    repeated, items = len(items) > 1, list(items)
+    while len(items) > 1:
+        items = [merge_item(*items[k : k + 2]) if k + 1 < len(items) else items[k] for k in range(0, len(items), 2)]
+    items[0][2] = repeated or items[0][2]
+    items[0][5] = 1
+    return items[0]
+
+
 def merge_item(a: list, b: list) -> list:
     """The item that covers both; they have the same label."""
-    if isinstance(a[3], list):
-        text = a[3] + b[3]
-    elif a[3] and b[3] and a[3]["h"] == b[3]["h"]:
-        text = {"h": a[3]["h"], "p": sorted({*a[3]["p"], *b[3]["p"]})[:3]}
-    else:
-        text = 0
-    return [a[0], a[1] or b[1], a[2] or b[2], text, merge(a[4], b[4])]
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], merge(a[4], b[4]), a[5] + b[5]]
 
 
 def _grouped(items: list, groups: dict[str, list]) -> list:
     """``items`` with rows that another side knows as a group made that group."""
+    names, out, i = [x[0] for x in items], [], 0
+    known: dict[str, list] = {}
     for label, row in groups.items():
-        names, i = [x[0] for x in row], 0
-        while i + len(names) <= len(items):
-            if [x[0] for x in items[i : i + len(names)]] == names:
-                items = [*items[:i], [label, False, False, 0, items[i : i + len(names)]], *items[i + len(names) :]]
+        known.setdefault(row[0][0], []).append((label, [x[0] for x in row]))
+    while i < len(items):
+        for label, row in known.get(names[i], ()):
+            if names[i : i + len(row)] == row:
+                out.append([label, False, False, [], items[i : i + len(row)], items[i][5]])
+                i += len(row)
+                break
+        else:
+            out.append(items[i])
             i += 1
-    return items
+    return out
 
 
 def merge(a: list, b: list) -> list:
     """The least row of items that covers both: aligned items merge, the others become optional."""
-    if [x[0] for x in a] != [x[0] for x in b]:
-        groups = {x[0]: x[4] for x in (*a, *b) if x[0][0] == "("}
-        if groups:
-            a, b = _grouped(a, groups), _grouped(b, groups)
+    x, y = [v[0] for v in a], [v[0] for v in b]
+    if x == y:
+        return [merge_item(v, w) for v, w in zip(a, b, strict=True)]
+    groups = {v[0]: v[4] for v in (*a, *b) if v[0][0] == "("}
+    if groups:
+        a, b = _grouped(a, groups), _grouped(b, groups)
+        x, y = [v[0] for v in a], [v[0] for v in b]
     out, i, j = [], 0, 0
-    for x, y in [*_aligned([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
-        out += [[v[0], True, *v[2:]] for v in (*a[i:x], *b[j:y])]
-        if x < len(a):
-            out.append(merge_item(a[x], b[y]))
-        i, j = x + 1, y + 1
+    for p, q in [*_aligned(x, y), (len(a), len(b))]:
+        out += [[v[0], True, *v[2:]] for v in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(merge_item(a[p], b[q]))
+        i, j = p + 1, q + 1
     return out
 
 
-def both(a: list, b: list) -> list:
-    """The wrapper that covers the pages of both."""
-    return [sorted({*a[0], *b[0]})[:3], merge(a[1], b[1])]
-
-
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if len(x) * len(y) > 1_000_000:
-        import difflib
-
-        middle = [(m.a + k, m.b + k) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(m.size)]
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        middle, i, j = [], 0, 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                middle.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return [(k, k) for k in range(lo)] + [(i + lo, j + lo) for i, j in middle] + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+    """Pairs of places with the same label, rising on both sides, as many as there are.
+
+    The k-th of a label on one side can only meet the k-th on the other, so the most pairs are a
+    longest rising subsequence, found in n log n steps.
+    """
+    places: dict[tuple[str, int], int] = {}
+    seen: dict[str, int] = {}
+    for j, label in enumerate(b):
+        places[label, seen.setdefault(label, 0)] = j
+        seen[label] += 1
+    seen = {}
+    pairs = []
+    for i, label in enumerate(a):
+        j = places.get((label, seen.setdefault(label, 0)))
+        seen[label] += 1
+        if j is not None:
+            pairs.append((i, j))
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before[k] = ends[at - 1] if at else -1
+        tails[at : at + 1] = [j]
+        ends[at : at + 1] = [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def written(items: list) -> str:
+    """A wrapper as text, an item a line: depth, marks, support and label."""
+    lines, todo = [], [(x, 0) for x in reversed(items)]
+    while todo:
+        x, depth = todo.pop()
+        lines.append(f"{depth} {'?' * x[1]}{'+' * x[2]}. {x[5]} {x[0]}")
+        todo += [(y, depth + 1) for y in reversed(x[4])]
+    return "\n".join(lines)
+
+
+def read_wrapper(text: str) -> list:
+    """Back from ``written``."""
+    root: list = [None, None, None, None, []]
+    open_items = [root]
+    for line in text.split("\n") if text else []:
+        depth, marks, support, label = line.split(" ", 3)
+        item = [label, "?" in marks, "+" in marks, [], [], int(support)]
+        del open_items[int(depth) + 1 :]
+        open_items[-1][4].append(item)
+        open_items.append(item)
+    return root[4]
+
+
+def pruned(items: list, least: float) -> list:
+    """``items`` without those that fewer than ``least`` of the merged structures have."""
+    for x in items:
+        x[4] = pruned(x[4], least)
+    return [x for x in items if x[5] >= least]
+
+
+def merge_all(texts: list[str], rare: float = 0.001) -> str:
+    """One wrapper for the written ones, merged in the order of their hashes, two by two.
+
+    Items that fewer than ``rare`` of the structures have are left out of the wrapper (never of a
+    text), so that odd pages do not let it grow without end.
+    """
+    _deep()
+    parts = [read_wrapper(t) for t in sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t), t))]
+    most = sum(max((x[5] for x in p), default=1) for p in parts)
+    while len(parts) > 1:
+        parts = [merge(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return written(pruned(parts[0], rare * most))
 
 
 _WORDS = re.compile(r"[a-z]+")
@@ -287,55 +430,146 @@ def kind(label: str) -> tuple[str, bool, bool]:
 
 
 class Wrapper:
-    """A host's wrapper, with what each of its text slots is."""
-
-    def __init__(self, wrapper: list):
-        self.items = wrapper[1]
+    """A host's wrapper with the figures of its text slots, numbered in its order of items."""
+
+    def __init__(self, text: str, figures: list[tuple] = (), names: bool = True):
+        _deep()
+        self.names = names
+        self.figures = {f[0]: f[1:] for f in figures}  # slot -> pages, characters, of them links, of them shared, shared texts' hashes
+        self.shared = {k: frozenset(f[4]) for k, f in self.figures.items()}
+        self.items = read_wrapper(text)
+        self.index: dict[int, tuple[dict, dict]] = {}
+        self.count = 0
+        self._number(self.items)
+
+    def _number(self, items: list) -> None:
+        places: dict[str, list[int]] = {}
+        for k, x in enumerate(items):
+            places.setdefault(x[0], []).append(k)
+            x[3] = self.count
+            self.count += 1
+            self._number(x[4])
+        self.index[id(items)] = (places, {x[0]: x[4] for x in items if x[0][0] == "("})
+
+    def placed(self, items: list, known: list) -> list:
+        """The page's items as [label, slot, texts, items, repeated], each matched with the wrapper's next item of its label; slot -1 where it has none."""
+        places, groups = self.index.get(id(known), ({}, {}))
+        if groups and [x[0] for x in items] != [x[0] for x in known]:
+            items = _grouped(items, groups)
+        out, at = [], 0
+        for item in items:
+            spots = places.get(item[0], ())
+            k = bisect_left(spots, at)
+            slot, below = -1, []
+            if k < len(spots):
+                at = spots[k] + 1
+                slot, below = known[spots[k]][3], known[spots[k]][4]
+            if item[0][0] == "(":
+                out += self.placed(item[4], below)
+            else:
+                out.append([item[0], slot, item[3], self.placed(item[4], below), item[2]])
+        return out
+
+    def texts(self, page: list) -> Iterator[tuple[int, list]]:
+        """(slot, texts) of all text slots of a parsed page."""
+        todo = self.placed(fold(page), self.items)
+        while todo:
+            label, slot, leaves, kids, _ = todo.pop()
+            if label == "#":
+                yield slot, leaves
+            todo += kids
 
-    def read(self, page: list) -> list:
-        """The page's texts ["#", block, raw] that belong to the article, in page order.
+    def _weigh(self, items: list) -> tuple[float, float]:
+        """Appends to each item how many of its characters are its own text, and how many are links; returns their sums.
 
-        They are those in the highest-ranked elements. Where nothing marks the article, text that
-        three different pages or more all have is the host's and not the page's.
+        They are the means of the host's pages that have the slot, so that a page of little text is
+        judged by what its slots hold elsewhere.
         """
-        found: list[tuple[int, int | None, list]] = []
-        self._walk(fold(page, []), self.items, 0, False, False, found)
-        rank = max((r for r, _, _ in found), default=0)
-        return sorted((n for r, shared, leaves in found if r == rank for n in leaves if rank or shared is None or shared != _text_hash(n[2])), key=lambda n: n[1])
+        own_sum = link_sum = 0.0
+        for x in items:
+            if x[0] == "#":
+                n, chars, links, shared, _ = self.figures.get(x[1]) or (1, sum(len(t[2].strip()) for t in x[2]), sum(len(t[2].strip()) for t in x[2] if t[3]), 0, ())
+                own, link = max(0, chars - links - shared) / n, links / n
+            else:
+                own, link = self._weigh(x[3])
+            x += [own, link]
+            own_sum, link_sum = own_sum + own, link_sum + link
+        return own_sum, link_sum
+
+    def _kind(self, label: str) -> tuple[str, bool, int]:
+        """(tag, whether its name says it is no article, rank: 3 for an article, 2 for a main element, 1 for one named like it)."""
+        tag, dropped, main = kind(label)
+        if not self.names:
+            return tag, False, 0
+        return tag, dropped, (3 if tag == "article" else 2 if tag == "main" or "!main" in label else 1) if main else 0
 
-    def _walk(self, items: list, known: list, rank: int, header: bool, heading: bool, found: list) -> None:
-        """Matches a page's items with the wrapper's, left to right.
+    def read(self, page: list) -> list:
+        """The page's texts that belong to the article, in page order.
 
-        rank: 3 in an article, 2 in a main element, 1 in what is named like one, 0 elsewhere.
+        From the root down, the element with most own text is entered while it has over 0.6 of what
+        lies beside it; names weigh 2 to 8 times more or 16 times less. Headings before an element that only
+        its text speaks for are kept. Inside, what most of the host's pages share goes (but from an
+        article or main element), and so do lists of links and what names say is no article.
         """
-        groups = {x[0]: x[4] for x in known if x[0][0] == "("}
-        if groups and [x[0] for x in items] != [x[0] for x in known]:
-            items = _grouped(items, groups)
-        at = 0
-        for item in items:
-            k = at
-            while k < len(known) and known[k][0] != item[0]:
-                k += 1
-            slot = known[k] if k < len(known) else item
-            at = k + 1 if k < len(known) else at
-            label = item[0]
+        items = self.placed(fold(page), self.items)
+        self._weigh(items)
+        out: list = []
+        here = ["", -1, [], items, False, 0.0, 0.0]
+        rank = 0
+        while True:
+            best, most, total = None, 0.0, 0.0
+            for x in here[3]:
+                tag, dropped, r = self._kind(x[0]) if x[0] != "#" else ("#", False, 0)
+                weight = x[5] * (1 / 16 if dropped or self.names and tag == "header" else 2**r)
+                total += weight
+                if weight > most and tag in CONTAINERS and not dropped and (r >= rank if rank else True) and (r or not rank):
+                    best, most, best_rank = x, weight, r
+            if best is None or most < 0.6 * total:
+                break
+            if not best_rank:
+                for x in here[3]:
+                    if x is best:
+                        break
+                    if kind(x[0])[0] in HEADINGS:
+                        self._gather([x], False, False, out)
+            here, rank = best, max(rank, best_rank)
+        self._gather(here[3], False, False, out)
+        # a block goes only if all of it is shared, and none does from what is marked as the article
+        own = {t[1] for t, shared in out if not shared or rank >= 2}
+        return sorted((t for t, _ in out if t[1] in own), key=lambda t: t[1])
+
+    def _gather(self, items: list, header: bool, heading: bool, out: list) -> None:
+        for label, slot, leaves, kids, repeated, own, link in items:
             if label == "#":
                 if not header or heading:
-                    found.append((rank, slot[3]["h"] if slot is not item and slot[3] and len(slot[3]["p"]) >= 3 else None, item[3]))
-            elif label[0] == "(":
-                self._walk(item[4], slot[4], rank, header, heading, found)
-            else:
-                tag, dropped, main = kind(label)
-                if not dropped:
-                    inner = max(rank, 3 if tag == "article" else 2 if tag == "main" or "!main" in label else 1) if main else rank
-                    if tag != "header" or rank:  # a page's own header goes, an article's keeps its headings
-                        self._walk(item[4], slot[4] if slot is not item else item[4], inner, header or tag == "header", heading or tag in HEADINGS, found)
+                    shared = self.shared.get(slot, ())
+                    out += [(t, bool(shared) and text_hash(whole) in shared) for whole, parts in blocks_of(leaves) for t in parts]
+                continue
+            tag, dropped, _ = self._kind(label)
+            if dropped or repeated and link > 4 * own and tag in ("li", "div", "p", "tr", "td", "ul", "ol"):
+                continue
+            if tag in ("ul", "ol") and link > 4 * own and any(x[4] for x in kids):
+                continue
+            self._gather(kids, header or self.names and tag == "header", heading or tag in HEADINGS, out)
+
+
+def blocks_of(leaves: list) -> Iterator[tuple[str, list]]:
+    """(text, its parts) of each block among a slot's texts."""
+    for _, parts in groupby(leaves, key=lambda t: t[1]):
+        parts = list(parts)
+        yield "".join(t[2] for t in parts), parts
+
+
+def text_hash(raw: str) -> int:
+    """A signed hash of a text without the white space around it."""
+    h = xxhash.xxh64_intdigest(raw.strip().encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def article(texts: list) -> str:
     """Blocks of texts, one a line: references decoded, white space made one space, empty ones left out."""
     blocks: dict[int, list[str]] = {}
-    for _, block, raw in texts:
+    for _, block, raw, _ in texts:
         blocks.setdefault(block, []).append(raw)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -346,56 +580,118 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one wrapper a host, over all its pages.
+def structures(pages: DataFrame) -> DataFrame:
+    """(host, wrapper): the distinct structures of the pages of each host, without their texts."""
 
-    Every task first aligns its own pages of each host, so that what is shuffled is one wrapper for
-    each task and host, whatever the number of pages.
-    """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, list] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
+        made: set[tuple[str, str]] = set()
+        out = lambda: pa.RecordBatch.from_pydict({"host": [h for h, _ in made], "wrapper": [w for _, w in made]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
         for batch in batches:
             for name, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                page = cell.as_py()
-                seen = zlib.crc32(page.encode())
-                one = [[seen], fold(parse(page), page=seen)]
-                made[name] = both(made[name], one) if name in made else one
-        yield pa.RecordBatch.from_pydict({"host": list(made), "wrapper": [json.dumps(v) for v in made.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+                made.add((name, written(fold(parse(cell.as_py())))))
+            if len(made) > 2000:
+                yield out()
+                made.clear()
+        yield out()
+
+    return pages.mapInArrow(run, "host string, wrapper string").distinct()
+
+
+def infer(pages: DataFrame, fan: int = 32) -> DataFrame:
+    """(host, wrapper): one wrapper a host over the structures of all its pages (host, html).
+
+    About ``fan`` structures of a host are merged at a time, dealt by their hashes, then what came
+    out, until one is left. So no task has all of a host's, and the result doesn't depend on how the pages lie.
+    """
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = None
-        for text in sorted(set(pdf.wrapper)):
-            made = json.loads(text) if made is None else both(made, json.loads(text))
-        return pd.DataFrame({"host": pdf.host.iloc[:1], "wrapper": [json.dumps(made)]})
+        return pd.DataFrame({"host": pdf.host.iloc[:1], "wrapper": [merge_all(sorted(set(pdf.wrapper)))]})
+
+    parts = durable(structures(pages))
+    while True:
+        counts = parts.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
+            return parts
+        groups = F.ceil(F.col("_n") / fan)
+        dealt = parts.join(counts, F.col("host") == F.col("_host")).withColumn("_g", F.pmod(F.xxhash64("wrapper"), groups))
+        parts = durable(dealt.groupBy("host", "_g").applyInPandas(join, "host string, wrapper string"))
 
-    parts = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(local, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(join, "host string, wrapper string")
 
+def figures(rows: DataFrame) -> DataFrame:
+    """(host, slots) of ``rows(host, html, wrapper)``: an array (slot, pages, chars, links, shared, hashes) of each host.
 
-def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    A text is shared if it is in the same slot of at least half of the pages that have the slot and
+    of three pages more: c >= (n + 3) / 2, so a few pages that agree do not make a text the host's. Equal pages count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Wrapper] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for name, cell, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if w not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[w] = Wrapper(w)
+                page = cell.as_py()
+                mark, seen = text_hash(page), {}
+                for slot, leaves in known[w].texts(parse(page)):
+                    if slot < 0:
+                        continue
+                    seen.setdefault((slot, None), [0, 0])
+                    for whole, parts in blocks_of(leaves):
+                        got = seen.setdefault((slot, text_hash(whole)), [0, 0])
+                        got[0] += sum(len(t[2].strip()) for t in parts)
+                        got[1] += sum(len(t[2].strip()) for t in parts if t[3])
+                out += [(name, slot, h, mark, chars, links) for (slot, h), (chars, links) in seen.items()]
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            kinds = [pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "slot", "hash", "page", "chars", "links"])
+
+    each = rows.mapInArrow(run, "host string, slot long, hash long, page long, chars long, links long").dropDuplicates(["host", "slot", "hash", "page"])
+    texts = durable(each.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"), F.sum("links").alias("links")))
+    slots = texts.groupBy("host", "slot").agg(F.max(F.when(F.col("hash").isNull(), F.col("c"))).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    most = slots.select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), "n")
+    shared = texts.where("hash is not null and c >= 3").join(most, (F.col("host") == F.col("_host")) & (F.col("slot") == F.col("_slot"))).where("2 * c >= n + 3")
+    shared = shared.groupBy("_host", "_slot").agg(F.sum(F.col("chars") - F.col("links")).alias("shared"), F.sort_array(F.collect_list("hash")).alias("hashes"))
+    every = slots.join(shared, (F.col("host") == F.col("_host")) & (F.col("slot") == F.col("_slot")), "left")
+    one = F.struct("slot", "n", "chars", "links", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))
+    return every.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("slots"))
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20, names: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Wrappers are inferred over all pages of each host first; they are sent to all executors only if
-    they take at most ``broadcast_bytes``, else joined by host. Null html is empty, null URLs are one
-    host, repeated rows repeat, an empty table gives no rows; other columns are ignored.
+    Three passes over the pages: their structures make a wrapper for each host, their texts the
+    figures of its slots, and then each page is read. Wrappers are sent to all executors only if
+    they take at most ``broadcast_bytes``, else joined by host. ``names`` false leaves the names of elements and
+    classes out of account. Null html is empty, null URLs are one
+    host, repeated rows repeat, an empty table gives no rows; other columns are ignored. The result
+    does not depend on how the pages are partitioned.
     """
-    wrappers = durable(infer(pages))
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    wrappers = wrappers.withColumnRenamed("host", "_host")
-    side = F.broadcast(wrappers) if size <= broadcast_bytes else wrappers
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_h", host(F.col("url")))
-    joined = rows.join(side, F.col("_h") == F.col("_host")).select("page_id", "url", "html", "wrapper")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+
+    def side(df: DataFrame, *columns: str) -> DataFrame:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*columns))))).first()[0] or 0
+        return F.broadcast(df) if size <= broadcast_bytes else df
+
+    wrappers = durable(infer(rows.select("host", "html"))).select(F.col("host").alias("_host"), "wrapper")
+    through = rows.join(side(wrappers, "wrapper"), F.col("host") == F.col("_host"))
+    slots = durable(figures(through.select("host", "html", "wrapper"))).select(F.col("host").alias("_of"), "slots")
+    whole = durable(wrappers.join(slots, F.col("_host") == F.col("_of"), "left").select("_host", "wrapper", "slots"))
+    joined = rows.join(side(whole, "wrapper", "slots"), F.col("host") == F.col("_host")).select("page_id", "url", "html", "wrapper", "slots")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
         for batch in batches:
             texts = []
-            for cell, w in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for cell, w, figure in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                w = w.as_py()
                 if w not in known:
-                    if len(known) > 1000:
+                    if len(known) > 100:
                         known.clear()
-                    known[w] = Wrapper(json.loads(w))
+                    known[w] = Wrapper(w, [tuple(f.values()) for f in figure.as_py() or ()], names)
                 texts.append(article(known[w].read(parse(cell.as_py()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
