@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, extended by a skip-chain conditional random field.
 
-Nodes are the mentions of a document (runs that look like an address or a number). Neighbouring
-mentions share chain potentials; distant mentions that repeat one another share skip potentials.
-Loopy message passing makes labels of one entity agree across the whole document.
+Nodes are the mentions of a document: base spans and other runs that look like a number or an
+address. Neighbouring mentions share chain potentials; distant mentions that repeat or resemble one
+another share skip potentials. Loopy message passing makes the labels of one entity agree across
+the whole document, so that a number written another way is found with the one that a pattern knows.
+
+All potentials are learned by pseudo-likelihood from the table itself. Base spans have their kind as
+label and other mentions none, but for those linked to a base span, whose label is open. What
+links are worth is learned from base spans written another way: each copy is an example of its kind
+beside the span, and of no kind without it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,21 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import durable
-
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns. Look-behinds and possessive runs change no match: where a run's
+# first character begins none, no other of it does.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+NEXT_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){EMAIL.pattern}")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What an address is made of, the at sign included; a match never leaves such a run.
-ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]+")
-BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: What counts as a mention besides base spans.
-MENTION = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
+#: What may be a mention besides base spans: numbers, and addresses with their sign or a word for it.
+MENTION = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9])+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|[\x20]?[(\[]at[)\]][\x20]?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*")
+AT = re.compile(r"[\x20]?[(\[]at[)\]][\x20]?")
 DIGITS = re.compile(r"[^0-9]")
+#: How two mentions are alike: the same digits or address; the same last seven digits, or name before
+#: the sign; one digit of ten or more differs.
+SAME, TAIL, NEAR = range(3)
 
 
 def luhn(digits: str) -> bool:
@@ -42,19 +48,20 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
-    out, at = [], text.find("@")
-    while at >= 0:
-        start = at
-        while start and text[start - 1] in BEFORE_AT:
-            start -= 1
-        end = ADDRESS.match(text, start).end()
-        out += [m.span() for m in EMAIL.finditer(text, start, end)]
-        at = text.find("@", end)
+    out, pos = [], 0
+    while "@" in text and (m := EMAIL.match(text, pos) or NEXT_EMAIL.search(text, pos)):
+        out.append(m.span())
+        pos = m.end()
     return out
 
 
+def _byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def _ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    return [m.span() for m in IP.finditer(text) if all(map(_byte, m.group().split(".")))]
 
 
 def _cards(text: str) -> list[tuple[int, int]]:
@@ -75,65 +82,94 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, s, e) for k, kind in enumerate(KINDS) for s, e in FINDERS[kind](text)]
 
 
-def _form(mention: str) -> str:
-    """What makes two mentions similar: an address in lower case, or the last ten digits of a number."""
-    return mention.lower() if "@" in mention else DIGITS.sub("", mention)[-10:]
+def form(mention: str) -> str:
+    """What makes two mentions the same: an address in lower case, or a number's digits."""
+    return AT.sub("@", mention).lower() if "@" in mention or AT.search(mention) else DIGITS.sub("", mention)
+
 
+def features(text: str, start: int, end: int) -> tuple[str, ...]:
+    """A node's features, each of a few values: what it is made of, and whether it stands apart.
 
-def _signature(text: str, start: int, end: int) -> str:
-    """The node's features as one cell: kind of characters, number of digits, marks, the sign before it."""
+    Numbers of digits up to 19, five ways to part them, a plus sign, a fitting check digit, what is beside it.
+    """
     m = text[start:end]
+    beside = f"b{int(text[start - 1 : start].isalnum() or text[end : end + 1].isalnum())}"
+    if "@" in m or AT.search(m):
+        return ("@" if "@" in m else "(at)", beside)
     digits = DIGITS.sub("", m)
-    marks = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", m))))
-    size = "@" if "@" in m else "long" if len(digits) > 19 else str(len(digits))
-    return f"{size}|{marks}|{int(len(digits) >= 16 and luhn(digits))}|{text[start - 1 : start].isalnum():d}{text[end : end + 1].isalnum():d}"
+    n = min(len(digits), 20)
+    marks = {c for c in m if not c.isdigit() and c != "+"}
+    parted = "none" if not marks else "mixed" if len(marks) > 1 else "space" if marks == {" "} else "dot" if marks == {"."} else "dash" if marks == {"-"} else "mixed"
+    groups = f"g{min(len(re.findall('[0-9]+', m)), 6)}"
+    fits = f"l{int(n >= 16 and luhn(digits[:40]))}"
+    plus = f"p{int(m[0] == '+')}"
+    return (f"n{n}", parted, fits, plus, beside, groups, f"n{n}{fits}", f"n{n}{plus}", f"{parted}{groups}")
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None]]:
     """Nodes (start, end, label) in text order: base spans, labelled, then runs that meet none of them."""
     taken = sorted((s, e, k + 1) for k, s, e in base)
     out: list[tuple[int, int, int | None]] = list(taken)
-    i = 0
+    i, reach = 0, 0
     for m in MENTION.finditer(text):
         s, e = m.span()
-        while i < len(taken) and taken[i][1] <= s:  # base spans of two kinds may overlap
+        while i < len(taken) and taken[i][0] < e:  # base spans of two kinds may overlap
+            reach = max(reach, taken[i][1])
             i += 1
-        if i < len(taken) and taken[i][0] < e:
+        if reach > s:
             continue
-        if "@" in m.group() or 7 <= len(DIGITS.sub("", m.group())) <= 19:
+        if m.group()[0] not in "+(0123456789" or "@" in m.group() or AT.search(m.group()) or 6 <= len(DIGITS.sub("", m.group())) <= 19:
             out.append((s, e, None))
     return sorted(out, key=lambda x: (x[0], x[1]))
 
 
 def has_mentions(text: str) -> bool:
-    return "@" in text or bool(re.search(r"[0-9]", text))
+    return "@" in text or "at)" in text or "at]" in text or bool(re.search(r"[0-9]", text))
+
+
+def skips(forms: list[str]) -> dict[tuple[int, int], int]:
+    """(i, j) -> how they are alike, i before j: each node and the one before it that has one of its keys.
+
+    Keys stand for the three ways to be alike, so that links grow with mentions and not with pairs.
+    """
+    last: dict[tuple, int] = {}
+    out: dict[tuple[int, int], int] = {}
+    for j, f in enumerate(forms):
+        keys = [(SAME, f)]
+        if "@" in f:
+            keys.append((TAIL, f.partition("@")[0]))
+        else:
+            keys += [(TAIL, f[-7:])] * (len(f) >= 7) + [(NEAR, i, f[:i] + "?" + f[i + 1 :]) for i in range(len(f) if 10 <= len(f) <= 19 else 0)]
+        for key in keys:
+            i = last.get(key)
+            if i is not None:
+                out[i, j] = min(out.get((i, j), NEAR), key[0])
+            last[key] = j
+    return out
 
 
 class Field:
-    """Log potentials: nodes by signature, chain and skip pairs by their two labels."""
+    """Log potentials: ``node`` by feature (labels), ``chain`` by the labels of neighbours, ``skip`` by likeness and both labels."""
 
-    def __init__(self, node: dict[str, list[float]], chain: np.ndarray, skip: np.ndarray):
+    def __init__(self, node: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
         self.node, self.chain, self.skip = node, chain, skip
-        self.flat = [0.0] + [-2.0] * len(KINDS)
-
-    def marginals(self, forms: list[str], signatures: list[str], fixed: list[int | None], rounds: int = 12, reach: int = 40) -> np.ndarray:
-        """Beliefs by loopy max-normalised sum-product, damped by a half.
 
-        A mention is linked with the next one of its form (so that links grow with mentions, not
-        with pairs) and with its neighbour in the text.
-        """
-        n, states = len(forms), len(LABELS)
-        unary = np.array([self.node.get(s, self.flat) for s in signatures]).reshape(n, states)
+    def unary(self, marks: tuple[str, ...]) -> np.ndarray:
+        out = np.zeros(len(LABELS))
+        for f in marks:
+            if f in self.node:
+                out = out + self.node[f]
+        return out
+
+    def marginals(self, unary: np.ndarray, links: dict[tuple[int, int], int], fixed: list[int | None], rounds: int = 50) -> np.ndarray:
+        """Beliefs by loopy sum-product, damped by a half; exact where the links close no loop."""
+        n, states = unary.shape
+        unary = unary.copy()
         for i, k in enumerate(fixed):
             if k is not None:
                 unary[i] = -60.0
                 unary[i, k] = 0.0
-        pairs: list[tuple[int, int, np.ndarray]] = [(i, i + 1, self.chain) for i in range(n - 1)]
-        last: dict[str, int] = {}
-        for i, f in enumerate(forms):
-            if f in last:
-                pairs.append((last[f], i, self.skip))
-            last[f] = i
+        pairs = [(i, i + 1, self.chain) for i in range(n - 1)] + [(i, j, self.skip[t]) for (i, j), t in links.items()]
         if not pairs:
             return _softmax(unary)
         a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
@@ -149,7 +185,7 @@ class Field:
             new_a -= new_a.max(1, keepdims=True)
             moved = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max())
             to_b, to_a = 0.5 * (to_b + new_b), 0.5 * (to_a + new_a)
-            if moved < 1e-3:
+            if moved < 1e-6:
                 break
         belief = unary.copy()
         np.add.at(belief, b, to_b)
@@ -167,29 +203,63 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _evidence(text: str) -> Iterator[tuple[str, str]]:
-    """Counts that the field is trained from, one document: nodes, chain pairs, skip pairs."""
+def rewritten(kind: int, mention: str) -> list[str]:
+    """Other ways to write a base span that no base pattern finds."""
+    if KINDS[kind] == "email":
+        return [mention.replace("@", at) for at in (" (at) ", "(at)", " [at] ")]
+    digits = DIGITS.sub("", mention)
+    if KINDS[kind] == "ip":
+        return [re.sub(r"\.", mark, mention) for mark in ("-", " ", " . ")]
+    if KINDS[kind] == "card":
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        wrong = str((int(digits[7]) + 1) % 10)
+        return [".".join(groups), digits[:7] + wrong + digits[8:], digits[:-3] + str((int(digits[-3]) + 1) % 10) + digits[-2:]]
+    return [mention[1:], "0" + digits[2:], ".".join((digits[:3], digits[3:6], digits[6:])), "-".join((digits[:-7], digits[-7:-4], digits[-4:])), digits]
+
+
+def _evidence(text: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(features, label before, label after, link, label): what pseudo-likelihood counts, one document.
+
+    A label that is open, or of no neighbour, is empty; of a node's links that to the nearest mention before
+    or after it with a label counts.
+    """
     nodes = mentions(text, base_spans(text))
-    labels = [k or 0 for _, _, k in nodes]
-    last: dict[str, int] = {}
-    for i, (s, e, _) in enumerate(nodes):
-        yield f"n{labels[i]}", _signature(text, s, e)
-        if i:
-            yield f"c{labels[i - 1]}{labels[i]}", ""
-        f = _form(text[s:e])
-        if f in last:
-            yield f"s{last[f]}{labels[i]}", ""
-        last[f] = labels[i]
-
-
-def fit(docs: DataFrame, fit_docs: int = 5000, smoothing: float = 0.5) -> Field:
-    """Trains the field on the base spans of about ``fit_docs`` documents (by hashed doc_id).
-
-    Piecewise likelihood: each family of potentials is fitted by itself, in closed form, from counts.
-    Counts are summed by Spark; the driver gets one row for each signature and label.
+    forms = [form(text[s:e]) for s, e, _ in nodes]
+    links = skips(forms)
+    known: list[int | None] = [k if k is not None else 0 for _, _, k in nodes]
+    near: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), t in links.items():
+        near.setdefault(i, []).append((j, t))
+        near.setdefault(j, []).append((i, t))
+    for i, others in near.items():
+        if not nodes[i][2] and any(nodes[j][2] for j, _ in others):
+            known[i] = None
+    show = lambda k: "" if k is None else str(k)
+    for i, (s, e, k) in enumerate(nodes):
+        if known[i] is None:
+            continue
+        before, after = known[i - 1] if i else None, known[i + 1] if i + 1 < len(nodes) else None
+        link = min(((abs(i - j), t, known[j]) for j, t in near.get(i, ()) if known[j] is not None), default=None)
+        yield " ".join(features(text, s, e)), show(before), show(after), f"{link[1]}{link[2]}" if link else "", known[i]
+        if not k or len(text[s:e]) > 200:
+            continue
+        for other in rewritten(k - 1, text[s:e]):
+            marks, alike = " ".join(features(other, 0, len(other))), skips([forms[i], form(other)]).get((0, 1))
+            if alike is not None:
+                yield marks, "", "", f"{alike}{k}", k
+                yield marks, "", "", f"{alike}0", 0
+                yield marks, "", "", "", 0
+
+
+def fit(docs: DataFrame, decay: float = 0.02, steps: int = 400) -> Field:
+    """Learns the field from all documents of ``docs``.
+
+    What a node's label is given its neighbours' is counted by Spark over the whole table; the driver
+    gets one row for each combination of features and labels that occurs. Features have few values
+    by their make (under 1,000 combinations), labels five and links fifteen, whatever the size of the
+    table. The weights are the maximum of the log pseudo-likelihood (each document's mean, so that it
+    doesn't depend on the table's size) less ``decay`` times half their squares.
     """
-    share = fit_docs / max(1, docs.select("doc_id").count())
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, share)) + 1).where("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -197,54 +267,63 @@ def fit(docs: DataFrame, fit_docs: int = 5000, smoothing: float = 0.5) -> Field:
             for t in batch.column(0):
                 if has_mentions(text := t.as_py()):
                     seen.update(_evidence(text))
-        yield pa.RecordBatch.from_pylist([{"what": w, "of": o, "n": n} for (w, o), n in seen.items()], pa.schema([("what", pa.string()), ("of", pa.string()), ("n", pa.int64())]))
-
-    rows = some.select("text").mapInArrow(count, "what string, of string, n long").groupBy("what", "of").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(20_000).collect()
-    states = len(LABELS)
-    node: dict[str, np.ndarray] = defaultdict(lambda: np.full(states, smoothing / 10))
-    chain, skip = np.full((states, states), smoothing), np.full((states, states), smoothing)
-    for r in rows:
-        if r.what[0] == "n":
-            node[r.of][int(r.what[1])] += r.n
-        else:
-            (chain if r.what[0] == "c" else skip)[int(r.what[1]), int(r.what[2])] += r.n
-    return Field({k: np.log(v / v.sum()).tolist() for k, v in node.items()}, _pull(chain) * 0.25, np.where(np.eye(states) > 0, np.maximum(_pull(skip), _agree()), _agree()))
-
-
-def _pull(counts: np.ndarray) -> np.ndarray:
-    """Pointwise mutual information of the two labels: the part that the nodes don't explain."""
-    p = counts / counts.sum()
-    return np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
+        names = ["marks", "before", "after", "link", "label", "n"]
+        rows = [(*k, n) for k, n in seen.items()]
+        kinds = [pa.string()] * 4 + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
 
+    keys = ["marks", "before", "after", "link", "label"]
+    rows = docs.where("text is not null").select("text").mapInArrow(count, "marks string, before string, after string, link string, label long, n long").groupBy(*keys).agg(F.sum("n").alias("n")).collect()
+    return learned(sorted((r.marks, r.before, r.after, r.link, r.label, r.n) for r in rows), decay, steps)
 
-def _agree(weight: float = math.log(400.0)) -> np.ndarray:
-    """The least that equal labels of repeated mentions gain over different ones.
 
-    That a repeated mention has no base span is no evidence of its label, so what different labels
-    lose is not learned from such pairs.
-    """
-    return np.where(np.eye(len(LABELS)) > 0, weight, -weight)
+def learned(rows: list[tuple], decay: float, steps: int) -> Field:
+    """The field of best pseudo-likelihood for counted ``rows``, by gradient steps with a memory of their size."""
+    states = len(LABELS)
+    names = sorted({f for r in rows for f in r[0].split()})
+    if not rows:
+        return Field({}, np.zeros((states, states)), np.zeros((3, states, states)))
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, [at[f] for f in r[0].split()]] = 1.0
+    label = np.array([r[4] for r in rows])
+    weight = np.array([float(r[5]) for r in rows])
+    # classes count alike: the few mentions of one kind are not outweighed by numbers of no kind
+    for k in range(states):
+        weight[label == k] /= max(1.0, weight[label == k].sum())
+    one = np.eye(states)
+    before, after = (np.array([one[int(r[c])] if r[c] else np.zeros(states) for r in rows]) for c in (1, 2))
+    linked = np.zeros((len(rows), 3, states))
+    for i, r in enumerate(rows):
+        if r[3]:
+            linked[i, int(r[3][0]), int(r[3][1:])] = 1.0
+    node, chain, skip = np.zeros((len(names), states)), np.zeros((states, states)), np.zeros((3, states, states))
+    memory = [np.full_like(v, 1e-8) for v in (node, chain, skip)]
+    for _ in range(steps):
+        score = x @ node + before @ chain + after @ chain.T + np.einsum("nts,tsk->nk", linked, skip)
+        error = weight[:, None] * (one[label] - _softmax(score))
+        grads = [x.T @ error, before.T @ error + error.T @ after, np.einsum("nts,nk->tsk", linked, error)]
+        grads[2] = grads[2] + grads[2].transpose(0, 2, 1)  # alike either way round
+        for v, g, m in zip((node, chain, skip), grads, memory, strict=True):
+            g = g - decay * 0.1 * v
+            m += g * g
+            v += 0.3 * g / np.sqrt(m)
+    return Field({f: node[i] for f, i in at.items()}, chain, skip)
 
 
 def all_spans(text: str, field: Field, threshold: float = 0.9) -> tuple[list, list]:
     """(base spans, all spans): the field adds mentions whose belief in one kind exceeds ``threshold``.
 
-    A mention can only be added if a base span of the same document has its form, or the field knows
-    its signature as that kind; with no base span the document is left as it is.
+    Base spans are given, every other mention's label is open, in every document that has mentions.
     """
     base = base_spans(text) if has_mentions(text) else []
-    if not base:
-        return base, base
-    nodes = mentions(text, base)
+    nodes = mentions(text, base) if has_mentions(text) else []
     if len(nodes) == len(base):
         return base, base
-    forms = [_form(text[s:e]) for s, e, _ in nodes]
-    belief = field.marginals(forms, [_signature(text, s, e) for s, e, _ in nodes], [k for _, _, k in nodes])
-    kinds: dict[str, set[int]] = defaultdict(set)
-    for f, (_, _, k) in zip(forms, nodes, strict=True):
-        if k is not None:
-            kinds[f].add(k)
-    added = [(int(b.argmax()) - 1, s, e) for b, f, (s, e, k) in zip(belief, forms, nodes, strict=True) if k is None and b.argmax() > 0 and b.max() > threshold and int(b.argmax()) in kinds[f]]
+    unary = np.array([field.unary(features(text, s, e)) for s, e, _ in nodes])
+    belief = field.marginals(unary, skips([form(text[s:e]) for s, e, _ in nodes]), [k for _, _, k in nodes])
+    added = [(int(b.argmax()) - 1, s, e) for b, (s, e, k) in zip(belief, nodes, strict=True) if k is None and b.argmax() > 0 and b.max() > threshold]
     return base, sorted(base + added)
 
 
@@ -258,7 +337,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     Offsets are code points, ends exclusive. Null text is empty; null and repeated doc_ids keep their
     rows; other columns are ignored.
     """
-    share = docs.sparkSession.sparkContext.broadcast(field)  # at most 20,000 signatures
+    share = docs.sparkSession.sparkContext.broadcast(field)  # weights of some dozens of features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +354,10 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "<{}>") -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind."""
+    """``docs`` with every span of the text replaced by its kind.
+
+    Of spans that overlap the first goes. Null texts stay null; all rows and columns stay.
+    """
     share = docs.sparkSession.sparkContext.broadcast(field)
     cols = docs.columns
 
@@ -293,8 +375,3 @@ def redact(docs: DataFrame, field: Field, mark: str = "<{}>") -> DataFrame:
             yield batch.set_column(at, "text", pa.array(new, pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def durable_find(docs: DataFrame, field: Field) -> DataFrame:
-    """``find``, kept in the shared folder for callers that read it more than once."""
-    return durable(find(docs, field))
