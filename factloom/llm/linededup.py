@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree.
 
 A line's leaf in the tree is its number of tokens and its leading tokens, those with digits
-generalised. Within a leaf, tokens that most of its documents share stay and others become fields.
-Lines of templates that recur across documents are dropped.
+generalised. Within a leaf, tokens that most of its documents share are a template and others become
+fields; lines that are unlike the template are told apart by the commonest token that it doesn't have, and
+have templates of their own below. Lines of templates that recur across documents are dropped.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, durable, hinted
+from factloom.llm.common import WORD, durable, fresh, hinted
 
 FIELD = "<*>"
 
@@ -62,7 +63,7 @@ def _without_own(docs: DataFrame, depth: int) -> DataFrame:
     return durable(ends.select("body").distinct().join(own.select("body").distinct(), "body", "left_anti").withColumnRenamed("body", "_same"))
 
 
-def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarity: float = 0.7, short_tokens: int = 5, short_documents: int = 20) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarity: float = 0.7, short_tokens: int = 5, short_documents: int = 20, levels: int = 3) -> tuple[DataFrame, DataFrame]:
     """(marked, dropped): arrays of line keys by document, and the keys of lines to drop.
 
     A template recurs if ``min_documents`` different documents have it, whatever the size of the
@@ -72,9 +73,12 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarit
     apart. So what is common to copies of one document is left, and what is common to different
     documents is not. A line that recurs as it stands is its own template. In a leaf that recurs, tokens
     of over half its documents are the template and lines that agree with it in ``similarity`` of their
-    tokens belong to it. Lines of fewer than ``short_tokens`` tokens need ``short_documents``
-    documents, and no fields.
+    tokens belong to it. The other lines are parted by the token, after the leading ones, that most
+    of the leaf's documents have (of equal ones the first) and no more than half, and each part is
+    treated like a leaf, for ``levels`` levels in all. Lines of fewer than ``short_tokens`` tokens need ``short_documents``
+    documents, and no fields. Null texts have no lines.
     """
+    docs = docs.select("doc_id", "text")
     counted = F.transform(_lines(F.col("text")), lambda v: F.struct(v.alias("line"), _count(v).alias("n")))
     lines = F.transform(counted, lambda v: F.struct(_key(v["line"], v["n"]).alias("key"), F.when(v["n"] > 0, _leaf(v["line"], v["n"], depth)).alias("leaf")))
     marked = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("body"), lines.alias("l"))
@@ -101,35 +105,55 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarit
     texts = docs.where("text is not null").select(F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn("h", _hash(F.col("line")))
     wanted = known.select(F.col("key").bitwiseAND(F.lit(-8)).alias("h")).distinct()
     texts = texts.join(F.broadcast(wanted) if known.count() <= 200_000 else wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    found = durable(held.withColumn("h", F.col("key").bitwiseAND(F.lit(-8))).join(texts, "h").select("leaf", "key", "n", "line"))
-    spread = found.select("leaf", "key", "n", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
-    size = found.groupBy("leaf").agg(F.sum("n").alias("all"))
-    common = spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("have")).join(size, "leaf").where("2 * have > all").select("leaf", "pos", "token", F.lit(1).alias("fits"))
-    fit = spread.join(common, ["leaf", "pos", "token"], "left").groupBy("leaf", "key").agg((F.count("fits") / F.count("*")).alias("share")).where(F.col("share") >= similarity).select("leaf", "key")
+    found = durable(held.withColumn("h", F.col("key").bitwiseAND(F.lit(-8))).join(texts, "h").select(F.col("leaf").alias("part"), "key", "n", "line"))
+    fit = None
+    for _ in range(levels):
+        spread = found.select("part", "key", "n", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
+        size = found.groupBy("part").agg(F.sum("n").alias("all"))
+        have = spread.groupBy("part", "pos", "token").agg(F.sum("n").alias("have")).join(size, "part")
+        common = 2 * F.col("have") > F.col("all")
+        pick = F.when(~common & (F.col("pos") >= depth) & (F.col("have") >= min_documents), F.struct("have", (-F.col("pos")).alias("at"), "token"))
+        scored = durable(spread.join(have, ["part", "pos", "token"]).groupBy("part", "key").agg((F.count_if(common) / F.count("*")).alias("share"), F.max(pick).alias("pick")))
+        member = scored.where(F.col("share") >= similarity).select("part", "key")
+        fit = member if fit is None else fit.union(member)
+        apart = scored.where((F.col("share") < similarity) & F.col("pick").isNotNull()).select("part", "key", F.xxhash64("part", "pick.at", "pick.token").alias("_next"))
+        found = durable(found.join(apart, ["part", "key"]).select(F.col("_next").alias("part"), "key", "n", "line"))
+        if found.isEmpty():
+            break
     fit = durable(fit)
     # the template, too, must recur: its members are counted like the leaf
-    live = kinds(exploded("key", "keys").join(hinted(fit), "key"), "leaf").where(enough).select("leaf")
-    return marked, durable(whole.union(fit.join(live, "leaf", "left_semi").select("key")).distinct())
+    live = kinds(exploded("key", "keys").join(hinted(fit), "key"), "part").where(enough).select("part")
+    return marked, durable(whole.union(fit.join(live, "part", "left_semi").select("key")).distinct())
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_keys: int = 20_000, **options) -> DataFrame:
     """``docs`` with recurring lines taken out of text, plus n_lines and n_dropped.
 
     Every row stays; n_chars, if there, follows the new text. Null text stays null with no lines, an
     empty text has one empty line, which never is dropped; equal rows are treated alike whatever
-    their doc_id; columns of ``docs`` named n_lines or n_dropped are replaced.
+    their doc_id; columns of ``docs`` named n_lines or n_dropped are replaced, all others are carried along. Up to
+    ``most_keys`` keys of recurring lines are part of the plan, and texts are filtered where they are;
+    beyond that, the places of recurring lines are joined to the texts.
     """
     marked, drop = recurring(docs, **options)
-    hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(hinted(drop), "key", "left_semi")
-    hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("pos").alias("_drop"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_b", F.xxhash64("text"))
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_body")), "left")
+    hit, of, body, own = fresh(docs, "_drop", "_of", "_body", "_own")
     lines = _lines(F.col("text"))
+    count = drop.count()
+    rows = docs.drop("n_lines", "n_dropped")
+    if count <= most_keys:
+        keys = [r.key for r in drop.collect()]
+        known = (lambda line: _key(line, _count(line)).isin(keys)) if keys else (lambda line: F.lit(False))
+        rows = rows.withColumn(hit, F.filter(F.transform(lines, lambda v, i: F.when(known(v), i)), lambda i: i.isNotNull()))
+    else:
+        hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(hinted(drop), "key", "left_semi")
+        hits = hits.groupBy(F.col("doc_id").alias(of), F.col("body").alias(body)).agg(F.collect_set("pos").alias(hit))
+        rows = rows.withColumn(own, F.xxhash64("text"))
+        rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(body)), "left")
+    some = F.coalesce(F.size(hit), F.lit(0)) > 0
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop")), lambda i: F.get(lines, i))
-    rows = rows.withColumn("n_lines", n).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)))
-    rows = rows.withColumn("n_dropped", F.greatest(F.col("n_dropped"), F.lit(0)))
-    rows = rows.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(hit)), lambda i: F.get(lines, i))
+    rows = rows.withColumn("n_lines", n).withColumn("n_dropped", F.when(some, F.size(hit)).otherwise(0))
+    rows = rows.withColumn("text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -1,6 +1,11 @@
 """Line dedup, license scan, personal data, quality."""
 
+import random
 import re
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
 
 from factloom.llm import license, linededup, quality
 
@@ -58,6 +63,117 @@ def test_the_count_that_drops_a_line_is_fixed(spark):
     assert [by[100 + k] for k in range(6)] == [dict(rows)[100 + k] for k in range(6)]
 
 
+SPACE = "\x20\x09-\x0d"
+
+
+def brute_lines(texts, depth=3, documents=3, similarity=0.7, short=5, short_documents=20, levels=3):
+    """The rule again over plain Python sets; hashes only order leaves."""
+    toks = lambda line: re.findall(f"[^{SPACE}]+", line)
+    chain = lambda n, lead: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(lead.encode(), xxhash.xxh64_intdigest(n.to_bytes(4, "little"), 42)))
+
+    def lead(line):
+        got = re.match(f"[{SPACE}]*((?:[^{SPACE}]+[{SPACE}]*){{0,{depth}}})", line)[1]
+        return re.sub(f"[^{SPACE}]*[0-9][^{SPACE}]*", "<*>", got.rstrip(" "))
+
+    leaf = lambda line: chain(len(toks(line)), lead(line)) if toks(line) else None
+    different = {t: t.split("\n") for t in texts if t is not None}
+    leads, tails = defaultdict(set), defaultdict(set)
+    for t, lines in different.items():
+        for line in lines:
+            if toks(line):
+                leads[lead(line)].add(t)
+                tails[lead(line[::-1])].add(t)
+    ends = {}
+    for t, lines in different.items():
+        leaves = {leaf(line) for line in lines} - {None}
+        if leaves:
+            own = any(toks(line) and leads[lead(line)] == {t} and tails[lead(line[::-1])] == {t} for line in lines)
+            ends[t] = (t, t) if own else (min(leaves), max(leaves))
+
+    def kinds(of):
+        return min(len({e[0] for e in of}), len({e[1] for e in of}))
+
+    rows = [(t, different[t]) for t in texts if t in ends]
+    by_line, by_leaf, count = defaultdict(set), defaultdict(set), Counter()
+    for t, lines in rows:
+        for line in lines:
+            if toks(line):
+                by_line[line].add(ends[t])
+                by_leaf[leaf(line)].add(ends[t])
+    seen = Counter((line, t, e) for t, e in ends.items() for line in set(different[t]))
+    for t, lines in rows:
+        for line in set(lines):
+            count[line] += 1
+    drop = {x for x, of in by_line.items() if kinds(of) >= documents and (len(toks(x)) >= short or kinds(of) >= short_documents)}
+    parts = {}
+    for x in by_line:
+        if len(toks(x)) >= short and kinds(by_leaf[leaf(x)]) >= documents:
+            parts.setdefault((leaf(x),), set()).add(x)
+    fit = {}
+    for _ in range(levels):
+        below = {}
+        for part, members in parts.items():
+            total, have = sum(count[x] for x in members), Counter()
+            for x in members:
+                for at, w in enumerate(toks(x)):
+                    have[at, w] += count[x]
+            for x in members:
+                spots = list(enumerate(toks(x)))
+                if sum(2 * have[s] > total for s in spots) / len(spots) >= similarity:
+                    fit.setdefault(part, set()).add(x)
+                    continue
+                rest = [(have[s], -s[0], s[1]) for s in spots if 2 * have[s] <= total and s[0] >= depth and have[s] >= documents]
+                if rest:
+                    below.setdefault((*part, max(rest)[1:]), set()).add(x)
+        parts = below
+    for members in fit.values():
+        if kinds({e for x in members for e in by_line[x]}) >= documents:
+            drop |= members
+    assert seen
+    return {t: "\n".join(x for x in lines if x not in drop) for t, lines in different.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_line_dedup_equals_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    want = brute_lines([r.text for r in docs.collect()])
+    for options in ({}, {"most_keys": 0}):
+        got = linededup.dedup_lines(docs, **options).collect()
+        before = {r.doc_id: r.text for r in docs.collect()}
+        assert all(r.text == want[before[r.doc_id]] for r in got if before[r.doc_id] is not None)
+        assert any(r.n_dropped for r in got)
+
+
+def recurring_lines(n, seed):
+    """Documents with lines of five templates in one leaf, two of them with fields of few values; and the lines planted."""
+    rng = random.Random(seed)
+    kinds = ["Order number {0} was shipped to {1} by post this week", "Order number {0} will be billed by card {1} next month", "Order number {0} can not be found in {1} any more", "Order number {0} has come back from {1} without a name", "Order number {0} stands open since {1} in our own books"]
+    rows, planted = [], {}
+    for i in range(n):
+        lines = [unique(seed * 10**6 + i * 3), unique(seed * 10**6 + i * 3 + 1, 9)]
+        if i % 3 == 0:
+            lines.insert(1, kinds[rng.randrange(5)].format(rng.randrange(10**6), rng.choice(["Ann", "Bob", "Cid", "Dan", unique(i, 1)])))
+            planted[i] = lines[1]
+        rows.append((i, "\n".join(lines)))
+    return rows, planted
+
+
+@pytest.mark.parametrize("n", [150, 600, 2400])
+def test_templates_of_one_leaf_are_told_apart_at_any_size(spark, n):
+    rows, planted = recurring_lines(n, n)
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert sum(planted[i] not in got[i].text for i in planted) >= 0.95 * len(planted)
+    assert sum(got[i].n_dropped for i in got) <= len(planted)
+
+
+def test_clashing_columns_of_line_dedup(spark):
+    df = spark.createDataFrame([(i, f"{unique(i)}\nPlease read our terms of use carefully today", i, "b", "d", "o", 1) for i in range(5)] + [(None, None, 9, "b", "d", "o", 1)] * 2, "doc_id long, text string, _id int, _body string, _drop string, _own string, `a.b` int")
+    for options in ({}, {"most_keys": 0}):
+        got = linededup.dedup_lines(df, **options)
+        assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+        assert sorted((r._id, r._body, r._drop, r._own, r["a.b"], r.n_dropped) for r in got.collect()) == [*((i, "b", "d", "o", 1, 1) for i in range(5)), *[(9, "b", "d", "o", 1, 0)] * 2]
+
+
 def test_line_dedup_of_tables_without_lines(spark):
     assert linededup.dedup_lines(frame(spark, [])).collect() == []
     assert [r.text for r in linededup.dedup_lines(frame(spark, [(1, None)])).collect()] == [None]
