@@ -114,5 +114,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import license
 
     found = license.scan(table(spark, sf_dir, "documents"))
+    pairs = F.transform("matches", lambda m: F.concat(m["template"], F.lit(":"), F.format_number(m["containment"], 4)))
     names = F.transform("matches", lambda m: m["template"])
-    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.array_sort(names), ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+    most = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), most.alias("containment"), F.array_join(pairs, ",").alias("containments"))
