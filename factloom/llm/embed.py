@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import components, durable
+from factloom.llm.common import components, durable, fresh
 
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, max_c
             keep, x = unit_groups(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(x, pa.binary())], ["vec_id", "x"])
 
-    base = durable(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(normal, "vec_id long, x binary").withColumn("h", F.xxhash64("x")))
+    base = durable(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(normal, "vec_id long, x binary").withColumn("h", F.md5("x")))
     distinct = durable(base.groupBy("x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("h").alias("h")))
     parts = []
     for (length,) in sorted(distinct.select(F.length("x")).distinct().collect()):
@@ -164,7 +164,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, max_c
             found, edges = found.union(f), edges.union(e)
         found = durable(found.groupBy("key").agg(F.sum("n_links").alias("n_links")))
         group = components(edges)
-        of = distinct.withColumn("key", F.xxhash64("x")).join(group, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+        of = distinct.withColumn("key", F.col("h")).join(group, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
         first = of.groupBy("component").agg(F.min("least").alias("first"))
         of = of.join(first, "component").join(found, "key", "left").select(F.col("key").alias("_key"), "first", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
         good = base.join(of, F.col("h") == F.col("_key")).select("vec_id", "n_links", F.col("first").alias("component_id"))
@@ -188,7 +188,7 @@ def unit_groups(column: pa.Array) -> tuple[list[int], list[bytes]]:
 
 
 def _of_length(distinct: DataFrame, dim: int, threshold: float, sample: int, max_centres: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n_links) and edges (u, v) among distinct vectors of ``dim`` components; keys are hashes of x."""
+    """(key, n_links) and edges (u, v) among distinct vectors of ``dim`` components; keys are 128-bit hashes of x."""
     spark = distinct.sparkSession
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-7
     some = distinct.select("x", "h").orderBy("h").limit(sample).collect()
@@ -202,7 +202,7 @@ def _of_length(distinct: DataFrame, dim: int, threshold: float, sample: int, max
             nodes, gaps = share.value.paths(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nodes.tolist(), pa.list_(pa.int32())), pa.array(gaps.tolist(), pa.list_(pa.float64()))], ["x", "h", "n", "nodes", "gaps"])
 
-    placed = durable(distinct.select("x", "h", "n").mapInArrow(place, "x binary, h long, n long, nodes array<int>, gaps array<double>"))
+    placed = durable(distinct.select("x", "h", "n").mapInArrow(place, "x binary, h string, n long, nodes array<int>, gaps array<double>"))
     bounds = placed.select(F.posexplode(F.arrays_zip("nodes", "gaps")).alias("level", "z")).groupBy("level", "z.nodes").agg(F.max("z.gaps").alias("r"), F.count("*").alias("n")).collect()
     cover, count = np.zeros((depth, len(tree.centres))), np.zeros((depth, len(tree.centres)), np.int64)
     for r in bounds:
@@ -232,11 +232,12 @@ def _of_length(distinct: DataFrame, dim: int, threshold: float, sample: int, max
         on = n > 0
         return pd.DataFrame({"key": keys[on], "n_links": n[on], "root": keys[label[on]]})
 
-    out = durable(left.union(right).groupBy("p", "q").applyInPandas(compare, "key long, n_links long, root long"))
+    out = durable(left.union(right).groupBy("p", "q").applyInPandas(compare, "key string, n_links long, root string"))
     return out.select("key", "n_links"), out.select(F.col("key").alias("u"), F.col("root").alias("v"))
 
 
 def keep_first(vectors: DataFrame, **options) -> DataFrame:
-    """``vectors`` without those that have a lesser vec_id in their component."""
-    lead = links(vectors, **options).where("kept").select(F.col("vec_id").alias("_id")).distinct()
-    return vectors.join(lead, F.col("vec_id") == F.col("_id"), "left_semi")
+    """``vectors`` without those that have a lesser vec_id in their component; rows without vec_id stay."""
+    (of,) = fresh(vectors, "_of")
+    lead = links(vectors, **options).where("kept").select(F.col("vec_id").alias(of)).distinct()
+    return vectors.join(lead, F.col("vec_id") == F.col(of), "left_semi").union(vectors.where("vec_id is null"))

@@ -131,6 +131,23 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+class Source:
+    """An archive's file, opened when it is first read and again after ``drop``."""
+
+    def __init__(self, where, path: str):
+        self.where, self.path, self.file = where, path, None
+
+    def handle(self):
+        if self.file is None:
+            self.file = self.where.open_input_file(self.path)
+        return self.file
+
+    def drop(self) -> None:
+        file, self.file = self.file, None
+        if file is not None:
+            file.close()
+
+
 class ArchiveReader(DataSourceReader):
     """Plans by file size alone; each task reads its archive's directory and then its own members."""
 
@@ -143,41 +160,65 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         return [Range(p, lo, min(lo + self.step, size)) for p, size in self.paths for lo in range(0, size, self.step)] or [Range("", 0, 0)]
 
-    def member(self, where, path: str, info: zipfile.ZipInfo) -> bytes:
-        """One member by its offset; a failed read opens the archive anew and tries this member alone."""
+    def tried(self, what: str, once):
+        """``once()``, tried anew after an OSError, with a growing pause."""
         for attempt in range(1, self.tries + 1):
             try:
-                with where.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no local header at the member's offset")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-                    body = f.read(info.compress_size)
-                if len(body) != info.file_size or zlib.crc32(body) != info.CRC:
-                    raise OSError("short or damaged member")
-                return body
+                return once()
             except OSError as e:
                 if attempt == self.tries:
-                    raise OSError(f"{path} at {info.header_offset}: {e}") from e
+                    raise OSError(f"{what}: {e}") from e
                 time.sleep(0.1 * 2**attempt)
         raise AssertionError
 
+    def member(self, source: Source, info: zipfile.ZipInfo) -> bytes:
+        """One member by its offset; after a failed read the archive is opened anew and this member alone is tried again."""
+
+        def once() -> bytes:
+            try:
+                f = source.handle()
+                f.seek(info.header_offset)
+                head = f.read(30)
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                    raise OSError("no local header at the member's offset")
+                f.seek(info.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+                body = f.read(info.compress_size)
+                if len(body) != info.file_size or zlib.crc32(body) != info.CRC:
+                    raise OSError("short or damaged member")
+                return body
+            except OSError:
+                source.drop()
+                raise
+
+        return self.tried(f"{source.path} at {info.header_offset}", once)
+
+    def directory(self, source: Source) -> list[zipfile.ZipInfo]:
+        def once() -> list[zipfile.ZipInfo]:
+            try:
+                return zipfile.ZipFile(source.handle()).infolist()
+            except zipfile.BadZipFile as e:
+                source.drop()
+                raise OSError(str(e)) from e
+            except OSError:
+                source.drop()
+                raise
+
+        return self.tried(f"{source.path}, its directory", once)
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("media", pa.binary())])
         if not part.path:
             return
-        where, path = _open(part.path)
-        with where.open_input_file(path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if part.start <= m.header_offset < part.end]
+        source = Source(*_open(part.path))
         rows, size = [], 0
-        for m in members:
+        for m in (m for m in self.directory(source) if part.start <= m.header_offset < part.end):
             key = m.filename.split(".")[1]
-            rows.append({"archive": part.path, "offset": m.header_offset, "doc_id": int(key) if key else None, "media": self.member(where, path, m)})
+            rows.append({"archive": part.path, "offset": m.header_offset, "doc_id": int(key) if key else None, "media": self.member(source, m)})
             size += m.file_size
             if size >= self.batch:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, size = [], 0
+        source.drop()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 

@@ -113,13 +113,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int =
     """Learns from at most ``sample`` labelled rows (those of the least hashed doc_id), and only from
     rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    The bound keeps what reaches the driver small at every size. N-grams in fewer than ``min_docs``
+    The bound keeps what reaches the driver small at every size. Of labels that contradict each other
+    the least counts, of documents that repeat a doc_id the text of the least hash; null texts are empty. N-grams in fewer than ``min_docs``
     of these documents are left out. With rows of one class, or none, every score is that class's
     share (one half without rows).
     """
     use = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_id is not null and _y is not null and crc32(cast(_id as string)) % 5 != 0")
-    use = use.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("_id")).where("text is not null")
+    use = use.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(use), F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), F.col("_y").cast("int").alias("y"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
@@ -127,10 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int =
             got = [[repr(g) for g in ngrams(t.as_py(), known)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.string()))], ["doc_id", "y", "grams"])
 
-    seen = durable(texts.select("doc_id", "text", F.col("_y").cast("int").alias("y")).mapInArrow(grams, "doc_id long, y int, grams array<string>"))
+    seen = durable(texts.mapInArrow(grams, "doc_id long, y int, grams array<string>"))
     counts = [r.g for r in seen.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= min_docs).select("g").collect()]
     index = {g: i for i, g in enumerate(sorted(counts))}
-    data = sorted((r.doc_id, r.y, sorted(index[g] for g in r.grams if g in index)) for r in seen.toLocalIterator())
+    numbers = docs.sparkSession.sparkContext.broadcast(index)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sorted(numbers.value[g] for g in row if g in numbers.value) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
+
+    # the driver gets the numbers of those n-grams only
+    data = sorted((r.doc_id, r.y, r.at) for r in seen.mapInArrow(kept, "doc_id long, y int, at array<int>").toLocalIterator())
     y = np.array([1.0 if d[1] == 1 else -1.0 for d in data])
     if not len(y) or abs(y.sum()) == len(y) or not index:
         share = float((y > 0).mean()) if len(y) else 0.5
@@ -171,6 +181,20 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns, whatever they are called."""
+    share = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            yield batch.filter(pa.array([share.value.score(t.as_py() or "", known) >= threshold for t in batch.column(at)], pa.bool_()))
+
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with a dot would not resolve
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def held_out() -> Column:
     """True for rows kept out of training."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0

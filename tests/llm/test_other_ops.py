@@ -1,6 +1,7 @@
 """HTML extraction, media columns, packing, embeddings, mixing, pipeline."""
 
 import hashlib
+import io
 import math
 import random
 import zlib
@@ -63,16 +64,52 @@ def test_members_are_read_by_range_and_tried_again(spark, tmp_path):
     import zipfile
 
     info = zipfile.ZipFile(path).infolist()[5]
-    assert media.decode(reader.member(Flaky(where), p, info))[0].startswith(b"text ")
+    assert media.decode(reader.member(media.Source(Flaky(where), p), info))[0].startswith(b"text ")
+    assert len(reader.directory(media.Source(Flaky(where), p))) == 200
     reader.tries = 2
     with pytest.raises(OSError, match="lost"):
-        reader.member(Flaky(where), p, info)
+        reader.member(media.Source(Flaky(where), p), info)
+    with pytest.raises(OSError, match="lost"):
+        reader.directory(media.Source(Flaky(where), p))
+
+    class Short:  # a header cut short is tried again, not passed on
+
+        def open_input_file(self, _):
+            return io.BytesIO(b"PK")
+
+    with pytest.raises(OSError, match="no local header"):
+        reader.member(media.Source(Short(), p), info)
     damaged = bytearray(media.encode("abc"))
     damaged[-20] ^= 1
     with pytest.raises((ValueError, zlib.error)):
         media.decode(bytes(damaged))
 
 
+def library_samples(png):
+    """A PNG's grey samples by another decoder: plain zlib over its IDAT chunks, filter bytes checked."""
+    import struct
+
+    at, data, size = 8, b"", None
+    while at < len(png):
+        (n,), kind = struct.unpack(">I", png[at : at + 4]), png[at + 4 : at + 8]
+        size = struct.unpack(">II", png[at + 8 : at + 16]) if kind == b"IHDR" else size
+        data += png[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += n + 12
+    raw = zlib.decompressobj().decompress(data)
+    rows = [raw[i : i + size[0] + 1] for i in range(0, len(raw), size[0] + 1)]
+    assert len(rows) == size[1] and all(r[0] == 0 for r in rows)
+    return b"".join(r[1:] for r in rows)
+
+
+def test_very_long_texts_go_through_media_columns(spark):
+    text = "é0" * 2_000_000
+    got = media.media_columns(spark, frame(spark, [(1, text, "s"), (2, "x", "s")])).collect()
+    raw = text.encode()
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_bytes == len(raw) == 6_000_000 and by[1].payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
+    assert library_samples(media.encode("abc é"))[:6] == "abc é".encode()
+
+
 # packing
 
 
@@ -172,6 +209,11 @@ def test_no_vectors(spark):
     assert [tuple(r) for r in embed.links(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
 
 
+def test_keep_first_keeps_rows_without_an_id(spark):
+    df = spark.createDataFrame([(3, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (None, [1.0, 0.0], 3), (5, None, 4)], "vec_id long, embedding array<double>, _id int")
+    assert sorted(r._id for r in embed.keep_first(df).collect()) == [2, 3, 4]
+
+
 def test_cover_tree_levels_nest():
     x = np.random.default_rng(0).normal(size=(300, 3))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -182,26 +224,3 @@ def test_cover_tree_levels_nest():
         far = embed._distances(t.centres[:n], t.centres[:n])
         np.fill_diagonal(far, 9)
         assert far.min() > radius and embed._distances(x, t.centres[:n]).min(1).max() <= radius
-
-
-# pipeline
-
-
-def test_pipeline_stages_take_effect(spark):
-    import corpus_pipeline as P
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = P.run(spark, sf).collect()
-    kept = P.quality_classifier(spark, docs, sf)
-    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
-    lined = P.line_dedup(spark, kept, sf)
-    assert lined.columns == docs.columns and lined.count() == kept.count()
-    one = P.simhash_near_dedup(spark, lined, sf)
-    from factloom.llm import simhash
-
-    ids = {r.doc_id for r in one.collect()}
-    assert ids == {r.component_id for r in simhash.classes(lined).collect()}
-    assert {r.doc_id for r in out} <= ids and len(out) > 0
-    assert all(0 < r.length <= 1024 for r in out)
-    assert [n for n, _ in P.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "mixing sources", "packing"]
