@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators.ranges import carried, in_ranges
+
 
 def latest_at_or_before(cuts: DataFrame, facts: DataFrame, key: str, cut: str, time: str, ties: Sequence[str] = ()) -> DataFrame:
     """For each (key, cut): the last fact at or before it. ``cuts`` has one row a key.
@@ -20,16 +22,23 @@ def latest_at_or_before(cuts: DataFrame, facts: DataFrame, key: str, cut: str, t
     return best.select(key, cut, "b.*")
 
 
-def asof_grid(facts: DataFrame, key: str, time: str, grid: Column, value: str, ties: Sequence[str], out: str) -> DataFrame:
+def asof_grid(facts: DataFrame, key: str, time: str, grid: Column, value: str, ties: Sequence[str], out: str, few_keys: bool = False) -> DataFrame:
     """(key, grid time, value): the last value at or before each grid time, for keys that have one.
 
     Grid rows are merged into the key's own rows and the last value is carried forward, so that no
-    fact meets more than its own key's rows and grid times.
+    fact meets more than its own key's rows and grid times. With ``few_keys`` a key's rows are dealt
+    out in ranges of time, each with the last value of those before it.
     """
     points = facts.select(key, F.col(time).alias("_t"), *ties, F.col(value).alias("_v"), F.lit(0).alias("_g"))
     marks = facts.select(key).distinct().select(key, F.explode(grid).alias("_t"), *[F.lit(None).cast(facts.schema[t].dataType).alias(t) for t in ties], F.lit(None).cast(facts.schema[value].dataType).alias("_v"), F.lit(1).alias("_g"))
-    w = Window.partitionBy(key).orderBy("_t", "_g", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.unionByName(marks).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    both, part = points.unionByName(marks), [key]
+    if few_keys:
+        last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", *ties)))
+        both = carried(in_ranges(both, [key], F.col("_t"), points), [key], last, lambda c: F.last(c, ignorenulls=True), "_before")
+        part = [key, "_b"]
+    w = Window.partitionBy(*part).orderBy("_t", "_g", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_v", ignorenulls=True).over(w)
+    both = both.withColumn("_last", F.coalesce(found, "_before") if few_keys else found)
     return both.where("_g = 1 AND _last IS NOT NULL").select(key, F.col("_t").alias(out), F.col("_last").alias(value))
 
 

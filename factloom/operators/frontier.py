@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators.ranges import carried, in_ranges
+
 
 def _running_best(points: DataFrame, cost: str, gain: str, low_cost: bool) -> DataFrame:
     """(cost, best): for each distinct cost its best gain, and ``prev``: the best among better costs.
@@ -15,10 +17,9 @@ def _running_best(points: DataFrame, cost: str, gain: str, low_cost: bool) -> Da
     """
     best = points.where(F.col(cost).isNotNull() & F.col(gain).isNotNull()).groupBy(cost).agg(F.max(gain).alias("best"))
     sign = 1 if low_cost else -1
-    edges = best.agg(F.percentile_approx(F.col(cost) * sign, [i / 64 for i in range(1, 64)], 1000).alias("e"))
-    best = best.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda x: x < F.col(cost) * sign))).drop("e")
+    best = in_ranges(best, [], F.col(cost) * sign)
     tops = best.groupBy("_b").agg(F.max("best").alias("_top"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     tops = tops.select(F.col("_b").alias("_bb"), F.max("_top").over(before).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(F.col(cost) * sign).rowsBetween(Window.unboundedPreceding, -1)
     out = best.join(F.broadcast(tops), F.col("_b") == F.col("_bb")).withColumn("prev", F.greatest(F.max("best").over(inside), F.col("_before")))
@@ -43,6 +44,11 @@ def pareto_sweep(points: DataFrame, cost: str, gain: str, ties: list[str], low_c
 
 
 def records(series: DataFrame, key: str, time: str, value: str, ties: list[str]) -> DataFrame:
-    """Rows whose value exceeds every earlier one of their key."""
-    w = Window.partitionBy(key).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return series.withColumn("_m", F.max(value).over(w)).where(F.col("_m").isNull() | (F.col(value) > F.col("_m"))).drop("_m")
+    """Rows whose value exceeds every earlier one of their key.
+
+    Runs over ranges of time within a key; a range only needs the greatest value of those before it.
+    """
+    ranged = carried(in_ranges(series, [key], F.col(time)), [key], F.max(value), F.max, "_before")
+    w = Window.partitionBy(key, "_b").orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    m = F.greatest(F.max(value).over(w), F.col("_before"))
+    return ranged.withColumn("_m", m).where(F.col("_m").isNull() | (F.col(value) > F.col("_m"))).drop("_m", "_b", "_before")

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], null_safe: bool) -> tuple[DataFrame, Column]:
@@ -47,12 +48,42 @@ def peers(rows: DataFrame, target: DataFrame, key: str, first: str, second: str)
     return rows.join(F.broadcast(t), on).select(*rows.columns)
 
 
+def _ranked_overlaps(rows: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
+    """Adds _rank, a row's place by (start, id) in its key, and _reach, how many rows of the key start before its end.
+
+    Starts and ends are merged in one order; a null start comes before all, a null end after all.
+    """
+    names = [f"_{k}" for k in keys]
+    side = rows.select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.col(id_col).alias("id"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    starts = side.select("*", F.lit(1).alias("_start"), F.col("_s").isNotNull().cast("int").alias("_open"), F.col("_s").alias("_t"))
+    ends = side.select("*", F.lit(0).alias("_start"), F.when(F.col("_e").isNull(), 2).otherwise(1).alias("_open"), F.col("_e").alias("_t"))
+    w = Window.partitionBy(*names).orderBy("_open", "_t", "_start", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.union(ends).withColumn("_n", F.sum("_start").over(w))
+    both = placed.groupBy(*names, "id", "_s", "_e").agg(F.max(F.when(F.col("_start") == 1, F.col("_n"))).alias("_rank"), F.max(F.when(F.col("_start") == 0, F.col("_n"))).alias("_reach"))
+    return both.select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)], "id", "_s", "_e", "_rank", "_reach")
+
+
 def overlapping_pairs(rows: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
     """Pairs (id < other) of rows with equal keys (null equals null) whose intervals overlap.
 
-    Null ends are open. Keys are hashed; the range is what remains to be tested in each key's rows.
+    Null ends are open; ids are unique in their key. A row meets those that start after it and before its end: their places by start
+    are a range, and only these pairs are made. What overlaps by one end only (an interval that
+    ends before it starts) is left out by the check of both ends.
+    """
+    r = _ranked_overlaps(rows, keys, id_col, start, end)
+    tries = r.where(F.col("_reach") > F.col("_rank")).select(*keys, "id", "_s", "_e", F.explode(F.sequence(F.col("_rank") + 1, F.col("_reach"))).alias("_at"))
+    names = [f"_{k}" for k in keys]
+    b = r.select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.col("id").alias("_id"), F.col("_s").alias("_s2"), F.col("_e").alias("_e2"), F.col("_rank").alias("_at2"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names, strict=True)])
+    meets = F.coalesce(F.col("_s") < F.col("_e2"), F.lit(True)) & F.coalesce(F.col("_s2") < F.col("_e"), F.lit(True))
+    pairs = tries.join(b, on & (F.col("_at") == F.col("_at2")) & meets)
+    return pairs.select(*keys, F.least("id", "_id").alias("id"), F.greatest("id", "_id").alias("other"))
+
+
+def overlap_counts(rows: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str, out: str) -> DataFrame:
+    """(keys, out): how many pairs of a key's intervals overlap, for keys that have any.
+
+    Counted from places alone, without the pairs; intervals must end after they start.
     """
-    b = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(id_col).alias("other"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    meets = F.coalesce(F.col(start) < F.col("_e"), F.lit(True)) & F.coalesce(F.col("_s") < F.col(end), F.lit(True))
-    return rows.join(b, on & (F.col(id_col) < F.col("other")) & meets).select(*keys, F.col(id_col).alias("id"), "other")
+    r = _ranked_overlaps(rows, keys, id_col, start, end)
+    return r.groupBy(*keys).agg(F.sum(F.greatest(F.col("_reach") - F.col("_rank"), F.lit(0))).alias(out)).where(F.col(out) > 0)

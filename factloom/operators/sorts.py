@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators import ranges
+
 
 def bounded_feed(rows: DataFrame, category: str, order: Sequence[Column], per_category: int) -> DataFrame:
     """The first rows of each category, with the category's total and whether it was cut.
@@ -24,23 +26,21 @@ def bounded_feed(rows: DataFrame, category: str, order: Sequence[Column], per_ca
 def ends_nulls_last(rows: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The first k rows in both directions, nulls last in both; up and down are the places.
 
-    The places of the k rows at each end are counted over that end alone; the other place follows
-    from the numbers of rows with and without a value.
+    Two sorts that keep k rows, and counts. A row's place at one end gives its place at the other:
+    of v rows with a value, down is v less the lesser and equal ones, plus the equal ones before it.
     """
-    n = rows.agg(F.count("*").alias("n"), F.count(value).alias("v")).first()
-    if n.n <= 2 * k:
-        pool = rows
-    else:
-        ends = [rows.orderBy(o(value), F.asc(key)).limit(k) for o in (F.asc_nulls_last, F.desc_nulls_last)]
-        pool = ends[0].union(ends[1]).distinct()
-    ties = pool.withColumn("_l", F.lit(None)).drop("_l")
-    # exact places: rows before, counted by a join on the few distinct values of the pool
-    bounds = ties.select(F.col(value).alias("_v"), F.col(key).alias("_k"))
-    up = (F.col(value) < F.col("_v")) | (F.col("_v").isNull() & F.col(value).isNotNull()) | (F.col(value).eqNullSafe(F.col("_v")) & (F.col(key) < F.col("_k")))
-    down = (F.col(value) > F.col("_v")) | (F.col("_v").isNull() & F.col(value).isNotNull()) | (F.col(value).eqNullSafe(F.col("_v")) & (F.col(key) < F.col("_k")))
-    counted = rows.join(F.broadcast(bounds), up | down).groupBy("_v", "_k").agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"))
-    out = ties.join(counted, F.col(value).eqNullSafe(F.col("_v")) & (F.col(key) == F.col("_k")), "left")
-    return out.select(*rows.columns, (F.coalesce("up", F.lit(0)) + 1).alias("up"), (F.coalesce("down", F.lit(0)) + 1).alias("down"))
+    n = rows.agg(F.count(value).alias("_v"))
+    first = rows.orderBy(F.asc_nulls_last(value), F.asc(key)).limit(k).withColumn("_at", F.row_number().over(Window.orderBy(F.asc_nulls_last(value), F.asc(key))))  # of k rows
+    last = rows.orderBy(F.desc_nulls_last(value), F.asc(key)).limit(k).withColumn("_at", F.row_number().over(Window.orderBy(F.desc_nulls_last(value), F.asc(key))))
+    same = Window.partitionBy("_end", value).orderBy(key)
+    pool = first.withColumn("_end", F.lit(0)).union(last.withColumn("_end", F.lit(1))).withColumn("_eq", F.row_number().over(same) - 1)
+    values = pool.select(F.col(value).alias("_value")).where(F.col("_value").isNotNull()).distinct()  # at most 2 k
+    ties = rows.join(F.broadcast(values), F.col(value) == F.col("_value")).groupBy("_value").agg(F.count("*").alias("_ties"))
+    pool = pool.join(F.broadcast(n)).join(F.broadcast(ties), F.col(value) == F.col("_value"), "left")
+    other = F.col("_v") - (F.col("_at") - 1 - F.col("_eq")) - F.col("_ties") + F.col("_eq") + 1
+    there = F.when(F.col(value).isNull(), F.col("_at")).otherwise(other)
+    up, down = F.when(F.col("_end") == 0, F.col("_at")).otherwise(there), F.when(F.col("_end") == 1, F.col("_at")).otherwise(there)
+    return pool.select(*rows.columns, up.cast("long").alias("up"), down.cast("long").alias("down")).distinct()
 
 
 def outliers(rows: DataFrame, group: str, value: str, key: str, k: int) -> DataFrame:
@@ -53,7 +53,7 @@ def outliers(rows: DataFrame, group: str, value: str, key: str, k: int) -> DataF
 
 def nearest_median(rows: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The k rows nearest to the median, with their distance."""
-    middle = rows.agg(F.median(value).alias("_m"))
+    middle = ranges.median(rows, [], value, "_m")
     return rows.join(F.broadcast(middle)).withColumn("gap", F.abs(F.col(value) - F.col("_m"))).drop("_m").orderBy("gap", value, key).limit(k)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators import ranges
+
 
 def mode_low(value: Column) -> Column:
     """The most frequent positive value; of equally frequent ones the lowest. Null if there is none."""
@@ -21,14 +23,14 @@ def priority_mode(rows: DataFrame, keys: Sequence[str], source: str, value: str,
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Adds _i, the place of the value in its group from 0 (largest last), and _n, the group's size."""
+    """Adds _i, the place of the value in its group from 0 (largest last), and _n, the group's size; for many groups of moderate size."""
     w = Window.partitionBy(*keys)
     return rows.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
 
 
-def rank_quantile_desc(rows: DataFrame, keys: Sequence[str], value: str, share: float, out: str) -> DataFrame:
-    """Element floor(share * n) of each group's values in descending order (not a percentile)."""
-    r = ranked(rows, keys, value)
+def rank_quantile_desc(rows: DataFrame, keys: Sequence[str], value: str, share: float, out: str, few_keys: bool = False) -> DataFrame:
+    """Element floor(share * n) of each group's values in descending order (not a percentile); ``few_keys`` for large groups."""
+    r = (ranges.ranked if few_keys else ranked)(rows, keys, value)
     return r.where(F.col("_n") - 1 - F.col("_i") == F.floor(F.col("_n") * share)).groupBy(*keys).agg(F.max(value).alias(out))
 
 

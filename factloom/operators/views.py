@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators import ranges
 from factloom.operators.asof import asof_grid
 from factloom.operators.stats import rank_quantile_desc
 
@@ -15,8 +16,8 @@ from factloom.operators.stats import rank_quantile_desc
 def envelope(series: DataFrame, key: str, time: str, value: str, ties: Sequence[str], grid: Column, out: str = "g") -> DataFrame:
     """(grid time, top, middle, quarter): of all keys' last values at each grid time."""
     at = asof_grid(series, key, time, grid, value, list(ties), out)
-    both = at.groupBy(out).agg(F.max(value).alias("top"), F.median(value).alias("middle"), F.count("*").alias("n"))
-    return both.join(rank_quantile_desc(at, [out], value, 0.75, "quarter"), out)
+    both = at.groupBy(out).agg(F.max(value).alias("top"), F.count("*").alias("n"))
+    return both.join(ranges.median(at, [out], value, "middle"), out).join(rank_quantile_desc(at, [out], value, 0.75, "quarter", few_keys=True), out)
 
 
 def race_frames(series: DataFrame, key: str, time: str, value: str, ties: Sequence[str], grid: Column, top: int, least: int, out: str = "g") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import stats
+from factloom.operators import ranges, stats
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
@@ -70,7 +70,7 @@ def agg_09(spark, sf):
 
 @query("o_agg_10", with_roles("SELECT kind, median(elo) AS middle FROM series GROUP BY 1", "series"))
 def agg_10(spark, sf):
-    return R.series(spark, sf).groupBy("kind").agg(F.median("elo").alias("middle"))
+    return ranges.median(R.series(spark, sf), ["kind"], "elo", "middle")
 
 
 @query("o_agg_11", with_roles("SELECT model_id, list(elo ORDER BY elo DESC)[CAST(floor(0.75 * count(*)) AS BIGINT) + 1] AS q FROM series GROUP BY 1", "series"))

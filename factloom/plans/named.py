@@ -133,11 +133,11 @@ def qg_06(spark, sf):
     return gates.issues(table(spark, sf, "events").where(joins.blank(raw)), "missing_condition", "warning", F.col("event_id"), F.col("event_type"))
 
 
-@query("o_qg_07", with_roles("SELECT 'stale_source' AS \"check\", 'warning' AS severity, source_id AS key, CAST(date_diff('day', max(fetched_at), TIMESTAMP '2001-08-20') AS VARCHAR) AS detail FROM snapshot WHERE owner_id % 50 = 7 GROUP BY source_id HAVING date_diff('day', max(fetched_at), TIMESTAMP '2001-08-20') > CASE WHEN source_id LIKE '1%' THEN 14 WHEN source_id LIKE '2%' THEN 21 ELSE 90 END", "snapshot"))
+@query("o_qg_07", with_roles("SELECT 'stale_source' AS \"check\", 'warning' AS severity, source_id AS key, CAST(date_diff('day', max(fetched_at), TIMESTAMP '2001-08-20') AS VARCHAR) AS detail FROM snapshot GROUP BY source_id HAVING date_diff('day', max(fetched_at), TIMESTAMP '2001-08-20') > CASE WHEN source_id LIKE '1%' THEN 14 WHEN source_id LIKE '2%' THEN 21 ELSE 90 END", "snapshot"))
 def qg_07(spark, sf):
     cadence = F.when(F.col("source_id").startswith("1"), "daily").when(F.col("source_id").startswith("2"), "weekly").otherwise("monthly")
     age = F.datediff(F.lit("2001-08-20").cast("date"), F.max("fetched_at"))
-    s = R.snapshot(spark, sf).where("owner_id % 50 = 7").groupBy("source_id").agg(age.alias("age")).where(F.col("age") > gates.stale_days(cadence))
+    s = R.snapshot(spark, sf).groupBy("source_id").agg(age.alias("age")).where(F.col("age") > gates.stale_days(cadence))
     return gates.issues(s, "stale_source", "warning", F.col("source_id"), F.col("age"))
 
 

@@ -119,8 +119,7 @@ def join_04(spark, sf):
 @query("o_join_05", with_roles("SELECT a.model_id, a.surface_id, a.component, count(*) AS overlaps FROM price a JOIN price b ON a.model_id IS NOT DISTINCT FROM b.model_id AND a.surface_id IS NOT DISTINCT FROM b.surface_id AND a.component IS NOT DISTINCT FROM b.component AND (a.snapshot_id, a.line, a.total) < (b.snapshot_id, b.line, b.total) AND coalesce(a.valid_from < b.valid_to, TRUE) AND coalesce(b.valid_from < a.valid_to, TRUE) GROUP BY ALL", "price"))
 def join_05(spark, sf):
     p = R.price(spark, sf).withColumn("id", F.struct("snapshot_id", "line", "total"))
-    pairs = joins.overlapping_pairs(p, ["model_id", "surface_id", "component"], "id", "valid_from", "valid_to")
-    return pairs.groupBy("model_id", "surface_id", "component").agg(F.count("*").alias("overlaps"))
+    return joins.overlap_counts(p, ["model_id", "surface_id", "component"], "id", "valid_from", "valid_to", "overlaps")
 
 
 @query("o_join_06", with_roles("SELECT DISTINCT a.model_id, a.surface_id FROM result a JOIN result b ON a.model_id = b.model_id AND a.surface_id = b.surface_id AND a.snapshot_id < b.snapshot_id", "result"))

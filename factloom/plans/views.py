@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import frontier, joins, picks, views
+from factloom.operators import frontier, joins, picks, ranges, views
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
@@ -169,7 +169,7 @@ def view_17(spark, sf):
 def view_18(spark, sf):
     u = R.price(spark, sf).groupBy("model_id").agg(F.max("amount").alias("tps")).select("model_id", F.lit("cloud").alias("origin"), "tps")
     u = u.union(R.series(spark, sf).where("kind = 'view'").groupBy("model_id").agg(F.max("elo").alias("tps")).select("model_id", F.lit("local").alias("origin"), "tps"))
-    middle = u.agg(F.median("tps").alias("_m"))
+    middle = ranges.median(u, [], "tps", "_m")
     return u.where("tps > 0").join(F.broadcast(middle)).withColumn("gap", F.abs(F.col("tps") - F.col("_m"))).drop("_m").orderBy("gap", "tps", "model_id", "origin").limit(40)
 
 

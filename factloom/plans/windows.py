@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import asof, changes, frontier, picks, temporal
+from factloom.operators import asof, changes, frontier, joins, picks, temporal
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
 
 
-@query("o_win_02", with_roles("SELECT * EXCLUDE (rn) FROM (SELECT r.*, row_number() OVER (PARTITION BY model_id, benchmark_id ORDER BY measured_at DESC NULLS LAST, snapshot_id DESC, rank DESC, score DESC, surface_id DESC) AS rn FROM result r WHERE surface_id % 3 = 1) WHERE rn = 1", "result"))
+@query("o_win_02", with_roles("SELECT * EXCLUDE (rn) FROM (SELECT r.*, row_number() OVER (PARTITION BY model_id, benchmark_id ORDER BY measured_at DESC NULLS LAST, snapshot_id DESC, rank DESC, score DESC, surface_id DESC) AS rn FROM result r WHERE snapshot_id IN (SELECT id FROM snapshot WHERE source_id = '1-URGENT')) WHERE rn = 1", "result", "snapshot"))
 def win_02(spark, sf):
     order = [F.desc_nulls_last("measured_at"), F.desc("snapshot_id"), F.desc("rank"), F.desc("score"), F.desc("surface_id")]
-    return picks.latest_pick(R.result(spark, sf).where("surface_id % 3 = 1"), ["model_id", "benchmark_id"], order)
+    own = R.snapshot(spark, sf).where("source_id = '1-URGENT'")
+    return picks.latest_pick(joins.semi(R.result(spark, sf), own, {"snapshot_id": "id"}), ["model_id", "benchmark_id"], order)
 
 
 @query("o_win_03", with_roles("SELECT model_id, benchmark_id, score FROM (SELECT r.*, row_number() OVER (PARTITION BY model_id ORDER BY CASE benchmark_id WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, ci DESC, measured_at DESC NULLS LAST, snapshot_id DESC, score DESC) AS rn FROM result r) WHERE rn = 1", "result"))
@@ -96,7 +97,7 @@ DAYS = "SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '20
 @query("o_win_14", with_roles(f"WITH d AS ({DAYS}), k AS (SELECT DISTINCT kind FROM series), x AS (SELECT kind, t, elo, id FROM series) SELECT k.kind, d.g, (SELECT arg_max(elo, struct_pack(t := t, id := id)) FROM x WHERE x.kind = k.kind AND x.t <= d.g) AS elo FROM k CROSS JOIN d WHERE EXISTS (SELECT 1 FROM x WHERE x.kind = k.kind AND x.t <= d.g)", "series"))
 def win_14(spark, sf):
     grid = F.expr("sequence(TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-01-30', INTERVAL 1 DAY)")
-    return asof.asof_grid(R.series(spark, sf), "kind", "t", grid, "elo", ["id"], "g")
+    return asof.asof_grid(R.series(spark, sf), "kind", "t", grid, "elo", ["id"], "g", few_keys=True)
 
 
 @query("o_win_15", with_roles("WITH e AS (SELECT model_id, max(t) AS e FROM series GROUP BY 1), j AS (SELECT s.*, e.e FROM series s JOIN e USING (model_id)) SELECT model_id, arg_max(elo, struct_pack(t := t, id := id)) AS latest, arg_max(elo, struct_pack(t := t, id := id)) FILTER (WHERE t <= e - INTERVAL 7 DAY) AS before, arg_max(elo, struct_pack(t := t, id := id)) - arg_max(elo, struct_pack(t := t, id := id)) FILTER (WHERE t <= e - INTERVAL 7 DAY) AS delta FROM j GROUP BY 1", "series"))
