@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions.text import canonical_org
@@ -19,23 +17,33 @@ IDENTITY_SUFFIXES = (
 )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def identity_variants(s: pd.Series) -> pd.Series:
-    """A name, its form with tier before generation, and every form left by peeling suffixes."""
-    import re
+def identity_variants(name: Column) -> Column:
+    """The names an entity may be known by: as given, with the tier before the generation, and what is
+    left when serving suffixes are taken off its end one by one. Distinct, none empty.
+    """
+    turned = F.regexp_replace(name, r"^claude-([0-9](?:-[0-9])?)-(opus|sonnet|haiku)(.*)$", "claude-$2-$1$3")
+    suffix = f"(?:{'|'.join(IDENTITY_SUFFIXES)})$"  # the longest that fits begins first, so it is the match
+    steps = F.sequence(F.lit(1), F.size(F.split(name, "-")))  # a suffix has a dash of its own
+    peeled = F.aggregate(steps, F.array(name), lambda got, _: F.array_append(got, F.regexp_replace(F.element_at(got, -1), suffix, "")))
+    return F.array_distinct(F.filter(F.concat(F.array(name, turned), peeled), lambda x: x.isNotNull() & (x != "")))
+
+
+def scoped_candidates(creator: Column, names: Sequence[Column]) -> Column:
+    """creator/variant for all variants of the names, in order of the names; none without a creator."""
+    forms = F.array_distinct(F.flatten(F.array(*[identity_variants(n) for n in names])))
+    none = F.array().cast("array<string>")
+    return F.when(F.trim(F.coalesce(creator, F.lit(""))) == "", none).otherwise(F.transform(forms, lambda f: F.concat(creator, F.lit("/"), f)))
 
-    def forms(name):
-        if not name:
-            return []
-        out = {name: None}
-        if m := re.match(r"^claude-(\d(?:-\d)?)-(opus|sonnet|haiku)(.*)$", name):
-            out[f"claude-{m[2]}-{m[1]}{m[3]}"] = None
-        while end := next((x for x in IDENTITY_SUFFIXES if name.endswith(x)), None):
-            name = name.removesuffix(end)
-            out[name] = None
-        return [x for x in out if x]
 
-    return s.map(forms)
+def bridge(records: DataFrame, route: str, hub: str, aliases: DataFrame) -> DataFrame:
+    """(entity_id, alias, kind, confidence): routes that name an entity, and with each its hub's id, if it has one.
+
+    ``aliases(alias, entity_id)``; of several entities of one alias the least counts.
+    """
+    known = aliases.groupBy(F.col("alias").alias("_a")).agg(F.min("entity_id").alias("entity_id"))
+    hit = records.join(known, F.col(route) == F.col("_a"))
+    one = lambda c, kind, confidence: hit.where(F.col(c).isNotNull()).select("entity_id", F.col(c).alias("alias"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence")).distinct()
+    return one(route, "router_id", 0.9).union(one(hub, "hf_repo_id", 0.95))
 
 
 def canonical_slug(source_id: Column, first_party: Sequence[str]) -> Column:
@@ -92,3 +100,28 @@ def suggest(options: DataFrame, record: str, entity: str, score: str, bar: int =
     """Adds suggested: true for the only option of a record that scores ``bar`` or more."""
     n = F.count_if(F.col(score) >= bar).over(Window.partitionBy(record))
     return options.withColumn("suggested", (F.col(score) >= bar) & (n == 1))
+
+
+def best_options(entities: DataFrame, key: str, provider: str, name: str, family: str, k: int) -> DataFrame:
+    """(record, entity, score): for each entity the ``k`` best others of its provider by ``option_score``; 0 is no option.
+
+    A record meets at most k + 1 entities of its own name and family, and 2 k of its name or its family
+    alone: of these groups the first are kept, at most k of one family (or name), so that enough are
+    left when the record's own is taken out. No group's pairs are made.
+    """
+
+    def head(part: Sequence[str], within: Sequence[str], most: int) -> DataFrame:
+        capped = entities.withColumn("_c", F.row_number().over(Window.partitionBy(*within).orderBy(key))).where(F.col("_c") <= k + 1)
+        first = capped.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where(F.col("_r") <= most)
+        return first.select(*[F.col(c).alias(f"_{c}") for c in part], F.col(key).alias("entity"), F.col(name).alias("_n2"), F.col(family).alias("_f2"))
+
+    whole = [provider, name, family]
+    same = lambda part: [F.col(c) == F.col(f"_{c}") for c in part]
+    both = entities.join(head(whole, whole, k + 1), same(whole)).where(F.col(key) != F.col("entity"))
+    named = entities.join(head([provider, name], whole, 2 * (k + 1)), same([provider, name])).where(~F.col(family).eqNullSafe(F.col("_f2")))
+    related = entities.join(head([provider, family], whole, 2 * (k + 1)), same([provider, family])).where(~F.col(name).eqNullSafe(F.col("_n2")))
+    score = option_score(F.col(name), F.when(F.col(family) == F.col("_f2"), F.col("_n2")), F.col("_n2"), F.col(family) == F.col("_f2"))
+    tries = [d.select(F.col(key).alias("record"), "entity", score.alias("score")) for d in (both, named, related)]
+    every = tries[0].union(tries[1]).union(tries[2])
+    place = F.row_number().over(Window.partitionBy("record").orderBy(F.desc("score"), "entity"))
+    return every.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")

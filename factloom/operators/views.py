@@ -62,6 +62,51 @@ def relation(peer: Column, own: Column) -> Column:
     return F.when(peer.isNull() | own.isNull() | (peer == own), "undated").when(peer < own, "predecessor").otherwise("successor")
 
 
+def relatives(rows: DataFrame, keys: Sequence[str], id_col: str, date: str) -> DataFrame:
+    """(id, predecessors, successors, undated, predecessor, successor): a row's peers by release date.
+
+    Peers of the same date are undated. The nearest on either side is named (of equal dates the least
+    id). Counted over the distinct dates of a family, so no two rows are paired.
+    """
+    names = [f"_{k}" for k in keys]
+    days = rows.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.col(date).alias("_d")).agg(F.count("*").alias("_n"), F.min(id_col).alias("_first"))
+    w = Window.partitionBy(*names).orderBy("_d")
+    upto, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    days = days.where(F.col("_d").isNotNull()).select(*names, "_d", (F.col("_n") - 1).alias("undated"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("predecessors"), F.coalesce(F.sum("_n").over(rest), F.lit(0)).alias("successors"), F.lag("_first").over(w).alias("predecessor"), F.lead("_first").over(w).alias("successor"))
+    on = [F.col(k) == F.col(a) for k, a in zip(keys, names, strict=True)] + [F.col(date) == F.col("_d")]
+    return rows.join(days, on).select(F.col(id_col).alias("id"), "predecessors", "successors", "undated", "predecessor", "successor")
+
+
+def suggested_pairs(rows: DataFrame, key: str, score: str, lab: str, family: str, opened: str, most: int) -> DataFrame:
+    """(label, a, b): pairs worth comparing, by six rules in order, each unordered pair once, at most ``most``.
+
+    The two leaders; the first of two labs; the first open and the first closed; the first lab and the
+    first family with two; then neighbours in the ranking. Every rule needs only the first rows of
+    the whole table or of each group, so nothing is ranked whole.
+    """
+    s = rows.where(F.col(score).isNotNull()).select(F.struct((-F.col(score)).alias("s"), F.col(key).alias("id")).alias("at"), F.col(lab).alias("lab"), F.col(family).alias("family"), F.col(opened).alias("open"))
+    head = s.orderBy("at").limit(most + 6).select(F.row_number().over(Window.orderBy("at")).alias("n"), F.col("at.id").alias("id"))  # few rows
+    following = head.select((F.col("n") - 1).alias("_n"), F.col("id").alias("b"))
+    popular = head.join(F.broadcast(following), F.col("n") == F.col("_n")).select((F.col("n") + 4).alias("ord"), F.lit("Popular matchup").alias("label"), F.col("id").alias("a"), "b")
+    leaders = popular.where("ord = 5").select(F.lit(0).alias("ord"), F.lit("Top Arena leaders").alias("label"), "a", "b")
+
+    def firsts(group: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(group).orderBy("at"))
+        two = s.where(F.col(group).isNotNull()).withColumn("n", place).where("n <= 2")
+        return two.groupBy(group).agg(F.min("at").alias("first"), F.max(F.when(F.col("n") == 2, F.col("at"))).alias("second"))
+
+    def best(group: str, ord_: int, label: str) -> DataFrame:
+        return firsts(group).where("second is not null").orderBy("first").limit(1).select(F.lit(ord_).alias("ord"), F.lit(label).alias("label"), F.col("first.id").alias("a"), F.col("second.id").alias("b"))
+
+    labs = s.where("lab is not null").groupBy("lab").agg(F.min("at").alias("at")).orderBy("at").limit(2).agg(F.sort_array(F.collect_list("at")).alias("x"))
+    cross = labs.select(F.lit(1).alias("ord"), F.lit("Best cross-lab matchup").alias("label"), F.get("x", F.lit(0))["id"].alias("a"), F.get("x", F.lit(1))["id"].alias("b"))
+    kinds = s.agg(F.min(F.when(F.col("open"), F.col("at"))).alias("o"), F.min(F.when(~F.col("open"), F.col("at"))).alias("c"))
+    matched = kinds.select(F.lit(2).alias("ord"), F.lit("Open vs closed").alias("label"), F.col("o.id").alias("a"), F.col("c.id").alias("b"))
+    every = leaders.union(cross).union(matched).union(best("lab", 3, "Same-lab faceoff")).union(best("family", 4, "Family matchup")).union(popular)
+    once = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("ord")
+    return every.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").withColumn("_rn", F.row_number().over(once)).where("_rn = 1").orderBy("ord").limit(most).select("label", "a", "b")
+
+
 def winner(left: Column, right: Column, higher: bool) -> Column:
     """Which side wins a comparison: left, right or tie; null unless both have a value."""
     better = left > right if higher else left < right

@@ -139,6 +139,23 @@ def er_08(spark, sf):
     return m.join(t, "token").select("id", "n", (F.col("dev") == F.col("developer")).alias("leads"))
 
 
+@query("o_er_09", with_roles("WITH r AS (SELECT id, lower(replace(developer, '#', '-')) || '/' || replace(name, ' ', '-') AS route, CASE WHEN id % 3 = 0 THEN 'Hub/' || replace(name, ' ', '_') END AS hub FROM model), known AS (SELECT lower(replace(developer, '#', '-')) || '/' || replace(name, ' ', '-') AS alias, min(id) AS entity_id FROM model WHERE id % 2 = 0 GROUP BY 1), hit AS (SELECT r.*, entity_id FROM r JOIN known ON route = alias) SELECT DISTINCT entity_id, route AS alias, 'router_id' AS kind, CAST(0.9 AS DOUBLE) AS confidence FROM hit UNION ALL SELECT DISTINCT entity_id, hub, 'hf_repo_id', CAST(0.95 AS DOUBLE) FROM hit WHERE hub IS NOT NULL", "model"))
+def er_09(spark, sf):
+    m = R.model(spark, sf)
+    route = F.concat(F.lower(F.replace("developer", F.lit("#"), F.lit("-"))), F.lit("/"), F.replace("name", F.lit(" "), F.lit("-")))
+    hub = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Hub/"), F.replace("name", F.lit(" "), F.lit("_"))))
+    routes = m.select("id", route.alias("route"), hub.alias("hub"))
+    known = m.where("id % 2 = 0").select(route.alias("alias"), F.col("id").alias("entity_id"))
+    return resolve.bridge(routes, "route", "hub", known)
+
+
+@query("o_er_10", with_roles("SELECT id, CASE WHEN context % 5 = 0 THEN '' ELSE array_to_string(list_sort([x for x in [developer || '/' || stem || suffix, CASE WHEN suffix <> '' THEN developer || '/' || stem END] if x IS NOT NULL]), '|') END AS candidates FROM (SELECT id, context, lower(replace(developer, '#', '-')) AS developer, replace(name, ' ', '-') AS stem, ['', '-thinking', '-non-reasoning-low-effort', '-high'][id % 4 + 1] AS suffix FROM model)", "model"))
+def er_10(spark, sf):
+    suffix = F.element_at(F.array(*map(F.lit, ["", "-thinking", "-non-reasoning-low-effort", "-high"])), (F.col("id") % 4 + 1).cast("int"))
+    m = R.model(spark, sf).select("id", F.when(F.col("context") % 5 != 0, F.lower(F.replace("developer", F.lit("#"), F.lit("-")))).alias("creator"), F.concat(F.replace("name", F.lit(" "), F.lit("-")), suffix).alias("slug"))
+    return m.select("id", F.array_join(F.array_sort(resolve.scoped_candidates(F.col("creator"), [F.col("slug")])), "|").alias("candidates"))
+
+
 @query("o_er_11", with_alias(f", {KNOWN} SELECT alias, n AS entities, entity_id AS first FROM known WHERE n > 1").replace("part) ,", "part),"))
 def er_11(spark, sf):
     a = aliases(spark, sf)
@@ -161,33 +178,25 @@ def er_13(spark, sf):
     return j.select("id", F.when(F.col("_e").isNotNull(), "exact").when(F.col("_n").isNotNull(), "normalised").otherwise("create").alias("how"))
 
 
-SCORED = "WITH o AS (SELECT a.id AS record, b.id AS entity, CASE WHEN a.name = b.name AND a.family = b.family THEN 110 WHEN a.name = b.name THEN 80 WHEN a.family = b.family THEN 60 ELSE 0 END AS score FROM model a JOIN model b ON a.developer = b.developer AND a.id % 20 = 0 AND b.id % 20 <> 0)"
+# every model against all others of its developer; SQL makes all pairs, Spark doesn't
+SCORED = "WITH o AS (SELECT a.id AS record, b.id AS entity, CASE WHEN a.name = b.name AND a.family = b.family THEN 110 WHEN a.name = b.name THEN 80 WHEN a.family = b.family THEN 60 ELSE 0 END AS score FROM model a JOIN model b ON a.developer = b.developer AND a.id <> b.id), t AS (SELECT *, count(*) FILTER (WHERE score >= 80) OVER (PARTITION BY record) AS good, row_number() OVER (PARTITION BY record ORDER BY score DESC, entity) AS rn FROM o WHERE score > 0)"
 
 
-def scored(spark, sf):
-    m = R.model(spark, sf)
-    b = m.where("id % 20 <> 0").select("developer", F.col("id").alias("entity"), F.col("name").alias("n2"), F.col("family").alias("f2"))
-    j = m.where("id % 20 = 0").join(b, "developer")
-    whole = F.when((F.col("name") == F.col("n2")) & (F.col("family") == F.col("f2")), F.col("name"))
-    score = resolve.option_score(F.col("name"), whole, F.col("n2"), F.col("family") == F.col("f2"))
-    return j.select(F.col("id").alias("record"), "entity", score.alias("score"))
-
-
-@query("o_er_14", with_roles(SCORED + " SELECT record, entity, score FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY score DESC, entity) AS rn FROM o WHERE score > 0) WHERE rn <= 10", "model"))
+@query("o_er_14", with_roles(SCORED + " SELECT record, entity, score FROM t WHERE rn <= 10", "model"))
 def er_14(spark, sf):
-    return picks.latest_pick(scored(spark, sf).where("score > 0"), ["record"], [F.desc("score"), F.asc("entity")], 10)
+    return resolve.best_options(R.model(spark, sf), "id", "developer", "name", "family", 10)
 
 
-@query("o_er_15", with_roles(SCORED + " SELECT record, entity, score, score >= 80 AND count(*) FILTER (WHERE score >= 80) OVER (PARTITION BY record) = 1 AS suggested FROM o", "model"))
+@query("o_er_15", with_roles(SCORED + " SELECT record, entity, score, score >= 80 AND good = 1 AS suggested FROM t WHERE rn <= 10", "model"))
 def er_15(spark, sf):
-    return resolve.suggest(scored(spark, sf), "record", "entity", "score")
+    return resolve.suggest(resolve.best_options(R.model(spark, sf), "id", "developer", "name", "family", 10), "record", "entity", "score")
 
 
-@query("o_er_16", with_roles("SELECT a.id, string_agg(DISTINCT CAST(b.id AS VARCHAR), ',' ORDER BY CAST(b.id AS VARCHAR)) AS existing FROM model a JOIN model b ON b.name = a.name AND b.developer = a.developer WHERE a.id % 20 = 0 GROUP BY 1", "model"))
+@query("o_er_16", with_roles("SELECT a.id, string_agg(DISTINCT CAST(b.id AS VARCHAR), ',' ORDER BY CAST(b.id AS VARCHAR)) AS existing FROM model a JOIN model b ON b.name = a.name AND b.developer = a.developer GROUP BY 1", "model"))
 def er_16(spark, sf):
-    m = R.model(spark, sf)
-    b = m.select("name", "developer", F.col("id").cast("string").alias("b"))
-    return m.where("id % 20 = 0").select("id", "name", "developer").join(b, ["name", "developer"]).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("existing"))
+    m = R.model(spark, sf).select("id", "name", "developer")
+    lists = m.groupBy("name", "developer").agg(F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("existing"))
+    return m.join(lists, ["name", "developer"]).select("id", "existing")
 
 
 @query("o_er_17", with_roles("SELECT developer AS provider, family, count(*) AS n, array_to_string(list(id ORDER BY id)[1:3], ',') AS samples FROM model WHERE context < 20 GROUP BY ALL", "model"))
@@ -307,10 +316,14 @@ def sup_06(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.coalesce(F.get_json_object(nested, "$.a.c"), F.get_json_object(nested, "$.a.b.k")).alias("v"))
 
 
-@query("o_sup_07", "SELECT event_id AS id, [NULL, 'n', 'name', 'n,name,tags'][event_id % 4 + 1] AS problems FROM events")
+@query("o_sup_07", "SELECT event_id AS id, nullif(concat_ws(',', CASE WHEN k % 3 = 1 OR k % 7 = 3 THEN 'n' END, CASE WHEN k % 4 = 2 THEN 'name' WHEN k % 7 = 3 THEN 'name' END, CASE WHEN k % 5 = 4 OR k % 7 = 3 THEN 'tags' END), '') AS problems FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def sup_07(spark, sf):
-    bodies = ['{"n": 3, "name": "x", "tags": []}', '{"n": true, "name": "x", "tags": ["a"]}', '{"n": 0, "name": " ", "tags": []}', "[]"]
-    raw = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 4 + 1).cast("int"))
+    # the payloads are the rows' own, damaged by the number in them
+    k = F.get_json_object("props", "$.k").cast("long")
+    number = F.when(k % 3 == 1, F.lit("true")).otherwise(k.cast("string"))
+    name = F.when(k % 4 == 2, F.lit('" "')).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    tags = F.when(k % 5 == 4, F.col("props")).otherwise(F.concat(F.lit('["'), "event_type", F.lit('"]')))
+    raw = F.when(k % 7 == 3, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit('{"n": '), number, F.lit(', "name": '), name, F.lit(', "tags": '), tags, F.lit("}")))
     found = validate.problems(raw, {"n": "int", "name": "text", "tags": "list"})
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.nullif(F.array_join(found, ","), F.lit("")).alias("problems"))
 

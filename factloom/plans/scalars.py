@@ -83,7 +83,7 @@ def str_08(spark, sf):
     return aliases(spark, sf).select("id", F.get(v, F.lit(0)).alias("whole"), F.coalesce(F.get(v, F.lit(1)), F.get(v, F.lit(0))).alias("bare"))
 
 
-@query("o_str_09")
+@query("o_str_09", "SELECT id, array_to_string(list_filter([stem || suffix, CASE WHEN size < 10 THEN 'claude-opus-' || size || suffix END, CASE WHEN suffix <> '' THEN stem END], lambda x: x IS NOT NULL), '|') AS forms FROM (SELECT p_partkey AS id, p_size AS size, 'claude-' || p_size || '-opus' AS stem, ['', '-thinking', '-non-reasoning-low-effort', '-high'][p_partkey % 4 + 1] AS suffix FROM part)")
 def str_09(spark, sf):
     from factloom.operators.resolve import identity_variants
 

@@ -124,16 +124,23 @@ def view_12(spark, sf):
     return picks.latest_pick(v, ["model_id"], [F.desc("v"), F.asc("benchmark_id")], 2).withColumn("v", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "v")), 4))
 
 
-@query("o_view_13", with_point("WITH s AS (SELECT id, developer, family, open_weights, row_number() OVER (ORDER BY score DESC, id) AS n FROM point ORDER BY score DESC, id LIMIT 200), f AS (SELECT * FROM s WHERE n = 1) SELECT 'leaders' AS label, 1 AS a, 2 AS b UNION ALL SELECT 'cross', 1, min(n) FROM s WHERE developer <> (SELECT developer FROM f) UNION ALL SELECT 'open', least(min(n) FILTER (WHERE open_weights), min(n) FILTER (WHERE NOT open_weights)), greatest(min(n) FILTER (WHERE open_weights), min(n) FILTER (WHERE NOT open_weights)) FROM s"))
+PAIRS = """WITH s AS (SELECT id, developer, family, open_weights, row_number() OVER (ORDER BY score DESC, id) AS n FROM point WHERE score IS NOT NULL),
+d AS (SELECT n, id, developer, row_number() OVER (PARTITION BY developer ORDER BY n) AS k FROM s WHERE developer IS NOT NULL),
+f AS (SELECT n, id, family, row_number() OVER (PARTITION BY family ORDER BY n) AS k FROM s WHERE family IS NOT NULL),
+lab AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.developer = b.developer AND a.k = 1 AND b.k = 2 ORDER BY a.n LIMIT 1),
+kin AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.family = b.family AND a.k = 1 AND b.k = 2 ORDER BY a.n LIMIT 1),
+cross_ AS (SELECT (SELECT arg_min(id, n) FROM d) AS a, (SELECT arg_min(id, n) FROM d WHERE developer <> (SELECT arg_min(developer, n) FROM d)) AS b),
+p AS (SELECT 0 AS ord, 'Top Arena leaders' AS label, (SELECT id FROM s WHERE n = 1) AS a, (SELECT id FROM s WHERE n = 2) AS b UNION ALL SELECT 1, 'Best cross-lab matchup', a, b FROM cross_
+UNION ALL SELECT 2, 'Open vs closed', (SELECT arg_min(id, n) FROM s WHERE open_weights), (SELECT arg_min(id, n) FROM s WHERE NOT open_weights)
+UNION ALL SELECT 3, 'Same-lab faceoff', a, b FROM lab UNION ALL SELECT 4, 'Family matchup', a, b FROM kin
+UNION ALL SELECT 4 + x.n, 'Popular matchup', x.id, y.id FROM s x JOIN s y ON y.n = x.n + 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY ord) AS rn FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)
+SELECT label, a, b FROM q WHERE rn = 1 ORDER BY ord LIMIT 6"""
+
+
+@query("o_view_13", with_point(PAIRS))
 def view_13(spark, sf):
-    top = points(spark, sf).orderBy(F.desc("score"), "id").limit(200)
-    s = top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # at most 200 rows
-    first = s.where("n = 1").select(F.col("developer").alias("_d"))
-    cross = s.join(F.broadcast(first), F.col("developer") != F.col("_d")).agg(F.min("n").alias("b")).select(F.lit("cross").alias("label"), F.lit(1).alias("a"), "b")
-    o, c = F.min(F.when(F.col("open_weights"), F.col("n"))), F.min(F.when(~F.col("open_weights"), F.col("n")))
-    opened = s.agg(F.least(o, c).alias("a"), F.greatest(o, c).alias("b")).select(F.lit("open").alias("label"), "a", "b")
-    leaders = s.agg(F.min("n").alias("a"), (F.min("n") + 1).alias("b")).select(F.lit("leaders").alias("label"), "a", "b")
-    return leaders.union(cross).union(opened)
+    return views.suggested_pairs(points(spark, sf), "id", "score", "developer", "family", "open_weights", 6)
 
 
 @query("o_view_14", with_point("WITH p AS (SELECT a.*, b.id AS id2, b.price AS price2, b.score AS score2 FROM point a JOIN point b ON b.id = a.id + 1) SELECT id, CASE WHEN price = price2 THEN 'tie' WHEN price < price2 THEN 'left' ELSE 'right' END AS cheaper, CASE WHEN score = score2 THEN 'tie' WHEN score > score2 THEN 'left' ELSE 'right' END AS stronger FROM p"))
@@ -158,11 +165,9 @@ def view_16(spark, sf):
     return views.timeline(m, seen, F.lit("2023-06-01").cast("date")).select("id", "retired", "active", "display_end")
 
 
-@query("o_view_17", with_roles("SELECT a.id, b.id AS peer, CASE WHEN b.release_date = a.release_date THEN 'undated' WHEN b.release_date < a.release_date THEN 'predecessor' ELSE 'successor' END AS relation FROM model a JOIN model b ON a.developer = b.developer AND a.family = b.family AND a.id <> b.id WHERE a.id % 10 = 0", "model"))
+@query("o_view_17", with_roles("SELECT a.id, count(*) FILTER (WHERE b.release_date < a.release_date) AS predecessors, count(*) FILTER (WHERE b.release_date > a.release_date) AS successors, count(*) FILTER (WHERE b.release_date = a.release_date AND a.id <> b.id) AS undated, arg_max(b.id, struct_pack(d := b.release_date, i := -b.id)) FILTER (WHERE b.release_date < a.release_date) AS predecessor, arg_min(b.id, struct_pack(d := b.release_date, i := b.id)) FILTER (WHERE b.release_date > a.release_date) AS successor FROM model a JOIN model b ON a.developer = b.developer AND a.family = b.family GROUP BY 1", "model"))
 def view_17(spark, sf):
-    m = R.model(spark, sf).select("id", "developer", "family", "release_date")
-    b = m.select("developer", "family", F.col("id").alias("peer"), F.col("release_date").alias("_r"))
-    return m.where("id % 10 = 0").join(b, ["developer", "family"]).where("id <> peer").select("id", "peer", views.relation(F.col("_r"), F.col("release_date")).alias("relation"))
+    return views.relatives(R.model(spark, sf), ["developer", "family"], "id", "release_date")
 
 
 @query("o_view_18", with_roles("WITH u AS (SELECT model_id, 'cloud' AS origin, max(amount) AS tps FROM price GROUP BY 1 UNION ALL SELECT model_id, 'local', max(elo) FROM series WHERE kind = 'view' GROUP BY 1), m AS (SELECT median(tps) AS m FROM u) SELECT model_id, origin, tps, abs(tps - m) AS gap FROM u, m WHERE tps > 0 ORDER BY gap, tps, model_id, origin LIMIT 40", "price", "series"))
