@@ -101,26 +101,13 @@ def short_name(slug: Column) -> Column:
     return reduce(lambda x, step: F.regexp_replace(x, *step), brands, F.trim(s))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def suffix_reductions(s: pd.Series) -> pd.Series:
-    """Every form on the way of peeling run suffixes and dates off a name, the longest first."""
-    import re
-
-    peel = re.compile(rf"^(.+?)(?:[-_](?:{RUN_SUFFIXES})|[-_]\d{{4}}-\d\d-\d\d|-\d\d-\d\d)$", re.I)
-
-    def forms(name):
-        if name is None:
-            return None
-        out = []
-        if name.lower().startswith("chatgpt-"):
-            name = f"gpt-{name[8:]}"
-            out.append(name)
-        while m := peel.match(name):
-            name = m[1]
-            out.append(name)
-        return out
-
-    return s.map(forms)
+def suffix_reductions(name: Column) -> Column:
+    """Every form on the way of peeling run suffixes and dates off a name, the longest first; null of null."""
+    peel = rf"(?i)^(.+?)(?:[-_](?:{RUN_SUFFIXES})|[-_]\d{{4}}-\d\d-\d\d|-\d\d-\d\d)$"
+    first = F.regexp_replace(name, "(?i)^chatgpt-", "gpt-")
+    steps = F.sequence(F.lit(1), F.size(F.split(name, "[-_]")))  # every suffix begins with one of these
+    peeled = F.aggregate(steps, F.array(name, first), lambda got, _: F.array_append(got, F.regexp_replace(F.element_at(got, -1), peel, "$1")))
+    return F.array_except(F.array_distinct(peeled), F.array(name))
 
 
 def norm_variants(s: Column, ascii_only: bool = False) -> Column:

@@ -74,3 +74,17 @@ def write_if_valid(plan: DataFrame, problems: DataFrame, path: str, dry_run: boo
     if not dry_run:
         plan.write.mode("errorifexists").parquet(path)
     return plan
+
+
+def versioned_copy(table: DataFrame, root: str, version: int) -> DataFrame:
+    """``table`` as it is, kept under ``root`` as a version that is never overwritten, and read back from there."""
+    path = f"{root}/version={version:06d}"
+    table.write.mode("errorifexists").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def guarded_merge(table: DataFrame, plan: DataFrame, backup: DataFrame | None, problems: DataFrame, path: str) -> DataFrame:
+    """``plan`` in place of ``table``, only beside a copy that has all of its rows, and only without problems."""
+    if backup is None or backup.isEmpty() or backup.count() != table.count():
+        raise ValueError("not merged: there is no whole copy of the table")
+    return write_if_valid(plan, problems, path, dry_run=False).sparkSession.read.schema(plan.schema).parquet(path)

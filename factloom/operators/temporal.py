@@ -45,8 +45,7 @@ def coalesce_islands(rows: DataFrame, keys: Sequence[str], start: str, end: str,
     """Equal facts whose intervals overlap, as one row an island: keys, start, end, n.
 
     A row opens an island if it begins at or after the greatest end so far. Null starts and ends are
-    open. Right for rows that end after they begin; inverted rows are folded by
-    :func:`fold_islands`, since the end of a fact then may move back.
+    open. Right for rows that end after they begin; ``fold_islands`` is for others.
     """
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(start), *ties)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -58,3 +57,26 @@ def coalesce_islands(rows: DataFrame, keys: Sequence[str], start: str, end: str,
     marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy(*keys, "_island").agg(F.min_by(start, F.struct(F.col(start).isNotNull(), start)).alias(start), F.when(F.max(F.col(end).isNull()), F.lit(None)).otherwise(F.max(end)).alias(end), F.count("*").alias("n"))
     return merged.drop("_island")
+
+
+def fold_islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, ties: Sequence[str]) -> DataFrame:
+    """Like ``coalesce_islands`` for intervals that may end before they begin: keys, start, end, n.
+
+    Rows are folded in order: one that begins before the end of the island so far, or at an open one,
+    joins it, and the later of both ends holds; else it opens the next island, whose end is its own, even
+    if that lies before its start. A key's rows are one array, in start order, so keys are to be of moderate size.
+    """
+    item = F.struct(F.col(start).isNotNull().alias("known"), F.col(start).alias("s"), *ties, F.col(end).alias("e"))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    kinds = f"array<struct<s:{rows.schema[start].dataType.simpleString()},e:{rows.schema[end].dataType.simpleString()},n:bigint>>"
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).cast("long").alias("n"))
+        meets = last["e"].isNull() | x["s"].isNull() | (x["s"] < last["e"])
+        later = F.when(last["e"].isNull() | x["e"].isNull(), F.lit(None)).otherwise(F.greatest(last["e"], x["e"]))
+        grown = F.struct(last["s"].alias("s"), later.alias("e"), (last["n"] + 1).alias("n"))
+        return F.when(F.size(done) == 0, F.array(fresh)).when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh))).cast(kinds)
+
+    folded = lists.select(*keys, F.explode(F.aggregate("_all", F.array().cast(kinds), step)).alias("_i"))
+    return folded.select(*keys, F.col("_i.s").alias(start), F.col("_i.e").alias(end), F.col("_i.n").alias("n"))

@@ -72,7 +72,11 @@ def str_06(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.short_name(slug).alias("name"))
 
 
-@query("o_str_07")
+def peeled(of):
+    return f"regexp_replace({of}, '^(.+?)(?:[-_](?:{X.RUN_SUFFIXES})|[-_]\\d{{4}}-\\d\\d-\\d\\d|-\\d\\d-\\d\\d)$', '\\1', 'i')"
+
+
+@query("o_str_07", with_alias(f"SELECT id, concat_ws('|', CASE WHEN f1 <> s THEN f1 END, CASE WHEN f2 <> f1 THEN f2 END, CASE WHEN f3 <> f2 THEN f3 END) AS forms FROM (SELECT *, {peeled('f2')} AS f3 FROM (SELECT *, {peeled('f1')} AS f2 FROM (SELECT id, lower(s) AS s, {peeled('lower(s)')} AS f1 FROM a)))"))
 def str_07(spark, sf):
     return aliases(spark, sf).select("id", F.array_join(X.suffix_reductions(F.lower("s")), "|").alias("forms"))
 
@@ -344,7 +348,7 @@ def json_02(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), J.path_coalesce(F.col("props"), ["$.a.b", "$.list[0]", "$.k"]).alias("k"))
 
 
-@query("o_json_03")
+@query("o_json_03", "SELECT event_id AS id, '{\"inner\": {\"path\": null, \"value\": ' || value || '}}' AS public FROM events")
 def json_03(spark, sf):
     raw = F.to_json(F.struct(F.lit("s3cr3t").alias("api_key"), F.struct(F.lit("/home/x").alias("path"), F.col("value")).alias("inner")))
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), J.redact(raw).alias("public"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +23,19 @@ def session(master: str = "local[8]", app: str = "factloom", **conf: str) -> Spa
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a plan writes and reads back, in spark.checkpoint.dir, which all executors share.
+
+    Only a local master may do without that setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -220,6 +220,27 @@ def zip_csv(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(unzip, "path string, member string, body string")
 
 
+def zipped_csv(bodies: DataFrame, member: str) -> DataFrame:
+    """(path, content): ZIP files, each with one CSV member, of ``bodies(path, body)``."""
+
+    def pack(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(member, body)
+                out.append({"path": path, "content": held.getvalue()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return bodies.select("path", "body").mapInArrow(pack, "path string, content binary")
+
+
 def epoch(files: DataFrame) -> DataFrame:
     """Scores of all members: the model column by its header, the others where they hold numbers."""
     return wide_scores(table_rows(zip_csv(files)), ["Model version", "Model", "model", "Name"], ["Release date", "id"])

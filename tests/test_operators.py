@@ -293,3 +293,108 @@ def test_one_failing_source_does_not_stop_the_others(spark):
 def test_status_lines(spark):
     df = spark.createDataFrame([("  a: ok 3",), ("b: FAILED x",), ("noise",)], "value string")
     assert rows(documents.status_from_log(df).select("source", "status")) == [("a", "ok"), ("b", "failed")]
+
+
+# ranges, options, folds
+
+
+def test_medians_ranks_and_records_of_few_keys(spark):
+    import random
+    import statistics
+
+    from factloom.operators import frontier, ranges
+
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), i, rng.choice([1.0, 2.5, 7.0, None, rng.random() * 9]), rng.randrange(50)) for i in range(999)] + [("c", 1000, 4.0, 1), ("d", 1001, None, 2)]
+    df = spark.createDataFrame(data, "k string, id long, v double, t long")
+    groups = {k: sorted(v for g, _, v, _ in data if g == k and v is not None) for k in "abc"}
+    assert {r.k: r.m for r in ranges.median(df, ["k"], "v", "m").collect()} == pytest.approx({k: statistics.median(v) for k, v in groups.items()})
+    assert one(spark, F.lit(1)) == 1 and ranges.median(df, [], "v", "m").first().m == pytest.approx(statistics.median(v for g in groups.values() for v in g))
+    got = ranges.ranked(df, ["k"], "v").collect()
+    assert len(got) == sum(map(len, groups.values()))
+    for r in got:
+        assert groups[r.k][r._i] == r.v and r._n == len(groups[r.k])
+    best, want = {}, []
+    for k, i, v, t in sorted(data, key=lambda r: (r[3], r[1])):
+        if k not in best or best[k] is None or v is not None and v > best[k]:
+            want.append(i)
+        best[k] = v if best.get(k) is None or v is not None and v > best[k] else best[k]
+    assert sorted(r.id for r in frontier.records(df, "k", "t", "v", ["id"]).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [3, 40, 200])
+def test_ends_with_ties_and_nulls(spark, n):
+    import random
+
+    from factloom.operators import sorts
+
+    rng = random.Random(n)
+    data = [(i, rng.choice([None, 1.0, 2.0, rng.random()])) for i in range(n)]
+    up = sorted(data, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    down = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    want = sorted((r[0], up.index(r) + 1, down.index(r) + 1) for r in {*up[:10], *down[:10]})
+    got = sorts.ends_nulls_last(spark.createDataFrame(data, "id long, v double"), "v", "id", 10)
+    assert sorted((r.id, r.up, r.down) for r in got.collect()) == want
+
+
+def test_overlaps_of_open_equal_and_odd_intervals(spark):
+    import random
+
+    from factloom.operators import joins
+
+    rng = random.Random(8)
+    data = []
+    for i in range(120):
+        s = rng.choice([None, rng.randrange(30)])
+        data.append((rng.choice(["a", "b", None]), i, s, rng.choice([None, (s or 0) + rng.randrange(1, 9), (s or 0) + rng.randrange(-3, 9)])))
+    df = spark.createDataFrame(data, "k string, id long, s long, e long")
+    meets = lambda x, y: (x[2] is None or y[3] is None or x[2] < y[3]) and (y[2] is None or x[3] is None or y[2] < x[3])
+    want = {(x[1], y[1]) for x in data for y in data if x[0] == y[0] and x[1] < y[1] and meets(x, y)}
+    assert {(r.id, r.other) for r in joins.overlapping_pairs(df, ["k"], "id", "s", "e").collect()} == want
+    proper = [r for r in data if r[3] is None or r[2] is None or r[3] > r[2]]
+    counts = {}
+    for x in proper:
+        for y in proper:
+            if x[0] == y[0] and x[1] < y[1] and meets(x, y):
+                counts[x[0]] = counts.get(x[0], 0) + 1
+    assert {r.k: r.n for r in joins.overlap_counts(spark.createDataFrame(proper, df.schema), ["k"], "id", "s", "e", "n").collect()} == counts
+
+
+def test_best_options_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(i, rng.choice("pq"), rng.choice("xyz"), rng.choice("fgh")) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, provider string, name string, family string")
+    score = lambda a, b: 110 if a[2:] == b[2:] else 80 if a[2] == b[2] else 60 if a[3] == b[3] else 0
+    want = set()
+    for a in data:
+        options = sorted((-score(a, b), b[0]) for b in data if a[1] == b[1] and a[0] != b[0] and score(a, b))[:7]
+        want |= {(a[0], i, -s) for s, i in options}
+    assert set(map(tuple, resolve.best_options(df, "id", "provider", "name", "family", 7).collect())) == want
+
+
+def test_folding_of_intervals_that_end_before_they_begin(spark):
+    from factloom.operators import temporal
+
+    rows_ = [("k", 1, 10, 1), ("k", 3, 2, 2), ("k", 9, 12, 3), ("k", 12, 5, 4), ("k", 13, 20, 5), ("k", 14, None, 6), ("o", 5, 1, 7), ("o", 6, 8, 8)]
+    df = spark.createDataFrame(rows_, "k string, s long, e long, id long")
+    got = sorted(((r.k, r.s, r.e, r.n) for r in temporal.fold_islands(df, ["k"], "s", "e", ["id"]).collect()), key=str)
+    assert got == sorted([("k", 1, 12, 3), ("k", 12, 5, 1), ("k", 13, None, 2), ("o", 5, 1, 1), ("o", 6, 8, 1)], key=str)
+    proper = df.where("e is null or e > s")
+    a, b = (sorted(map(tuple, f(proper, ["k"], "s", "e", ["id"]).select("k", "s", "e", "n").collect()), key=str) for f in (temporal.fold_islands, temporal.coalesce_islands))
+    assert a == b
+
+
+def test_merges_need_a_whole_copy(spark, tmp_path):
+    from factloom.operators import merge
+
+    t = spark.createDataFrame([(1, 2), (3, 4)], "id long, v long")
+    none = t.where("false")
+    for backup in (None, none, t.limit(1)):
+        with pytest.raises(ValueError, match="copy"):
+            merge.guarded_merge(t, t, backup, none, str(tmp_path / "x"))
+    copy = merge.versioned_copy(t, str(tmp_path / "b"), 1)
+    assert merge.guarded_merge(t, t.where("id = 1"), copy, none, str(tmp_path / "y")).count() == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        merge.versioned_copy(t, str(tmp_path / "b"), 1)
