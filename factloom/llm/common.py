@@ -29,6 +29,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(c for c in (f"{n}{'_' * k}" for k in range(len(own) + 1)) if c.lower() not in own) for n in names]
 
 
+#: Folders that this process has filled in the shared folder.
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder in the shared one."""
+    _made.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all folders made by ``new_folder`` so far, and says how many; to be called once no frame made from them is read any more.
+
+    Checkpoints go with their frames where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    gone = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no lineage."""
     shared_dir(df.sparkSession)
@@ -38,7 +60,7 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Like ``durable``, as compressed Parquet: for tables with large columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

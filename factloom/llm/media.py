@@ -12,7 +12,6 @@ import io
 import json
 import struct
 import time
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from factloom.llm.common import shared_dir
+from factloom.llm.common import new_folder
 
 WIDTH = 64
 #: The eight bytes every PNG begins with (fixed value).
@@ -268,7 +267,7 @@ def media_columns(spark: SparkSession, docs: DataFrame, root: str | None = None)
     rows; an empty table gives no archives and no rows; other columns of ``docs`` are ignored.
     The driver holds one short row per archive, as it does for any file listing.
     """
-    root = root or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    root = root or new_folder(spark, "media")
     where, path = _open(root)
     where.create_dir(path, recursive=True)
     written = write_archives(docs, root).where("members > 0").collect()
