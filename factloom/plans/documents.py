@@ -61,18 +61,18 @@ def doc_06(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), path_coalesce(raw, ["$.cost", "$.mean_cost"]).try_cast("double").alias("cost")).where("cost IS NOT NULL")
 
 
-@query("o_doc_07", with_roles("SELECT model_id, day, elo, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT ON (model_id, day) model_id, CAST(t AS DATE) AS day, elo FROM series ORDER BY model_id, day, t DESC, id DESC)", "series"))
+@query("o_doc_07", with_roles("SELECT model_id, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day) AS days, string_agg(CAST(elo AS VARCHAR), ',' ORDER BY day) AS elos FROM (SELECT DISTINCT ON (model_id, day) model_id, CAST(t AS DATE) AS day, elo FROM series ORDER BY model_id, day, t DESC, id DESC) GROUP BY 1", "series"))
 def doc_07(spark, sf):
     daily = changes.last_of_day(R.series(spark, sf), ["model_id"], "t", ["t", "id"])
     s = nested.columnar_series(daily, ["model_id"], ["day"], ["day", "elo"])
-    return s.select("model_id", F.posexplode(F.arrays_zip("day", "elo")).alias("pos", "z")).select("model_id", F.col("pos").cast("long").alias("pos"), "z.day", "z.elo")
+    return s.select("model_id", F.array_join(F.col("day").cast("array<string>"), ",").alias("days"), F.array_join(F.col("elo").cast("array<string>"), ",").alias("elos"))
 
 
-@query("o_doc_08", with_roles("SELECT benchmark_id, model_id, measured_at AS at, arg_max(score, struct_pack(a := snapshot_id, b := rank, c := score)) AS score FROM result WHERE NOT self_reported GROUP BY ALL", "result"))
+@query("o_doc_08", with_roles("SELECT benchmark_id, model_id, string_agg(CAST(CAST(seen AS DATE) AS VARCHAR), ',' ORDER BY seen) AS days, string_agg(CAST(score AS VARCHAR), ',' ORDER BY seen) AS scores FROM (SELECT benchmark_id, model_id, measured_at AS seen, arg_max(score, struct_pack(a := snapshot_id, b := rank, c := score)) AS score FROM result WHERE NOT self_reported GROUP BY ALL) GROUP BY ALL", "result"))
 def doc_08(spark, sf):
     r = R.result(spark, sf).where("NOT self_reported").groupBy("benchmark_id", "model_id", F.col("measured_at").alias("at")).agg(F.max_by("score", F.struct("snapshot_id", "rank", "score")).alias("score"))
     s = nested.columnar_series(r, ["benchmark_id", "model_id"], ["at"], ["at", "score"])
-    return s.select("benchmark_id", "model_id", F.explode(F.arrays_zip("at", "score")).alias("z")).select("benchmark_id", "model_id", "z.at", "z.score")
+    return s.select("benchmark_id", "model_id", F.array_join(F.transform("at", lambda t: t.cast("date").cast("string")), ",").alias("days"), F.array_join(F.col("score").cast("array<string>"), ",").alias("scores"))
 
 
 @query("o_doc_09", with_roles("SELECT m.id, p.component, p.amount, p.valid_from FROM model m JOIN price p ON p.model_id = m.id", "model", "price"))
