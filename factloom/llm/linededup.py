@@ -110,10 +110,11 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarit
     for _ in range(levels):
         spread = found.select("part", "key", "n", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
         size = found.groupBy("part").agg(F.sum("n").alias("all"))
-        have = spread.groupBy("part", "pos", "token").agg(F.sum("n").alias("have")).join(size, "part")
         common = 2 * F.col("have") > F.col("all")
-        pick = F.when(~common & (F.col("pos") >= depth) & (F.col("have") >= min_documents), F.struct("have", (-F.col("pos")).alias("at"), "token"))
-        scored = durable(spread.join(have, ["part", "pos", "token"]).groupBy("part", "key").agg((F.count_if(common) / F.count("*")).alias("share"), F.max(pick).alias("pick")))
+        have = spread.groupBy("part", "pos", "token").agg(F.sum("n").alias("have")).join(size, "part")
+        have = have.where(common | (F.col("pos") >= depth) & (F.col("have") >= min_documents))  # tokens that few lines have are most of all, and never matter
+        pick = F.when(~common, F.struct("have", (-F.col("pos")).alias("at"), "token"))
+        scored = durable(spread.join(have, ["part", "pos", "token"], "left").groupBy("part", "key").agg((F.count_if(common) / F.count("*")).alias("share"), F.max(pick).alias("pick")))
         member = scored.where(F.col("share") >= similarity).select("part", "key")
         fit = member if fit is None else fit.union(member)
         apart = scored.where((F.col("share") < similarity) & F.col("pick").isNotNull()).select("part", "key", F.xxhash64("part", "pick.at", "pick.token").alias("_next"))
@@ -136,24 +137,23 @@ def dedup_lines(docs: DataFrame, most_keys: int = 20_000, **options) -> DataFram
     beyond that, the places of recurring lines are joined to the texts.
     """
     marked, drop = recurring(docs, **options)
-    hit, of, body, own = fresh(docs, "_drop", "_of", "_body", "_own")
+    hit, of, body, own, kept = fresh(docs, "_drop", "_of", "_body", "_own", "_kept")
     lines = _lines(F.col("text"))
-    count = drop.count()
     rows = docs.drop("n_lines", "n_dropped")
-    if count <= most_keys:
-        keys = [r.key for r in drop.collect()]
-        known = (lambda line: _key(line, _count(line)).isin(keys)) if keys else (lambda line: F.lit(False))
-        rows = rows.withColumn(hit, F.filter(F.transform(lines, lambda v, i: F.when(known(v), i)), lambda i: i.isNotNull()))
+    if drop.count() <= most_keys:
+        keys = [r.h for r in drop.select(F.col("key").bitwiseAND(F.lit(-8)).alias("h")).distinct().collect()]  # a line's hash tells its number of tokens, too
+        left = F.filter(lines, lambda v: ~_hash(v).isin(keys)) if keys else lines
     else:
         hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(hinted(drop), "key", "left_semi")
         hits = hits.groupBy(F.col("doc_id").alias(of), F.col("body").alias(body)).agg(F.collect_set("pos").alias(hit))
         rows = rows.withColumn(own, F.xxhash64("text"))
         rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(body)), "left")
-    some = F.coalesce(F.size(hit), F.lit(0)) > 0
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(hit)), lambda i: F.get(lines, i))
-    rows = rows.withColumn("n_lines", n).withColumn("n_dropped", F.when(some, F.size(hit)).otherwise(0))
-    rows = rows.withColumn("text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")))
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(hit))
+        # lines are split once a text, and not for each line that stays
+        left = F.when(F.col(hit).isNull(), lines).otherwise(F.get(F.transform(F.array(lines), lambda every: F.transform(rest, lambda i: F.get(every, i))), F.lit(0)))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn(kept, left)
+    rows = rows.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size(kept)))
+    rows = rows.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
