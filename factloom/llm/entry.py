@@ -118,3 +118,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform("matches", lambda m: m["template"])
     most = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), most.alias("containment"), F.array_join(pairs, ",").alias("containments"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from factloom.llm import align
+
+    return align.alignment(table(spark, sf_dir, "documents"), *tokenizer_paths(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op13_exact_top_k", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import search
+
+    return search.top_k(table(spark, sf_dir, "embeddings"))
