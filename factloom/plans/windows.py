@@ -113,6 +113,23 @@ def tmp_01(spark, sf):
     return temporal.coalesce_islands(R.price(spark, sf), ["model_id", "surface_id", "component", "amount"], "valid_from", "valid_to", ["snapshot_id", "line", "total"])
 
 
+ANY_WAY = """WITH RECURSIVE p AS (SELECT model_id AS k, source_id AS c, valid_from AS s, CASE WHEN line % 4 = 1 THEN valid_from - to_days(CAST(amount AS INTEGER)) ELSE valid_to END AS e, snapshot_id AS id, line FROM price),
+ r AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY s, id, line) AS rn FROM p),
+ f AS (SELECT k, c, rn, s AS fs, e AS fe, id AS first_id, line AS first_line FROM r WHERE rn = 1
+  UNION ALL SELECT r.k, r.c, r.rn, CASE WHEN j THEN fs ELSE r.s END, CASE WHEN NOT j THEN r.e WHEN fe IS NULL OR r.e IS NULL THEN NULL ELSE greatest(fe, r.e) END, CASE WHEN j THEN first_id ELSE r.id END, CASE WHEN j THEN first_line ELSE r.line END
+  FROM (SELECT f.fs, f.fe, f.first_id, f.first_line, r.*, (f.fe IS NULL OR f.fe > r.s) AND (r.e IS NULL OR r.e > f.fs) AS j FROM f JOIN r ON r.k = f.k AND r.c = f.c AND r.rn = f.rn + 1) r)
+ SELECT k AS model_id, c AS source_id, first_id, first_line, fs AS valid_from, last(fe ORDER BY rn) AS valid_to, count(*) AS n FROM f GROUP BY k, c, first_id, first_line, fs"""
+
+
+@query("o_tmp_01_any", with_roles(ANY_WAY.replace("WITH RECURSIVE", "WITH"), "price").replace("WITH ", "WITH RECURSIVE ", 1))
+def tmp_01_any(spark, sf):
+    """Facts of one model and source whose windows meet; every line after the first of four ends before it begins."""
+    back = F.expr("valid_from - make_dt_interval(CAST(amount AS INT))")
+    p = R.price(spark, sf).withColumn("valid_to", F.when(F.col("line") % 4 == 1, back).otherwise(F.col("valid_to")))
+    p = p.select("model_id", "source_id", "valid_from", "valid_to", F.col("snapshot_id").alias("first_id"), F.col("line").alias("first_line"))
+    return temporal.fold_islands(p, ["model_id", "source_id"], "valid_from", "valid_to", ["first_id", "first_line"], first=["first_id", "first_line"])
+
+
 @query("o_tmp_02", with_roles("WITH g AS (SELECT model_id, surface_id, component FROM price GROUP BY ALL HAVING count(DISTINCT valid_from) >= 2), d AS (SELECT DISTINCT model_id, surface_id, component, valid_from FROM price JOIN g USING (model_id, surface_id, component)), n AS (SELECT *, lead(valid_from) OVER (PARTITION BY model_id, surface_id, component ORDER BY valid_from) AS nx FROM d) SELECT p.model_id, p.surface_id, p.component, p.snapshot_id, p.line, p.valid_from, n.nx AS valid_to FROM price p JOIN n USING (model_id, surface_id, component, valid_from) WHERE n.nx IS NOT NULL", "price"))
 def tmp_02(spark, sf):
     keys = ["model_id", "surface_id", "component"]

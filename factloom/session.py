@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its partitions as they are, and kept in the shared folder, so that a lost executor costs no lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

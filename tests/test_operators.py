@@ -398,3 +398,60 @@ def test_merges_need_a_whole_copy(spark, tmp_path):
     assert merge.guarded_merge(t, t.where("id = 1"), copy, none, str(tmp_path / "y")).count() == 1
     with pytest.raises(Exception, match="(?i)exist"):
         merge.versioned_copy(t, str(tmp_path / "b"), 1)
+
+
+def plain_islands(rows):
+    """(start, end, rows, first id) of rows (id, start, end) of one key, one by one."""
+    done = []
+    for i, s, e in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+        if done and (done[-1][1] is None or s is None or done[-1][1] > s) and (e is None or done[-1][0] is None or e > done[-1][0]):
+            done[-1][1] = None if done[-1][1] is None or e is None else max(done[-1][1], e)
+            done[-1][2] += 1
+        else:
+            done.append([s, e, 1, i])
+    return [tuple(x) for x in done]
+
+
+def test_islands_of_any_intervals_are_folded_in_ranges(spark):
+    import random
+
+    from factloom.operators import temporal
+
+    rng = random.Random(11)
+    rows = []
+    for key in (None, "a", "b", "hot"):
+        for i in range(60_000 if key == "hot" else 400):
+            s = None if rng.random() < 0.01 and key != "hot" else rng.randint(0, 90_000 if key == "hot" else 500)
+            e = None if rng.random() < 0.02 and key != "hot" else (s or 0) + rng.choice([-9, -1, 0, 1, 2, 3, 9])
+            rows.append((key, i, s, e))
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long").repartition(5)
+    want = sorted(((k, *r) for k in (None, "a", "b", "hot") for r in plain_islands([x[1:] for x in rows if x[0] == k])), key=repr)
+    got = temporal.fold_islands(df, ["k"], "s", "e", ["id"], first=["id"]).select("k", "s", "e", "n", "id")
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    parts = temporal.with_islands(df.where("k = 'hot'"), ["k"], "s", "e", ["id"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 40_000  # one key lies in several partitions
+    assert temporal.fold_islands(df.where("false"), ["k"], "s", "e", ["id"]).collect() == []
+
+
+def test_steps_compose():
+    import random
+
+    from factloom.operators import temporal as t
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        rows = sorted((rng.randint(0, 9), rng.randint(-3, 12)) for _ in range(rng.randint(1, 7)))
+        first = rng.randint(-3, rows[0][0])
+        for island in (t.NO_ISLAND, (float(first), float(rng.randint(-5, 14)))):
+            want = island
+            for s, e in rows:
+                want = (want[0], max(want[1], e)) if t.joins(want, s, e) else (s, e)
+            for cut in range(1, len(rows) + 1):
+                steps = []
+                for part in (rows[:cut], rows[cut:]):
+                    step = None
+                    for s, e in part:
+                        step = t.then(step, t.row_step(s, e)) if step else t.row_step(s, e)
+                    steps += [step] if step else []
+                whole = t.then(*steps) if len(steps) == 2 else steps[0]
+                assert t.after(island, whole) == want
