@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def replace_owned(table: DataFrame, owned: DataFrame, owner: str, owners: Sequen
     return table.where(~F.coalesce(F.col(owner).isin(*owners), F.lit(False))).unionByName(owned.select(*table.columns))
 
 
+def rebuild_owned(owned: DataFrame, path: str, owner: str, owners: Sequence[str]) -> DataFrame:
+    """The table at ``path``, a folder an owner, with the rows of ``owners`` replaced by those that ``owned`` has of them.
+
+    Folders of other owners aren't touched; those of ``owners`` without rows go. Running it again gives the
+    same table. Owners are text, null is one of its own.
+    """
+    spark, named = owned.sparkSession, [o for o in owners if o is not None]
+    mine = F.coalesce(F.col(owner).isin(*named), F.lit(None in owners))
+    rows = owned.where(mine)
+    rows.write.partitionBy(owner).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    gone = {"__HIVE_DEFAULT_PARTITION__" if o is None else o for o in owners} - {"__HIVE_DEFAULT_PARTITION__" if r[0] is None else r[0] for r in rows.select(owner).distinct().collect()}
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in files.listStatus(root):
+        if unquote(f.getPath().getName()).removeprefix(f"{owner}=") in gone and f.isDirectory():
+            files.delete(f.getPath(), True)
+    return spark.read.schema(owned.schema).parquet(path).select(*owned.columns)
+
+
 def rewrite_keys(facts: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``column`` with old keys replaced through ``mapping(old, new)``."""
     m = mapping.select("old", "new")
@@ -83,8 +103,13 @@ def versioned_copy(table: DataFrame, root: str, version: int) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def contents(table: DataFrame) -> tuple:
+    """Number of rows and the sum of their hashes: equal for equal rows in any order."""
+    return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
+
+
 def guarded_merge(table: DataFrame, plan: DataFrame, backup: DataFrame | None, problems: DataFrame, path: str) -> DataFrame:
     """``plan`` in place of ``table``, only beside a copy that has all of its rows, and only without problems."""
-    if backup is None or backup.isEmpty() or backup.count() != table.count():
+    if backup is None or not (held := contents(backup.select(*[c for c in table.columns if c in backup.columns])))[0] or held != contents(table):
         raise ValueError("not merged: there is no whole copy of the table")
     return write_if_valid(plan, problems, path, dry_run=False).sparkSession.read.schema(plan.schema).parquet(path)

@@ -53,12 +53,6 @@ def dml_05(spark, sf):
     return merge.sticky_upsert(old, new.withColumn("v", F.when(F.col("k") % 2 == 0, F.col("v"))), ["k"], ["v"])
 
 
-@query("o_dml_06", with_roles("SELECT id, source_id, size FROM snapshot WHERE source_id NOT IN ('5-LOW', '2-HIGH') UNION ALL SELECT id, source_id, size + 1 FROM snapshot WHERE source_id = '5-LOW'", "snapshot"))
-def dml_06(spark, sf):
-    s = R.snapshot(spark, sf).select("id", "source_id", "size")
-    return merge.replace_owned(s, s.where("source_id = '5-LOW'").withColumn("size", F.col("size") + 1), "source_id", ["5-LOW", "2-HIGH"])
-
-
 @query("o_dml_07", with_roles("SELECT CASE WHEN model_id % 5 = 0 AND model_id + 1 IN (SELECT id FROM model) THEN model_id + 1 ELSE model_id END AS model_id, snapshot_id, rank FROM result", "result", "model"))
 def dml_07(spark, sf):
     m = R.model(spark, sf).select("id")

@@ -9,8 +9,7 @@ from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
 from factloom.session import shared_folder
-from factloom.sources import parsers
-from factloom.sources.snapshots import run_sources
+from factloom.sources import commits, parsers
 
 
 @query("o_snk_01", with_roles("SELECT id, developer, CAST(price AS DOUBLE) AS price FROM model", "model"))
@@ -48,12 +47,29 @@ def src_04(spark, sf):
     return found.select(F.col("path").cast("long").alias("archive"), "source_model_id", "benchmark_id", "score")
 
 
-@query("o_dml_08", with_roles("SELECT id, name, price FROM model", "model"))
+@query("o_dml_06", with_roles("SELECT id, source_id, size FROM snapshot WHERE source_id NOT IN ('5-LOW', '2-HIGH') UNION ALL SELECT id, source_id, size + 1 FROM snapshot WHERE source_id = '5-LOW'", "snapshot"))
+def dml_06(spark, sf):
+    """A table in folders of its owners; two owners are rebuilt, one of them without rows, and once more."""
+    s, path = R.snapshot(spark, sf).select("id", "source_id", "size"), shared_folder(spark, "owned")
+    s.write.partitionBy("source_id").parquet(path)
+    new = s.where("source_id = '5-LOW'").withColumn("size", F.col("size") + 1)
+    merge.rebuild_owned(new, path, "source_id", ["5-LOW", "2-HIGH"])
+    return merge.rebuild_owned(new, path, "source_id", ["5-LOW", "2-HIGH"])
+
+
+@query("o_dml_08", with_roles("SELECT 'model' AS kind, id, CAST(price AS DOUBLE) + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS value FROM model UNION ALL SELECT 'surface', id, CASE WHEN id % 3 = 0 THEN -1 ELSE CAST(balance AS DOUBLE) END FROM surface UNION ALL SELECT 'dry run', id, 0 FROM model WHERE id % 7 = 0", "model", "surface"))
 def dml_08(spark, sf):
-    m = R.model(spark, sf).select("id", "name", "price")
-    plan = merge.upsert(m, m.where("id % 7 = 0").withColumn("price", F.col("price") + 1), ["id"], ["price"])
-    merge.write_if_valid(plan, plan.where("price IS NULL"), shared_folder(spark, "unused"), dry_run=True)  # a dry run changes nothing
-    return m
+    """Two tables change in one commit; a dry run before gives its plan and changes nothing, a batch with problems neither."""
+    m, s = R.model(spark, sf).select("id", F.col("price").cast("double").alias("price")), R.surface(spark, sf).select("id", F.col("balance").cast("double").alias("balance"))
+    store = commits.Store(spark, shared_folder(spark, "store"))
+    old = store.commit({"model": m, "surface": s})
+    new = {"model": merge.upsert(old["model"], m.where("id % 7 = 0").withColumn("price", F.col("price") + 1), ["id"], ["price"]), "surface": merge.upsert(old["surface"], s.where("id % 3 = 0").withColumn("balance", F.lit(-1.0)), ["id"], ["balance"])}
+    plan = store.commit(new, dry_run=True)["model"].join(store.read("model").withColumnsRenamed({"id": "_id", "price": "_price"}), (F.col("id") == F.col("_id")) & (F.col("price") != F.col("_price")))
+    try:
+        store.commit({"model": m.where("false")}, problems=m.where("price > 0").select("id"))
+    except commits.Rejected:
+        done = store.commit(new)
+    return done["model"].select(F.lit("model").alias("kind"), "id", F.col("price").alias("value")).union(done["surface"].select(F.lit("surface"), "id", "balance")).union(plan.select(F.lit("dry run"), "id", F.lit(0.0)))
 
 
 @query("o_dml_10", with_roles("SELECT id, CASE WHEN id % 10 = 3 THEN id - 1 ELSE id END AS target FROM model", "model"))
@@ -74,15 +90,17 @@ def dml_11(spark, sf):
     return spark.read.schema("id long, price double, version int").parquet(root).select("version", "id", "price")
 
 
-@query("o_pro_18", with_roles("SELECT 'mteb' AS source, count(*) AS n, 0 AS failed FROM model UNION ALL SELECT 'swebench', 0, 1", "model"))
+@query("o_pro_18", with_roles("SELECT 'mteb' AS source, count(*) AS n, 0 AS failed FROM model UNION ALL SELECT 'swebench', 0, 1 UNION ALL SELECT 'aider', 0, 1 UNION ALL SELECT 'written', count(*), 0 FROM model", "model"))
 def pro_18(spark, sf):
+    """One source comes through, one breaks off at a row in the middle, one can't be planned."""
     m = R.model(spark, sf)
     body = F.to_json(F.array(F.struct(F.concat(F.lit("m"), "id").alias("model_name"), F.col("price").alias("avg"))))
     good = m.select(F.col("id").alias("snapshot_id"), body.alias("body"))
-    plans, failed = run_sources({"mteb": good, "swebench": m.select("id")})  # the second has no body
-    done = plans["mteb"].agg(F.lit("mteb").alias("source"), F.count("*").alias("n"), F.lit(0).alias("failed"))
-    stopped = m.agg(F.max("id").alias("_m")).select(F.explode(F.array(*[F.lit(n) for n, _ in failed])).alias("source"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("failed"))
-    return done.unionByName(stopped)
+    bad = m.withColumn("body", F.when(F.col("id") % 100 == 50, F.raise_error(F.lit("no such page"))).otherwise(F.lit("{}"))).select("id", "body")
+    plans = {"mteb": lambda: parsers.PARSERS["mteb"](good), "swebench": lambda: parsers.PARSERS["swebench"](bad), "aider": lambda: parsers.PARSERS["aider"](m.select("id"))}
+    store = commits.Store(spark, shared_folder(spark, "run"))
+    status = commits.run_isolated(store, plans)
+    return status.select("source", "n", "failed").union(store.read("mteb").agg(F.count("*").alias("n")).select(F.lit("written"), "n", F.lit(0)))
 
 
 @query("o_sup_17", with_roles("WITH q AS (SELECT id, developer || '/' || name AS alias, context > 25 AS approved FROM model), e AS (SELECT alias, min(id) AS entity_id FROM q WHERE NOT approved GROUP BY 1) SELECT q.id, e.entity_id, CASE WHEN NOT approved THEN 'waiting' WHEN e.entity_id IS NULL THEN 'new' ELSE 'linked' END AS status FROM q LEFT JOIN e ON approved AND q.alias = e.alias", "model"))

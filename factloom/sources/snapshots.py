@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.merge import insert_ignore
+from factloom.sources.commits import Store, run_isolated
 from factloom.sources.parsers import PARSERS
 
 #: Sources that are listed but have no parser here: nothing is read from them.
@@ -35,15 +38,14 @@ def raw_name(fetched_at, content_hash):
     return F.concat(F.date_format(fetched_at, "yyyyMMdd'T'HHmmss"), F.lit("_"), F.substring(content_hash, 1, 8), F.lit(".raw"))
 
 
-def run_sources(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """Plans of all sources that can be planned, and what stopped the others.
+def run_sources(store: Store, raw: dict[str, DataFrame]) -> DataFrame:
+    """(source, n, failed, error): every source's payloads parsed and kept as a table of ``store``, each by itself.
 
-    One source's failure doesn't stop the rest.
+    A source that fails, when it is planned or at any row, keeps the table of its last good run.
     """
-    out, failed = {}, []
-    for name, df in raw.items():
-        try:
-            out[name] = PARSERS[name](df)
-        except Exception as e:  # noqa: BLE001  any source may fail in any way; it is reported
-            failed.append((name, f"{type(e).__name__}: {e}"[:300]))
-    return out, failed
+    return run_isolated(store, {name: partial(lambda n: PARSERS[n](raw[n]), name) for name in raw})
+
+
+def exit_code(status: DataFrame) -> int:
+    """1 if every source failed, else 0."""
+    return int(status.where("failed = 0").isEmpty() and not status.isEmpty())

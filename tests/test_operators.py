@@ -284,12 +284,6 @@ def test_zip_of_csv_files(spark, tmp_path):
     assert [(r.source_model_id, r.benchmark_id, r.score) for r in parsers.epoch(files).collect()] == [("m, 1", "Score", 12.5)]
 
 
-def test_one_failing_source_does_not_stop_the_others(spark):
-    good = spark.createDataFrame([('{"data": [{"id": "a", "pricing": {"prompt": "0.000001"}}]}',)], "body string")
-    plans, failed = snapshots.run_sources({"openrouter": good, "aider": good.drop("body")})
-    assert list(plans) == ["openrouter"] and plans["openrouter"].first().input_price == pytest.approx(1.0) and failed[0][0] == "aider"
-
-
 def test_status_lines(spark):
     df = spark.createDataFrame([("  a: ok 3",), ("b: FAILED x",), ("noise",)], "value string")
     assert rows(documents.status_from_log(df).select("source", "status")) == [("a", "ok"), ("b", "failed")]
