@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import text as X
-from factloom.operators import joins, merge, picks, resolve, stats, validate
+from factloom.operators import joins, merge, picks, queue, resolve, stats, validate
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
@@ -342,3 +342,79 @@ def sup_12(spark, sf):
 @query("o_sup_19", with_roles("SELECT id, unnest([1, 2, 3]) AS run FROM model ORDER BY run, id", "model"))
 def sup_19(spark, sf):
     return validate.run_order(3, R.model(spark, sf).select("id"), "id", True)
+
+
+# review of the queue: orders wait to be resolved onto parts; order priorities are the sources, customers the names
+QUEUE = """q AS (SELECT o_orderkey AS id, o_orderpriority AS source, o_custkey AS c, o_orderkey % 40 = 1 AS approved, o_orderkey % 13 = 5 AS done, 1 + o_orderkey % (SELECT count(*) FROM part) AS target FROM orders)"""
+
+
+def review_tables(spark, sf):
+    """Every 13th order is done; the name of an order is its customer's, and it may give that and the doubled customer's."""
+    o = table(spark, sf, "orders")
+    done, name = F.col("o_orderkey") % 13 == 5, lambda c: F.concat(F.lit("c"), c)
+    models = R.model(spark, sf).select("id", F.concat(X.slugify("developer"), F.lit("/m"), "id").alias("slug"), X.slugify("developer").alias("developer_id"), F.col("name").alias("display_name"))
+    organizations = models.select(F.col("developer_id").alias("id")).distinct().select("id", F.upper("id").alias("display_name"), F.array(F.concat("id", F.lit(" labs"))).alias("aliases"))
+    records = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source_id"), name(F.col("o_custkey")).alias("name"), F.when(done, name(F.col("o_custkey"))).alias("alias"))
+    q = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("record_id"), F.when(done, F.lit(1)).cast("long").alias("model_id"), F.when(done, "resolved").otherwise("pending").alias("status"), done.alias("resolved"), F.array(name(F.col("o_custkey")), name(F.col("o_custkey") * 2), F.lit(" ")).alias("candidates"))
+    aliases, audit = spark.createDataFrame([], "source_id string, alias string, model_id long, method string"), spark.createDataFrame([], "queue_id long, record_id long, model_id long, action string")
+    return queue.Review(models, organizations, aliases, records, q, audit)
+
+
+SETTLED = f"""WITH RECURSIVE {QUEUE},
+ a AS (SELECT id, source, c, target FROM q WHERE approved AND NOT done),
+ seed AS (SELECT source, c, arg_max(target, id) AS m FROM (SELECT id, source, c, target FROM a UNION ALL SELECT id, source, c * 2, target FROM a) GROUP BY 1, 2),
+ p AS (SELECT DISTINCT source, c FROM q WHERE NOT approved AND NOT done),
+ k AS (SELECT source, c, m, 0 AS round FROM seed UNION ALL SELECT k.source, k.c * 2, k.m, round + 1 FROM k JOIN p ON p.source = k.source AND p.c = k.c WHERE k.c <> 0),
+ best AS (SELECT source, c, arg_min(m, round) AS m, min(round) AS round FROM k GROUP BY 1, 2)
+ SELECT q.id, CASE WHEN done THEN 'resolved' WHEN approved OR b.m IS NOT NULL THEN 'accepted' ELSE 'pending' END AS status,
+  CASE WHEN done THEN 1 WHEN approved THEN target ELSE b.m END AS model_id, done OR approved OR b.m IS NOT NULL AS resolved,
+  CASE WHEN done THEN NULL WHEN approved THEN 'accept,drain' WHEN b.m IS NOT NULL THEN 'settle' END AS actions,
+  CASE WHEN done OR approved OR b.m IS NOT NULL THEN 'c' || q.c END AS alias
+ FROM q LEFT JOIN best b ON b.source = q.source AND b.c = q.c AND NOT approved AND NOT done"""
+
+
+@query("o_er_18", SETTLED)
+def er_18(spark, sf):
+    """A batch of approvals, then all that its names make resolvable, over all orders."""
+    review = review_tables(spark, sf)
+    n = F.broadcast(review.models.agg(F.count("*").alias("_n")))  # one row
+    approvals = review.queue.where("id % 40 = 1 AND status = 'pending'").join(n).select(F.col("id").alias("position"), F.col("id").alias("queue_id"), (1 + F.col("id") % F.col("_n")).alias("model_id"))
+    done = queue.settle(queue.accept_batch(review, approvals))
+    actions = done.audit.groupBy(F.col("queue_id").alias("_q")).agg(F.array_join(F.array_sort(F.collect_list("action")), ",").alias("actions"))
+    links = done.records.select(F.col("id").alias("record_id"), "alias")
+    return done.queue.join(links, "record_id").join(actions, F.col("id") == F.col("_q"), "left").select("id", "status", "model_id", "resolved", "actions", "alias")
+
+
+MINTED = f"""WITH {QUEUE}, r AS (SELECT id, source, c, row_number() OVER (ORDER BY id) + (SELECT max(p_partkey) FROM part) AS m, 'brand-' || (11 + id % 3) AS dev FROM q WHERE id % 97 = 3 AND NOT done)
+ SELECT m AS id, dev || '/new-' || id AS slug, dev AS developer_id, 'n' || id AS first_alias, source AS source_id, 'resolved' AS status FROM r"""
+
+
+@query("o_er_18_new_models", MINTED)
+def er_18_new_models(spark, sf):
+    """Models minted for every 97th order, in order of the batch."""
+    review = review_tables(spark, sf)
+    dev = F.concat(F.lit("brand-"), 11 + F.col("id") % 3)
+    batch = review.queue.where("id % 97 = 3 AND status = 'pending'").select(F.col("id").alias("position"), F.col("id").alias("queue_id"), F.concat(dev, F.lit("/new-"), "id").alias("slug"), dev.alias("developer_id"), F.lit(None).cast("string").alias("display_name"), F.array(F.concat(F.lit("n"), "id"), F.concat(F.lit("x"), "id")).alias("aliases"))
+    organizations = spark.range(11, 14).select(F.concat(F.lit("brand-"), "id").alias("id"), F.lit("b").alias("display_name"), F.array().cast("array<string>").alias("aliases"))
+    done = queue.accept_new_models(review.changed(organizations=organizations), batch)
+    minted = done.queue.join(done.audit.select("queue_id"), F.col("id") == F.col("queue_id")).select("queue_id", "record_id", F.col("model_id").alias("_m"), "status")
+    links = done.records.select(F.col("id").alias("record_id"), "source_id", F.col("alias").alias("first_alias"))
+    return done.models.join(minted, F.col("id") == F.col("_m")).join(links, "record_id").select("id", "slug", "developer_id", "first_alias", "source_id", "status")
+
+
+GUARDS = f"""WITH {QUEUE}, b AS (SELECT id AS queue_id, CASE WHEN id % 5 = 1 THEN -id WHEN id % 5 = 2 THEN NULL ELSE 1 END AS target, 2 * id AS position, 1 AS copy, done FROM q WHERE id % 7 = 2
+  UNION ALL SELECT id, 1, 2 * id + 1, 2, done FROM q WHERE id % 7 = 2 AND id % 3 = 0 UNION ALL SELECT -id, 1, 2 * id, 1, FALSE FROM q WHERE id % 31 = 0)
+ SELECT position, CAST(queue_id AS VARCHAR) AS item, CASE WHEN target IS NULL THEN 'a number is missing' WHEN target < 0 THEN 'model not found' WHEN queue_id < 0 THEN 'queue row not found' ELSE 'queue row is not pending without a candidate' END AS problem
+ FROM b WHERE target IS NULL OR target < 0 OR queue_id < 0 OR done OR copy = 2"""
+
+
+@query("o_er_18_guards", GUARDS)
+def er_18_guards(spark, sf):
+    """What stops a batch with unknown models and rows, rows that are done, and rows named twice."""
+    review = review_tables(spark, sf)
+    some = review.queue.where("id % 7 = 2")
+    target = F.when(F.col("id") % 5 == 1, -F.col("id")).when(F.col("id") % 5 != 2, F.lit(1))
+    one = some.select((2 * F.col("id")).alias("position"), F.col("id").alias("queue_id"), target.cast("long").alias("model_id"))
+    again = some.where("id % 3 = 0").select(2 * F.col("id") + 1, "id", F.lit(1).cast("long"))
+    unknown = review.queue.where("id % 31 = 0").select(2 * F.col("id"), -F.col("id"), F.lit(1).cast("long"))
+    return queue.accept_problems(review, one.union(again).union(unknown))
