@@ -9,7 +9,7 @@ from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
 from factloom.session import table
-from factloom.sources.parsers import PARSERS, lmarena
+from factloom.sources.parsers import PARSERS, artificialanalysis_facts, lmarena
 from factloom.sources.snapshots import new_snapshots, raw_name
 
 
@@ -57,13 +57,32 @@ def src_05(spark, sf):
     return lmarena(R.series(spark, sf).select("model_id", F.col("kind").alias("category"), rating.alias("rating")), ["view", "click"])
 
 
-@query("o_src_06", with_roles("SELECT id // 100 AS snapshot_id, 's' || id AS source_model_id, b AS benchmark_id, CASE b WHEN 'gpqa' THEN CAST(price AS DOUBLE) ELSE CAST(context AS DOUBLE) END AS score FROM model, (VALUES ('gpqa'), ('mmlu')) v(b)", "model"))
+@query("o_src_06", with_roles("SELECT id // 100 AS snapshot_id, CAST(id AS VARCHAR) AS source_model_id, b AS benchmark_id, CASE b WHEN 'gpqa' THEN CAST(price AS DOUBLE) ELSE CAST(context AS DOUBLE) END AS score FROM model, (VALUES ('gpqa'), ('mmlu')) v(b)", "model"))
 def src_06(spark, sf):
     scores = F.create_map(F.lit("gpqa"), F.col("price").cast("string"), F.lit("mmlu"), F.col("context").cast("string"))
     item = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("s"), "id").alias("slug"), scores.alias("evaluations"))
     return PARSERS["artificialanalysis"](payload(parts(spark, sf), batch(), item, lambda a: F.struct(a.alias("models"))))
 
 
+@query("o_src_06_facts", with_roles("""WITH m AS (SELECT id, id // 100 AS snapshot_id, CASE WHEN id % 3 = 2 THEN 's' || id ELSE CAST(id AS VARCHAR) END AS source_model_id, 'm' || id AS name, CASE WHEN id % 2 = 0 THEN 'Acme' END AS creator, CAST(context AS VARCHAR) AS c, CAST(CAST(price AS DOUBLE) AS VARCHAR) AS p FROM model)
+ SELECT snapshot_id, source_model_id, name, creator, 'evaluation' AS kind, 'gpqa' AS field, c || '%' AS value FROM m UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'evaluation', 'own', c FROM m
+ UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'evaluation', 'hle', c FROM m WHERE id % 4 = 1 UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'pricing', 'price_1m_input_tokens', c FROM m
+ UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'capability', 'release_date', '2025-01-01' FROM m WHERE id % 5 = 0""", "model"))
+def src_06_facts(spark, sf):
+    """Payloads that are lists, objects of rows, or rows under a key; fields in the object of their kind, in the row, or deep inside."""
+    m = parts(spark, sf).withColumn("c", F.col("context").cast("string"))
+    deep = F.struct(F.struct(F.when(F.col("id") % 4 == 1, F.col("c")).alias("hle"), F.when(F.col("id") % 5 == 0, "2025-01-01").alias("release_date")).alias("more"))
+    item = F.struct(
+        F.when(F.col("id") % 3 != 2, F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), "id")).alias("slug"), F.concat(F.lit("m"), "id").alias("name"), F.when(F.col("id") % 2 == 0, F.struct(F.lit("Acme").alias("name"))).alias("model_creator"),
+        F.struct(F.when(F.col("id") % 2 == 0, F.concat("c", F.lit("%"))).alias("gpqa"), F.col("c").alias("own"), F.lit("n/a").alias("aime")).alias("evaluations"), F.when(F.col("id") % 2 == 1, F.concat("c", F.lit("%"))).alias("gpqa"),
+        F.struct(F.struct(F.col("c").alias("price_1m_input_tokens")).alias("usd")).alias("pricing"), deep.alias("extra"),
+    )
+    packed = m.groupBy(batch().alias("snapshot_id")).agg(F.collect_list(item).alias("items"), F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), "id"), item))).alias("named"))
+    k = F.col("snapshot_id") % 3
+    body = F.when(k == 0, F.to_json("items")).when(k == 1, F.to_json(F.struct(F.array().cast("array<int>").alias("data"), F.col("items").alias("results")))).otherwise(F.to_json(F.struct(F.col("named").alias("data"))))
+    return artificialanalysis_facts(packed.select("snapshot_id", body.alias("body")))
+
+
 @query("o_src_07", with_roles("SELECT id // 100 AS snapshot_id, 'r/' || id AS source_model_id, CASE WHEN id % 2 = 0 THEN 'm-q4_k_m.gguf' ELSE 'm.safetensors' END AS file, CAST(context AS BIGINT) AS size, CASE WHEN id % 2 = 0 THEN 'gguf' ELSE 'safetensors' END AS format, CASE WHEN id % 2 = 0 THEN 'gguf:q4_k_m' END AS quantization FROM model WHERE id % 7 <> 0", "model"))
 def src_07(spark, sf):
     name = F.when(F.col("id") % 2 == 0, "m-q4_k_m.gguf").otherwise("m.safetensors")
@@ -71,11 +90,17 @@ def src_07(spark, sf):
     return PARSERS["huggingface"](payload(parts(spark, sf), batch(), item))
 
 
-@query("o_src_08", with_roles("SELECT id // 100 AS snapshot_id, 'Arch' || id AS source_model_id, 'mod.m' || context AS module, 'Cls' || id AS class FROM model", "model"))
+@query("o_src_08", with_roles("SELECT id // 100 AS snapshot_id, 'Arch' || id AS source_model_id, CASE WHEN id % 2 = 0 THEN '_MULTIMODAL_MODELS' ELSE '_TRANSFORMERS_BACKEND_MODELS' END AS registry, CASE WHEN id % 10 = 0 THEN 'transformers' ELSE 'mod.m' || context END AS module, 'Cls' || id AS class, CASE WHEN id % 10 = 0 OR id % 2 = 1 THEN 'transformers' ELSE 'native' END AS backend FROM model", "model"))
 def src_08(spark, sf):
-    line = F.concat(F.lit('    "Arch'), "id", F.lit('": ("mod.m'), "context", F.lit('", "Cls'), "id", F.lit('"),'))
-    raw = parts(spark, sf).groupBy(batch().alias("snapshot_id")).agg(F.array_join(F.collect_list(line), "\n").alias("l")).select("snapshot_id", F.concat(F.lit("_MODELS = {\n"), "l", F.lit("\n}\n")).alias("body"))
-    return PARSERS["vllm"](raw)
+    """Registries with both kinds of quotes, comments, line breaks and entries that name no model."""
+    module = F.when(F.col("id") % 10 == 0, "transformers").otherwise(F.concat(F.lit("mod.m"), "context"))
+    double = F.concat(F.lit('    "Arch'), "id", F.lit('": ("'), module, F.lit('", "Cls'), "id", F.lit('"),  # "Old": ("a", "b"),'))
+    single = F.concat(F.lit("    'Arch"), "id", F.lit("': (\n        '"), module, F.lit("',\n        'Cls"), "id", F.lit("',\n    ), 'Three' : ('a', 'b', 'c'), 7: ('a', 'b'),"))
+    line = F.when(F.col("id") % 3 == 0, single).otherwise(double)
+    of = lambda odd: F.array_join(F.collect_list(F.when(F.col("id") % 2 == odd, line)), "\n")
+    raw = parts(spark, sf).groupBy(batch().alias("snapshot_id")).agg(of(0).alias("even"), of(1).alias("odd"))
+    head, other = "import os\n_MULTIMODAL_MODELS = {\n", '\n}\n_OTHER = {"No": ("a", "b")}\n_TRANSFORMERS_BACKEND_MODELS = {\n'
+    return PARSERS["vllm"](raw.select("snapshot_id", F.concat(F.lit(head), "even", F.lit(other), "odd", F.lit("\n}\n")).alias("body")))
 
 
 @query("o_src_09", with_roles("SELECT id // 100 AS snapshot_id, 'verified-set' AS benchmark_id, 'm' || id AS source_model_id, CASE WHEN id % 2 = 0 THEN CAST(context AS DOUBLE) ELSE round(context / 100.0 * 100, 6) END AS score FROM model", "model"))
@@ -100,10 +125,16 @@ def src_11(spark, sf):
     return out.select("snapshot_id", "source_model_id", F.round("score", 6).alias("score"), "ci")
 
 
-@query("o_src_12", with_roles("SELECT id // 100 AS snapshot_id, 'Acme M' || id AS source_model_id, CAST(context AS DOUBLE) AS mean, 1.5::DOUBLE AS worst, 99.0::DOUBLE AS best FROM model", "model"))
+@query("o_src_12", with_roles("""SELECT id // 100 AS snapshot_id, 'frontierswe_v2::m' || id AS source_model_id, 'M' || id AS name, CASE WHEN id % 2 = 0 THEN 'Moonshot AI' ELSE 'Acme' END AS vendor, 'prox' AS harness, CAST(context AS DOUBLE) AS mean, 1.5::DOUBLE AS worst, 99.0::DOUBLE AS best,
+ CASE WHEN w THEN id % 100 END AS rank, CASE WHEN w THEN 5.3::DOUBLE END AS ci, CASE WHEN w AND id % 3 > 0 THEN 9.25::DOUBLE END AS cost, CASE WHEN w THEN CASE WHEN id % 5 = 0 THEN 1.17::DOUBLE ELSE 11.5 END END AS hours
+ FROM (SELECT *, (id // 100) % 4 < 3 AS w FROM model)""", "model"))
 def src_12(spark, sf):
-    div = F.concat(F.lit('<div class="row" title="Acme M'), "id", F.lit(": mean@5 "), "context", F.lit('%, worst@5 1.5%, best@5 99%"></div>'))
-    raw = parts(spark, sf).groupBy(batch().alias("snapshot_id")).agg(F.array_join(F.collect_list(div), "").alias("body"))
+    """Rows with their markup; every fourth page has none of the separators."""
+    title = F.concat(F.lit('<div title="'), F.when(F.col("id") % 2 == 0, "Moonshot AI").otherwise("Acme"), F.lit(" M"), "id", F.lit(" + prox: mean@5 "), "context", F.lit('%, worst@5 1.5%, best@5 99%" class="grid">'))
+    cost = F.when(F.col("id") % 3 > 0, "<span>$9.25</span>").otherwise("")
+    row = F.concat(F.lit('<span class="x tabular-nums y"> '), (F.col("id") % 100).cast("string"), F.lit("</span><span>±<!-- -->5.3</span>"), cost, F.lit("<span>"), F.when(F.col("id") % 5 == 0, "70m").otherwise("11.5h"), F.lit("</span></div>\n"))
+    end = F.when(batch() % 4 < 3, '<div class="relative h-5">').otherwise("<p>")
+    raw = parts(spark, sf).groupBy(batch().alias("snapshot_id")).agg(F.array_join(F.collect_list(F.concat(title, row, end)), "").alias("body"))
     return PARSERS["frontierswe"](raw)
 
 
@@ -120,15 +151,18 @@ def src_14(spark, sf):
     return PARSERS["bigcodebench"](payload(parts(spark, sf), batch(), F.struct(row.alias("row")), lambda a: F.struct(a.alias("rows"))))
 
 
-WIDE = "SELECT id // 100 AS snapshot_id, 'm' || id AS source_model_id, b AS benchmark_id, CASE b WHEN 'Average' THEN CAST(context AS DOUBLE) ELSE CAST(id AS DOUBLE) END AS score FROM model, (VALUES ('Average'), ('IFEval')) v(b)"
+WIDE = """SELECT id // 100 AS snapshot_id, 'm' || id || CASE WHEN (id // 100) % 2 = 1 AND id % 4 = 1 THEN ',' || chr(10) || '"q"' ELSE '' END AS source_model_id, b AS benchmark_id, CASE b WHEN 'Average' THEN CAST(context AS DOUBLE) ELSE CAST(id AS DOUBLE) END AS score
+ FROM model, (VALUES ('Average'), ('IFEval')) v(b) WHERE b = 'Average' OR (id // 100) % 2 = 0 OR id % 6 <> 3"""
 
 
 def csv_or_json(spark, sf, name):
+    """Half of the bodies are CSV: names with commas, line breaks and quotes, a name for two columns, records that end early, blank lines."""
     m = parts(spark, sf).withColumn("b", batch())
     row = F.create_map(F.lit(name), F.concat(F.lit("m"), "id"), F.lit("Average"), F.concat("context", F.lit(" %")), F.lit("IFEval"), F.col("id").cast("string"), F.lit("Type"), F.lit("chat"))
     j = m.where("b % 2 = 0").groupBy("b").agg(F.collect_list(row).alias("r")).select(F.col("b").alias("snapshot_id"), F.to_json("r").alias("body"))
-    line = F.concat(F.lit('"m'), "id", F.lit('",'), "context", F.lit("%,"), "id", F.lit(',"chat, tuned"'))
-    c = m.where("b % 2 = 1").groupBy("b").agg(F.array_join(F.collect_list(line), "\n").alias("l")).select(F.col("b").alias("snapshot_id"), F.concat(F.lit(f"{name},Average,IFEval,Type\n"), "l").alias("body"))
+    rest = F.when(F.col("id") % 6 == 3, "").otherwise(F.concat(F.lit(","), "id", F.lit(',"chat, tuned",extra')))
+    line = F.concat(F.lit('"m'), "id", F.when(F.col("id") % 4 == 1, ',\n""q""').otherwise(""), F.lit('",7,'), "context", F.lit("%"), rest, F.when(F.col("id") % 5 == 0, "\r\n").otherwise(""))
+    c = m.where("b % 2 = 1").groupBy("b").agg(F.array_join(F.collect_list(line), "\r\n").alias("l")).select(F.col("b").alias("snapshot_id"), F.concat(F.lit(f"{name},Average,Average,IFEval,Type\r\n"), "l").alias("body"))
     return j.union(c)
 
 

@@ -1,18 +1,22 @@
 """Payload parsers: a DataFrame with a text column ``body`` in, one row a record out.
 
-Payloads are JSON, HTML, simple YAML or Python registries; every parser is a plan of built-in
-functions. Columns of ``raw`` besides ``body`` (such as snapshot_id) are carried along.
+Payloads are JSON, HTML, simple YAML, CSV or Python registries; every parser is a plan of built-in
+functions but that of registries, which goes through Arrow batches. Columns of ``raw`` besides ``body`` (such as snapshot_id) are carried along.
 """
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from factloom.functions import text as X
+from factloom.functions import variants
+from factloom.session import durable
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -66,13 +70,60 @@ def openrouter_endpoints(raw: DataFrame) -> DataFrame:
     return e.select(*_carry(raw), "source_model_id", "pos", F.get(parts, F.lit(0)).alias("provider"), region.alias("region"), F.col("e.context_length").alias("context"), finite(F.col("e.price")).alias("price"))
 
 
+#: Fields of a row that are looked for at any depth.
+EVALUATIONS = (
+    "artificial_analysis_intelligence_index", "artificial_analysis_coding_index", "artificial_analysis_math_index", "mmlu_pro", "gpqa", "hle", "livecodebench", "aime", "aime_25", "math_500", "ifbench", "lcr", "scicode", "tau2",
+    "tau_banking", "terminalbench_hard", "terminalbench_v2_1",
+)
+PRICES = ("price_1m_input_tokens", "price_1m_output_tokens", "price_1m_blended_3_to_1")
+CAPABILITIES = ("median_output_tokens_per_second", "median_time_to_first_token_seconds", "median_time_to_first_answer_token", "release_date")
+
+
+def payload_rows(raw: DataFrame, under: Sequence[str]) -> DataFrame:
+    """The objects of a JSON payload as ``row`` (a VARIANT): items of a list, else what lies under the first of ``under`` that holds anything, as list or object."""
+    body = raw.select(*_carry(raw), F.try_parse_json("body").alias("_b"))
+    parts = [F.try_variant_get("_b", f"$.{k}", "variant") for k in under]
+    inner = F.coalesce(*[F.when(~F.array_contains(F.array(*[F.lit(x) for x in ("VOID", "ARRAY<VOID>", "OBJECT<>")]), F.schema_of_variant(p)), p) for p in parts])
+    kind = variants.kind(F.col("_b"))
+    held = body.select(*_carry(raw), F.when(kind == "ARRAY", F.col("_b")).when(kind == "OBJECT", inner).alias("_rows")).where(variants.kind(F.col("_rows")).isin("ARRAY", "OBJECT"))
+    return variants.exploded(held, "_rows").where(variants.kind(F.col("value")) == "OBJECT").select(*_carry(raw), F.col("value").alias("row"))
+
+
+def artificialanalysis_facts(raw: DataFrame) -> DataFrame:
+    """(carried columns, source_model_id, name, creator, kind, field, value): evaluations, prices and capabilities of each row.
+
+    A row is known by its id, its slug, or its name made a slug; others are left out. Fields of ``EVALUATIONS`` and ``PRICES`` are
+    taken from the object of that kind at any depth, else from the row itself, else from anywhere in it; other
+    evaluations only as members of that object. Values that are no numbers are left out, but for the release date.
+    """
+    r = durable(payload_rows(raw, ("data", "models", "results", "items")).withColumn("_id", F.monotonically_increasing_id()))
+    get = lambda path: variants.text(F.try_variant_get("row", path, "variant"))
+    name = get("$.name")
+    known = r.select("_id", *_carry(raw), F.coalesce(get("$.id"), get("$.slug"), X.slugify(name, None)).alias("source_model_id"), name.alias("name"), F.coalesce(get("$.model_creator.name"), get("$.model_creator_name")).alias("creator"))
+    members = variants.walked(r, "_id", "row")
+    out = None
+    for kind, inside, keys in (("evaluation", "evaluations", EVALUATIONS), ("pricing", "pricing", PRICES), ("capability", None, CAPABILITIES)):
+        wanted, scopes = members.where(F.col("key").isin(*keys)), []
+        if inside:
+            own = r.select("_id", F.try_variant_get("row", f"$.{inside}", "variant").alias("_own"))
+            below = variants.walked(own, "_id", "_own")
+            scopes.append(variants.first_of(below.where(F.col("key").isin(*keys) | (F.size("path") == 0)) if kind == "evaluation" else below.where(F.col("key").isin(*keys)), "_id").withColumn("_scope", F.lit(0)))
+            scopes.append(variants.first_of(wanted, "_id", F.size("path") == 0).withColumn("_scope", F.lit(1)))
+        scopes.append(variants.first_of(wanted, "_id").withColumn("_scope", F.lit(2)))
+        every = scopes[0]
+        for s in scopes[1:]:
+            every = every.unionByName(s)
+        good = (F.col("key") == "release_date") | X.parse_float(F.col("value")).isNotNull()
+        best = every.where(good).groupBy("_id", "key").agg(F.min_by("value", "_scope").alias("value")).select("_id", F.lit(kind).alias("kind"), F.col("key").alias("field"), "value")
+        out = best if out is None else out.unionByName(best)
+    return known.join(out, "_id").where("source_model_id IS NOT NULL").drop("_id")
+
+
 @parser("artificialanalysis")
 def artificialanalysis(raw: DataFrame) -> DataFrame:
-    """Rows under the first of data, models, results and items; one row an evaluation."""
-    row = "array<struct<id:string,slug:string,evaluations:map<string,string>,pricing:map<string,string>>>"
-    both = F.from_json("body", f"struct<data:{row},models:{row},results:{row},items:{row}>")
-    r = raw.select(*_carry(raw), F.explode(F.coalesce(both["data"], both["models"], both["results"], both["items"])).alias("r"))
-    return r.select(*_carry(raw), F.coalesce("r.slug", "r.id").alias("source_model_id"), F.explode_outer("r.evaluations").alias("benchmark_id", "v")).select(*_carry(raw), "source_model_id", "benchmark_id", finite(F.col("v")).alias("score"))
+    """Evaluations of the payload's rows; one row an evaluation."""
+    e = artificialanalysis_facts(raw).where("kind = 'evaluation'")
+    return e.select(*_carry(raw), "source_model_id", F.col("field").alias("benchmark_id"), X.parse_float(F.col("value")).alias("score"))
 
 
 @parser("huggingface")
@@ -85,13 +136,52 @@ def huggingface(raw: DataFrame) -> DataFrame:
     return s.select(*_carry(raw), "source_model_id", name.alias("file"), F.col("s.size").alias("size"), X.file_format(name, F.col("tags")).alias("format"), X.quantization(name).alias("quantization"))
 
 
+#: The dictionaries of the registry that name models, and those whose models run on another backend.
+REGISTRIES = (
+    "_TEXT_GENERATION_MODELS", "_EMBEDDING_MODELS", "_LATE_INTERACTION_MODELS", "_REWARD_MODELS", "_TOKEN_CLASSIFICATION_MODELS", "_SEQUENCE_CLASSIFICATION_MODELS", "_MULTIMODAL_MODELS", "_SPECULATIVE_DECODING_MODELS",
+    "_TRANSFORMERS_SUPPORTED_MODELS", "_TRANSFORMERS_BACKEND_MODELS",
+)
+ELSEWHERE = REGISTRIES[-2:]
+
+
+def registry_entries(source: str) -> dict[str, tuple[str, str, str]]:
+    """{name: (registry, module, class)} of "name": ("module", "class") in the named dictionaries; the source is read, never run.
+
+    A later entry of a name wins. Text that is no Python has none.
+    """
+    try:
+        body = ast.parse(source).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return {}
+    word = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else None
+    found = {}
+    for node in body:
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Dict) and len(node.targets) == 1 and getattr(node.targets[0], "id", None) in REGISTRIES:
+            for key, value in zip(node.value.keys, node.value.values, strict=True):
+                pair = [word(e) for e in value.elts] if isinstance(value, ast.Tuple) else []
+                if word(key) and len(pair) == 2 and None not in pair:
+                    found[word(key)] = (node.targets[0].id, *pair)
+    return found
+
+
 @parser("vllm")
 def vllm(raw: DataFrame) -> DataFrame:
-    """Entries "Architecture": ("module", "Class") of Python dict literals."""
-    entry = r'"([A-Za-z0-9_]+)":\s*\(\s*"([A-Za-z0-9_.]+)",\s*"([A-Za-z0-9_]+)"'
-    all_of = [F.regexp_extract_all("body", F.lit(entry), F.lit(i)) for i in (1, 2, 3)]
-    z = raw.select(*_carry(raw), F.explode(F.arrays_zip(*[a.alias(n) for a, n in zip(all_of, "amc", strict=True)])).alias("z"))
-    return z.select(*_carry(raw), F.col("z.a").alias("source_model_id"), F.col("z.m").alias("module"), F.col("z.c").alias("class"))
+    """Models of a Python registry, one row each; a payload is parsed by itself."""
+
+    def parsed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            body, rows = batch.column(batch.num_columns - 1), []
+            for i, source in enumerate(body.to_pylist()):
+                rows += [(i, name, *entry) for name, entry in sorted(registry_entries(source or "").items())]
+            at, *found = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]), *(pa.array(c, pa.string()) for c in found)], [*batch.schema.names[:-1], "source_model_id", "registry", "module", "class"])
+
+    some = raw.select(*_carry(raw), "body")
+    out = StructType([*some.schema.fields[:-1], *[StructField(n, StringType()) for n in ("source_model_id", "registry", "module", "class")]])
+    backend = F.when(F.col("registry").isin(*ELSEWHERE) | (F.col("module") == "transformers"), "transformers").otherwise("native")
+    return some.mapInArrow(parsed, out).withColumn("backend", backend)
 
 
 @parser("swebench")
@@ -124,13 +214,31 @@ def deepswe(raw: DataFrame) -> DataFrame:
     return out.where("source_model_id IS NOT NULL AND score IS NOT NULL")
 
 
+#: Vendors whose names have more than one word or are known.
+VENDORS = ("Moonshot AI", "Thinking Machines", "Anthropic", "OpenAI", "Z.ai", "xAI", "Google", "Qwen", "DeepSeek", "Meta")
+
+
 @parser("frontierswe")
 def frontierswe(raw: DataFrame) -> DataFrame:
-    """Titles of the form ``name: mean@5 x%, worst@5 y%, best@5 z%`` anywhere in the page."""
-    pattern = r'title="([^":]+): mean@5 ([0-9.]+)%, worst@5 ([0-9.]+)%, best@5 ([0-9.]+)%"'
-    parts = [F.regexp_extract_all("body", F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("name", "mean", "worst", "best"), 1)]
-    z = raw.select(*_carry(raw), F.explode(F.arrays_zip(*parts)).alias("z"))
-    return z.select(*_carry(raw), F.trim("z.name").alias("source_model_id"), *[finite(F.col(f"z.{c}")).alias(c) for c in ("mean", "worst", "best")])
+    """Rows of the page whose title is ``vendor model + harness: mean@5 x%, worst@5 y%, best@5 z%``.
+
+    Rank, interval, cost and hours come from the row's own markup, which ends before the separator; where no
+    row has such a separator, the titles alone are read.
+    """
+    whole = r'(?s)<div\s+title="([^"]+:\s*mean@5[^"]+)"[^>]*>(.*?)</div>\s*<div class="relative h-5'
+    both = F.arrays_zip(F.regexp_extract_all("body", F.lit(whole), F.lit(1)).alias("title"), F.regexp_extract_all("body", F.lit(whole), F.lit(2)).alias("row"))
+    titles = F.transform(F.regexp_extract_all("body", F.lit(r'title="([^"]+:\s*mean@5[^"]+)"'), F.lit(1)), lambda t: F.struct(t.alias("title"), F.lit("").alias("row")))
+    z = raw.select(*_carry(raw), F.explode(F.when(F.size(both) > 0, both).otherwise(titles)).alias("z")).select(*_carry(raw), "z.*")
+    name = r"^(.+?)\s*\+\s*(.+?):\s*mean@5\s*([\d.]+)%,\s*worst@5\s*([\d.]+)%,\s*best@5\s*([\d.]+)%"
+    part = lambda i: F.regexp_extract("title", name, i)
+    of_row = lambda p: F.nullif(F.regexp_extract("row", p, 1), F.lit(""))
+    split = X.split_vendor(part(1), VENDORS)
+    out = z.where(F.col("title").rlike(name)).select(
+        *_carry(raw), F.concat(F.lit("frontierswe_v2::"), X.slugify(split["model"])).alias("source_model_id"), split["model"].alias("name"), split["vendor"].alias("vendor"), F.trim(part(2)).alias("harness"),
+        *[part(i).try_cast("double").alias(c) for i, c in ((3, "mean"), (4, "worst"), (5, "best"))], of_row(r'class="[^"]*tabular-nums[^"]*">\s*(\d+)\s*</span>').try_cast("int").alias("rank"), of_row(r"±(?:<!-- -->)?\s*([\d.]+)").try_cast("double").alias("ci"),
+        of_row(r"\$([\d.]+)").try_cast("double").alias("cost"), X.duration_hours(of_row(r">([\d.]+[hm])<")).alias("hours"),
+    )
+    return out.where("mean IS NOT NULL")
 
 
 @parser("openvlm")
@@ -151,17 +259,42 @@ def bigcodebench(raw: DataFrame) -> DataFrame:
     return wide.unpivot([*_carry(raw), "source_model_id"], ["complete", "instruct"], "benchmark_id", "score").where("score IS NOT NULL")
 
 
+#: One cell of a CSV text and what ends it. A cell that begins with a quote goes on to the closing one, line ends included.
+CELL = r'("[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+)?|[^,\r\n]*+)(,|\r\n|\r|\n|\z)'
+QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
+
+
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text as arrays of cells; lines without any text are left out.
+
+    Quotes count at a cell's beginning only. Commas and line ends inside of quotes belong to the cell, doubled quotes
+    are one; a quote that isn't closed goes on to the end of the text.
+    """
+    unquoted = lambda c: F.when(c.startswith('"'), F.concat(F.replace(F.regexp_extract(c, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, QUOTED, 2))).otherwise(c)
+
+    def cut(s: Column) -> Column:  # s: cells as they are, and the places of those that end a record
+        before = lambda k: F.when(k > 0, F.get(s["lasts"], k - 1)).otherwise(F.lit(-1))
+        places = F.transform(s["lasts"], lambda at, k: F.struct((before(k) + 2).alias("first"), (at - before(k)).alias("n")))
+        some = F.filter(places, lambda r: (r["n"] > 1) | (F.get(s["raw"], r["first"] - 1) != ""))
+        return F.transform(some, lambda r: F.transform(F.slice(s["raw"], r["first"], r["n"]), unquoted))
+
+    cells = [F.regexp_extract_all(text, F.lit(CELL), F.lit(i)) for i in (1, 2)]
+    lasts = F.filter(F.transform(cells[1], lambda e, i: F.when(e != ",", i)), lambda i: i.isNotNull())
+    return F.get(F.transform(F.array(F.struct(cells[0].alias("raw"), lasts.alias("lasts"))), cut), F.lit(0))  # bound once, not for each record
+
+
 def table_rows(raw: DataFrame) -> DataFrame:
-    """JSON arrays of flat objects or CSV text, told apart by the first character, as maps."""
-    text = F.trim("body")
+    """JSON arrays of flat objects or CSV text, told apart by the first character, as maps.
+
+    Of a CSV text the first record names the columns; of equal names the last column counts. Cells that a
+    record lacks are null, cells beyond the header are left out.
+    """
+    text = F.regexp_replace(F.regexp_replace("body", "^\ufeff", ""), r"^\s+|\s+$", "")
     is_json = text.rlike(r"^[\[{]")
     j = raw.where(is_json).select(*_carry(raw), F.explode(F.from_json("body", "array<map<string,string>>")).alias("row"))
-    lines = F.split(text, r"\r?\n")
-    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda v: F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"')))
-    c = raw.where(~is_json).select(*_carry(raw), cells(F.get(lines, F.lit(0))).alias("_h"), F.explode(F.slice(lines, 2, 1 << 30)).alias("_l"))
-    c = c.select(*_carry(raw), "_h", cells(F.col("_l")).alias("_v")).where(F.size("_h") == F.size("_v"))
-    # the condition stays in the expression: filters may be moved before the map is made
-    made = F.when(F.size("_h") == F.size("_v"), F.map_from_arrays("_h", "_v"))
+    c = raw.where(~is_json).select(*_carry(raw), csv_records(text).alias("_all")).select(*_carry(raw), F.get("_all", F.lit(0)).alias("_h"), F.explode(F.slice("_all", 2, 1 << 30)).alias("_v"))
+    names = F.array_distinct("_h")
+    made = F.map_from_arrays(names, F.transform(names, lambda h: F.get("_v", (F.size("_h") - F.array_position(F.reverse("_h"), h)).cast("int"))))
     return j.unionByName(c.select(*_carry(raw), made.alias("row")))
 
 
