@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import documents, promote
+from factloom.operators.ranges import ranked
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
-from factloom.session import table
+from factloom.session import shared_folder, table
+from factloom.sources import pages
 from factloom.sources.parsers import PARSERS, artificialanalysis_facts, lmarena
 from factloom.sources.snapshots import new_snapshots, raw_name
 
@@ -145,10 +147,23 @@ def src_13(spark, sf):
     return PARSERS["openvlm"](raw)
 
 
-@query("o_src_14", with_roles("SELECT id // 100 AS snapshot_id, 'org/m' || id AS source_model_id, b AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model, (VALUES ('complete'), ('instruct')) v(b) WHERE b = 'complete' OR id % 2 = 0", "model"))
+@query("o_src_14", with_roles("SELECT 'org/m' || id AS source_model_id, b AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model, (VALUES ('complete'), ('instruct')) v(b) WHERE b = 'complete' OR id % 2 = 0", "model"))
 def src_14(spark, sf):
+    """Rows in pages of 100, kept a folder a page; the scan plans as many pages as the first one says."""
     row = F.struct(F.concat(F.lit("https://hf.example/org/m"), "id").alias("link"), F.col("context").cast("string").alias("complete"), F.when(F.col("id") % 2 == 0, F.col("context").cast("string")).alias("instruct"))
-    return PARSERS["bigcodebench"](payload(parts(spark, sf), batch(), F.struct(row.alias("row")), lambda a: F.struct(a.alias("rows"))))
+    m = ranked(parts(spark, sf), [], "id").withColumn("page", F.floor(F.col("_i") / 100).cast("int"))
+    bodies = m.groupBy("page", "_n").agg(F.collect_list(F.struct(row.alias("row"))).alias("rows")).select("page", F.to_json(F.struct("rows", F.when(F.col("page") == 0, F.col("_n")).alias("num_rows_total"))).alias("value"))
+    root = shared_folder(spark, "pages")
+    bodies.write.partitionBy("page").text(root)
+
+    def fetch(offset: int, length: int) -> str:
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        files = where.get_file_info(fs.FileSelector(f"{path}/page={offset // length}"))
+        return "".join(where.open_input_stream(f.path).read().decode() for f in files if f.path.endswith(".txt"))
+
+    return PARSERS["bigcodebench"](pages.read_pages(spark, fetch, 100)).drop("offset")
 
 
 WIDE = """SELECT id // 100 AS snapshot_id, 'm' || id || CASE WHEN (id // 100) % 2 = 1 AND id % 4 = 1 THEN ',' || chr(10) || '"q"' ELSE '' END AS source_model_id, b AS benchmark_id, CASE b WHEN 'Average' THEN CAST(context AS DOUBLE) ELSE CAST(id AS DOUBLE) END AS score

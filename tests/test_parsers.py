@@ -96,3 +96,47 @@ def test_evaluations_in_payloads_of_any_shape(spark):
         got.setdefault(r.snapshot_id, set()).add((r.source_model_id, r.name, r.creator, r.kind, r.field, r.value))
     both = {("5", "N", "C", "evaluation", "gpqa", "81.5%"), ("5", "N", "C", "evaluation", "own", "3"), ("5", "N", "C", "evaluation", "hle", "1,000"), ("5", "N", "C", "pricing", "price_1m_input_tokens", "2.5"), ("5", "N", "C", "capability", "median_output_tokens_per_second", "90"), ("5", "N", "C", "capability", "release_date", "2025-05-01"), ("only", None, None, "evaluation", "aime", "7")}
     assert got == {0: both, 1: both, 2: both, 3: {("just-a-name", "Just A Name!", None, "evaluation", "gpqa", "1")}}
+
+
+def test_pages_are_planned_and_tried_again(spark, tmp_path):
+    import json
+    import os
+
+    from factloom.sources import pages
+
+    def fetch(offset, length):
+        mark = tmp_path / f"{offset}"
+        if offset == 4 and not mark.exists():  # fails once
+            mark.write_text("")
+            raise OSError("gone")
+        (tmp_path / f"seen-{offset}-{os.getpid()}").write_text("")
+        return json.dumps({"rows": [{"row": {"link": f"https://h/o/m{i}", "complete": str(i)}} for i in range(offset, min(offset + length, 9))], "num_rows_total": 9})
+
+    got = pages.read_pages(spark, fetch, 2, wait=0.01)
+    assert got.rdd.getNumPartitions() == 5 and sorted(r.offset for r in got.collect()) == [0, 2, 4, 6, 8]
+    rows = PARSERS["bigcodebench"](got).where("benchmark_id = 'complete'").collect()
+    assert sorted((r.source_model_id, r.score) for r in rows) == [(f"o/m{i}", float(i)) for i in range(9)]
+    assert [r.offset for r in pages.read_pages(spark, lambda o, n: '{"rows": []}').collect()] == [0]
+    assert [r.offset for r in pages.read_pages(spark, lambda o, n: '{"rows": [1, 2]}', 2).collect()] == [0]
+
+    def broken(offset, length):
+        if offset:
+            raise OSError("gone for good")
+        return '{"rows": [1], "num_rows_total": 2}'
+
+    with pytest.raises(Exception, match="gone for good"):
+        pages.read_pages(spark, broken, 1, tries=2, wait=0.01).collect()
+
+
+def test_the_newest_are_enriched_and_failures_counted(spark):
+    from factloom.sources import pages
+
+    wanted = spark.createDataFrame([("a", 3), ("b", 1), ("c", 3), ("d", None), ("e", 2), (None, 9)], "model_id string, created long")
+
+    def fetch(model):
+        if model == "c":
+            raise TimeoutError("late")
+        return (404 if model == "e" else 200), f"body {model}"
+
+    assert sorted(map(tuple, pages.enriched(spark, wanted, fetch, 3).collect())) == [("a", 200, "body a"), ("c", 0, "TimeoutError: late"), ("e", 404, "body e")]
+    assert pages.enriched(spark, wanted, fetch).count() == 5
