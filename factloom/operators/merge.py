@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, NullType, ShortType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -103,6 +104,79 @@ def versioned_copy(table: DataFrame, root: str, version: int) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+class Narrowing(TypeError):
+    """Versions of a column that no type holds without loss."""
+
+
+def wider(one: DataType, two: DataType) -> DataType:
+    """The type that holds both: of whole numbers the longer, of decimals the digits of both, of fractions the double."""
+    whole = [ByteType(), ShortType(), IntegerType(), LongType()]
+    if one == two or isinstance(two, NullType):
+        return one
+    if isinstance(one, NullType):
+        return two
+    if one in whole and two in whole:
+        return whole[max(whole.index(one), whole.index(two))]
+    if isinstance(one, DecimalType) and isinstance(two, DecimalType):
+        scale = max(one.scale, two.scale)
+        digits = max(one.precision - one.scale, two.precision - two.scale)
+        if digits + scale <= 38:
+            return DecimalType(digits + scale, scale)
+    if {type(one), type(two)} <= {FloatType, DoubleType, ByteType, ShortType, IntegerType} and (DoubleType() in (one, two) or FloatType() in (one, two)):
+        return DoubleType() if DoubleType() in (one, two) or IntegerType() in (one, two) else FloatType()
+    if isinstance(one, ArrayType) and isinstance(two, ArrayType):
+        return ArrayType(wider(one.elementType, two.elementType))
+    if isinstance(one, StructType) and isinstance(two, StructType):
+        return merged_schema([one, two])
+    raise Narrowing(f"{one.simpleString()} and {two.simpleString()}")
+
+
+def merged_schema(schemas: Sequence[StructType]) -> StructType:
+    """All columns of ``schemas`` in the order they come up, each of the type that holds all its versions."""
+    held: dict[str, DataType] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            try:
+                held[f.name] = wider(held[f.name], f.dataType) if f.name in held else f.dataType
+            except Narrowing as e:
+                raise Narrowing(f"{f.name}: {e}") from None
+    return StructType([StructField(n, t) for n, t in held.items()])
+
+
+def additive(old: StructType, new: StructType) -> StructType:
+    """``new`` in front of what is stored as ``old``: it may add columns and widen them, but neither leave one out nor narrow it."""
+    out = merged_schema([old, new])
+    lost = [f.name for f in old.fields if f.name not in new.names]
+    narrowed = [f.name for f in out.fields if f.name in new.names and f.dataType != new[f.name].dataType]
+    if lost or narrowed:
+        raise Narrowing(f"left out: {lost}; narrowed: {narrowed}")
+    return out
+
+
+def widened(c: Column, old: DataType, new: DataType) -> Column:
+    """``c`` as the wider type ``new``; fields that a struct lacks are null."""
+    if isinstance(new, StructType) and isinstance(old, StructType):
+        fields = [(widened(c[f.name], old[f.name].dataType, f.dataType) if f.name in old.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in new.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(new, ArrayType) and isinstance(old, ArrayType):
+        return F.transform(c, lambda x: widened(x, old.elementType, new.elementType))
+    return c.cast(new)
+
+
+def read_versions(spark: SparkSession, root: str) -> DataFrame:
+    """All versions below ``root`` as one table with a column ``version``: columns that a version lacks are null, others are widened.
+
+    Raises ``Narrowing`` if a column's types can't be joined without loss.
+    """
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = [f.getPath().toString() for f in top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)]
+    parts = {int(p.rpartition("=")[2]): spark.read.parquet(p) for p in sorted(found) if p.rpartition("/")[2].startswith("version=")}
+    schema = merged_schema([df.schema for df in parts.values()])
+    held = lambda df, f: widened(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+    rows = [df.select(*[held(df, f).alias(f.name) for f in schema.fields], F.lit(v).alias("version")) for v, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def contents(table: DataFrame) -> tuple:
     """Number of rows and the sum of their hashes: equal for equal rows in any order."""
     return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.text import canonical_org
+from factloom.functions.text import canonical_org, vendor_token
 
 #: Suffixes that display names carry, longest first where one ends in another.
 IDENTITY_SUFFIXES = (
@@ -53,6 +53,35 @@ def canonical_slug(source_id: Column, first_party: Sequence[str]) -> Column:
     return F.when((F.size(parts) == 3) & creator.isin(*first_party), F.concat(creator, F.lit("/"), F.get(parts, F.lit(2)))).otherwise(source_id)
 
 
+def vendor_owners(ids: DataFrame, source_id: str, first_party: Sequence[str], shared: Sequence[str] = ()) -> DataFrame:
+    """(token, owners): which first parties name models of their own by a token.
+
+    Learned from ids of two parts, ``namespace/model``, in namespaces of ``first_party`` that aren't among
+    ``shared`` (catalogs that list others' models too, and catalogs of one product). An owner is one of
+    ``first_party``, so the set of a token is bounded by them.
+    """
+    parts = F.split(source_id, "/")
+    own = ids.where((F.size(parts) == 2) & (parts[1] != "") & ~parts[0].isin(*shared)).select(canonical_org(parts[0]).alias("owner"), vendor_token(parts[1]).alias("token"))
+    return own.where(F.col("owner").isin(*first_party) & (F.col("token") != "")).groupBy("token").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
+
+
+def with_mint_gate(ids: DataFrame, source_id: str, owners: DataFrame, shared: dict[str, str], out: str = "mints") -> DataFrame:
+    """Adds ``out``: whether an id may name a new model.
+
+    Ids of other namespaces than ``shared`` (namespace to developer) may. In those, a nested path never does, nor does
+    a model one of whose first two hyphen parts is a token that only others own.
+    """
+    parts = F.split(source_id, "/", 2)
+    bare, developer = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.coalesce(*[F.when(parts[0] == n, F.lit(d)) for n, d in shared.items()], F.lit(None).cast("string"))
+    joined, foreign = ids.withColumn("_dev", developer), F.lit(False)
+    for i in (0, 1):
+        known = owners.select(F.col("token").alias(f"_t{i}"), F.col("owners").alias(f"_o{i}"))
+        mine = F.when(F.col("_dev").isNotNull(), vendor_token(F.get(F.split(bare, "-", 3), F.lit(i))))  # ids of other namespaces join nothing
+        joined = joined.join(known, mine == F.col(f"_t{i}"), "left")
+        foreign = foreign | F.coalesce(~F.array_contains(f"_o{i}", F.col("_dev")), F.lit(False))
+    return joined.withColumn(out, F.col("_dev").isNull() | ~(bare.contains("/") | foreign)).drop("_dev", "_t0", "_t1", "_o0", "_o1")
+
+
 def link(records: DataFrame, aliases: DataFrame, record_id: str, candidates: str, org: str) -> DataFrame:
     """(record_id, entity_id, pass, confidence): each record's best alias.
 

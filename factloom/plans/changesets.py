@@ -126,11 +126,28 @@ def er_07(spark, sf):
     return aliases(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("o_er_08", with_roles("WITH t AS (SELECT split_part(name, ' ', 1) AS token, count(DISTINCT developer) AS n, min(developer) AS dev FROM model GROUP BY 1) SELECT m.id, t.n, t.dev = m.developer AS leads FROM model m JOIN t ON t.token = split_part(m.name, ' ', 1)", "model"))
+CATALOG = """i AS (SELECT id, 'brand-' || b || CASE WHEN id % 3 = 0 THEN '-cn' ELSE '' END || '/' || CASE WHEN id % 15 = 0 THEN 'host/' ELSE '' END || CASE WHEN id % 4 = 1 THEN 'new-' ELSE '' END || replace(name, ' ', '3.5-') AS s, b, id % 3 = 0 AS mixed FROM (SELECT *, split_part(developer, '#', 2) AS b FROM model))"""
+
+
+def catalog_ids(spark, sf):
+    """Every third id is of a namespace that lists others' models too, some with a host in their path."""
+    b = F.split_part("developer", F.lit("#"), F.lit(2))
+    bare = F.concat(F.when(F.col("id") % 4 == 1, "new-").otherwise(""), F.replace("name", F.lit(" "), F.lit("3.5-")))
+    s = F.concat(F.lit("brand-"), b, F.when(F.col("id") % 3 == 0, "-cn").otherwise(""), F.lit("/"), F.when(F.col("id") % 15 == 0, "host/").otherwise(""), bare)
+    return R.model(spark, sf).select("id", s.alias("s"))
+
+
+@query("o_er_08", with_roles(f"""WITH {CATALOG},
+ t AS (SELECT DISTINCT regexp_replace(lower(split_part(split_part(s, '/', 2), '-', 1)), '[0-9.]+$', '') AS token, 'brand-' || b AS owner FROM i WHERE NOT mixed AND CAST(b AS INTEGER) % 2 = 1),
+ g AS (SELECT i.id, i.s, mixed, 'brand-' || b AS dev, split_part(s, '/', 3) <> '' AS nested, unnest(list_slice(str_split(substr(s, strpos(s, '/') + 1), '-'), 1, 2)) AS seg FROM i),
+ x AS (SELECT g.id, bool_or(token IS NOT NULL AND NOT list_contains(owners, dev)) AS other FROM g LEFT JOIN (SELECT token, list(owner) AS owners FROM t WHERE token <> '' GROUP BY 1) o ON o.token = regexp_replace(lower(seg), '[0-9.]+$', '') GROUP BY 1)
+ SELECT DISTINCT g.id, g.s AS source_id, NOT mixed OR NOT (nested OR other) AS mints FROM g JOIN x USING (id)""", "model"))
 def er_08(spark, sf):
-    m = R.model(spark, sf).select("id", "developer", X.vendor_token(F.split_part("name", F.lit(" "), F.lit(1))).alias("token"))
-    t = m.groupBy("token").agg(F.count_distinct("developer").alias("n"), F.min("developer").alias("dev"))
-    return m.join(t, "token").select("id", "n", (F.col("dev") == F.col("developer")).alias("leads"))
+    """Tokens learned from the plain namespaces of odd brands, as a gate for the ids of shared ones."""
+    ids, brands = catalog_ids(spark, sf), [str(i) for i in range(1, 26)]
+    shared = {f"brand-{b}-cn": f"brand-{b}" for b in brands}
+    owners = resolve.vendor_owners(ids, "s", [f"brand-{b}" for b in brands if int(b) % 2], list(shared))
+    return resolve.with_mint_gate(ids, "s", owners, shared).select("id", F.col("s").alias("source_id"), "mints")
 
 
 @query("o_er_09", with_roles("WITH r AS (SELECT id, lower(replace(developer, '#', '-')) || '/' || replace(name, ' ', '-') AS route, CASE WHEN id % 3 = 0 THEN 'Hub/' || replace(name, ' ', '_') END AS hub FROM model), known AS (SELECT lower(replace(developer, '#', '-')) || '/' || replace(name, ' ', '-') AS alias, min(id) AS entity_id FROM model WHERE id % 2 = 0 GROUP BY 1), hit AS (SELECT r.*, entity_id FROM r JOIN known ON route = alias) SELECT DISTINCT entity_id, route AS alias, 'router_id' AS kind, CAST(0.9 AS DOUBLE) AS confidence FROM hit UNION ALL SELECT DISTINCT entity_id, hub, 'hf_repo_id', CAST(0.95 AS DOUBLE) FROM hit WHERE hub IS NOT NULL", "model"))

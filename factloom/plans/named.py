@@ -117,12 +117,17 @@ def qg_04(spark, sf):
     return gates.issues(pairs, "overlapping_price", "error", F.concat_ws(":", "model_id", "surface_id", "component"), F.concat(name("id"), F.lit("-"), name("other")))
 
 
-@query("o_qg_05", "SELECT 'empty_payload' AS \"check\", 'error' AS severity, CAST(page_id AS VARCHAR) AS key, url AS detail FROM pages WHERE html IS NULL OR length(html) < 1000")
+@query("o_qg_05", "SELECT 'missing_snapshot_raw_payload' AS \"check\", 'error' AS severity, CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 11 <> 0 THEN 'p' || page_id % 10 || '/' || page_id || '.raw' END AS detail FROM pages WHERE html IS NULL OR html = '' OR page_id % 7 = 0 OR page_id % 11 = 0 OR page_id % 13 = 0")
 def qg_05(spark, sf):
-    from factloom.session import table
-
-    small = table(spark, sf, "pages").where("html IS NULL OR length(html) < 1000")
-    return gates.issues(small, "empty_payload", "error", F.col("page_id"), F.col("url"))
+    """Every 7th payload isn't written, every 11th has no path, every 13th is empty."""
+    from factloom.session import shared_folder, table
+    from factloom.sources.snapshots import missing_payloads, write_payloads
+
+    path = F.concat(F.lit("p"), F.col("page_id") % 10, F.lit("/"), "page_id", F.lit(".raw"))
+    pages = table(spark, sf, "pages").select("page_id", "html", F.when(F.col("page_id") % 11 != 0, path).alias("raw_path"))
+    root = shared_folder(spark, "payloads")
+    write_payloads(pages.where("page_id % 7 <> 0").select(F.col("raw_path").alias("path"), F.when(F.col("page_id") % 13 == 0, "").otherwise(F.col("html")).alias("content")), root)
+    return gates.issues(missing_payloads(pages.select("page_id", "raw_path"), root), "missing_snapshot_raw_payload", "error", F.col("page_id"), F.col("raw_path"))
 
 
 @query("o_qg_06", "SELECT 'missing_condition' AS \"check\", 'warning' AS severity, CAST(event_id AS VARCHAR) AS key, event_type AS detail FROM events WHERE event_id % 11 = 0")

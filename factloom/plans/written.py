@@ -90,6 +90,18 @@ def dml_11(spark, sf):
     return spark.read.schema("id long, price double, version int").parquet(root).select("version", "id", "price")
 
 
+@query("o_sup_01", with_roles("SELECT 1 AS version, CAST(id AS BIGINT) AS id, CAST(context AS DOUBLE) AS context, NULL AS display_name FROM model WHERE id % 2 = 0 UNION ALL SELECT 2, id, CAST(context AS DOUBLE) + 0.5, name FROM model", "model"))
+def sup_01(spark, sf):
+    """A second version adds a column and widens two; both are read as one table."""
+    m, root = R.model(spark, sf), shared_folder(spark, "versions")
+    first = m.where("id % 2 = 0").select(F.col("id").cast("int").alias("id"), F.col("context").cast("int").alias("context"))
+    second = m.select(F.col("id").cast("long").alias("id"), (F.col("context") + F.lit(0.5)).alias("context"), F.col("name").alias("display_name"))
+    merge.versioned_copy(first, root, 1)
+    merge.additive(first.schema, second.schema)
+    merge.versioned_copy(second, root, 2)
+    return merge.read_versions(spark, root)
+
+
 @query("o_pro_18", with_roles("SELECT 'mteb' AS source, count(*) AS n, 0 AS failed FROM model UNION ALL SELECT 'swebench', 0, 1 UNION ALL SELECT 'aider', 0, 1 UNION ALL SELECT 'written', count(*), 0 FROM model", "model"))
 def pro_18(spark, sf):
     """One source comes through, one breaks off at a row in the middle, one can't be planned."""

@@ -38,6 +38,45 @@ def raw_name(fetched_at, content_hash):
     return F.concat(F.date_format(fetched_at, "yyyyMMdd'T'HHmmss"), F.lit("_"), F.substring(content_hash, 1, 8), F.lit(".raw"))
 
 
+def write_payloads(rows: DataFrame, root: str) -> int:
+    """Files below ``root``, a folder that all executors share, from ``rows(path, content)``: how many.
+
+    A task that runs again writes the same file; rows without a path or content write none.
+    """
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(root if root.startswith("file:") or "://" in root else f"file://{root}")
+        for batch in batches:
+            n = 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path is not None and content is not None:
+                    where.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                    with where.open_output_stream(f"{top}/{path}") as out:
+                        out.write(content)
+                    n += 1
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return rows.select("path", F.col("content").cast("binary")).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def missing_payloads(recorded: DataFrame, root: str, path: str = "raw_path") -> DataFrame:
+    """Rows of ``recorded`` that name no file below ``root``, or one without content.
+
+    Files are listed by Spark with their lengths; their contents aren't read. A folder that isn't there holds no files.
+    """
+    spark = recorded.sparkSession
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    where = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not where.exists(top):
+        return recorded
+    base = where.makeQualified(top).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0").select(F.substr("path", F.lit(len(base) + 2)).alias("_file"))
+    return recorded.join(files, F.col(path) == F.col("_file"), "left_anti")
+
+
 def run_sources(store: Store, raw: dict[str, DataFrame]) -> DataFrame:
     """(source, n, failed, error): every source's payloads parsed and kept as a table of ``store``, each by itself.
 

@@ -449,3 +449,44 @@ def test_steps_compose():
                     steps += [step] if step else []
                 whole = t.then(*steps) if len(steps) == 2 else steps[0]
                 assert t.after(island, whole) == want
+
+
+def test_only_owners_mint_in_shared_catalogs(spark):
+    ids = ["deepseek/deepseek-v4", "moonshotai/kimi-k2.5", "alibaba/qwen3.7", "nobody/acme-1", "deepseek/a/b", "deepseek/", "alibaba-cn/qwen3.7-flash", "alibaba-cn/deepseek-v4-flash", "alibaba-cn/new-kimi-x", "alibaba-cn/a-b-kimi", "alibaba-cn/x/deepseek", "alibaba-cn/wan2.5", "alibaba-cn/acme-1", "alibaba-cn", "other/deepseek-v4", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(ids)], "i long, s string")
+    owners = resolve.vendor_owners(df, "s", ["deepseek", "moonshotai", "alibaba"], ["alibaba-cn"])
+    assert rows(owners) == [("deepseek", ["deepseek"]), ("kimi", ["moonshotai"]), ("qwen", ["alibaba"])]
+    got = {r.s: r.mints for r in resolve.with_mint_gate(df, "s", owners, {"alibaba-cn": "alibaba"}).collect()}
+    assert got == dict.fromkeys(ids, True) | {"alibaba-cn/deepseek-v4-flash": False, "alibaba-cn/new-kimi-x": False, "alibaba-cn/x/deepseek": False}
+
+
+def test_payload_files_are_looked_up(spark, tmp_path):
+    rec = spark.createDataFrame([(1, "a/1 x.raw"), (2, "a/2.raw"), (3, None), (4, "b/4.raw"), (5, "é%20.raw")], "id long, raw_path string")
+    root = str(tmp_path / "raw")
+    assert snapshots.missing_payloads(rec, root).count() == 5
+    assert snapshots.write_payloads(spark.createDataFrame([("a/1 x.raw", b"1"), ("a/2.raw", b""), (None, b"x"), ("b/c", None), ("é%20.raw", b"5")], "path string, content binary"), root) == 3
+    for place in (root, f"file://{root}", f"{root}/"):
+        assert sorted(r.id for r in snapshots.missing_payloads(rec, place).collect()) == [2, 3, 4]
+
+
+def test_stored_versions_are_read_as_one_table(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string as schema
+
+    old = spark.createDataFrame([(1, 1.5, ("x",))], "id int, price float, s struct<a:string>")
+    new = spark.createDataFrame([(2**40, 2.5, ("y", 7), "n")], "id long, price double, s struct<a:string,b:int>, name string")
+    merge.versioned_copy(old, str(tmp_path), 1)
+    merge.versioned_copy(new, str(tmp_path), 2)
+    got = merge.read_versions(spark, str(tmp_path)).orderBy("version")
+    assert got.dtypes == [("id", "bigint"), ("price", "double"), ("s", "struct<a:string,b:int>"), ("name", "string"), ("version", "int")]
+    assert [(r.id, r.price, r.s.a, r.s.b, r.name) for r in got.collect()] == [(1, 1.5, "x", None, None), (2**40, 2.5, "y", 7, "n")]
+    assert merge.additive(old.schema, new.schema).simpleString() == new.schema.simpleString()
+    for bad in ("id int, s struct<a:string>", "id short, price float, s struct<a:string>", "id string, price float, s struct<a:string>"):
+        with pytest.raises(merge.Narrowing):
+            merge.additive(old.schema, schema(bad))
+    assert merge.wider(*[f.dataType for f in schema("a decimal(10,2), b decimal(12,4)").fields]).simpleString() == "decimal(12,4)"
+    for a, b in (("bigint", "double"), ("decimal(38,0)", "decimal(38,10)"), ("date", "timestamp"), ("string", "int")):
+        with pytest.raises(merge.Narrowing):
+            merge.merged_schema([schema(f"x {a}"), schema(f"x {b}")])
+    spark.createDataFrame([("t",)], "id string").write.parquet(str(tmp_path / "version=000003"))
+    with pytest.raises(merge.Narrowing, match="id"):
+        merge.read_versions(spark, str(tmp_path))
