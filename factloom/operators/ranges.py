@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A range is to hold about so many rows of its key.
+ROWS = 100_000
+
+
+def place_in(edges: Column, by: Column, most: int) -> Column:
+    """How many of the ascending ``edges`` (``most`` or fewer) lie below ``by``: a binary search, bit by bit."""
+    bits = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(bits, F.lit(0), lambda low, step: F.when(F.get(edges, low + step - 1) < by, low + step).otherwise(low))
+
+
 def in_ranges(rows: DataFrame, keys: Sequence[str], by: Column, edges_of: DataFrame | None = None, out: str = "_b") -> DataFrame:
     """Adds ``out``, the number of the range of ``by`` that a row is in within its key (nulls in the first).
 
-    There are as many ranges as shuffle partitions (64 at least), so they follow the cluster and the
-    data it was set for. Edges come from ``edges_of`` (``rows``); keys are few, and their edges are
-    joined to the rows, broadcast if Spark finds them small.
+    A key has as many ranges as its rows need (``ROWS`` a range), at most one a shuffle partition (64 at least), so they
+    follow the cluster and the data; a small key is one range. Edges come from ``edges_of`` (``rows``); keys are few, and
+    their edges are joined to the rows, broadcast if Spark finds them small. A row finds its range by binary search.
     """
     n = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_k{i}" for i in range(len(keys))]
-    edges = (rows if edges_of is None else edges_of).groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)]).agg(F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n).alias("_edges"))
+    fine = F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n)
+    edges = (rows if edges_of is None else edges_of).groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)]).agg(fine.alias("_fine"), F.count("*").alias("_rows"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(n * ROWS) / F.col("_rows")).cast("int"))
+    edges = edges.select(*names, F.filter("_fine", lambda e, i: (i + 1) % step == 0).alias("_edges"))
     on = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names, strict=True)]
     joined = rows.join(edges, on, "left") if on else rows.join(F.broadcast(edges))
-    place = F.coalesce(F.size(F.filter("_edges", lambda e: e < by)), F.lit(0))
-    return joined.withColumn(out, F.when(by.isNull(), 0).otherwise(place)).drop("_edges", *names)
+    return joined.withColumn(out, F.when(by.isNull(), 0).otherwise(F.coalesce(place_in(F.col("_edges"), by, n - 1), F.lit(0)))).drop("_edges", *names)
 
 
 def carried(ranged: DataFrame, keys: Sequence[str], total: Column, carry, out: str, bucket: str = "_b") -> DataFrame:
