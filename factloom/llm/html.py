@@ -44,6 +44,8 @@ DROPPED_WORDS = frozenset(
     "footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments reply replies respond disqus pagination pager toolbar skip hidden masthead topbar form search".split()
 )
+#: Those of them that mark what readers write, which no figure of a host's pages tells from an article.
+READER_WORDS = frozenset("comment comments reply replies respond disqus".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 #: Elements that a start tag ends, unless one of the second kind is open inside them.
 CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -57,7 +59,7 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW_NAMES}
 _PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"<>]*+"(?=[\s/>]))*+)>""")
 _TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -412,18 +414,29 @@ def merge_all(texts: list[str], rare: float = 0.001) -> str:
 
 
 _WORDS = re.compile(r"[a-z]+")
-_KINDS: dict[str, tuple[str, bool, bool]] = {}
+_KINDS: dict[str, tuple[str, int, bool]] = {}
 
 
-def kind(label: str) -> tuple[str, bool, bool]:
-    """(tag, dropped, main) of a label."""
+def kind(label: str) -> tuple[str, int, bool]:
+    """(tag, how sure its name says that it is no article, main) of a label.
+
+    3: a tag of that meaning, a hidden element, or a class or id that is such a word; 2: a word of ``READER_WORDS`` as a
+    part of one, or a form; 1: another such word as a part of one (``share-bar``, but also ``share-price``); 0: nothing. Classes for
+    screen sizes (``md:hidden``) say nothing.
+    """
     got = _KINDS.get(label)
     if got is None:
         tag = re.split(r"[.#!]", label, maxsplit=1)[0]
-        words = set(_WORDS.findall(label[len(tag) :]))
-        dropped = tag in DROPPED_TAGS or "!hidden" in label or bool(words & DROPPED_WORDS)
+        tokens = [t for t in re.split(r"[.#!\s]+", label[len(tag) :]) if ":" not in t]
+        words = {w for t in tokens for w in _WORDS.findall(t)}
+        if tag in DROPPED_TAGS and tag != "form" or "!hidden" in label or any(t.strip("-_") in DROPPED_WORDS for t in tokens):
+            sure = 3
+        elif tag == "form" or words & READER_WORDS:
+            sure = 2
+        else:
+            sure = int(bool(words & DROPPED_WORDS))
         main = tag in ("article", "main") or "!main" in label or bool(words & MAIN_WORDS) and tag in ("div", "section")
-        got = _KINDS[label] = (tag, dropped, main and not dropped)
+        got = _KINDS[label] = (tag, sure, main)
         if len(_KINDS) > 100_000:
             _KINDS.clear()
     return got
@@ -437,6 +450,7 @@ class Wrapper:
         self.names = names
         self.figures = {f[0]: f[1:] for f in figures}  # slot -> pages, characters, of them links, of them shared, shared texts' hashes
         self.shared = {k: frozenset(f[4]) for k, f in self.figures.items()}
+        self.pages = max((f[0] for f in self.figures.values()), default=0)
         self.items = read_wrapper(text)
         self.index: dict[int, tuple[dict, dict]] = {}
         self.count = 0
@@ -479,50 +493,63 @@ class Wrapper:
                 yield slot, leaves
             todo += kids
 
-    def _weigh(self, items: list) -> tuple[float, float]:
-        """Appends to each item how many of its characters are its own text, and how many are links; returns their sums.
+    def _weigh(self, items: list) -> tuple[float, float, float]:
+        """Appends to each item how many of its characters are its own text, how many are links, and how many there are; returns their sums.
 
         They are the means of the host's pages that have the slot, so that a page of little text is
         judged by what its slots hold elsewhere.
         """
-        own_sum = link_sum = 0.0
+        sums = (0.0, 0.0, 0.0)
         for x in items:
             if x[0] == "#":
                 n, chars, links, shared, _ = self.figures.get(x[1]) or (1, sum(len(t[2].strip()) for t in x[2]), sum(len(t[2].strip()) for t in x[2] if t[3]), 0, ())
-                own, link = max(0, chars - links - shared) / n, links / n
+                got = (max(0, chars - links - shared) / n, links / n, chars / n)
             else:
-                own, link = self._weigh(x[3])
-            x += [own, link]
-            own_sum, link_sum = own_sum + own, link_sum + link
-        return own_sum, link_sum
-
-    def _kind(self, label: str) -> tuple[str, bool, int]:
-        """(tag, whether its name says it is no article, rank: 3 for an article, 2 for a main element, 1 for one named like it)."""
-        tag, dropped, main = kind(label)
-        if not self.names:
-            return tag, False, 0
-        return tag, dropped, (3 if tag == "article" else 2 if tag == "main" or "!main" in label else 1) if main else 0
+                got = self._weigh(x[3])
+            x += got
+            sums = tuple(a + b for a, b in zip(sums, got, strict=True))
+        return sums
+
+    def _gone(self, x: list, whole: float) -> bool:
+        """Whether an item is no article by its name, on a page of ``whole`` characters of own text.
+
+        What is named so in part only stays if it has over half of that. Otherwise it goes, but for words that say
+        little where the figures of four pages or more say that most of it is neither shared nor links.
+        """
+        sure = kind(x[0])[1] if self.names and x[0] != "#" else 0
+        if sure in (0, 3):
+            return sure == 3
+        return 2 * x[5] <= whole and (sure == 2 or self.pages < 4 or 2 * x[5] <= x[7])
+
+    def _rank(self, x: list, gone: bool) -> int:
+        """3 for an article, 2 for a main element, 1 for one named like it."""
+        tag, _, main = kind(x[0])
+        if not self.names or not main or gone:
+            return 0
+        return 3 if tag == "article" else 2 if tag == "main" or "!main" in x[0] else 1
 
     def read(self, page: list) -> list:
         """The page's texts that belong to the article, in page order.
 
         From the root down, the element with most own text is entered while it has over 0.6 of what
-        lies beside it; names weigh 2 to 8 times more or 16 times less. Headings before an element that only
+        lies beside it; names weigh 2 to 8 times more or 16 times less, but those that may mean
+        something else only as ``_gone`` says. Headings before an element that only
         its text speaks for are kept. Inside, what most of the host's pages share goes (but from an
         article or main element), and so do lists of links and what names say is no article.
         """
         items = self.placed(fold(page), self.items)
-        self._weigh(items)
+        whole = self._weigh(items)[0]
         out: list = []
-        here = ["", -1, [], items, False, 0.0, 0.0]
+        here = ["", -1, [], items, False]
         rank = 0
         while True:
             best, most, total = None, 0.0, 0.0
             for x in here[3]:
-                tag, dropped, r = self._kind(x[0]) if x[0] != "#" else ("#", False, 0)
-                weight = x[5] * (1 / 16 if dropped or self.names and tag == "header" else 2**r)
+                tag, gone = kind(x[0])[0] if x[0] != "#" else "#", self._gone(x, whole)
+                r = self._rank(x, gone)
+                weight = x[5] * (1 / 16 if gone or self.names and tag == "header" else 2**r)
                 total += weight
-                if weight > most and tag in CONTAINERS and not dropped and (r >= rank if rank else True) and (r or not rank):
+                if weight > most and (tag in CONTAINERS or tag == "form") and not gone and (r >= rank if rank else True) and (r or not rank):
                     best, most, best_rank = x, weight, r
             if best is None or most < 0.6 * total:
                 break
@@ -531,26 +558,27 @@ class Wrapper:
                     if x is best:
                         break
                     if kind(x[0])[0] in HEADINGS:
-                        self._gather([x], False, False, out)
+                        self._gather([x], whole, False, False, out)
             here, rank = best, max(rank, best_rank)
-        self._gather(here[3], False, False, out)
+        self._gather(here[3], whole, False, False, out)
         # a block goes only if all of it is shared, and none does from what is marked as the article
         own = {t[1] for t, shared in out if not shared or rank >= 2}
         return sorted((t for t, _ in out if t[1] in own), key=lambda t: t[1])
 
-    def _gather(self, items: list, header: bool, heading: bool, out: list) -> None:
-        for label, slot, leaves, kids, repeated, own, link in items:
+    def _gather(self, items: list, whole: float, header: bool, heading: bool, out: list) -> None:
+        for x in items:
+            label, slot, leaves, kids, repeated, own, link, _ = x
             if label == "#":
                 if not header or heading:
                     shared = self.shared.get(slot, ())
-                    out += [(t, bool(shared) and text_hash(whole) in shared) for whole, parts in blocks_of(leaves) for t in parts]
+                    out += [(t, bool(shared) and text_hash(text) in shared) for text, parts in blocks_of(leaves) for t in parts]
                 continue
-            tag, dropped, _ = self._kind(label)
-            if dropped or repeated and link > 4 * own and tag in ("li", "div", "p", "tr", "td", "ul", "ol"):
+            tag = kind(label)[0]
+            if self._gone(x, whole) or repeated and link > 4 * own and tag in ("li", "div", "p", "tr", "td", "ul", "ol"):
                 continue
-            if tag in ("ul", "ol") and link > 4 * own and any(x[4] for x in kids):
+            if tag in ("ul", "ol") and link > 4 * own and any(k[4] for k in kids):
                 continue
-            self._gather(kids, header or self.names and tag == "header", heading or tag in HEADINGS, out)
+            self._gather(kids, whole, header or self.names and tag == "header", heading or tag in HEADINGS, out)
 
 
 def blocks_of(leaves: list) -> Iterator[tuple[str, list]]:

@@ -117,3 +117,41 @@ def test_pages_of_a_million_characters_take_time_in_proportion():
         begun = time.process_time()
         text(page)
         assert time.process_time() - begun < 20, page[:20]
+
+
+def five_pages(host, body_class, inner_class="", data="", form=False):
+    """Five pages of a host with a menu, a share bar and an article; what the article says."""
+    rng, out = random.Random(host), []
+    for i in range(5):
+        says = [" ".join(rng.choice(["river", "stone", "walks", "evening", "quietly", "market", "a", "the"]) for _ in range(30)) + "." for _ in range(3)]
+        inner = "".join(f'<p class="{inner_class if k == 1 else ""}">{p}</p>' for k, p in enumerate(says))
+        bar = '<div class="share">Share this with your friends today</div>'
+        body = f'<div class="{body_class}" {data}>{bar}{inner}</div>'
+        body = f'<form action="/">{body}</form>' if form else body
+        out.append((f"http://{host}/{i}", f'<html><body><div class="nav"><a href="/">Home</a> <a href="/x">News</a></div>{body}<div class="foot">All rights reserved by the owner of this host</div></body></html>', "\n".join(says)))
+    return out
+
+
+def test_no_article_is_lost_to_a_name(spark):
+    from factloom.llm.html import DROPPED_WORDS, READER_WORDS, extract
+
+    words = sorted(DROPPED_WORDS)
+    pages = [p for w in words for p in five_pages(f"part-{w}.example", f"overflow-{w}", "x") + five_pages(f"utility-{w}.example", f"md:{w} lg:block {w}-none", "y")]
+    pages += [p for w in words if w not in READER_WORDS for p in five_pages(f"inner-{w}.example", "c1", f"{w}-price")]
+    pages += five_pages("data.example", "c1", "c2", 'data-hidden="true" data-class="share" aria-hidden="false" data-id="nav"') + five_pages("form.example", "c1", "c2", form=True)
+    pages += five_pages("layout.example", "post-share-layout", "social-science text-sm form-text")
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert [(u, got[i]) for i, (u, _, want) in enumerate(pages) if got[i] != want] == []
+
+
+def test_names_still_take_away_what_the_figures_agree_on(spark):
+    from factloom.llm.html import extract
+
+    pages = []
+    for i, (u, h, want) in enumerate(five_pages("noise.example", "article-body", "c")):
+        noise = '<div class="cookie-banner">We use cookies, please accept them all</div><div class="user-comments"><p>' + f"Reader {i} thinks that number {i * 7} is best" + '</p></div><div hidden>secret ' + str(i) + '</div><aside>Aside ' + str(i) + "</aside>"
+        pages.append((u, h.replace("</div><div class=\"foot\">", noise + "</div><div class=\"foot\">"), want))
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert [got[i] for i in range(5)] == [want for _, _, want in pages]
