@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from factloom.operators import ranges
 from factloom.operators.asof import asof_grid
+from factloom.operators.dates import week_key
 from factloom.operators.stats import rank_quantile_desc
+from factloom.session import durable
 
 
 def envelope(series: DataFrame, key: str, time: str, value: str, ties: Sequence[str], grid: Column, out: str = "g") -> DataFrame:
@@ -28,6 +30,66 @@ def race_frames(series: DataFrame, key: str, time: str, value: str, ties: Sequen
     return at.join(enough, F.col(out) == F.col("_g"), "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
+def month_end(t: Column) -> Column:
+    """The last millisecond of a time's month."""
+    return F.date_trunc("MONTH", t).cast("timestamp_ntz") + F.expr("INTERVAL '1' MONTH") - F.expr("INTERVAL '0.001' SECOND")
+
+
+def standing(series: DataFrame, key: str, time: str, value: str, ties: Sequence[str]) -> DataFrame:
+    """(key, month, value): each key's last value as of the end of each month, from its first to the series' last month.
+
+    A key's months are summed up first, so no more rows than keys times months are made.
+    """
+    month = F.date_trunc("MONTH", time).cast("timestamp_ntz")
+    last = series.where(F.col(time).isNotNull()).groupBy(key, month.alias("month")).agg(F.max_by(value, F.struct(time, *ties)).alias(value))
+    until = F.broadcast(series.agg(F.max(month).alias("_last")))  # one row
+    own = Window.partitionBy(key).orderBy("month")
+    upto = F.coalesce(F.lead("month").over(own) - F.expr("INTERVAL '1' MONTH"), F.col("_last"))
+    return last.join(until).withColumn("_upto", upto).select(key, F.explode(F.sequence("month", "_upto", F.expr("INTERVAL '1' MONTH"))).alias("month"), value)
+
+
+def window_prices(prices: DataFrame, key: str, amount: str, start: str, end: str, until: DataFrame) -> DataFrame:
+    """(key, month, price): the most frequent positive price of those in force at each month's end, of equally frequent ones the lowest.
+
+    Prices of the same months are counted first; then each names its months, up to the one of ``until`` (one row, ``_last``).
+    """
+    first, to = F.date_trunc("MONTH", start).cast("timestamp_ntz"), F.date_trunc("MONTH", end).cast("timestamp_ntz")
+    whole = F.when(F.col(end) >= month_end(F.col(end)), to).otherwise(to - F.expr("INTERVAL '1' MONTH"))
+    p = prices.where((F.col(amount) > 0) & F.col(start).isNotNull()).join(F.broadcast(until))
+    p = p.select(key, F.col(amount).alias("price"), first.alias("_first"), F.least(F.coalesce(whole, F.col("_last")), F.col("_last")).alias("_to")).where("_first <= _to")
+    counts = p.groupBy(key, "price", "_first", "_to").agg(F.count("*").alias("_n"))
+    months = counts.select(key, "price", "_n", F.explode(F.sequence("_first", "_to", F.expr("INTERVAL '1' MONTH"))).alias("month"))
+    each = months.groupBy(key, "month", "price").agg(F.sum("_n").alias("_n"))
+    return each.groupBy(key, "month").agg(F.min_by("price", F.struct((-F.col("_n")).alias("n"), "price")).alias("price"))
+
+
+def price_trend(series: DataFrame, prices: DataFrame, current: DataFrame, thresholds: Sequence[float], key: str = "model_id", share: float = 0.6) -> DataFrame:
+    """(threshold, month, key, price, current): the cheapest key that stands at or above each threshold, month by month.
+
+    ``series(key, t, value, id)``, ``prices(key, amount, valid_from, valid_to)``, ``current(key, price)``. The price is
+    that in force at the month's end; if over all thresholds that gives fewer than ``share`` of the points that current prices
+    would, all points take current prices. Of equal prices the least key counts; months without one are left out.
+    """
+    at = standing(series, key, "t", "value", ["id"])
+    until = series.agg(F.max(F.date_trunc("MONTH", "t").cast("timestamp_ntz")).alias("_last"))
+    good = at.select(key, "month", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"), "value").where("value >= threshold")
+    priced = good.join(window_prices(prices, key, "amount", "valid_from", "valid_to", until), [key, "month"]).select("threshold", "month", F.struct("price", key).alias("_best"), F.lit(False).alias("current"))
+    now = current.where("price > 0").select(F.col(key).alias("_key"), "price")
+    by_now = good.join(now, F.col(key) == F.col("_key")).select("threshold", "month", F.struct("price", key).alias("_best"), F.lit(True).alias("current"))
+    points = durable(priced.union(by_now).groupBy("threshold", "month", "current").agg(F.min("_best").alias("_best")))  # a few a month
+    n = F.broadcast(points.agg(F.count_if("current").alias("_now"), F.count_if(~F.col("current")).alias("_then")))
+    use = (F.col("_now") > 0) & (F.col("_then") < F.lit(share) * F.col("_now"))
+    return points.join(n).where(F.col("current") == use).select("threshold", "month", F.col(f"_best.{key}").alias(key), F.col("_best.price").alias("price"), "current")
+
+
+def most_frames(series: DataFrame, dataset: str, time: str, order: Sequence[str]) -> DataFrame:
+    """(dataset, frames, chosen): how many weeks each of the datasets in ``order`` has; the one with most is chosen, of equals the first."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(dataset))
+    frames = series.where(F.col(dataset).isin(*order) & F.col(time).isNotNull()).groupBy(dataset).agg(F.count_distinct(week_key(F.col(time))).alias("frames"))
+    first = F.row_number().over(Window.orderBy(F.desc("frames"), place)) == 1  # a row a dataset
+    return frames.withColumn("chosen", first)
+
+
 def nearest(rows: DataFrame, target: DataFrame, on: Column, order: Sequence[Column], label: str) -> DataFrame:
     """(label, id): the first row by ``order`` that fits the one-row ``target`` (its columns begin with t_)."""
     return rows.join(F.broadcast(target.limit(1)), on).orderBy(*order).limit(1).select(F.lit(label).alias("label"), "id")

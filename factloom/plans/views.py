@@ -59,16 +59,39 @@ def view_05(spark, sf):
     return views.race_frames(R.series(spark, sf), "model_id", "t", "elo", ["id"], F.expr(WEEK_GRID), 20, 8).select("g", "model_id", "elo", "place")
 
 
-@query("o_view_06", with_roles("WITH months AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2000-12-01', INTERVAL 1 MONTH)) AS TIMESTAMP) AS g), good AS (SELECT model_id FROM result GROUP BY 1 HAVING max(score) >= 80000) SELECT g, min(amount) AS cheapest, count(*) AS n FROM months JOIN price ON valid_from <= g AND (valid_to IS NULL OR valid_to >= g) WHERE model_id IN (SELECT model_id FROM good) GROUP BY 1", "price", "result"))
+@query("o_view_05_dataset", with_roles("SELECT kind, frames, row_number() OVER (ORDER BY frames DESC, list_position(['view', 'click', 'purchase', 'error'], kind)) = 1 AS chosen FROM (SELECT kind, count(DISTINCT year(t) || '-' || (dayofyear(t) - 1) // 7) AS frames FROM series WHERE kind IN ('view', 'click', 'purchase', 'error') AND model_id % 5 < 3 GROUP BY 1)", "series"))
+def view_05_dataset(spark, sf):
+    return views.most_frames(R.series(spark, sf).where("model_id % 5 < 3"), "kind", "t", ["view", "click", "purchase", "error"])
+
+
+def trend_sql(prices: str) -> str:
+    return with_roles(f"""WITH s AS (SELECT model_id, measured_at AS t, CAST(score AS DOUBLE) AS v, snapshot_id * 10 + rank AS id FROM result), lim AS (SELECT date_trunc('month', min(t)) AS lo, date_trunc('month', max(t)) AS hi FROM s),
+ months AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM lim), ends AS (SELECT month, month + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND AS e FROM months),
+ standing_ AS (SELECT model_id, month, e, arg_max(v, struct_pack(t := t, i := id)) AS v FROM s JOIN ends ON t <= e GROUP BY ALL),
+ good AS (SELECT model_id, month, e, x AS threshold FROM standing_, (VALUES (80000.0::DOUBLE), (95000.0::DOUBLE)) q(x) WHERE v >= x),
+ pr AS ({prices}), cnt AS (SELECT g.threshold, g.month, g.model_id, amount, count(*) AS n FROM good g JOIN pr ON pr.model_id = g.model_id AND amount > 0 AND valid_from <= e AND (valid_to IS NULL OR valid_to >= e) GROUP BY ALL),
+ w AS (SELECT threshold, month, model_id, arg_min(amount, struct_pack(n := -n, a := amount)) AS price FROM cnt GROUP BY ALL),
+ pts AS (SELECT threshold, month, arg_min(model_id, struct_pack(p := price, m := model_id)) AS model_id, min(price) AS price, FALSE AS current FROM w GROUP BY 1, 2
+  UNION ALL SELECT threshold, month, arg_min(model_id, struct_pack(p := m.price, m := model_id)), min(m.price), TRUE FROM good JOIN model m ON m.id = model_id WHERE m.price > 0 GROUP BY 1, 2),
+ use_ AS (SELECT count(*) FILTER (WHERE current) > 0 AND count(*) FILTER (WHERE NOT current) < 0.6 * count(*) FILTER (WHERE current) AS u FROM pts)
+ SELECT threshold, month, model_id, CAST(price AS DOUBLE) AS price, current FROM pts, use_ WHERE current = u""", "result", "price", "model")
+
+
+def trend(spark, sf, prices):
+    series = R.result(spark, sf).select("model_id", F.col("measured_at").alias("t"), F.col("score").cast("double").alias("value"), (F.col("snapshot_id") * 10 + F.col("rank")).alias("id"))
+    current = R.model(spark, sf).select(F.col("id").alias("model_id"), F.col("price").cast("double").alias("price"))
+    return views.price_trend(series, prices.select("model_id", F.col("amount").cast("double").alias("amount"), "valid_from", "valid_to"), current, [80000.0, 95000.0])
+
+
+@query("o_view_06", trend_sql("SELECT * FROM price WHERE component = 'F'"))
 def view_06(spark, sf):
-    good = R.result(spark, sf).groupBy("model_id").agg(F.max("score").alias("s")).where("s >= 80000")
-    p = joins.semi(R.price(spark, sf), good, {"model_id": "model_id"})
-    lo, hi = "TIMESTAMP_NTZ'1996-01-01'", "TIMESTAMP_NTZ'2000-12-01'"
-    first = F.expr(f"greatest({lo}, CAST(date_trunc('MONTH', valid_from) AS TIMESTAMP_NTZ))")
-    last = F.expr(f"least({hi}, coalesce(valid_to, {hi}))")
-    # each price names its own months: no price meets months outside its window
-    inside = p.where(first <= last).select("amount", "valid_from", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).alias("g")).where("g >= valid_from")
-    return inside.groupBy("g").agg(F.min("amount").alias("cheapest"), F.count("*").alias("n"))
+    return trend(spark, sf, R.price(spark, sf).where("component = 'F'"))
+
+
+@query("o_view_06_current", trend_sql("SELECT * FROM price WHERE snapshot_id % 500 = 1 AND valid_to IS NOT NULL"))
+def view_06_current(spark, sf):
+    """Few prices have windows, so current prices take their place."""
+    return trend(spark, sf, R.price(spark, sf).where("snapshot_id % 500 = 1 AND valid_to IS NOT NULL"))
 
 
 @query("o_view_07", with_point("SELECT family, max(score) FILTER (WHERE open_weights) AS best_open, max(score) FILTER (WHERE NOT coalesce(open_weights, FALSE)) AS best_closed, round(max(score) FILTER (WHERE NOT coalesce(open_weights, FALSE)) - max(score) FILTER (WHERE open_weights), 4) AS gap FROM point GROUP BY 1"))
