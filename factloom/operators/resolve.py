@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.text import canonical_org, vendor_token
+from factloom.functions.text import canonical_org, normalize_alias, vendor_token
+from factloom.session import durable
 
 #: Suffixes that display names carry, longest first where one ends in another.
 IDENTITY_SUFFIXES = (
@@ -154,3 +155,92 @@ def best_options(entities: DataFrame, key: str, provider: str, name: str, family
     every = tries[0].union(tries[1]).union(tries[2])
     place = F.row_number().over(Window.partitionBy("record").orderBy(F.desc("score"), "entity"))
     return every.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+
+
+def _only(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, name_id): keys of exactly one id."""
+    return rows.groupBy(F.col(key).alias(name)).agg(F.min("id").alias(f"{name}_id"), F.count_distinct("id").alias("_n")).where("_n = 1").drop("_n")
+
+
+def repair_plan(models: DataFrame, aliases: DataFrame, organizations: DataFrame) -> DataFrame:
+    """(shell_id, shell_slug, developer_id, clean_slug, target_id, target_slug, resolution, action) for models named host/creator/model.
+
+    ``models(id, slug, developer_id)``, ``aliases(alias, model_id)`` with normalised aliases, ``organizations(id)``. The target is
+    the model of the clean slug, else the only one whose normalised slug is the same, else the only one that creator/model is an alias
+    of, if the model part of its slug and the shell's begin alike up to a hyphen and, for a known organisation, the developer agrees.
+    A shell is never its own target. Without a target the clean slug is to be created.
+    """
+    shells = models.where(F.size(F.split("slug", "/", 3)) == 3).select(F.col("id").alias("shell_id"), F.col("slug").alias("shell_slug"), F.split("slug", "/", 3).alias("_p"))
+    shells = shells.where(F.get("_p", F.lit(2)) != "").withColumn("developer_id", canonical_org(F.get("_p", F.lit(1)))).withColumn("clean_slug", F.concat("developer_id", F.lit("/"), F.get("_p", F.lit(2))))
+    exact = models.groupBy(F.col("slug").alias("_exact")).agg(F.min("id").alias("_exact_id"))
+    close = _only(models.select("id", normalize_alias(F.col("slug")).alias("_k")), "_k", "_close")
+    named = _only(aliases.select(F.col("model_id").alias("id"), F.col("alias").alias("_k")), "_k", "_named")
+    j = shells.join(exact, (F.col("clean_slug") == F.col("_exact")) & (F.col("_exact_id") != F.col("shell_id")), "left")
+    j = j.withColumn("_n", normalize_alias(F.col("clean_slug"))).join(close, (F.col("_n") == F.col("_close")) & (F.col("_close_id") != F.col("shell_id")), "left")
+    scoped = normalize_alias(F.concat(F.get("_p", F.lit(1)), F.lit("/"), F.get("_p", F.lit(2))))
+    j = j.withColumn("_a", scoped).join(named, (F.col("_a") == F.col("_named")) & (F.col("_named_id") != F.col("shell_id")), "left")
+    own = models.select(F.col("id").alias("_own"), F.col("slug").alias("_slug"), F.col("developer_id").alias("_dev"))
+    j = j.join(own, F.col("_named_id") == F.col("_own"), "left").join(organizations.select(F.col("id").alias("_org")).distinct(), F.col("developer_id") == F.col("_org"), "left")
+    part, rest = normalize_alias(F.regexp_replace("_slug", "^[^/]*/", "")), normalize_alias(F.get("_p", F.lit(2)))
+    j = j.withColumn("_part", part).withColumn("_rest", rest)
+    alike = (F.col("_part") == F.col("_rest")) | F.startswith(F.col("_part"), F.concat("_rest", F.lit("-"))) | F.startswith(F.col("_rest"), F.concat("_part", F.lit("-")))
+    agrees = F.col("_org").isNull() | F.coalesce(F.col("_dev") == F.col("developer_id"), F.lit(False))
+    third = F.when(alike & agrees, F.col("_named_id"))
+    out = j.select("shell_id", "shell_slug", "developer_id", "clean_slug", F.coalesce("_exact_id", "_close_id", third).alias("target_id"), F.when(F.col("_exact_id").isNotNull(), "exact").when(F.col("_close_id").isNotNull(), "normalized").when(third.isNotNull(), "alias").otherwise("create").alias("resolution"))
+    slugs = models.select(F.col("id").alias("_t"), F.col("slug").alias("target_slug"))
+    return out.join(slugs, F.col("target_id") == F.col("_t"), "left").select(*out.columns[:5], "target_slug", "resolution", F.when(F.col("target_id").isNull(), "create").otherwise("merge").alias("action"))
+
+
+#: Names that are clear enough for an architecture, the more special before the more general.
+CLEAR_NAMES = (
+    (r"qwen[-_ ]?3[-_ ]?moe", "Qwen3MoeForCausalLM"), (r"qwen[-_ ]?3", "Qwen3ForCausalLM"), (r"qwen[-_ ]?2[-_ ]?moe", "Qwen2MoeForCausalLM"), (r"qwen[-_ ]?2[-_ ]?vl", "Qwen2VLForConditionalGeneration"), (r"qwen[-_ ]?2", "Qwen2ForCausalLM"),
+    (r"llama[-_ ]?4", "Llama4ForCausalLM"), (r"llama", "LlamaForCausalLM"), (r"mixtral", "MixtralForCausalLM"), (r"mistral", "MistralForCausalLM"), (r"gemma[-_ ]?3", "Gemma3ForCausalLM"), (r"gemma[-_ ]?2", "Gemma2ForCausalLM"),
+    (r"gemma", "GemmaForCausalLM"), (r"phi[-_ ]?3", "Phi3ForCausalLM"), (r"phi", "PhiForCausalLM"),
+)
+
+
+def match_architecture(artifacts: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, architecture, confidence) of ``artifacts(id, architectures, texts)`` against ``registry(architecture)``.
+
+    The first listed architecture that is registered has 0.95; else the first, by name, that is a whole word of a text 0.75; else that of
+    the first of ``CLEAR_NAMES`` in the texts which is registered 0.55. Words are looked up by a join, so no text meets the whole registry. Artifacts without a match are left out.
+    """
+    known = registry.select(F.col("architecture").alias("_a")).distinct()
+    listed = artifacts.select("id", F.posexplode("architectures").alias("_pos", "_w")).select("id", F.lit(0).alias("_rung"), F.col("_pos").cast("string").alias("_order"), F.trim("_w").alias("_w"))
+    words = F.array_distinct(F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))))
+    said = artifacts.select("id", F.explode(words).alias("_w")).select("id", F.lit(1).alias("_rung"), F.col("_w").alias("_order"), "_w")
+    hay = F.array_join(F.filter("texts", lambda t: t != ""), " ")
+    clear = F.array(*[F.when(hay.rlike(rf"(?i)\b{p}\b"), F.struct(F.lit(f"{i:02d}").alias("o"), F.lit(a).alias("w"))) for i, (p, a) in enumerate(CLEAR_NAMES)])
+    named = artifacts.select("id", F.explode(F.filter(clear, lambda c: c.isNotNull())).alias("_c")).select("id", F.lit(2).alias("_rung"), F.col("_c.o").alias("_order"), F.col("_c.w").alias("_w"))
+    rungs = listed.withColumn("_order", F.lpad("_order", 9, "0")).union(said).union(named).join(known, F.col("_w") == F.col("_a"))
+    best = rungs.groupBy("id").agg(F.min(F.struct("_rung", "_order", "_w")).alias("b"))
+    return best.select("id", F.col("b._w").alias("architecture"), F.element_at(F.array(F.lit(0.95), F.lit(0.75), F.lit(0.55)), F.col("b._rung") + 1).alias("confidence"))
+
+
+def safe_merges(plans: DataFrame, capabilities: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """What merging shells into their targets does, without losing a fact: ``plans(shell_id, shell_slug, target_id)``.
+
+    A shell's capability that the target has as well, in the same snapshot, is dropped if value and confidence are the same; if any differs
+    the shell is left alone. Returns ``plans`` with status (merge or skip) and reason, ``capabilities`` as they are after it, and
+    ``aliases(alias, model_id)``: the host's slug stays a name of the target, unless another model has it.
+    """
+    mine = capabilities.join(plans.select("shell_id", "target_id"), F.col("model_id") == F.col("shell_id"))
+    names = ["capability", "snapshot_id", "value", "confidence", "model_id"]
+    theirs = capabilities.select(*[F.col(c).alias(f"_{c}") for c in names])
+    pairs = mine.join(theirs, (F.col("target_id") == F.col("_model_id")) & (F.col("capability") == F.col("_capability")) & F.col("snapshot_id").eqNullSafe(F.col("_snapshot_id")))
+    pairs = pairs.withColumn("_same", F.col("value").eqNullSafe(F.col("_value")) & F.col("confidence").eqNullSafe(F.col("_confidence")))
+    first = F.min(F.when(~F.col("_same"), F.struct("capability", "snapshot_id", F.col("value").cast("string").alias("v"), F.col("_value").cast("string").alias("t"))))
+    found = pairs.groupBy(F.col("shell_id").alias("_s")).agg(first.alias("_bad"), F.count_if("_same").alias("collapsed"))
+    why = F.concat(F.lit("capability conflict for "), F.col("_bad.capability"), F.lit(": shell="), F.coalesce("_bad.v", F.lit("null")), F.lit(" target="), F.coalesce("_bad.t", F.lit("null")))
+    status = plans.join(found, F.col("shell_id") == F.col("_s"), "left").select(*plans.columns, F.when(F.col("_bad").isNull(), "merge").otherwise("skip").alias("status"), why.alias("reason"), F.when(F.col("_bad").isNull(), F.coalesce("collapsed", F.lit(0))).otherwise(0).alias("collapsed"))
+    status = durable(status)
+    go = status.where("status = 'merge'").select(F.col("shell_id").alias("_from"), F.col("target_id").alias("_to"), "shell_slug")
+    moved = capabilities.join(go, F.col("model_id") == F.col("_from"), "left")
+    gone = pairs.where("_same").select(F.col("shell_id").alias("_s"), F.col("capability").alias("_c"), F.col("snapshot_id").alias("_n")).distinct()
+    kept = moved.join(gone, (F.col("_from") == F.col("_s")) & (F.col("capability") == F.col("_c")) & F.col("snapshot_id").eqNullSafe(F.col("_n")), "left_anti")
+    after = kept.withColumn("model_id", F.coalesce("_to", "model_id")).select(*capabilities.columns)
+    held = aliases.join(go, F.col("alias") == F.col("shell_slug"), "left")
+    free = F.col("model_id").isNull() | (F.col("model_id") == F.col("_from")) | (F.col("model_id") == F.col("_to"))
+    old = held.select("alias", F.when(F.col("_to").isNotNull() & free, F.col("_to")).otherwise(F.col("model_id")).alias("model_id"))
+    new = go.join(aliases.select(F.col("alias").alias("_al")), F.col("shell_slug") == F.col("_al"), "left_anti").select(F.col("shell_slug").alias("alias"), F.col("_to").alias("model_id"))
+    return {"plans": status, "capabilities": after, "aliases": old.union(new)}

@@ -180,13 +180,29 @@ def er_12(spark, sf):
     return resolve.merge_plan(x, "alias", "id", "is_copy")
 
 
-@query("o_er_13", with_alias("SELECT id, CASE WHEN id % 3 = 0 THEN 'exact' WHEN id % 3 = 1 THEN 'normalised' ELSE 'create' END AS how FROM a"))
+# shells are every fourth model; their clean slug is another model's, in the same or other letters, an alias of one, or new
+SHELLS = """slugs AS (SELECT id, 'd' || id % 9 AS dev, CASE WHEN id % 4 = 3 THEN 'host/d' || id % 9 || '/' || CASE id % 16 WHEN 3 THEN 'm_' || (id - 9) WHEN 7 THEN 'M ' || (id - 9) WHEN 11 THEN 'alt-' || id ELSE 'new ' || id END
+  ELSE 'd' || id % 9 || '/' || CASE WHEN id % 16 = 2 THEN 'alt-' || (id + 9) || '-x' WHEN id % 16 IN (10, 14) THEN 'm_' || id ELSE 'other-' || id END END AS slug FROM model)"""
+
+
+def shells(spark, sf):
+    i = F.col("id")
+    shell = F.when(i % 16 == 3, F.concat(F.lit("m_"), i - 9)).when(i % 16 == 7, F.concat(F.lit("M "), i - 9)).when(i % 16 == 11, F.concat(F.lit("alt-"), i)).otherwise(F.concat(F.lit("new "), i))
+    other = F.when(i % 16 == 2, F.concat(F.lit("alt-"), i + 9, F.lit("-x"))).when((i % 16).isin(10, 14), F.concat(F.lit("m_"), i)).otherwise(F.concat(F.lit("other-"), i))
+    dev = F.concat(F.lit("d"), i % 9)
+    return R.model(spark, sf).select("id", dev.alias("developer_id"), F.when(i % 4 == 3, F.concat(F.lit("host/"), dev, F.lit("/"), shell)).otherwise(F.concat(dev, F.lit("/"), other)).alias("slug"))
+
+
+@query("o_er_13", with_roles(f"""WITH {SHELLS}, n AS (SELECT id, slug, dev, lower(replace(replace(replace(slug, ' ', '-'), '_', '-'), '/', '-')) AS k FROM slugs), u AS (SELECT k, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1),
+ s AS (SELECT id, slug, dev, substr(slug, 6) AS clean FROM slugs WHERE slug LIKE 'host/%'),
+ x AS (SELECT s.*, e.id AS e, u.id AS c, a.id AS a FROM s LEFT JOIN slugs e ON e.slug = s.clean LEFT JOIN u ON u.k = lower(replace(replace(replace(s.clean, ' ', '-'), '_', '-'), '/', '-')) LEFT JOIN slugs a ON s.id % 16 = 11 AND a.id = s.id - 9)
+ SELECT x.id AS shell_id, x.slug AS shell_slug, x.dev AS developer_id, clean AS clean_slug, coalesce(e, c, a) AS target_id, t.slug AS target_slug, CASE WHEN e IS NOT NULL THEN 'exact' WHEN c IS NOT NULL THEN 'normalized' WHEN a IS NOT NULL THEN 'alias' ELSE 'create' END AS resolution, CASE WHEN coalesce(e, c, a) IS NULL THEN 'create' ELSE 'merge' END AS action
+ FROM x LEFT JOIN slugs t ON t.id = coalesce(e, c, a)""", "model"))
 def er_13(spark, sf):
-    a = aliases(spark, sf)
-    exact = a.where("id % 3 = 0").select(F.col("id").alias("_e"))
-    close = a.where("id % 3 = 1").select(X.normalize_alias(F.concat("s", F.lit("#"), "id"), True).alias("_n"))
-    j = a.withColumn("n", X.normalize_alias(F.concat("s", F.lit("#"), "id"), True)).join(exact, F.col("id") == F.col("_e"), "left").join(close, F.col("n") == F.col("_n"), "left")
-    return j.select("id", F.when(F.col("_e").isNotNull(), "exact").when(F.col("_n").isNotNull(), "normalised").otherwise("create").alias("how"))
+    m = shells(spark, sf)
+    known = m.where("id % 16 = 2").select(X.normalize_alias(F.concat("developer_id", F.lit("/alt-"), F.col("id") + 9)).alias("alias"), F.col("id").alias("model_id"))
+    other = m.where("id % 16 = 1").select(X.normalize_alias(F.concat("developer_id", F.lit("/new-"), F.col("id") + 14)).alias("alias"), F.col("id").alias("model_id"))  # of another name
+    return resolve.repair_plan(m, known.union(other), m.select(F.col("developer_id").alias("id")))
 
 
 # every model against all others of its developer; SQL makes all pairs, Spark doesn't
@@ -222,11 +238,16 @@ def er_19(spark, sf):
     return r.join(m, F.col("model_id").isNull() & (F.col("name") == F.col("id")), "left").select("snapshot_id", "rank", F.coalesce("model_id", "id").alias("model_id"))
 
 
-@query("o_er_20", with_roles("SELECT id, CASE WHEN id % 3 = 0 THEN 0.95 WHEN id % 3 = 1 THEN 0.75 ELSE 0.55 END AS confidence FROM model", "model").replace("0.95", "0.95::DOUBLE").replace("0.75", "0.75::DOUBLE").replace("0.55", "0.55::DOUBLE"))
+@query("o_er_20", with_roles("""SELECT id, CASE WHEN id % 5 = 0 THEN 'Arch' || (id - id % 7) || 'ForCausalLM' WHEN id % 5 = 1 THEN 'Arch' || id || 'ForCausalLM' WHEN id % 5 = 2 THEN CASE WHEN id % 3 = 0 THEN 'Qwen3ForCausalLM' ELSE 'LlamaForCausalLM' END END AS architecture,
+ CASE id % 5 WHEN 0 THEN 0.95::DOUBLE WHEN 1 THEN 0.75::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM model WHERE id % 5 < 3 AND (id % 5 <> 0 OR (id - id % 7) IN (SELECT id FROM model))""", "model"))
 def er_20(spark, sf):
-    m = R.model(spark, sf).select("id")
-    rungs = [(0.95, m.where("id % 3 = 0")), (0.75, m.where("id % 3 <= 1")), (0.55, m)]
-    return resolve.ladder(m, "id", [(c, d.select("id", F.col("id").alias("entity_id"))) for c, d in rungs], 0.9).select("id", "confidence")
+    """Architectures from metadata, from words of the texts, and from clear names; names beside them that are registered too."""
+    i, m = F.col("id"), R.model(spark, sf).select("id")
+    arch = lambda n: F.concat(F.lit("Arch"), n, F.lit("ForCausalLM"))
+    listed = F.when(i % 5 == 0, F.array(F.lit("Unknown"), arch(i - i % 7), arch(i)))
+    word = F.when(i % 5 == 1, F.concat(F.lit("a repo of ("), arch(i), F.lit(") and LlamaForCausalLMs"))).when(i % 5 == 2, F.when(i % 3 == 0, "Big qwen-3-llama").otherwise("my_Llama llama:v2")).when(i % 5 == 3, "phi 3 mini").otherwise(F.concat(arch(i), F.lit("_x llamas")))
+    registry = m.select(arch(i).alias("architecture")).union(spark.range(1).select(F.explode(F.array(F.lit("Qwen3ForCausalLM"), F.lit("LlamaForCausalLM"), F.lit("Qwen3MoeForCausalLM")))))
+    return resolve.match_architecture(m.select("id", listed.alias("architectures"), F.array(F.lit(""), word, F.lit("tag")).alias("texts")), registry)
 
 
 # supporting operators
@@ -273,10 +294,22 @@ def sup_15(spark, sf):
     return merge.reference_counts(refs, "model_id")
 
 
-@query("o_sup_16", with_roles("WITH c AS (SELECT model_id, benchmark_id, rank, count(DISTINCT score) AS n FROM result GROUP BY ALL) SELECT model_id, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS same, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS differing FROM c GROUP BY 1", "result"))
+@query("o_sup_16", with_roles("""WITH c AS (SELECT model_id, benchmark_id AS cap, rank AS snap, CAST(floor(min(score) / 60000) AS BIGINT) AS v FROM result WHERE rank <= 2 GROUP BY ALL), p AS (SELECT id AS shell, id - 1 AS target, 'host/x/' || id AS slug FROM model WHERE id % 10 = 3),
+ y AS (SELECT p.shell, p.target, p.slug, min(CASE WHEN a.v <> b.v THEN a.cap || chr(1) || a.snap || chr(1) || a.v || ' target=' || b.v END) AS bad, count(b.cap) FILTER (WHERE a.v = b.v) AS same FROM p LEFT JOIN c a ON a.model_id = p.shell LEFT JOIN c b ON b.model_id = p.target AND b.cap = a.cap AND b.snap = a.snap GROUP BY ALL)
+ SELECT shell AS shell_id, target AS target_id, CASE WHEN bad IS NULL THEN 'merge' ELSE 'skip' END AS status, 'capability conflict for ' || split_part(bad, chr(1), 1) || ': shell=' || split_part(split_part(bad, chr(1), 3), ' target', 1) AS reason, CASE WHEN bad IS NULL THEN same ELSE 0 END AS collapsed,
+  (SELECT count(*) FROM c WHERE model_id = target) + CASE WHEN bad IS NULL THEN (SELECT count(*) FROM c WHERE model_id = shell) - same ELSE 0 END AS target_capabilities,
+  CASE WHEN bad IS NOT NULL THEN CASE shell % 30 WHEN 3 THEN shell WHEN 13 THEN 999999 END ELSE CASE WHEN shell % 30 = 13 THEN 999999 ELSE target END END AS alias_of FROM y""", "result", "model"))
 def sup_16(spark, sf):
-    c = R.result(spark, sf).groupBy("model_id", "benchmark_id", "rank").agg((F.min("score") == F.max("score")).alias("same"))
-    return c.groupBy("model_id").agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("differing"))
+    """Shells merged into the model before them where no fact differs; some slugs are names already, some of them another model's."""
+    c = R.result(spark, sf).where("rank <= 2").groupBy("model_id", F.col("benchmark_id").alias("capability"), F.col("rank").alias("snapshot_id")).agg(F.floor(F.min("score") / 60000).alias("value")).withColumn("confidence", F.lit(1.0))
+    m = R.model(spark, sf)
+    plans = m.where("id % 10 = 3").select(F.col("id").alias("shell_id"), F.concat(F.lit("host/x/"), "id").alias("shell_slug"), (F.col("id") - 1).alias("target_id"))
+    aliases = plans.where("shell_id % 30 IN (3, 13)").select(F.col("shell_slug").alias("alias"), F.when(F.col("shell_id") % 30 == 3, F.col("shell_id")).otherwise(999999).alias("model_id"))
+    done = resolve.safe_merges(plans, c, aliases)
+    n = done["capabilities"].groupBy(F.col("model_id").alias("_t")).agg(F.count("*").alias("_n"))
+    names = done["aliases"].select(F.col("alias").alias("_al"), F.col("model_id").alias("alias_of"))
+    j = done["plans"].join(n, F.col("target_id") == F.col("_t"), "left").join(names, F.col("shell_slug") == F.col("_al"), "left")
+    return j.select("shell_id", "target_id", "status", F.regexp_replace("reason", " target=.*", "").alias("reason"), "collapsed", F.coalesce("_n", F.lit(0)).alias("target_capabilities"), "alias_of")
 
 
 @query("o_sup_18", with_roles("SELECT model_id, count(*) FILTER (WHERE kind <> 'error') > 0 AS usable FROM series GROUP BY 1", "series"))

@@ -9,9 +9,9 @@ from factloom.operators.ranges import ranked
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
-from factloom.session import shared_folder, table
+from factloom.session import durable, shared_folder, table
 from factloom.sources import pages
-from factloom.sources.parsers import PARSERS, artificialanalysis_facts, lmarena
+from factloom.sources.parsers import EVALUATIONS, PARSERS, artificialanalysis_facts, lmarena
 from factloom.sources.snapshots import new_snapshots, raw_name
 
 
@@ -66,10 +66,14 @@ def src_06(spark, sf):
     return PARSERS["artificialanalysis"](payload(parts(spark, sf), batch(), item, lambda a: F.struct(a.alias("models"))))
 
 
-@query("o_src_06_facts", with_roles("""WITH m AS (SELECT id, id // 100 AS snapshot_id, CASE WHEN id % 3 = 2 THEN 's' || id ELSE CAST(id AS VARCHAR) END AS source_model_id, 'm' || id AS name, CASE WHEN id % 2 = 0 THEN 'Acme' END AS creator, CAST(context AS VARCHAR) AS c, CAST(CAST(price AS DOUBLE) AS VARCHAR) AS p FROM model)
- SELECT snapshot_id, source_model_id, name, creator, 'evaluation' AS kind, 'gpqa' AS field, c || '%' AS value FROM m UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'evaluation', 'own', c FROM m
- UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'evaluation', 'hle', c FROM m WHERE id % 4 = 1 UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'pricing', 'price_1m_input_tokens', c FROM m
- UNION ALL SELECT snapshot_id, source_model_id, name, creator, 'capability', 'release_date', '2025-01-01' FROM m WHERE id % 5 = 0""", "model"))
+FACTS = """m AS (SELECT id, id // 100 AS snapshot_id, CASE WHEN id % 3 = 2 THEN 's' || id ELSE CAST(id AS VARCHAR) END AS source_model_id, 'm' || id AS name, CASE WHEN id % 2 = 0 THEN 'Acme' END AS creator, CASE WHEN id % 3 > 0 THEN 's' || id END AS slug, 'm' || id AS model_version, CAST(context AS VARCHAR) AS c FROM model),
+ w AS (SELECT id, snapshot_id, source_model_id, name, creator, slug, model_version, c FROM m),
+ facts AS (SELECT * EXCLUDE (id, c), 'evaluation' AS kind, 'gpqa' AS field, c || '%' AS value FROM w UNION ALL SELECT * EXCLUDE (id, c), 'evaluation', 'own', c FROM w
+ UNION ALL SELECT * EXCLUDE (id, c), 'evaluation', 'hle', c FROM w WHERE id % 4 = 1 UNION ALL SELECT * EXCLUDE (id, c), 'pricing', 'price_1m_input_tokens', c FROM w
+ UNION ALL SELECT * EXCLUDE (id, c), 'capability', 'release_date', '2025-01-01' FROM w WHERE id % 5 = 0)"""
+
+
+@query("o_src_06_facts", with_roles(f"WITH {FACTS} SELECT * FROM facts", "model"))
 def src_06_facts(spark, sf):
     """Payloads that are lists, objects of rows, or rows under a key; fields in the object of their kind, in the row, or deep inside."""
     m = parts(spark, sf).withColumn("c", F.col("context").cast("string"))
@@ -282,11 +286,25 @@ def pro_10(spark, sf):
     return promote.linked(recs, links, True).select("model_id", "benchmark_id", "score")
 
 
-@query("o_pro_11", with_roles("SELECT CASE WHEN id % 2 = 0 THEN id END AS model_id, 'gpqa' AS benchmark_id, id % 2 = 1 AS review FROM model", "model"))
+#: What fields of a payload are called as capabilities and as price components.
+CAPABILITY_NAMES = {"median_output_tokens_per_second": "median_output_tokens_per_second", "median_time_to_first_token_seconds": "median_time_to_first_token_seconds", "median_time_to_first_answer_token": "median_time_to_first_answer_token", "artificial_analysis_release_date": "release_date"}
+COMPONENTS = {"price_1m_input_tokens": "input_token", "price_1m_output_tokens": "output_token", "price_1m_blended_3_to_1": "blended_token"}
+
+
+@query("o_pro_11", with_roles(f"""WITH {FACTS}, f AS (SELECT facts.*, l.id AS model_id FROM facts LEFT JOIN (SELECT id, source_model_id FROM m WHERE id % 2 = 0) l USING (source_model_id))
+ SELECT 'results' AS part, snapshot_id, source_model_id, model_id, field AS name, CAST(replace(value, '%', '') AS DOUBLE) AS number, NULL AS text FROM f WHERE kind = 'evaluation' AND field <> 'own'
+ UNION ALL SELECT 'capabilities', snapshot_id, source_model_id, model_id, 'artificial_analysis_release_date', NULL, value FROM f WHERE kind = 'capability' AND model_id IS NOT NULL
+ UNION ALL SELECT 'prices', snapshot_id, source_model_id, model_id, 'input_token', CAST(value AS DOUBLE), '{{"model_version":"' || model_version || '"' || CASE WHEN slug IS NULL THEN '' ELSE ',"slug":"' || slug || '"' END || '}}' FROM f WHERE kind = 'pricing' AND model_id IS NOT NULL
+ UNION ALL SELECT DISTINCT 'reviews', snapshot_id, source_model_id, NULL, NULL, NULL, NULL FROM f WHERE model_id IS NULL""", "model"))
 def pro_11(spark, sf):
-    links = parts(spark, sf).where("id % 2 = 0").select(F.concat(F.lit("s"), "id").alias("source_model_id"), F.col("id").alias("model_id"))
-    r = promote.linked(src_06(spark, sf).where("benchmark_id = 'gpqa'"), links, True)
-    return r.select("model_id", "benchmark_id", F.col("model_id").isNull().alias("review"))
+    """Results, capabilities, prices and reviews from one parse; half of the records have a model."""
+    linked = F.when(F.col("id") % 3 == 2, F.concat(F.lit("s"), "id")).otherwise(F.col("id").cast("string"))
+    links = parts(spark, sf).where("id % 2 = 0").select(linked.alias("source_model_id"), F.col("id").alias("model_id"))
+    p = promote.measured(durable(src_06_facts(spark, sf)), links, EVALUATIONS, {v: k for k, v in CAPABILITY_NAMES.items()}, COMPONENTS)
+    one = lambda part, name, number, text: p[part].select(F.lit(part).alias("part"), "snapshot_id", "source_model_id", "model_id", name.alias("name"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    out = one("results", F.col("benchmark_id"), F.col("score"), none).union(one("capabilities", F.col("capability"), none, F.col("value"))).union(one("prices", F.col("component"), F.col("amount"), F.col("condition")))
+    return out.union(p["reviews"].select(F.lit("reviews"), "snapshot_id", "source_model_id", none.cast("long"), none.cast("string"), none.cast("double"), none.cast("string")))
 
 
 @query("o_pro_12", with_roles("SELECT id AS model_id, CAST(context AS DOUBLE) AS tps FROM model WHERE id % 3 <> 0", "model"))
@@ -325,6 +343,28 @@ def pro_17(spark, sf):
     return promote.matrix(m, "id", "v", ["p", "c"])
 
 
+@query("o_pro_17_cells", with_roles("""WITH s AS (SELECT id, 's' || id AS set_id, context, price, id % 4 = 0 AS nocol, release_date FROM model),
+ c AS (SELECT s.*, b, col FROM s, (VALUES ('p'), ('c'), ('x')) v(b), (VALUES ('own'), ('next'), ('rival')) w(col)),
+ t AS (SELECT *, CASE WHEN b = 'c' AND id % 2 = 1 THEN NULL WHEN b = 'p' THEN CAST(price AS DOUBLE) ELSE CAST(context AS DOUBLE) END + CASE col WHEN 'own' THEN 0 WHEN 'next' THEN 1 ELSE 2 END AS v,
+  CASE col WHEN 'own' THEN id WHEN 'next' THEN id + 100000 * (id % 3 // 2) + 1 END AS mid FROM c),
+ k AS (SELECT *, CASE WHEN col = 'rival' OR v IS NULL THEN 'skipped' WHEN b = 'x' THEN 'unknown benchmark' WHEN mid NOT IN (SELECT id FROM model) THEN 'unresolved' ELSE 'taken' END AS status FROM t)
+ SELECT set_id, b || '!' AS row_label, col AS column_label, status, CASE WHEN status = 'taken' THEN mid END AS model_id, CASE WHEN status = 'taken' THEN b END AS benchmark_id, CASE WHEN status = 'taken' THEN v END AS score, CASE WHEN status = 'taken' THEN '%' END AS metric,
+  CASE WHEN status = 'taken' THEN CASE WHEN b = 'p' AND col = 'own' THEN '{"effort":"max","tools":"no"}' WHEN b = 'p' THEN '{"effort":"high","tools":"no"}' WHEN col = 'own' THEN '{"effort":"max"}' ELSE '{"effort":"low"}' END END AS condition, CASE WHEN status = 'taken' THEN release_date END AS measured_at FROM k""", "model"))
+def pro_17_cells(spark, sf):
+    """A table of three rows and three columns for each model: its own column, another model's (some unknown), and a comparison."""
+    m = parts(spark, sf)
+    kind = "map<string,string>"
+    pairs = lambda *kv: F.create_map(*[F.lit(x) for x in kv]).cast(kind)
+    column = lambda label, slug, condition: F.struct(F.lit(label).alias("label"), slug.alias("slug"), condition.alias("condition"))
+    other = F.col("id") + 100000 * F.floor(F.col("id") % 3 / 2).cast("long") + 1
+    columns = F.array(column("own", F.concat(F.lit("m"), "id"), pairs("effort", "max")), column("next", F.concat(F.lit("m"), other), F.lit(None).cast(kind)), column("rival", F.lit(None).cast("string"), F.lit(None).cast(kind)))
+    row = lambda b, v, condition: F.struct(F.lit(b).alias("benchmark_id"), F.lit(f"{b}!").alias("label"), F.lit("%").alias("metric"), F.array(v, v + 1, v + 2).alias("values"), condition.alias("condition"))
+    price, context = F.col("price").cast("double"), F.col("context").cast("double")
+    rows = F.array(row("p", price, pairs("tools", "no", "effort", "high")), row("c", F.when(F.col("id") % 2 == 0, context), pairs()), row("x", context, F.lit(None).cast(kind)))
+    sets = m.select(F.concat(F.lit("s"), "id").alias("set_id"), F.col("release_date").alias("published_at"), pairs("effort", "low").alias("condition"), columns.alias("columns"), rows.alias("rows"))
+    return promote.launch_cells(sets, m.select("id", F.concat(F.lit("m"), "id").alias("slug")), spark.range(1).select(F.explode(F.array(F.lit("p"), F.lit("c"))).alias("id")))
+
+
 # sinks
 
 

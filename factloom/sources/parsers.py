@@ -90,7 +90,7 @@ def payload_rows(raw: DataFrame, under: Sequence[str]) -> DataFrame:
 
 
 def artificialanalysis_facts(raw: DataFrame) -> DataFrame:
-    """(carried columns, source_model_id, name, creator, kind, field, value): evaluations, prices and capabilities of each row.
+    """(carried columns, source_model_id, name, creator, slug, model_version, kind, field, value): evaluations, prices and capabilities of each row.
 
     A row is known by its id, its slug, or its name made a slug; others are left out. Fields of ``EVALUATIONS`` and ``PRICES`` are
     taken from the object of that kind at any depth, else from the row itself, else from anywhere in it; other
@@ -99,7 +99,9 @@ def artificialanalysis_facts(raw: DataFrame) -> DataFrame:
     r = durable(payload_rows(raw, ("data", "models", "results", "items")).withColumn("_id", F.monotonically_increasing_id()))
     get = lambda path: variants.text(F.try_variant_get("row", path, "variant"))
     name = get("$.name")
-    known = r.select("_id", *_carry(raw), F.coalesce(get("$.id"), get("$.slug"), X.slugify(name, None)).alias("source_model_id"), name.alias("name"), F.coalesce(get("$.model_creator.name"), get("$.model_creator_name")).alias("creator"))
+    maker = F.coalesce(get("$.model_creator.slug"), get("$.model_creator_slug"))
+    version = F.coalesce(F.concat(maker, F.lit("/"), name), name, get("$.slug"), get("$.id"))
+    known = r.select("_id", *_carry(raw), F.coalesce(get("$.id"), get("$.slug"), X.slugify(name, None)).alias("source_model_id"), name.alias("name"), F.coalesce(get("$.model_creator.name"), get("$.model_creator_name")).alias("creator"), get("$.slug").alias("slug"), version.alias("model_version"))
     members = variants.walked(r, "_id", "row")
     out = None
     for kind, inside, keys in (("evaluation", "evaluations", EVALUATIONS), ("pricing", "pricing", PRICES), ("capability", None, CAPABILITIES)):

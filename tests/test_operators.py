@@ -490,3 +490,56 @@ def test_stored_versions_are_read_as_one_table(spark, tmp_path):
     spark.createDataFrame([("t",)], "id string").write.parquet(str(tmp_path / "version=000003"))
     with pytest.raises(merge.Narrowing, match="id"):
         merge.read_versions(spark, str(tmp_path))
+
+
+def test_namespace_repairs_step_down(spark):
+    models = [(1, "a/one", "a"), (2, "host/a/one", "host"), (3, "a/Two_b", "a"), (4, "host/a/two b", "host"), (5, "a/three-2024", "a"), (6, "host/a/three", "host"), (7, "b/four", "b"), (8, "host/a/four", "host"), (9, "host/z/four", "host"), (10, "host/host/five", "host"), (11, "x/two", "x"), (12, "plain", None), (13, "host/a/", "host")]
+    m = spark.createDataFrame(models, "id long, slug string, developer_id string")
+    aliases = spark.createDataFrame([("a-three", 5), ("a-four", 7), ("z-four", 7), ("a-three", 5)], "alias string, model_id long")
+    got = {r.shell_id: (r.clean_slug, r.target_id, r.target_slug, r.resolution, r.action) for r in resolve.repair_plan(m, aliases, spark.createDataFrame([("a",), ("b",)], "id string")).collect()}
+    assert got == {
+        2: ("a/one", 1, "a/one", "exact", "merge"), 4: ("a/two b", 3, "a/Two_b", "normalized", "merge"), 6: ("a/three", 5, "a/three-2024", "alias", "merge"), 8: ("a/four", None, None, "create", "create"),  # a is known, and four is b's
+        9: ("z/four", 7, "b/four", "alias", "merge"), 10: ("host/five", None, None, "create", "create"),
+    }
+
+
+def test_architectures_by_metadata_words_and_names(spark):
+    registry = spark.createDataFrame([("LlamaForCausalLM",), ("Qwen3ForCausalLM",), ("Zed",), ("Abc",)], "architecture string")
+    rows_ = [(1, ["No", " Zed ", "Abc"], ["Abc"]), (2, None, ["x/Zed-y Abc", ""]), (3, [], ["my Zed_x", "qwen_3 moe"]), (4, [], ["a Meta-Llama"]), (5, [], ["phi-3"]), (6, [], ["llamas"]), (7, [], ["QWEN-3-MOE"]), (8, None, None)]
+    df = spark.createDataFrame(rows_, "id long, architectures array<string>, texts array<string>")
+    assert rows(resolve.match_architecture(df, registry)) == [(1, "Zed", 0.95), (2, "Abc", 0.75), (3, "Qwen3ForCausalLM", 0.55), (4, "LlamaForCausalLM", 0.55), (7, "Qwen3ForCausalLM", 0.55)]
+
+
+def test_merges_lose_no_fact(spark):
+    plans = spark.createDataFrame([(2, "h/a/x", 1), (4, "h/a/y", 3), (6, "h/a/z", 5)], "shell_id long, shell_slug string, target_id long")
+    caps = [(1, "ctx", 1, "8", 1.0), (2, "ctx", 1, "8", 1.0), (2, "ctx", 2, "9", 1.0), (3, "ctx", None, "8", 1.0), (4, "ctx", None, "7", 1.0), (4, "out", 1, "1", 1.0), (5, "ctx", 1, "8", 0.5), (6, "out", 1, "8", 1.0), (9, "ctx", 1, "1", 1.0)]
+    c = spark.createDataFrame(caps, "model_id long, capability string, snapshot_id long, value string, confidence double")
+    done = resolve.safe_merges(plans, c, spark.createDataFrame([("h/a/x", 2), ("h/a/y", 4), ("h/a/z", 9), ("other", None)], "alias string, model_id long"))
+    assert rows(done["plans"].select("shell_id", "status", "reason", "collapsed")) == [(2, "merge", None, 1), (4, "skip", "capability conflict for ctx: shell=7 target=8", 0), (6, "merge", None, 0)]
+    assert rows(done["capabilities"].select("model_id", "capability", "snapshot_id", "value")) == sorted([(1, "ctx", 1, "8"), (1, "ctx", 2, "9"), (3, "ctx", None, "8"), (4, "ctx", None, "7"), (4, "out", 1, "1"), (5, "ctx", 1, "8"), (5, "out", 1, "8"), (9, "ctx", 1, "1")], key=repr)
+    assert rows(done["aliases"]) == sorted([("h/a/x", 1), ("h/a/y", 4), ("h/a/z", 9), ("other", None)], key=repr)
+
+
+def test_a_launch_table_of_another_width_is_an_error(spark):
+    kind = "set_id string, published_at date, condition map<string,string>, columns array<struct<label:string,slug:string,condition:map<string,string>>>, rows array<struct<benchmark_id:string,label:string,metric:string,values:array<double>,condition:map<string,string>>>"
+    sets = spark.createDataFrame([("s", date(2026, 1, 1), None, [("own", "m", None), ("rival", None, None)], [("b", "B", "%", [1.0, 2.0], {"k": "v"})])], kind)
+    models, marks = spark.createDataFrame([(1, "m")], "id long, slug string"), spark.createDataFrame([("b",)], "id string")
+    assert rows(promote.launch_cells(sets, models, marks).select("status", "model_id", "score", "condition")) == [("skipped", None, None, None), ("taken", 1, 1.0, '{"k":"v"}')]
+    bad = spark.createDataFrame([("s", None, None, [("own", "m", None)], [("b", "B", "%", [1.0, 2.0], None)])], kind)
+    with pytest.raises(Exception, match="row B has 2 values for 1 columns"):
+        promote.launch_cells(bad, models, marks).collect()
+
+
+def test_price_trends_fall_back_to_current_prices(spark):
+    from datetime import datetime as dt
+
+    s = spark.createDataFrame([(1, dt(2024, 1, 5), 1450.0, 1), (1, dt(2024, 3, 31, 23), 1300.0, 2), (2, dt(2024, 2, 10), 1500.0, 3)], "model_id long, t timestamp_ntz, value double, id long")
+    p = [(1, 3.0, dt(2024, 1, 31, 12), None), (1, 2.0, dt(2024, 2, 1), dt(2024, 2, 29)), (2, 9.0, dt(2024, 1, 1), None), (2, 8.0, dt(2024, 1, 1), None), (2, 9.0, dt(2024, 2, 2), None), (2, 0.0, dt(2024, 1, 1), None), (2, 1.0, None, None)]
+    prices = spark.createDataFrame(p, "model_id long, amount double, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    now = spark.createDataFrame([(1, 4.0), (2, 0.0)], "model_id long, price double")
+    got = views.price_trend(s, prices, now, [1400.0, 1480.0])
+    # a window that ends before the month does is not in force at its end; from March on the first model stands at 1300
+    assert rows(got.select("threshold", F.month("month"), "model_id", "price", "current")) == [(1400.0, 1, 1, 3.0, False), (1400.0, 2, 1, 3.0, False), (1400.0, 3, 2, 9.0, False), (1480.0, 2, 2, 9.0, False), (1480.0, 3, 2, 9.0, False)]
+    fell = views.price_trend(s, prices.where("false"), now, [1400.0])
+    assert rows(fell.select(F.month("month"), "model_id", "price", "current")) == [(1, 1, 4.0, True), (2, 1, 4.0, True)]
+    assert views.price_trend(s.where("false"), prices, now, [1.0]).collect() == []
