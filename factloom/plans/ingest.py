@@ -174,6 +174,11 @@ WIDE = """SELECT id // 100 AS snapshot_id, 'm' || id || CASE WHEN (id // 100) %
  FROM model, (VALUES ('Average'), ('IFEval')) v(b) WHERE b = 'Average' OR (id // 100) % 2 = 0 OR id % 6 <> 3"""
 
 
+def wide_name():
+    """The name of a model in ``csv_or_json``."""
+    return F.concat(F.lit("m"), "id", F.when((batch() % 2 == 1) & (F.col("id") % 4 == 1), ',\n"q"').otherwise(""))
+
+
 def csv_or_json(spark, sf, name):
     """Half of the bodies are CSV: names with commas, line breaks and quotes, a name for two columns, records that end early, blank lines."""
     m = parts(spark, sf).withColumn("b", batch())
@@ -267,15 +272,15 @@ def pro_07(spark, sf):
     return promote.linked(recs, links, True).select("model_id", "benchmark_id", "score")
 
 
-@query("o_pro_08", with_roles("SELECT id AS model_id, 'Average' AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model UNION ALL SELECT id, 'IFEval', CAST(id AS DOUBLE) FROM model", "model"))
+@query("o_pro_08", with_roles("SELECT id AS model_id, 'Average' AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model UNION ALL SELECT id, 'IFEval', CAST(id AS DOUBLE) FROM model WHERE ((id // 100) % 2 = 0 OR id % 6 <> 3)", "model"))
 def pro_08(spark, sf):
-    links = parts(spark, sf).select(F.concat(F.lit("m"), "id").alias("source_model_id"), F.col("id").alias("model_id"))
+    links = parts(spark, sf).select(wide_name().alias("source_model_id"), F.col("id").alias("model_id"))
     return promote.linked(src_15(spark, sf), links, True).select("model_id", "benchmark_id", "score")
 
 
-@query("o_pro_09", with_roles("SELECT id AS model_id, 'Average' AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model WHERE id % 3 = 0 UNION ALL SELECT id, 'IFEval', CAST(id AS DOUBLE) FROM model WHERE id % 3 = 0", "model"))
+@query("o_pro_09", with_roles("SELECT id AS model_id, 'Average' AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model WHERE id % 3 = 0 UNION ALL SELECT id, 'IFEval', CAST(id AS DOUBLE) FROM model WHERE id % 3 = 0 AND ((id // 100) % 2 = 0 OR id % 6 <> 3)", "model"))
 def pro_09(spark, sf):
-    links = parts(spark, sf).where("id % 3 = 0").select(F.concat(F.lit("m"), "id").alias("source_model_id"), F.col("id").alias("model_id"))
+    links = parts(spark, sf).where("id % 3 = 0").select(wide_name().alias("source_model_id"), F.col("id").alias("model_id"))
     return promote.linked(src_16(spark, sf), links, False).select("model_id", "benchmark_id", "score")
 
 
@@ -313,7 +318,7 @@ def pro_12(spark, sf):
     return promote.linked(src_17(spark, sf), slug, False).select("model_id", "tps")
 
 
-@query("o_pro_13", with_roles("SELECT id AS model_id, c AS capability, CASE c WHEN 'module' THEN 'mod.m' || context ELSE 'Cls' || id END AS value FROM model, (VALUES ('module'), ('class')) v(c)", "model"))
+@query("o_pro_13", with_roles("SELECT id AS model_id, c AS capability, CASE c WHEN 'module' THEN CASE WHEN id % 10 = 0 THEN 'transformers' ELSE 'mod.m' || context END ELSE 'Cls' || id END AS value FROM model, (VALUES ('module'), ('class')) v(c)", "model"))
 def pro_13(spark, sf):
     links = parts(spark, sf).select(F.concat(F.lit("Arch"), "id").alias("source_model_id"), F.col("id").alias("model_id"))
     return promote.capabilities(promote.linked(src_08(spark, sf), links, False), ["module", "class"], ["model_id"])
