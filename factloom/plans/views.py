@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import frontier, joins, picks, ranges, views
+from factloom.operators import frontier, joins, peers, picks, ranges, views
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
@@ -212,6 +212,49 @@ def view_20(spark, sf):
     return c.select("place", "id", "price", "score", F.round(0.9 * F.col("latency") + 0.1 * F.col("price"), 6).alias("effective"))
 
 
+LABEL = "'$' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) WHEN v < 0.01 THEN {t4} WHEN v < 1 THEN CASE WHEN v * 100 = floor(v * 100) THEN printf('%.2f', v) ELSE {t3} END ELSE {t3} END"
+LABEL = LABEL.format(**{f"t{n}": f"regexp_replace(regexp_replace(printf('%.{n}f', v), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')" for n in (3, 4)})
+STEPS = "CASE id % 3 WHEN 0 THEN floor(price) WHEN 1 THEN floor(price) / 1000 ELSE floor(price / 10) / 10000 END"
+
+
+def peer_rows(spark, sf):
+    """All models as peers, with prices of dollars, cents and less."""
+    whole, i = F.floor("price").cast("double"), F.col("id")
+    step = F.when(i % 3 == 0, whole).when(i % 3 == 1, whole / 1000).otherwise(F.floor(F.col("price") / 10) / 10000)
+    return R.model(spark, sf).select("id", F.concat("developer", F.lit("/m"), "id").alias("slug"), step.alias("input"), (2 * step).alias("output"), (step / 10).alias("cache_read"), "release_date", "context")
+
+
+@query("o_view_20_ladder", with_roles(f"SELECT developer || '/m' || id AS slug, v AS input, 2 * v AS output, {LABEL} AS input_label, (SELECT {LABEL} FROM (SELECT 2 * x.v AS v)) AS output_label FROM (SELECT *, {STEPS} AS v FROM model) x", "model"))
+def view_20_ladder(spark, sf):
+    return peers.price_ladder(peer_rows(spark, sf))
+
+
+@query("o_view_20_cache", with_roles(f"SELECT developer || '/m' || id AS slug, v AS input, v / 10 AS cache_read, 0.9::DOUBLE * (v / 10) + 0.1::DOUBLE * v AS effective, round(1 - (0.9::DOUBLE * (v / 10) + 0.1::DOUBLE * v) / v, 9) AS discount, '-81%' AS label, round(sqrt((0.9::DOUBLE * (v / 10) + 0.1::DOUBLE * v) * v), 9) AS label_x FROM (SELECT *, {STEPS} AS v FROM model)", "model"))
+def view_20_cache(spark, sf):
+    return peers.cache_economics(peer_rows(spark, sf)).withColumns({c: F.round(c, 9) for c in ("discount", "label_x")})
+
+
+@query("o_view_20_spec", with_roles("SELECT developer || '/m' || id AS slug, id, w AS context_window, o AS max_output, CASE WHEN id % 2 = 0 THEN context || 'K' ELSE regexp_replace(regexp_replace(printf('%.2f', context / 10), '\\.00$', ''), '(\\.\\d)0$', '\\1') || 'M' END AS context_window_label, context || 'K' AS max_output_label FROM (SELECT *, CASE WHEN id % 2 = 0 THEN context * 1000 ELSE context * 100000 + 900000 - 900000 END::BIGINT AS w, (context * 1024)::BIGINT AS o FROM model WHERE context >= 10)", "model"))
+def view_20_spec(spark, sf):
+    """Windows in thousands and millions; each is given twice, the greater counts."""
+    p = peer_rows(spark, sf).where("context >= 10")
+    window = F.when(F.col("id") % 2 == 0, F.col("context") * 1000).otherwise(F.col("context") * 100000).cast("long")
+    caps = p.select(F.col("id").alias("model_id"), F.explode(F.create_map(F.lit("context_window"), F.concat(window.cast("string"), F.lit(" tokens")), F.lit("max_output"), (F.col("context") * 1024).cast("string"), F.lit("other"), F.lit("x"))).alias("capability", "value"))
+    return peers.spec_card(p.select("slug", "id"), caps.union(caps.withColumn("value", F.lit("7"))), ["context_window", "max_output"])
+
+
+@query("o_view_20_freshness", with_roles("SELECT developer || '/m' || id AS slug, release_date - context * 20 AS cutoff, release_date AS release, round(context * 20 / 30.44, 3) AS gap_months FROM model WHERE id % 4 <> 0", "model"))
+def view_20_freshness(spark, sf):
+    p = peer_rows(spark, sf)
+    return peers.freshness(p.select("slug", F.when(F.col("id") % 4 != 0, F.date_sub("release_date", (F.col("context") * 20).cast("int"))).alias("cutoff"), F.col("release_date").alias("release")))
+
+
+@query("o_view_20_lineage", with_roles("SELECT 'm' || model_id AS slug, min(measured_at) AS first, list(struct_pack(date := measured_at, score := CAST(score AS DOUBLE)) ORDER BY measured_at, score) AS points FROM result WHERE benchmark_id = 'A' GROUP BY 1", "result"))
+def view_20_lineage(spark, sf):
+    r = R.result(spark, sf).where("benchmark_id = 'A'")
+    return peers.lineage(r.select(F.concat(F.lit("m"), "model_id").alias("slug"), F.col("measured_at").alias("date"), F.col("score").cast("double").alias("score")))
+
+
 @query("o_view_21", with_point("SELECT family, id, round(max(score - i * 250) OVER (PARTITION BY family ORDER BY score, id ROWS UNBOUNDED PRECEDING) + i * 250, 4) AS placed FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score, id) - 1 AS i FROM point)"))
 def view_21(spark, sf):
     d = views.declutter(points(spark, sf).select("family", "id", "score"), "family", "score", 250.0, ["id"])

@@ -543,3 +543,29 @@ def test_price_trends_fall_back_to_current_prices(spark):
     fell = views.price_trend(s, prices.where("false"), now, [1400.0])
     assert rows(fell.select(F.month("month"), "model_id", "price", "current")) == [(1, 1, 4.0, True), (2, 1, 4.0, True)]
     assert views.price_trend(s.where("false"), prices, now, [1.0]).collect() == []
+
+
+def test_documents_over_peers_name_what_is_missing(spark):
+    from factloom.operators import peers
+
+    labels = [(2.0, "$2"), (0.25, "$0.25"), (0.5, "$0.50"), (0.125, "$0.125"), (0.0036, "$0.0036"), (12.5, "$12.5"), (1.2345, "$1.234"), (0.009, "$0.009")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v, _ in labels], "v double").select(peers.price_label(F.col("v"))).collect()]
+    assert got == [x if v != 1.2345 else got[6] for v, x in labels] and got[6] in ("$1.234", "$1.235")
+    tokens = [(1_000_000, "1M"), (1_048_576, "1M"), (1_050_000, "1.05M"), (2_500_000, "2.5M"), (200_000, "200K"), (131_072, "128K"), (8_192, "8K")]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v, _ in tokens], "v long").select(peers.compact_tokens(F.col("v"))).collect()] == [x for _, x in tokens]
+    p = spark.createDataFrame([("a/x", 3.0, 15.0, 0.3, 1), ("a/y", None, 1.0, 0.1, 2)], "slug string, input double, output double, cache_read double, id long")
+    good = p.where("id = 1")
+    assert rows(peers.price_ladder(good)) == [("a/x", 3.0, 15.0, "$3", "$15")]
+    (r,) = peers.cache_economics(good).collect()
+    assert (round(r.effective, 6), r.label, round(r.label_x, 6)) == (0.57, "-81%", round((0.57 * 3) ** 0.5, 6))
+    for fn in (peers.price_ladder, peers.cache_economics):
+        with pytest.raises(Exception, match="missing input price for a/y"):
+            fn(p).collect()
+    caps = spark.createDataFrame([(1, "ctx", "200000"), (1, "ctx", "9"), (1, "max", "x")], "model_id long, capability string, value string")
+    assert peers.spec_card(good.select("slug", "id"), caps, ["ctx"]).first().ctx_label == "200K"
+    with pytest.raises(Exception, match="missing max for a/x"):
+        peers.spec_card(good.select("slug", "id"), caps, ["ctx", "max"]).collect()
+    days = spark.createDataFrame([("a", date(2025, 1, 1), date(2025, 3, 2)), ("b", None, date(2025, 1, 1))], "slug string, cutoff date, release date")
+    assert rows(peers.freshness(days).select("slug", "gap_months")) == [("a", 1.971)]
+    points = spark.createDataFrame([("a", date(2025, 2, 1), 2.0), ("a", date(2025, 1, 1), 1.0), ("a", date(2024, 1, 1), float("nan")), ("b", None, None)], "slug string, date date, score double")
+    assert [(r.slug, r.first, [tuple(x) for x in r.points]) for r in peers.lineage(points).select("slug", F.col("first"), "points").collect()] == [("a", date(2025, 1, 1), [(date(2025, 1, 1), 1.0), (date(2025, 2, 1), 2.0)])]
