@@ -8,6 +8,8 @@ have templates of their own below. Lines of templates that recur across document
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,13 +129,21 @@ def recurring(docs: DataFrame, depth: int = 3, min_documents: int = 3, similarit
     return marked, durable(whole.union(fit.join(live, "part", "left_semi").select("key")).distinct())
 
 
-def dedup_lines(docs: DataFrame, most_keys: int = 20_000, **options) -> DataFrame:
+def _among(x: Column, keys: list[int]) -> Column:
+    """Whether ``x`` is one of the ascending ``keys``, which are one literal of the plan: a binary search, bit by bit."""
+    table = F.from_json(F.lit(json.dumps(keys)), "array<bigint>")
+    bits = F.array(*[F.lit(1 << k) for k in reversed(range(len(keys).bit_length()))])
+    low = F.aggregate(bits, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) < x, low + step).otherwise(low))
+    return F.coalesce(F.get(table, low) == x, F.lit(False))
+
+
+def dedup_lines(docs: DataFrame, most_keys: int = 200_000, **options) -> DataFrame:
     """``docs`` with recurring lines taken out of text, plus n_lines and n_dropped.
 
     Every row stays; n_chars, if there, follows the new text. Null text stays null with no lines, an
     empty text has one empty line, which never is dropped; equal rows are treated alike whatever
     their doc_id; columns of ``docs`` named n_lines or n_dropped are replaced, all others are carried along. Up to
-    ``most_keys`` keys of recurring lines are part of the plan, and texts are filtered where they are;
+    ``most_keys`` keys of recurring lines (1.6 MB) are part of the plan, and texts are filtered where they are;
     beyond that, the places of recurring lines are joined to the texts.
     """
     marked, drop = recurring(docs, **options)
@@ -141,8 +151,8 @@ def dedup_lines(docs: DataFrame, most_keys: int = 20_000, **options) -> DataFram
     lines = _lines(F.col("text"))
     rows = docs.drop("n_lines", "n_dropped")
     if drop.count() <= most_keys:
-        keys = [r.h for r in drop.select(F.col("key").bitwiseAND(F.lit(-8)).alias("h")).distinct().collect()]  # a line's hash tells its number of tokens, too
-        left = F.filter(lines, lambda v: ~_hash(v).isin(keys)) if keys else lines
+        keys = sorted(drop.select(F.col("key").bitwiseAND(F.lit(-8)).alias("h")).distinct().toArrow()["h"].to_pylist())  # a line's hash tells its number of tokens, too
+        left = F.filter(lines, lambda v: ~_among(_hash(v), keys)) if keys else lines
     else:
         hits = marked.select("doc_id", "body", F.posexplode("keys").alias("pos", "key")).join(hinted(drop), "key", "left_semi")
         hits = hits.groupBy(F.col("doc_id").alias(of), F.col("body").alias(body)).agg(F.collect_set("pos").alias(hit))
