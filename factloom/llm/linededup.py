@@ -133,8 +133,8 @@ def _among(x: Column, keys: list[int]) -> Column:
     """Whether ``x`` is one of the ascending ``keys``, which are one literal of the plan: a binary search, bit by bit."""
     table = F.from_json(F.lit(json.dumps(keys)), "array<bigint>")
     bits = F.array(*[F.lit(1 << k) for k in reversed(range(len(keys).bit_length()))])
-    low = F.aggregate(bits, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) < x, low + step).otherwise(low))
-    return F.coalesce(F.get(table, low) == x, F.lit(False))
+    low = lambda x: F.aggregate(bits, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) < x, low + step).otherwise(low))
+    return F.coalesce(F.get(F.transform(F.array(x), lambda y: F.get(table, low(y)) == y), F.lit(0)), F.lit(False))  # ``x`` is computed once
 
 
 def dedup_lines(docs: DataFrame, most_keys: int = 200_000, **options) -> DataFrame:
