@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factloom.operators import frontier, joins, peers, picks, ranges, views
+from factloom.operators import frontier, peers, picks, ranges, views
 from factloom.plans import roles as R
 from factloom.plans.registry import query
 from factloom.plans.roles import with_roles
