@@ -154,7 +154,7 @@ def str_19(spark, sf):
     return aliases(spark, sf).select("id", X.file_format(F.col("s"), F.lit("")).alias("f"), X.quantization(F.col("s")).alias("q"))
 
 
-@query("o_str_20", with_roles("SELECT id, format('{:,}', CAST(floor(price + 0.5) AS BIGINT)) AS elo, printf('%.1f', price) || '%' AS percent, CASE WHEN price = floor(price) THEN '$' || CAST(price AS BIGINT) ELSE '$' || printf('%.2f', price) END AS price, CASE WHEN id < 1000 THEN CAST(id AS VARCHAR) ELSE regexp_replace(printf('%.1f', id / 1000.0), '\\.?0+$', '') || 'K' END AS tokens, CASE WHEN id > 100 THEN '+' ELSE '' END || (id - 100) AS delta, strftime(release_date, '%b %-d, %Y') AS day FROM model", "model"))
+@query("o_str_20", with_roles("SELECT id, format('{:,}', CAST(floor(price + 0.5) AS BIGINT)) AS elo, printf('%.1f', price) || '%' AS percent, CASE WHEN price = floor(price) THEN '$' || CAST(price AS BIGINT) ELSE '$' || printf('%.2f', price) END AS price, CASE WHEN id < 1000 THEN CAST(id AS VARCHAR) WHEN id < 1000000 THEN regexp_replace(printf('%.1f', id / 1000.0), '\\.?0+$', '') || 'K' ELSE regexp_replace(printf('%.2f', id / 1000000.0), '\\.?0+$', '') || 'M' END AS tokens, CASE WHEN id > 100 THEN '+' ELSE '' END || (id - 100) AS delta, strftime(release_date, '%b %-d, %Y') AS day FROM model", "model"))
 def str_20(spark, sf):
     p = F.col("price")
     return R.model(spark, sf).select("id", X.format_elo(p).alias("elo"), X.format_percent(p).alias("percent"), X.format_price(p).alias("price"), X.format_tokens(F.col("id").cast("double")).alias("tokens"), X.format_delta((F.col("id") - 100).cast("double")).alias("delta"), X.format_date(F.col("release_date").cast("string")).alias("day"))
