@@ -121,7 +121,7 @@ def sup_17(spark, sf):
     q = R.model(spark, sf).select("id", F.concat("developer", F.lit("/"), "name").alias("alias"), (F.col("context") > 25).alias("approved"))
     root = shared_folder(spark, "approvals")
     backup = merge.versioned_copy(q, f"{root}/backup", 1)
-    known = q.where("NOT approved").select("alias", F.col("id").alias("entity_id"))
+    known = q.where("NOT approved").groupBy("alias").agg(F.min("id").alias("entity_id"))  # the ladder takes the least, so no alias's pairs are made
     linked = resolve.ladder(q.where("approved"), "id", [(0.95, q.where("approved").join(known, "alias").select("id", "entity_id"))], 0.9)
     linked = linked.select(F.col("id").alias("_id"), "entity_id")
     status = F.when(~F.col("approved"), "waiting").when(F.col("entity_id").isNull(), "new").otherwise("linked")

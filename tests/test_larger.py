@@ -25,3 +25,15 @@ def parts(ids, name="'n'", kind="'t'", size="30"):
 def test_labels_of_a_million_and_more(spark, tmp_path):
     ids = "(VALUES (999::BIGINT), (1000), (1250), (999999), (1000000), (1250000), (2005000), (12345678))"
     assert {r[0]: r[4] for r in same_as_sql(spark, tmp_path, "o_str_20", part=parts(ids))}[1000000] == "1M"
+
+
+def test_linking_makes_no_pairs_of_an_alias(spark, tmp_path):
+    """3,000 entries of one alias wait and 3,000 are approved; all pairs would be 9,000,000 rows of a join."""
+    from unittest import mock
+
+    from factloom.operators import resolve
+
+    most = []
+    with mock.patch.object(resolve, "ladder", side_effect=lambda *a, ladder=resolve.ladder: most.append(a[2][0][1].count()) or ladder(*a)):
+        rows = same_as_sql(spark, tmp_path, "o_sup_17", part=parts("range(6000)", size="20 + 10 * (i % 2)"))
+    assert most == [3000] and {r[1:] for r in rows} == {(None, "waiting"), (0, "linked")}
