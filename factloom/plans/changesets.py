@@ -216,7 +216,7 @@ def er_14(spark, sf):
 
 @query("o_er_15", with_roles(SCORED + " SELECT record, entity, score, score >= 80 AND good = 1 AS suggested FROM t WHERE rn <= 10", "model"))
 def er_15(spark, sf):
-    return resolve.suggest(resolve.best_options(R.model(spark, sf), "id", "developer", "name", "family", 10), "record", "entity", "score")
+    return resolve.suggested_options(resolve.option_lists(R.model(spark, sf), "id", "developer", "name", "family", 10))
 
 
 @query("o_er_16", with_roles("SELECT a.id, string_agg(DISTINCT CAST(b.id AS VARCHAR), ',' ORDER BY CAST(b.id AS VARCHAR)) AS existing FROM model a JOIN model b ON b.name = a.name AND b.developer = a.developer GROUP BY 1", "model"))

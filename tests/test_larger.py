@@ -37,3 +37,20 @@ def test_linking_makes_no_pairs_of_an_alias(spark, tmp_path):
     with mock.patch.object(resolve, "ladder", side_effect=lambda *a, ladder=resolve.ladder: most.append(a[2][0][1].count()) or ladder(*a)):
         rows = same_as_sql(spark, tmp_path, "o_sup_17", part=parts("range(6000)", size="20 + 10 * (i % 2)"))
     assert most == [3000] and {r[1:] for r in rows} == {(None, "waiting"), (0, "linked")}
+
+
+def test_options_of_a_group_are_found_once(spark):
+    """200 entities of one name and family get 10 options each; a group has one list, and null names and families are no others' equals."""
+    from factloom.operators import resolve
+
+    rows = [(i, "p", "n", "f") for i in range(200)] + [(200, "p", "n", None), (201, "p", "n", None), (202, "p", None, "f"), (203, None, "n", "f"), (204, "p", "m", "f"), (205, "p", "m", "g")]
+    df = spark.createDataFrame(rows, "id long, provider string, name string, family string")
+    score = lambda a, b: 110 if a[2] and a[2] == b[2] and a[3] and a[3] == b[3] else 80 if a[2] and a[2] == b[2] else 60 if a[3] and a[3] == b[3] else 0
+    want = set()
+    for a in rows:
+        found = sorted((-score(a, b), b[0]) for b in rows if a[0] != b[0] and a[1] and a[1] == b[1] and score(a, b))[:10]
+        good = [s for s, _ in found if s <= -80]
+        want |= {(a[0], e, -s, -s >= 80 and len(good) == 1) for s, e in found}
+    lists = resolve.option_lists(df, "id", "provider", "name", "family", 10)
+    assert set(map(tuple, resolve.suggested_options(lists).collect())) == want
+    assert set(map(tuple, resolve.best_options(df, "id", "provider", "name", "family", 10).collect())) == {w[:3] for w in want}
