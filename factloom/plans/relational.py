@@ -191,7 +191,7 @@ def join_14(spark, sf):
 @query("o_join_15", with_roles("SELECT model_id, snapshot_id, snapshot_id IN (SELECT id FROM snapshot WHERE source_id = '1-URGENT') AS hit FROM result WHERE snapshot_id IN (SELECT id FROM snapshot WHERE source_id = '1-URGENT') UNION ALL SELECT model_id, snapshot_id, FALSE FROM result WHERE snapshot_id NOT IN (SELECT id FROM snapshot WHERE source_id = '1-URGENT')", "result", "snapshot"))
 def join_15(spark, sf):
     r, s = R.result(spark, sf).select("model_id", "snapshot_id"), R.snapshot(spark, sf).where("source_id = '1-URGENT'")
-    return joins.semi(r, s, {"snapshot_id": "id"}).withColumn("hit", F.lit(True)).union(joins.orphans(r, s, {"snapshot_id": "id"}).withColumn("hit", F.lit(False)))
+    return joins.flagged(r.where("snapshot_id IS NOT NULL"), s, {"snapshot_id": "id"}, "hit")
 
 
 @query("o_join_16", with_roles("WITH m AS (SELECT id, family, nullif(developer, 'Brand#1') AS dev FROM model) SELECT a.id, count(b.id) AS peers, min(b.id) AS first_peer FROM m a LEFT JOIN m b ON a.dev IS NOT DISTINCT FROM b.dev AND a.family = b.family AND a.id <> b.id GROUP BY 1", "model"))

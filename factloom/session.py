@@ -44,6 +44,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A task is to hold about so many rows.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as its rows (or ``rows``) need, if those are more than a shuffle has; else as it is."""
+    parts = (df.count() if rows is None else rows) // TASK_ROWS + 1
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once as Parquet in the shared folder, so that its size is known to plans that read it."""
+    path = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -54,3 +54,14 @@ def test_options_of_a_group_are_found_once(spark):
     lists = resolve.option_lists(df, "id", "provider", "name", "family", 10)
     assert set(map(tuple, resolve.suggested_options(lists).collect())) == want
     assert set(map(tuple, resolve.best_options(df, "id", "provider", "name", "family", 10).collect())) == {w[:3] for w in want}
+
+
+def test_a_flagged_join_has_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    from factloom import session
+    from factloom.operators import joins
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    left = spark.createDataFrame([(i % 700 if i % 9 else None, i) for i in range(1000)], "k long, v long")
+    got = joins.flagged(left, spark.range(0, 700, 5).union(spark.range(0, 10)), {"k": "id"}, "hit")
+    assert got.rdd.getNumPartitions() == 21
+    assert {(r.k, r.v, r.hit) for r in got.collect()} == {(k, i, k is not None and (k % 5 == 0 or k < 10)) for i in range(1000) for k in [i % 700 if i % 9 else None]} and got.count() == 1000
