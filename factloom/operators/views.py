@@ -48,18 +48,18 @@ def standing(series: DataFrame, key: str, time: str, value: str, ties: Sequence[
     return last.join(until).withColumn("_upto", upto).select(key, F.explode(F.sequence("month", "_upto", F.expr("INTERVAL '1' MONTH"))).alias("month"), value)
 
 
-def window_prices(prices: DataFrame, key: str, amount: str, start: str, end: str, until: DataFrame) -> DataFrame:
-    """(key, month, price): the most frequent positive price of those in force at each month's end, of equally frequent ones the lowest.
+def window_prices(prices: DataFrame, key: str, amount: str, start: str, end: str, wanted: DataFrame) -> DataFrame:
+    """(key, month, price): the most frequent positive price of those in force at the ends of ``wanted(key, month)``, of equally frequent ones the lowest.
 
-    Prices of the same months are counted first; then each names its months, up to the one of ``until`` (one row, ``_last``).
+    A price meets the wanted months of its own key that lie in its window; no other months are made. All steps go by the key, so both
+    sides are moved once.
     """
     first, to = F.date_trunc("MONTH", start).cast("timestamp_ntz"), F.date_trunc("MONTH", end).cast("timestamp_ntz")
     whole = F.when(F.col(end) >= month_end(F.col(end)), to).otherwise(to - F.expr("INTERVAL '1' MONTH"))
-    p = prices.where((F.col(amount) > 0) & F.col(start).isNotNull()).join(F.broadcast(until))
-    p = p.select(key, F.col(amount).alias("price"), first.alias("_first"), F.least(F.coalesce(whole, F.col("_last")), F.col("_last")).alias("_to")).where("_first <= _to")
-    counts = p.groupBy(key, "price", "_first", "_to").agg(F.count("*").alias("_n"))
-    months = counts.select(key, "price", "_n", F.explode(F.sequence("_first", "_to", F.expr("INTERVAL '1' MONTH"))).alias("month"))
-    each = months.groupBy(key, "month", "price").agg(F.sum("_n").alias("_n"))
+    p = prices.where((F.col(amount) > 0) & F.col(start).isNotNull()).select(F.col(key).alias("_key"), F.col(amount).alias("price"), first.alias("_first"), whole.alias("_to"))
+    p = p.where("_to IS NULL OR _first <= _to")
+    met = wanted.select(key, "month").join(p, (F.col(key) == F.col("_key")) & (F.col("month") >= F.col("_first")) & (F.col("_to").isNull() | (F.col("month") <= F.col("_to"))))
+    each = met.groupBy(key, "month", "price").agg(F.count("*").alias("_n"))
     return each.groupBy(key, "month").agg(F.min_by("price", F.struct((-F.col("_n")).alias("n"), "price")).alias("price"))
 
 
@@ -71,11 +71,12 @@ def price_trend(series: DataFrame, prices: DataFrame, current: DataFrame, thresh
     would, all points take current prices. Of equal prices the least key counts; months without one are left out.
     """
     at = standing(series, key, "t", "value", ["id"])
-    until = series.agg(F.max(F.date_trunc("MONTH", "t").cast("timestamp_ntz")).alias("_last"))
-    good = at.select(key, "month", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"), "value").where("value >= threshold")
-    priced = good.join(window_prices(prices, key, "amount", "valid_from", "valid_to", until), [key, "month"]).select("threshold", "month", F.struct("price", key).alias("_best"), F.lit(False).alias("current"))
+    levels = F.array(*[F.lit(float(x)) for x in thresholds])
+    good = at.where(F.col("value") >= min(thresholds))
+    passed = lambda df, is_now: df.select(F.explode(F.filter(levels, lambda x: F.col("value") >= x)).alias("threshold"), "month", F.struct("price", key).alias("_best"), F.lit(is_now).alias("current"))
+    priced = passed(good.join(window_prices(prices, key, "amount", "valid_from", "valid_to", good), [key, "month"]), False)
     now = current.where("price > 0").select(F.col(key).alias("_key"), "price")
-    by_now = good.join(now, F.col(key) == F.col("_key")).select("threshold", "month", F.struct("price", key).alias("_best"), F.lit(True).alias("current"))
+    by_now = passed(good.join(now, F.col(key) == F.col("_key")), True)
     points = durable(priced.union(by_now).groupBy("threshold", "month", "current").agg(F.min("_best").alias("_best")))  # a few a month
     n = F.broadcast(points.agg(F.count_if("current").alias("_now"), F.count_if(~F.col("current")).alias("_then")))
     use = (F.col("_now") > 0) & (F.col("_then") < F.lit(share) * F.col("_now"))

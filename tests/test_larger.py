@@ -65,3 +65,14 @@ def test_a_flagged_join_has_as_many_tasks_as_its_rows_need(spark, monkeypatch):
     got = joins.flagged(left, spark.range(0, 700, 5).union(spark.range(0, 10)), {"k": "id"}, "hit")
     assert got.rdd.getNumPartitions() == 21
     assert {(r.k, r.v, r.hit) for r in got.collect()} == {(k, i, k is not None and (k % 5 == 0 or k < 10)) for i in range(1000) for k in [i % 700 if i % 9 else None]} and got.count() == 1000
+
+
+def test_window_prices_meet_wanted_months_alone(spark):
+    from factloom.operators import views
+
+    t = lambda d: f"TIMESTAMP_NTZ'{d}'"
+    prices = spark.sql(f"SELECT * FROM VALUES (1L, 5D, {t('2024-01-10')}, NULL), (1L, 5D, {t('2024-02-01')}, {t('2024-03-30')}), (1L, 4D, {t('2024-01-31')}, {t('2024-06-30 23:59:59.999')}), (1L, 3D, {t('2024-03-01')}, {t('2024-03-02')}), (2L, 0D, {t('2024-01-01')}, NULL) p(k, amount, s, e)")
+    wanted = spark.sql(f"SELECT k, m AS month FROM VALUES (1L), (2L) a(k), VALUES ({t('2024-02-01')}), ({t('2024-03-01')}), ({t('2024-06-01')}) b(m)")
+    got = views.window_prices(prices, "k", "amount", "s", "e", wanted)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert sorted((r.k, r.month.month, r.price) for r in got.collect()) == [(1, 2, 5.0), (1, 3, 4.0), (1, 6, 4.0)]
