@@ -196,13 +196,7 @@ def join_15(spark, sf):
 
 @query("o_join_16", with_roles("WITH m AS (SELECT id, family, nullif(developer, 'Brand#1') AS dev FROM model) SELECT a.id, count(b.id) AS peers, min(b.id) AS first_peer FROM m a LEFT JOIN m b ON a.dev IS NOT DISTINCT FROM b.dev AND a.family = b.family AND a.id <> b.id GROUP BY 1", "model"))
 def join_16(spark, sf):
-    from pyspark.sql.window import Window
-
-    m = R.model(spark, sf).select("id", "family", F.nullif("developer", F.lit("Brand#1")).alias("dev"))
-    w = Window.partitionBy("dev", "family")
-    lows = F.slice(F.sort_array(F.collect_set("id").over(w)), 1, 2)  # at most two ids are looked at
-    counted = m.withColumn("n", F.count("*").over(w)).withColumn("low", lows)
-    return counted.select("id", (F.col("n") - 1).alias("peers"), F.when(F.get("low", F.lit(0)) != F.col("id"), F.get("low", F.lit(0))).otherwise(F.get("low", F.lit(1))).alias("first_peer"))
+    return joins.peer_counts(R.model(spark, sf).select("id", "family", F.nullif("developer", F.lit("Brand#1")).alias("dev")), "id", "dev", "family")
 
 
 @query("o_join_17", with_roles("WITH s AS (SELECT model_id, benchmark_id, max(score) AS score FROM result WHERE model_id IN (3, 11) GROUP BY ALL) SELECT a.benchmark_id, a.score AS left_score, b.score AS right_score FROM s a JOIN s b ON a.benchmark_id = b.benchmark_id AND a.model_id = 3 AND b.model_id = 11", "result"))

@@ -76,3 +76,13 @@ def test_window_prices_meet_wanted_months_alone(spark):
     got = views.window_prices(prices, "k", "amount", "s", "e", wanted)
     assert "Generate" not in got._jdf.queryExecution().toString()
     assert sorted((r.k, r.month.month, r.price) for r in got.collect()) == [(1, 2, 5.0), (1, 3, 4.0), (1, 6, 4.0)]
+
+
+def test_peers_are_counted_without_a_groups_rows(spark):
+    from factloom.operators import joins
+
+    rows = [(i, "a", "x") for i in range(5, 300)] + [(1, None, "x"), (2, None, "x"), (3, "b", None), (4, "b", None), (301, "c", "x")]
+    plan = joins.peer_counts(spark.createDataFrame(rows, "id long, dev string, family string"), "id", "dev", "family")
+    assert "collect_set" not in plan._jdf.queryExecution().toString()
+    got = {r.id: (r.peers, r.first_peer) for r in plan.collect()}
+    assert got == {i: (294, 6 if i == 5 else 5) for i in range(5, 300)} | {1: (1, 2), 2: (1, 1), 3: (0, None), 4: (0, None), 301: (0, None)}
