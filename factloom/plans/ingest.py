@@ -153,19 +153,26 @@ def src_13(spark, sf):
 
 @query("o_src_14", with_roles("SELECT 'org/m' || id AS source_model_id, b AS benchmark_id, CAST(context AS DOUBLE) AS score FROM model, (VALUES ('complete'), ('instruct')) v(b) WHERE b = 'complete' OR id % 2 = 0", "model"))
 def src_14(spark, sf):
-    """Rows in pages of 100, kept a folder a page; the scan plans as many pages as the first one says."""
+    """Rows in pages of 100, kept a hundred pages a folder, a page a line; the scan plans as many pages as the first one says."""
     row = F.struct(F.concat(F.lit("https://hf.example/org/m"), "id").alias("link"), F.col("context").cast("string").alias("complete"), F.when(F.col("id") % 2 == 0, F.col("context").cast("string")).alias("instruct"))
     m = ranked(parts(spark, sf), [], "id").withColumn("page", F.floor(F.col("_i") / 100).cast("int"))
     bodies = m.groupBy("page", "_n").agg(F.collect_list(F.struct(row.alias("row"))).alias("rows")).select("page", F.to_json(F.struct("rows", F.when(F.col("page") == 0, F.col("_n")).alias("num_rows_total"))).alias("value"))
     root = shared_folder(spark, "pages")
-    bodies.write.partitionBy("page").text(root)
+    lines = bodies.select(F.floor(F.col("page") / 100).alias("block"), F.concat("page", F.lit("\t"), "value").alias("value"))
+    lines.repartition("block").write.partitionBy("block").text(root)
+    held = {}  # the block that a task read last: its pages come one after the other
 
     def fetch(offset: int, length: int) -> str:
         from pyarrow import fs
 
-        where, path = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-        files = where.get_file_info(fs.FileSelector(f"{path}/page={offset // length}"))
-        return "".join(where.open_input_stream(f.path).read().decode() for f in files if f.path.endswith(".txt"))
+        page = offset // length
+        if page // 100 not in held:
+            where, path = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+            files = where.get_file_info(fs.FileSelector(f"{path}/block={page // 100}"))
+            text = "".join(where.open_input_stream(f.path).read().decode() for f in files if f.path.endswith(".txt"))
+            held.clear()
+            held[page // 100] = dict(line.split("\t", 1) for line in text.split("\n") if line)
+        return held[page // 100].get(str(page), "")
 
     return PARSERS["bigcodebench"](pages.read_pages(spark, fetch, 100)).drop("offset")
 

@@ -13,9 +13,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 Fetch = Callable[[int, int], str]
 
 
+#: Up to so many pages are a partition each; of more, a partition is a run of pages.
+PARTITIONS = 1_000
+
+
 class Page(InputPartition):
-    def __init__(self, offset: int, body: str | None = None):
-        self.offset, self.body = offset, body
+    def __init__(self, offsets: range, body: str | None = None):
+        self.offsets, self.body = offsets, body
 
 
 class PageReader(DataSourceReader):
@@ -41,14 +45,17 @@ class PageReader(DataSourceReader):
         n = len(rows) if isinstance(rows, list) else 0
         total = first.get("num_rows_total") if isinstance(first, dict) else None
         total = n if total is None else int(total)
-        return [Page(0, body), *(Page(at) for at in range(self.length, total if n else 0, self.length))]
+        rest = range(self.length, total if n else 0, self.length)
+        run = max(1, -(-len(rest) // PARTITIONS))
+        return [Page(range(1), body), *(Page(rest[i : i + run]) for i in range(0, len(rest), run))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        yield partition.offset, partition.body if partition.body is not None else self.page(partition.offset)
+        for offset in partition.offsets:
+            yield offset, partition.body if partition.body is not None else self.page(offset)
 
 
 def read_pages(spark: SparkSession, fetch: Fetch, length: int = 100, tries: int = 3, wait: float = 0.5) -> DataFrame:
-    """(offset, body): a row a page, a partition a page. ``fetch`` runs in tasks, so it is to hold no connection.
+    """(offset, body): a row a page, a partition a page (of over ``PARTITIONS`` pages, runs of them). ``fetch`` runs in tasks, so it is to hold no connection.
 
     Pages are as many as the first one's ``num_rows_total`` says; without it, or if the first has no rows, there is one. A page that
     fails ``tries`` times ends the read.

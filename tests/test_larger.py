@@ -86,3 +86,16 @@ def test_peers_are_counted_without_a_groups_rows(spark):
     assert "collect_set" not in plan._jdf.queryExecution().toString()
     got = {r.id: (r.peers, r.first_peer) for r in plan.collect()}
     assert got == {i: (294, 6 if i == 5 else 5) for i in range(5, 300)} | {1: (1, 2), 2: (1, 1), 3: (0, None), 4: (0, None), 301: (0, None)}
+
+
+def test_many_pages_are_runs_of_a_partition(spark, tmp_path, monkeypatch):
+    import json
+
+    from factloom.sources import pages
+
+    monkeypatch.setattr(pages, "PARTITIONS", 4)
+    reader = pages.PageReader(lambda o, n: json.dumps({"rows": [1], "num_rows_total": 95}), 10, 1, 0)
+    assert [list(p.offsets) for p in reader.partitions()] == [[0], [10, 20, 30], [40, 50, 60], [70, 80, 90]]
+    assert [o for p in reader.partitions() for o, _ in reader.read(p)] == list(range(0, 95, 10))
+    got = same_as_sql(spark, tmp_path, "o_src_14", part=parts("range(10250)", size="i % 50"))  # pages of more than one folder
+    assert len(got) == 10250 + 5125
