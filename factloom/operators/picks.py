@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.session import spread
+
 
 def latest_pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group under a total order (Spark limits groups before the shuffle)."""
@@ -20,6 +22,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return latest_pick(df, keys, order)
 
 
+def first_and_count(df: DataFrame, keys: Sequence[str], first: str, out: str) -> DataFrame:
+    """(keys, first, out): duplicates on ``keys`` (null equals null) with their least ``first`` and their number. No group is sorted, and a task holds the sums of its rows, of which it has ``TASK_ROWS`` or a shuffle's share."""
+    return spread(df.select(*keys, first), *keys).groupBy(*keys).agg(F.min(first).alias(first), F.count("*").alias(out))
+
+
 def newest_per(df: DataFrame, group: str, version: str) -> DataFrame:
     """Rows whose ``version`` is the greatest of its ``group``."""
     top = df.groupBy(group).agg(F.max(version).alias("_top"))

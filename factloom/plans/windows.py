@@ -151,6 +151,4 @@ def tmp_04(spark, sf):
 
 @query("o_tmp_05", with_roles("SELECT model_id, benchmark_id, rank, ci, min(snapshot_id) AS snapshot_id, count(*) AS n FROM result GROUP BY model_id, benchmark_id, rank, ci", "result"))
 def tmp_05(spark, sf):
-    keys = ["model_id", "benchmark_id", "rank", "ci"]
-    rows = R.result(spark, sf).select(*keys, "snapshot_id").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return picks.keep_first(rows, keys, [F.asc("snapshot_id")])
+    return picks.first_and_count(R.result(spark, sf), ["model_id", "benchmark_id", "rank", "ci"], "snapshot_id", "n")

@@ -99,3 +99,14 @@ def test_many_pages_are_runs_of_a_partition(spark, tmp_path, monkeypatch):
     assert [o for p in reader.partitions() for o, _ in reader.read(p)] == list(range(0, 95, 10))
     got = same_as_sql(spark, tmp_path, "o_src_14", part=parts("range(10250)", size="i % 50"))  # pages of more than one folder
     assert len(got) == 10250 + 5125
+
+
+def test_first_and_count_holds_no_groups_rows(spark, monkeypatch):
+    from factloom import session
+    from factloom.operators import picks
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    df = spark.createDataFrame([(i % 3 if i % 3 else None, "k", 1000 - i) for i in range(1000)], "a long, b string, s long")
+    got = picks.first_and_count(df, ["a", "b"], "s", "n")
+    assert "Window" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() == 21
+    assert {tuple(r) for r in got.collect()} == {(None, "k", 1, 334), (1, "k", 3, 333), (2, "k", 2, 333)}
