@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import normalize_alias
+from factloom.operators.joins import union_all
 from factloom.operators.merge import insert_replace
 from factloom.operators.ranges import ranked
-from factloom.session import durable
+from factloom.session import durable, kept
 
 
 class Rejected(ValueError):
@@ -174,17 +175,13 @@ def _names() -> Column:
     return F.filter(F.transform(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
 
 
-def _applied(review: Review, rows: DataFrame, action: str, take_over: bool) -> Review:
-    """Queue rows put in place, of ``rows(queue_id, record_id, source_id, model, names, link)``: names become aliases of the model,
-    the record is linked to ``link``, the row is done. Of rows that give one name in a source, the last one's model holds;
-    names that have a model change it only with ``take_over``.
+def _applied(review: Review, rows: DataFrame, action: str, new: DataFrame) -> Review:
+    """Queue rows put in place, of ``rows(queue_id, record_id, model, link)``: the record is linked to ``link``, the row is done.
+
+    ``new(source_id, alias, model_id, queue_id)`` become aliases of their models; of rows that give one name in a source, the last one's model holds.
     """
-    new = rows.select("source_id", F.explode("names").alias("alias"), F.col("model").alias("model_id"), F.lit("manual_review").alias("method"), "queue_id")
-    if not take_over:
-        held = review.aliases.where("model_id IS NOT NULL").select(F.col("source_id").alias("_s"), F.col("alias").alias("_a"))
-        new = new.join(held, (F.col("source_id") == F.col("_s")) & (F.col("alias") == F.col("_a")), "left_anti")
     old = review.aliases.withColumn("queue_id", F.lit(None).cast("long"))
-    aliases = insert_replace(old, new, ["source_id", "alias"], [F.desc("queue_id")]).select(*review.aliases.columns)
+    aliases = insert_replace(old, new.withColumn("method", F.lit("manual_review")), ["source_id", "alias"], [F.desc("queue_id")]).select(*review.aliases.columns)
     done = rows.select(F.col("queue_id").alias("_q"), F.col("model").alias("_m"))
     hit, q = F.col("_q").isNotNull(), review.queue.join(done, F.col("id") == F.col("_q"), "left")
     queue = q.withColumns({"model_id": F.when(hit, F.col("_m")).otherwise(F.col("model_id")), "status": F.when(hit, F.lit("accepted")).otherwise(F.col("status")), "resolved": F.col("resolved") | hit})
@@ -207,7 +204,34 @@ def drain(review: Review, only: Sequence[int] | None = None) -> tuple[Review, Da
     rows = durable(queued.join(review.records.select(F.col("id").alias("record_id"), "source_id"), "record_id").withColumn("link", F.get("names", F.lit(0))))
     given = F.size("names") > 0
     summary = rows.agg(F.count(F.when(given, 1)).alias("processed"), F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("aliases"), F.count(F.when(~given, 1)).alias("skipped"))
-    return _applied(review, rows.where(given), "drain", take_over=True), summary
+    new = rows.select("source_id", F.explode("names").alias("alias"), F.col("model").alias("model_id"), "queue_id")
+    return _applied(review, rows.where(given), "drain", new), summary
+
+
+#: Up to so many names, those of a round are broadcast.
+FEW = 500_000
+
+
+def _reached(pending: DataFrame, known: DataFrame, max_rounds: int) -> DataFrame:
+    """(source_id, alias, model, queue_id): ``known(source_id, alias, model)`` and all names that pending rows add to them, round by round.
+
+    All rows of one name are accepted in one round, so rounds go over names: ``pending(queue_id, source_id, link, names)`` becomes
+    a table of which name gives which, written once. A round meets it with the names that the last one added, and no table is written again.
+    """
+    others = F.filter("names", lambda n: n != F.col("link"))
+    edges = kept(pending.select("source_id", "link", F.explode_outer(others).alias("name"), "queue_id").groupBy("source_id", "link", "name").agg(F.max("queue_id").alias("queue_id")))
+    held = [kept(known.withColumn("queue_id", F.lit(None).cast("long")))]
+    for _ in range(max_rounds):
+        last = held[-1].select(F.col("source_id").alias("_s"), F.col("alias").alias("_a"), "model")
+        last = F.broadcast(last) if last.count() <= FEW else last
+        met = edges.join(last, (F.col("source_id") == F.col("_s")) & (F.col("link") == F.col("_a")))
+        given = kept(met.groupBy("source_id", F.col("name").alias("alias")).agg(F.max_by("model", "queue_id").alias("model"), F.max("queue_id").alias("queue_id")))
+        every = union_all(held)
+        if given.isEmpty():
+            return every
+        before = every.select(F.col("source_id").alias("_s"), F.col("alias").alias("_a"))
+        held.append(kept(given.where("alias IS NOT NULL").join(before, (F.col("source_id") == F.col("_s")) & (F.col("alias") == F.col("_a")), "left_anti")))
+    raise RuntimeError(f"did not settle in {max_rounds} rounds")
 
 
 def settle(review: Review, max_rounds: int = 100) -> Review:
@@ -218,13 +242,13 @@ def settle(review: Review, max_rounds: int = 100) -> Review:
     chain of names; raises after ``max_rounds``.
     """
     review, _ = drain(review)
-    for _ in range(max_rounds):
-        known = review.aliases.where("model_id IS NOT NULL").select(F.col("source_id").alias("_s"), F.col("alias").alias("_a"), F.col("model_id").alias("model"))
-        names = review.records.select(F.col("id").alias("record_id"), "source_id", F.col("name").alias("link"))
-        waiting = (F.col("status") == "pending") & ~F.col("resolved") & F.col("model_id").isNull()
-        pending = review.queue.where(waiting).select(F.col("id").alias("queue_id"), "record_id", _names().alias("names")).join(names, "record_id")
-        rows = durable(pending.join(known, (F.col("source_id") == F.col("_s")) & (F.col("link") == F.col("_a"))))
-        if rows.isEmpty():
-            return review
-        review = _applied(review, rows, "settle", take_over=False)
-    raise RuntimeError(f"did not settle in {max_rounds} rounds")
+    known = review.aliases.where("model_id IS NOT NULL").select("source_id", "alias", F.col("model_id").alias("model"))
+    names = review.records.select(F.col("id").alias("record_id"), "source_id", F.col("name").alias("link"))
+    waiting = (F.col("status") == "pending") & ~F.col("resolved") & F.col("model_id").isNull()
+    pending = kept(review.queue.where(waiting).select(F.col("id").alias("queue_id"), "record_id", _names().alias("names")).join(names, "record_id"))
+    reached = _reached(pending, known, max_rounds)
+    at = reached.select(F.col("source_id").alias("_s"), F.col("alias").alias("_a"), "model")
+    rows = kept(pending.join(at, (F.col("source_id") == F.col("_s")) & (F.col("link") == F.col("_a"))).select("queue_id", "record_id", "model", "link"))
+    if rows.isEmpty():
+        return review
+    return _applied(review, rows, "settle", reached.where("queue_id IS NOT NULL").select("source_id", "alias", F.col("model").alias("model_id"), "queue_id"))

@@ -114,3 +114,23 @@ def test_settling_follows_names_to_the_end(spark, review):
     assert rows(done.audit.where("action = 'settle'"), "queue_id") == [(7,), (8,), (9,)]
     with pytest.raises(RuntimeError, match="settle"):
         queue.settle(queue.accept_batch(review, approvals(spark, (1, 7))), max_rounds=2)
+
+
+def test_settling_writes_nothing_again_round_by_round(spark):
+    """A chain of 12 names, and one name that two rows of a round give: tables are changed once, the last row's model holds."""
+    from unittest import mock
+
+    chain = [(i, 100 + i, None, "pending", False, [f"n{i + 1}", f"n{i}"]) for i in range(12)]
+    more = [(20, 120, None, "pending", False, ["both"]), (21, 121, None, "pending", False, ["both"]), (22, 122, None, "pending", False, [])]
+    records = [(100 + i, "s", f"n{i}", None) for i in range(12)] + [(120, "s", "p", None), (121, "s", "q", None), (122, "s", "both", None)]
+    r = queue.Review(
+        models=spark.createDataFrame([(1, "a/b", "a", "B")], "id long, slug string, developer_id string, display_name string"), organizations=spark.createDataFrame([], "id string, display_name string, aliases array<string>"),
+        aliases=spark.createDataFrame([("s", "n0", 1, "exact"), ("s", "p", 2, "exact"), ("s", "q", 3, "exact"), ("s", "n5", 9, "exact"), ("s", "n7", None, None)], "source_id string, alias string, model_id long, method string"),
+        records=spark.createDataFrame(records, "id long, source_id string, name string, alias string"), queue=spark.createDataFrame(chain + more, Q), audit=spark.createDataFrame([], "queue_id long, record_id long, model_id long, action string"),
+    )
+    with mock.patch.object(queue, "_applied", wraps=queue._applied) as applied:
+        done = queue.settle(r)
+    assert applied.call_count == 2  # draining, and all rounds at once
+    assert {t.id: t.model_id for t in done.queue.collect()} == {i: 1 if i < 5 else 9 for i in range(12)} | {20: 2, 21: 3, 22: 3}
+    assert {(t.alias, t.model_id) for t in done.aliases.collect()} == {(f"n{i}", 1 if i < 5 else 9) for i in range(13)} | {("p", 2), ("q", 3), ("both", 3)}
+    assert {t.alias for t in done.records.collect()} == {t.name for t in done.records.collect()}
